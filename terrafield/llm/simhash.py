@@ -293,7 +293,7 @@ def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = rows.join(firsts.select(F.col("first").alias("id"), "digest"), ["id", "digest"])
     points = cut(whole.dropDuplicates(["id", "digest"]).select("id", "sketch", F.posexplode("views").alias("view", "point")).select("view", "id", "point", "sketch"))
     parts = components(links(points, 1, sketch_radius(similarity)))
-    of = same.join(parts, same.first == parts.node, "left").select("id", F.coalesce("component", "first").alias("component_id"))
+    of = same.join(parts, F.col("first") == F.col("node"), "left").select("id", F.coalesce("component", "first").alias("component_id"))
     return of.where("id <> component_id").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", "doc_id")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafield.llm import mixing, packing, pii, secrets, sharding, simhash, toxicity, urls, vectors
+from terrafield.session import ship
 
 #: Key of the surrogates in the registered query; a deployment passes its own secret.
 DEMO_KEY = b"terrafield demo key"
@@ -94,7 +95,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = [op1_pii_surrogates, op2_simhash_near_dedup, op3_secret_scan, op4_rendezvous_shards, op5_source_mix, op6_url_rules,
            op7_embedding_near_dedup, op8_toxicity_chain, op9_nearest_neighbours, op10_pack_windows, pipeline]
-    return {f.__name__: f for f in own}
+    return {f.__name__: _shipped(f) for f in own}
+
+
+def _shipped(query):
+    return wraps(query)(lambda spark, sf_dir: query(ship(spark), sf_dir))
 
 
 def _rules_sql() -> str:

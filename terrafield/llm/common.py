@@ -37,6 +37,11 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def pack_rows(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, row): whole rows as one struct, so that no column's name can clash in a join."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def n_words(col) -> F.Column:
     """Number of words of a text column, JVM-side; null counts as 0."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafield.llm.common import cut, n_words, running_sums
+from terrafield.llm.common import cut, n_words, pack_rows, running_sums
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -149,9 +149,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Every id stays that the mix takes wholly at least once; a row without words is in no mix and stays once.
     Repeated rows share the mean of their shares.
     """
-    share = mix(docs, id_col, text_col, source_col).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("_share"))
-    share = share.select(F.col("doc_id").alias("_id"), "_share")
-    dither = F.shiftrightunsigned(F.xxhash64("_id", F.lit("copies")), 11).cast("double") / F.lit(2.0**53)
-    copies = F.coalesce(F.floor(F.col("_share") + dither), F.lit(1)).cast("int")
-    rows = docs.join(cut(share), docs[id_col].cast("long").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns])
+    share = mix(docs, id_col, text_col, source_col).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("share"))
+    share = cut(share.select(F.col("doc_id").alias("own"), "share"))
+    dither = F.shiftrightunsigned(F.xxhash64("own", F.lit("copies")), 11).cast("double") / F.lit(2.0**53)
+    copies = F.coalesce(F.floor(F.col("share") + dither), F.lit(1)).cast("int")
+    rows = pack_rows(docs, id_col).join(share, F.col("id").eqNullSafe(F.col("own")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")

@@ -96,7 +96,7 @@ class Packer:
                 while gap and (more := self.take(gap)):
                     window.append(more)
                     gap -= more[2] - more[1]
-                if gap and (more := self.take(below)):  # longer than the gap: cut it
+                if gap and (more := self.take(below or size)):  # longer than the gap: cut it
                     window.append((more[0], more[1], more[1] + gap))
                     self.put((more[0], more[1] + gap, more[2]))
                     gap = 0

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafield.llm.common import LocalUnion, components, cut, words_of
+from terrafield.llm.common import LocalUnion, components, cut, pack_rows, words_of
 
 SEED = 42
 #: Bits of the sketch that estimates the similarity of two sets of shingles.
@@ -300,5 +300,5 @@ def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the near duplicates: the smallest id of each group stays. Rows that share an id share its fate;
     rows with a null id or no words stay."""
-    gone = duplicate_ids(docs, id_col, text_col, **how).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = duplicate_ids(docs, id_col, text_col, **how).select(F.col("doc_id").alias("id"))
+    return pack_rows(docs, id_col).join(gone, "id", "left_anti").select("row.*")

@@ -238,13 +238,13 @@ def _dedup_shard(table: pa.Table, index, cos: float) -> pa.Table:
     return pa.table({"id": pa.array(ids[got], pa.int64()), "n": pa.array(links[got], pa.int64()), "root": pa.array(ids[root[got]], pa.int64())})
 
 
-def near_duplicates(table: DataFrame, cos: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", lists_per: int = 256, spread: float = 8.0, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(table: DataFrame, cos: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", lists_per: int = 256, spread: float = 4.0, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per row of `table`.
 
     Linked are vectors of equal, non-null label whose cosine, in double precision, is `cos` or more. Equal vectors are one
     point with a weight. A vector probes every list of its label that a vector at that cosine may lie in (see
-    _reachable; `spread` = sqrt(dim) or more makes that exact), so there is no cap on probes, candidates or links, and a group of copies
-    is counted in blocks, never emitted as pairs. Vectors that are null, zero, hold null or non-finite
+    _reachable: a displacement of no special direction stays within 4 standard deviations, `spread` = sqrt(dim) makes it exact for any), so
+    there is no cap on probes, candidates or links, and a group of copies is counted in blocks, never emitted as pairs. Vectors that are null, zero, hold null or non-finite
     components, or have another length than most, link with nothing, nor do rows without an id or a label: n_links 0,
     their own component. Rows that repeat an id are vectors of their own. An empty table gives an empty one.
     """
@@ -388,13 +388,33 @@ def _search_shard(index, k: int):
     return run
 
 
-def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = 0.6, lists_per: int = 128, max_lists: int = 1024, sample: int = SAMPLE, shard_rows: tuple[int, int] = (512, 32_768)) -> DataFrame:
+def sufficient_probes(ix: Index, sample: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
+    """How many of a query's nearest lists hold this share of its k nearest vectors, judged on the sample.
+
+    The sample is sparser than the table, so its neighbours lie farther off and in farther lists: the
+    number errs to the high side.
+    """
+    own = ix.nearest(sample)
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(ix.centroids)
+    ranks = []
+    for s in range(0, min(queries, len(sample)), 64):
+        q = sample[s : min(s + 64, queries)]
+        d = _sq(q, sample)
+        d[np.arange(len(q)), np.arange(s, s + len(q))] = np.inf
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(_sq(q, ix.centroids), axis=1, kind="stable"), axis=1)
+        ranks.append(np.take_along_axis(place, own[near], axis=1).ravel())
+    return int(np.quantile(np.concatenate(ranks), recall, method="higher")) + 1
+
+
+def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.98, lists_per: int = 128, max_lists: int = 1024, sample: int = SAMPLE, shard_rows: tuple[int, int] = (512, 32_768)) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query holds for, its k nearest other rows found.
 
-    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. A query probes the
-    `probe_share` of all lists whose centroids are nearest. Vectors without structure have neighbours
-    in most lists, hence so many; clustered ones do with fewer. In the lists probed the lookups
-    prune by bounds only, so nothing near is lost there. Vectors that are null, zero, hold null or non-finite components or have
+    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. A query probes as
+    many of its nearest lists as give the `recall` on the sample: few if the vectors cluster, most if they have no
+    structure. In the lists probed the lookups prune by bounds only, so nothing near is lost there. Vectors that are null, zero, hold null or non-finite components or have
     another length than most take no part, nor do rows without an id. Rows that repeat an id count once.
     """
     spark = table.sparkSession
@@ -412,7 +432,7 @@ def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     counts = {x.own: x.n for x in placed.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as lists
     deal = spark.sparkContext.broadcast(_deal(counts, min(shard_rows[1], max(shard_rows[0], n // 128))))
     placed = rows.mapInArrow(partial(_placed, index=index, deal=deal), kinds)
-    probes = max(1, math.ceil(probe_share * len(ix.centroids)))
+    probes = sufficient_probes(ix, pts, k, recall)
     queries = rows.where(is_query(F.col("id"))).mapInArrow(partial(_routed, index=index, deal=deal, probes=probes), "shard int, query_id long, lists array<int>, vec array<double>")
     found = placed.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(_search_shard(index, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))

@@ -42,6 +42,12 @@ def pack_rows(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def map_whole(df: DataFrame, fn) -> DataFrame:
+    """df.mapInArrow(fn) for an fn that keeps the columns and knows them by position, whatever their names."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(fn, plain.schema).toDF(*df.columns)
+
+
 def n_words(col) -> F.Column:
     """Number of words of a text column, JVM-side; null counts as 0."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
@@ -51,10 +57,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given as long pairs.
 
     Returns (node, component): one row per node that has a link to another node, component is the
-    smallest node reachable. Each round hooks every node to its smallest neighbour, jumps twice along
-    the hooks and contracts the links, so a chain shrinks fourfold a round and a star at once. Links
-    and hooks stay distributed; every table is checkpointed, so joins exchange both sides and AQE can
-    split a hot hub. Self links and nulls are ignored; no links give an empty table.
+    smallest node reachable. Each round hooks every node to its smallest neighbour, which makes trees, shortens
+    the hooks to the trees' roots by pointer jumping and contracts each tree: at least half of the nodes go in a
+    round, and paths need as many jumps as their length has binary digits. Links and hooks stay distributed;
+    every table is checkpointed, so joins exchange both sides and AQE can split a hot hub. Self links and
+    nulls are ignored; no links give an empty table.
     """
     e = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -66,10 +73,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooks = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent")))
-        for _ in range(2):
-            up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            hooks = hooks.join(up, "parent").select("node", F.col("above").alias("parent"))
-        hooks = cut(hooks)
+        while True:
+            far = cut(_jump(_jump(hooks).select("node", F.col("above").alias("parent"))))
+            hooks = far.select("node", F.col("above").alias("parent"))
+            if far.where("above <> parent").isEmpty():
+                break
         if labels is None:
             labels = hooks
         else:
@@ -85,6 +93,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.select("node", F.col("parent").alias("component"))
 
 
+def _jump(hooks: DataFrame) -> DataFrame:
+    """(node, parent, above): the parent's own parent beside it."""
+    up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+    return hooks.join(up, "parent").select("node", "parent", "above")
+
+
 class LocalUnion:
     """Union-find over 0..n-1 fed with arrays of links; the smallest index is a set's root."""
 

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafield.llm.common import map_whole
+
 #: Labelled findings that a forest is trained on, at most.
 TRAIN_FINDINGS = 20_000
 BESIDE = 48
@@ -272,23 +274,23 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5,
     return rows.mapInArrow(partial(_scan, forest=shared, threshold=threshold), "doc_id long, start long, length long, kind string, value_hash string, score double, is_secret boolean")
 
 
-def _masked(batches, forest, threshold, text_col, length_col):
+def _masked(batches, forest, threshold, text_at, length_at):
     for b in batches:
         texts = []
-        for t in b.column(text_col).to_pylist():
+        for t in b.column(text_at).to_pylist():
             for s, e, k, _, ok in reversed(judged(t, forest.value, threshold)):
                 if ok:
                     t = f"{t[:s]}[{k.upper()}]{t[e:]}"
             texts.append(t)
-        at = b.schema.get_field_index(text_col)
-        b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-        if length_col in b.schema.names:
-            at = b.schema.get_field_index(length_col)
-            b = b.set_column(at, b.schema.field(at), pa.array([None if t is None else len(t) for t in texts], b.schema.field(at).type))
+        b = b.set_column(text_at, b.schema.field(text_at), pa.array(texts, b.schema.field(text_at).type))
+        if length_at is not None:
+            n = pa.array([None if t is None else len(t) for t in texts], b.schema.field(length_at).type)
+            b = b.set_column(length_at, b.schema.field(length_at), n)
         yield b
 
 
 def mask_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with every secret replaced by [KIND]; all rows and columns stay, the length column follows the text."""
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
-    return docs.mapInArrow(partial(_masked, forest=shared, threshold=threshold, text_col=text_col, length_col=length_col), docs.schema)
+    at = {c: k for k, c in enumerate(docs.columns)}
+    return map_whole(docs, partial(_masked, forest=shared, threshold=threshold, text_at=at[text_col], length_at=at.get(length_col)))

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafield.llm.common import map_whole
+
 #: Labelled rows that the chain is fitted on, at most: those of the smallest hashes of their id.
 TRAIN_ROWS = 20_000
 FEATURES = 20_000
@@ -205,10 +207,10 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", "doc_id").withColumn(last, F.col(f"p_{last}") >= F.lit(chain.thresholds[-1]))
 
 
-def _judged(batches, chain, text_col):
+def _judged(batches, chain, text_at):
     c = chain.value
     for b in batches:
-        texts = b.column(text_col)
+        texts = b.column(text_at)
         for s in range(0, b.num_rows, 512):
             part = b.slice(s, 512)
             p = c.probabilities([features(t) & c.vocab.keys() for t in texts.slice(s, 512).to_pylist()])[:, -1]
@@ -217,4 +219,5 @@ def _judged(batches, chain, text_col):
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """docs without the rows that the chain's last category rejects; order and columns stay."""
-    return docs.mapInArrow(partial(_judged, chain=docs.sparkSession.sparkContext.broadcast(chain), text_col=text_col), docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    return map_whole(docs, partial(_judged, chain=shared, text_at=docs.columns.index(text_col)))

@@ -206,7 +206,9 @@ def _dedup_shard(table: pa.Table, index, cos: float) -> pa.Table:
     flat = probes.flatten().to_numpy().astype(np.int64)
     prober = np.repeat(np.arange(len(ids)), np.diff(probes.offsets.to_numpy()))
     lists = len(ix.centroids)
-    pairs = np.sort(prober * lists + flat)  # (row, list that it probes)
+    names, label = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
+    own, flat = label * lists + own, label[prober] * lists + flat  # a list of a label
+    pairs = np.sort(prober * (lists * len(names)) + flat)  # (row, list that it probes)
     radius = math.sqrt(max(0.0, 2 - 2 * cos)) + 1e-9
     links = np.zeros(len(ids), np.int64)
     sets = LocalUnion(len(ids))
@@ -216,13 +218,13 @@ def _dedup_shard(table: pa.Table, index, cos: float) -> pa.Table:
         who = prober[flat == lst]
         for s in range(0, len(who), 256):
             q = who[s : s + 256]
-            t = ix.tables(x[q], int(lst))
+            t = ix.tables(x[q], int(lst) % lists)
             adc = np.zeros((len(q), len(cand)))
             for k in range(codes.shape[1]):
                 adc += t[:, k, codes[cand, k]]
             a, b = np.nonzero(np.sqrt(adc) <= radius + err[cand])
             a, b = q[a], cand[b]
-            back = own[a] + b * lists
+            back = own[a] + b * (lists * len(names))
             met_twice = pairs[np.minimum(np.searchsorted(pairs, back), len(pairs) - 1)] == back
             keep = (a != b) & (~met_twice | (a > b))
             a, b = a[keep], b[keep]
@@ -276,7 +278,7 @@ def near_duplicates(table: DataFrame, cos: float = 0.98, id_col: str = "vec_id",
         .groupBy("id")
         .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("shards"))
     )
-    sent = listed.drop("label").join(home, "id").join(visits, "id")
+    sent = listed.join(home, "id").join(visits, "id")
     sent = sent.withColumn("shard", F.explode("shards")).drop("shards")
     stars = cut(sent.groupBy("shard").applyInArrow(_dedup_fn(index, cos), "id long, n long, root long"))
     parts = components(stars.select(F.col("id").alias("a"), F.col("root").alias("b")))

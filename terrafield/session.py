@@ -24,3 +24,16 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def cut(df):
+    """Writes df to the shared checkpoint folder and reads it back; a temporary folder only in local mode."""
+    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="terrafield-ckpt-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

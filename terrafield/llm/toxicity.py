@@ -17,12 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafield.llm.common import map_whole
+from terrafield.llm.common import cut, map_whole
 
 #: Labelled rows that the chain is fitted on, at most: those of the smallest hashes of their id.
-TRAIN_ROWS = 20_000
-FEATURES = 20_000
-FOLDS = 5
+TRAIN_ROWS = 10_000
+#: Columns of the models: the features that tell the labels apart best in that sample.
+FEATURES = 1024
+FOLDS = 3
 #: Lengths of the word beginnings that are features beside whole words; inflected forms share them.
 PREFIXES = (4, 5, 6)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -54,7 +55,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train_linear(rows, cols, n, width, earlier, y, l2: float = 1e-4, rounds: int = 200) -> Linear:
+def train_linear(rows, cols, n, width, earlier, y, l2: float = 1e-3, rounds: int = 80) -> Linear:
     """Logistic regression on binary sparse features and dense earlier probabilities; Adam on the whole sample, classes balanced."""
     w, b, c = np.zeros(width), 0.0, np.zeros(earlier.shape[1])
     pos = max(1.0, float(y.sum()))
@@ -100,28 +101,27 @@ class Chain:
 
 
 def select(sets, y: np.ndarray, most: int) -> set[int]:
-    """The features whose presence tells the classes apart best, by the signed root of a chi-square with a prior."""
+    """The features whose presence tells the classes apart best, see score(); for a sample that fits in memory."""
     pos, neg = Counter(), Counter()
     for s, v in zip(sets, y):
         (pos if v else neg).update(s)
-    np_, nn = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    score = {}
-    for f in set(pos) | set(neg):
-        a, b = pos[f], neg[f]
-        if a + b >= 3:
-            score[f] = abs(a / np_ - b / nn) / np.sqrt((a + b + 2) / (np_ + nn))
+    p, n = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
+    score = {f: abs(pos[f] / p - neg[f] / n) / np.sqrt((pos[f] + neg[f] + 2) / (p + n)) for f in set(pos) | set(neg) if pos[f] + neg[f] >= 3}
     return set(sorted(score, key=lambda f: (-score[f], f))[:most])
 
 
 def fit(sets: list[set[int]], labels: np.ndarray, groups: np.ndarray, categories: list[str], folds: int = FOLDS, most: int = FEATURES) -> Chain:
     """The chain on feature sets, labels (rows x categories of 0/1) and groups (equal texts share a number)."""
-    chain = Chain(list(categories))
     keep: set[int] = set()
     for k in range(labels.shape[1]):
         keep |= select(sets, labels[:, k], most // labels.shape[1])
-    chain.vocab = {f: i for i, f in enumerate(sorted(keep))}
-    rows, cols = chain.matrix(sets)
-    n, width = len(sets), max(1, len(keep))
+    chain = Chain(list(categories), {f: i for i, f in enumerate(sorted(keep))})
+    return fit_matrix(chain, *chain.matrix(sets), labels, groups, folds)
+
+
+def fit_matrix(chain: Chain, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, groups: np.ndarray, folds: int = FOLDS) -> Chain:
+    """Fits the models of a chain whose vocabulary is chosen; row rows[i] has the feature of column cols[i]."""
+    n, width = len(labels), max(1, len(chain.vocab))
     fold = groups % folds
     held = np.zeros((n, 0))
     for k in range(labels.shape[1]):
@@ -157,29 +157,74 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 def _feature_rows(batches):
     for b in batches:
         texts = b.column("text").to_pylist()
-        got = [sorted(features(t)) for t in texts]
-        packed = pa.array([np.array(g, np.uint64).tobytes() for g in got], pa.binary())
-        group = pa.array([xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts], pa.int64())
+        packed = pa.array([np.array(sorted(features(t)), np.uint64).tobytes() for t in texts], pa.binary())
+        group = pa.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1 for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("id"), packed, group], ["id", "features", "grp"])
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Chain:
+def _counted(batches, k):
+    """Of a task's rows, how many have each feature: in all, and with each label."""
+    for b in batches:
+        each = [np.frombuffer(x, np.uint64) for x in b.column("features").to_pylist()]
+        names, at = np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_inverse=True)
+        rows = np.repeat(np.arange(len(each)), [len(e) for e in each])
+        cols = [pa.array(names.view(np.int64)), pa.array(np.bincount(at, minlength=len(names)), pa.int64())]
+        cols += [pa.array(np.bincount(at, b.column(f"y{j}").to_numpy()[rows], len(names)).astype(np.int64)) for j in range(k)]
+        yield pa.RecordBatch.from_arrays(cols, ["feature", "n", *[f"pos{j}" for j in range(k)]])
+
+
+def _columns(batches, vocab):
+    v = vocab.value
+    for b in batches:
+        got = []
+        for x in b.column("features").to_pylist():
+            f = np.frombuffer(x, np.uint64)
+            at = np.minimum(np.searchsorted(v, f), max(0, len(v) - 1))
+            got.append(at[v[at] == f].astype(np.int32).tobytes() if len(v) else b"")
+        at = b.schema.get_field_index("features")
+        yield b.set_column(at, b.schema.field(at), pa.array(got, pa.binary()))
+
+
+def score(pos, n, p_all: int, n_all: int) -> F.Column:
+    """How well a feature tells a label apart: the difference of its shares among the label's rows and the others,
+    over the root of its share in all (the signed root of a chi-square, with a prior for rare features)."""
+    share = pos / F.lit(float(max(1, p_all))) - (n - pos) / F.lit(float(max(1, n_all - p_all)))
+    return F.abs(share) / F.sqrt((n + 2) / F.lit(float(max(1, n_all))))
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, most: int = FEATURES) -> Chain:
     """Fits the chain; categories: name -> SQL condition on a row of `labels`, in the order of the chain.
 
-    Trained on at most train_rows labelled rows, those of the smallest hashes of their id; the driver gets their hashed features,
-    not their texts. Rows without an id, a label or a text are left out. Without labelled rows every
-    probability is 0.
+    Trained on at most train_rows labelled ids, those of the smallest hashes. Executors hash their texts' features and count them;
+    the driver gets the `most` features that score() finds best and, of the sample's rows, which of these they have.
+    Rows without an id, a label or a text are left out. Without labelled rows every probability is 0.
     """
-    marks = labels.select(F.col(id_col).cast("long").alias("id"), *[F.expr(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())])
-    marks = marks.dropna().groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
+    spark, k = docs.sparkSession, len(categories)
+    ys = [f"y{j}" for j in range(k)]
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), *[F.expr(c).cast("int").alias(y) for y, c in zip(ys, categories.values())])
+    marks = marks.dropna().groupBy("id").agg(*[F.max(y).alias(y) for y in ys])
     marks = marks.orderBy(F.xxhash64("id", F.lit("train")), "id").limit(train_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     texts = texts.join(F.broadcast(marks.select("id")), "id", "left_semi")  # train_rows ids at most
-    got = texts.mapInArrow(_feature_rows, "id long, features binary, grp long").join(F.broadcast(marks), "id")
-    got = got.orderBy("id", "grp").limit(2 * train_rows).toArrow()
-    sets = [set(np.frombuffer(x, np.uint64).tolist()) for x in got.column("features").to_pylist()]
-    y = np.column_stack([got.column(f"y{k}").to_numpy() for k in range(len(categories))]) if sets else np.zeros((0, len(categories)))
-    return fit(sets, y, got.column("grp").to_numpy() if sets else np.zeros(0, np.int64), list(categories))
+    sample = cut(texts.mapInArrow(_feature_rows, "id long, features binary, grp long").join(F.broadcast(marks), "id"))
+    total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
+    fields = ", ".join(f"pos{j} long" for j in range(k))
+    counts = sample.mapInArrow(partial(_counted, k=k), f"feature long, n long, {fields}")
+    counts = cut(counts.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"pos{j}").alias(f"pos{j}") for j in range(k)]).where("n >= 3"))
+    best: set[int] = set()
+    for j, y in enumerate(ys):
+        by = score(F.col(f"pos{j}"), F.col("n"), int(total[y] or 0), int(total.n))
+        best |= {x.feature for x in counts.orderBy(by.desc(), "feature").select("feature").limit(most // k).collect()}
+    vocab = np.sort(np.array(sorted(best), np.int64).view(np.uint64))
+    got = sample.mapInArrow(partial(_columns, vocab=spark.sparkContext.broadcast(vocab)), sample.schema)
+    got = got.orderBy("id", "grp").toArrow()
+    chain = Chain(list(categories), {f: i for i, f in enumerate(vocab.tolist())})
+    each = [np.frombuffer(x, np.int32) for x in got.column("features").to_pylist()]
+    if not each:
+        return fit_matrix(chain, *[np.empty(0, np.int64)] * 2, np.zeros((0, k)), np.zeros(0, np.int64))
+    rows = np.repeat(np.arange(len(each)), [len(e) for e in each])
+    y = np.column_stack([got.column(c).to_numpy() for c in ys])
+    return fit_matrix(chain, rows, np.concatenate(each).astype(np.int64), y, got.column("grp").to_numpy())
 
 
 def _scored(batches, chain):

@@ -251,10 +251,10 @@ def locs_intersect(spark, d):
     return o.where("cov > 0.05").select("x", "y").intersect(o.where("cov <= 0.01").select("x", "y"))
 
 
-@query(f"with {OBS} select distinct x, y from o where z < 20000 except select distinct x, y from o where z >= 60000")
+@query(f"with {OBS} select distinct x, y from o where z < 20000 except select distinct x, y from o where z >= 103000")
 def locs_setdiff(spark, d):
     o = obs(spark, d)
-    return o.where("z < 20000").select("x", "y").distinct().join(o.where("z >= 60000").select("x", "y"), ["x", "y"], "left_anti")
+    return o.where("z < 20000").select("x", "y").distinct().join(o.where("z >= 103000").select("x", "y"), ["x", "y"], "left_anti")
 
 
 @query(f"with {OBS} select x, y, z, 1.0e0 as intercept from o order by z desc, {', '.join(ALL)} limit 100")

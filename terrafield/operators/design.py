@@ -59,8 +59,8 @@ def process_covariates(obs: DataFrame, numeric=(), on="loc_id", order="obs_id",
         raise ValueError(f"these covariates vary within locations: {sorted(set(names) - set(constant))}")
     first = table.groupBy(on).agg(*[F.min_by(n, order).alias(n) for n in constant])
     gl, _ = gram_np(first, constant)
-    eye = 1e-10 * np.eye
-    return Design(table, names, g, np.linalg.cholesky(g + eye(len(g))).T, constant, first, gl, np.linalg.cholesky(gl + eye(len(gl))).T)
+    upper = lambda a: np.linalg.cholesky(a + 1e-10 * np.eye(len(a))).T
+    return Design(table, names, g, upper(g), constant, first, gl, upper(gl))
 
 
 def process_pp_prior(pp, bounds, name: str):

@@ -83,3 +83,26 @@ def log_scale_trace(records: DataFrame, start: float = 0.5) -> DataFrame:
     """Traces of a log scale: one component, or the three diagonal ones of six."""
     n = records.agg(F.max("i")).first()[0] or 0
     return trace(records, start, 3 if n == 6 else None)
+
+
+def diagnostic_tables(records: DataFrame, burn_in: float = 0.5, start: float = 0.5, fields: bool = False) -> dict[str, dict[str, DataFrame]]:
+    """The tables of a full report: per parameter its traces and PSRF curves, in the order range, noise, scale, response.
+
+    Latent fields have as many components as locations; they come last, and only on demand, as PSRF quantiles.
+    """
+    from terrafield.operators.diagnostics import families, psrf, psrf_quantiles
+
+    names = sorted(x[0] for x in records.select("param").distinct().collect())  # parameter names, a handful
+    out: dict[str, dict[str, DataFrame]] = {}
+
+    def curves(mine: DataFrame) -> DataFrame:
+        return psrf(mine.select("chain", F.col("iteration").alias("i"), F.struct("i", "j").alias("component"), "value"), by=["component"], burn_in=burn_in, start=start)
+
+    for family in families(names).values():
+        for name in family:
+            mine = records.where(F.col("param") == name)
+            draw = log_scale_trace if name.endswith("log_scale") else trace
+            out[name] = {"trace": draw(mine, start), "psrf": psrf_lines(curves(mine))}
+    for name in (n for n in names if "field" in n) if fields else ():
+        out[name] = {"psrf": psrf_quantiles(curves(records.where(F.col("param") == name)))}
+    return out

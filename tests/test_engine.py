@@ -133,7 +133,12 @@ def test_model(spark, index):
     with pytest.raises(ValueError):
         m.predict_field(index.locs.limit(1))
     rows = spark.createDataFrame([(1, 1.0, 0.3)], "obs_id long, intercept double, v1 double")
-    assert m.predict_fixed_effects(rows).count() == 1 and m.predict_noise(rows, ["intercept"]).count() == 1
+    assert m.predict_fixed_effects(rows).count() == 1 and m.predict_noise(new).count() == 2
+    with pytest.raises(ValueError):
+        m.predict_noise(new.withColumn("v1", F.lit(1.0)), ["v1"])
+    tables = plotdata.diagnostic_tables(m.records, fields=True)
+    assert list(tables)[:2] == ["range_beta", "noise_beta"] and list(tables)[-1] == "field"
+    assert tables["beta"]["trace"].count() == 2 * 5 * 2 and tables["field"]["psrf"].count() > 0
     with pytest.raises(ValueError):
         m.predict_fixed_effects(rows.drop("v1"))
     assert m.effective_sizes().count() == 5 and m.summary().count() > 5
@@ -143,6 +148,16 @@ def test_model(spark, index):
             Model.build(index, **bad)
 
 
+def test_model_with_bases(spark, index):
+    pp = basis.PredictiveProcess.fit(index.locs, 5, knots=10, seed=1)
+    m = Model.build(index, covariates=["v1"], noise_pp=pp, range_pp=pp, n_chains=2, anisotropic=True).run(4)
+    assert m.data.x_range.shape == (150, 11) and m.data.x_noise.shape == (200, 11)
+    assert m.records.where("param = 'range_beta'").count() == 2 * 4 * 11 * 3
+    assert m.records.where("param = 'range_log_scale'").count() == 2 * 4 * 6
+    new = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.51, 0.5)], "id long, x double, y double")
+    assert m.predict_noise(new).count() == 2 and m.predict_field(new).count() == 2
+
+
 def test_colours_and_arrays(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, None)], "id int, v double")
     assert [r.colour for r in rel.colour_index(df, "v").orderBy("id").collect()] == [1, 46, 91, 1]

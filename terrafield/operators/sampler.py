@@ -49,6 +49,7 @@ class Data:
     means: dict = field(default_factory=lambda: {"range": -2.0, "scale": 0.0, "noise": 0.0})
     variances: dict = field(default_factory=lambda: {"range": 1.0, "scale": 1.0, "noise": 1.0})
     bounds: dict = field(default_factory=dict)  # of the log scales, by parameter
+    n_observed: int = 0  # locations before those to predict, where a caller keeps both together
 
     def sums(self, v: np.ndarray) -> np.ndarray:
         return np.bincount(self.loc, v, len(self.xy))

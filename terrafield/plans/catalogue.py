@@ -111,10 +111,11 @@ def first_index(spark, d):
     return rel.first_index(records(spark, d), F.col("value") > 50, "iteration", ["chain"])
 
 
-@query(f"with {REC}, n as (select max(iteration) as n from rec) select chain, iteration + 10000 * (case when i = 0 then 0 else 1 end) as iteration, value from rec where i < 2")
+@query(f"with {REC}, l as (select max(iteration) as last from rec) select chain, cast(iteration + case when i < 2 then 0 else last end as integer) as iteration, value from rec, l")
 def concat_chains(spark, d):
     x = records(spark, d)
-    return rel.concat_chains(x.where("i = 0"), x.where("i = 1").withColumn("iteration", F.col("iteration") + 10000)).select("chain", "iteration", "value")
+    last = x.agg(F.max("iteration")).first()[0] or 0
+    return rel.concat_chains(x.where("i < 2"), x.where("i >= 2").withColumn("iteration", F.col("iteration") + last)).select("chain", "iteration", "value")
 
 
 def _array(spark, d) -> DataFrame:
@@ -306,11 +307,12 @@ def median_nn_dist(spark, d):
     return spatial.nearest_neighbours(locs(spark, d), 1, ordered=False).agg(r(F.percentile(F.sqrt("d2"), F.lit(0.5)), 8).alias("median_dist"))
 
 
-@query(f"""with {PTS}, kn as (select * from p where id % 50 = 0), pr as (select p.id as child, kn.id as knot, (p.x - kn.x) * (p.x - kn.x) + (p.y - kn.y) * (p.y - kn.y) as d2 from p, kn),
+@query(f"""with {PTS}, kn as (select label as id, avg(x) as x, avg(y) as y from p group by label), pr as (select p.id as child, kn.id as knot, (p.x - kn.x) * (p.x - kn.x) + (p.y - kn.y) * (p.y - kn.y) as d2 from p, kn),
     nn as (select *, row_number() over (partition by child order by d2, knot) as k from pr) select child, cast(k as integer) as k, knot from nn where k <= 3""")
 def nearest_knots(spark, d):
     p = locs(spark, d)
-    return spatial.nearest_of(p, p.where("id % 50 = 0"), 3).select("child", "k", F.col("parent").alias("knot"))
+    knots = p.groupBy(F.col("label").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return spatial.nearest_of(p, knots, 3).select("child", "k", F.col("parent").alias("knot"))
 
 
 def _nn_self(spark, d, m: int) -> DataFrame:
@@ -628,32 +630,51 @@ def ellipses(spark, d):
 # ----------------------------------------------------------------------------- chains
 
 
-def _small_data(spark, d, n: int = 400) -> sampler.Data:
-    """A model on the locations of the vectors: response from the third component, one covariate."""
-    t = T.read(spark, d, "embeddings").orderBy("vec_id").limit(n).select(*[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(4)]).toPandas().to_numpy()
-    xy = t[:, :2]
-    parents = np.full((len(xy), 6), -1, np.int64)
-    parents[:, 0] = np.arange(len(xy))
-    for i in range(1, len(xy)):
-        near = np.lexsort((np.arange(i), ((xy[:i] - xy[i]) ** 2).sum(1)))[:5]
-        parents[i, 1 : len(near) + 1] = near
-    one = np.ones((len(xy), 1))
-    x = np.column_stack([one, t[:, 3]])
-    return sampler.Data(xy, parents, np.arange(len(xy)), t[:, 2], x, x, [0, 1], one, one, one, means={"range": -2.0, "scale": -4.0, "noise": -5.0})
+def _data(spark, d) -> sampler.Data:
+    """A model on the locations of all vectors: response from the third component, one covariate; label 9 comes last."""
+    e = T.read(spark, d, "embeddings").where("vec_id is not null and embedding is not null")
+    t = e.orderBy(F.col("label") == 9, "vec_id").select("label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(4)]).toPandas()
+    v = t[[f"e{k}" for k in range(4)]].to_numpy()
+    xy, n = v[:, :2], len(v)
+    parents = np.full((n, 6), -1, np.int64)
+    parents[:, 0] = np.arange(n)
+    near = spatial.nearest_neighbours(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, x double, y double"), 5).toPandas()
+    parents[near.child.to_numpy(), near.k.to_numpy()] = near.parent.to_numpy()
+    one = np.ones((n, 1))
+    x = np.column_stack([one, v[:, 3]])
+    data = sampler.Data(xy, parents, np.arange(n), v[:, 2], x, x, [0, 1], one, one, one, means={"range": -2.0, "scale": -4.0, "noise": -5.0})
+    data.n_observed = int((t.label != 9).sum())
+    return data
 
 
 @query()
 def gibbs_field(spark, d):
     """Records of two short chains with all kernels, a task each."""
-    return sampler.run_chains(spark, _small_data(spark, d, 200), 2, 10, with_field=False)
+    return sampler.run_chains(spark, _data(spark, d), 2, 10, with_field=False)
 
 
 @query()
 def predict_field(spark, d):
-    from terrafield.functions.kernels import canonical_range
-
-    data = _small_data(spark, d, 300)
-    n, f = 250, data.x_range @ canonical_range(np.array([[-1.0]]))
-    one = np.ones(len(data.xy))
+    """The conditional mean at the locations of label 9, given the response at all others."""
+    data = _data(spark, d)
+    n, f, one = data.n_observed, data.x_range @ K.canonical_range(np.array([[-1.0]])), np.ones(len(data.xy))
     w = sampler.predict_field(data.xy[:n], data.parents[n:, 1:], data.xy[n:], f[:n], f[n:], one[:n], one[n:], data.z[:n], 1.5)
     return spark.createDataFrame([(int(n + i), float(v)) for i, v in enumerate(w)], "id long, value double")
+
+
+@query(f"with {REC}, l as (select max(iteration) as last from rec) select chain, iteration, i, value from rec, l where iteration > last * 0.5e0")
+def log_scale_trace(spark, d):
+    return plotdata.log_scale_trace(records(spark, d)).select("chain", "iteration", "i", "value")
+
+
+@query()
+def random_order(spark, d):
+    return rel.random_order(locs(spark, d).select("id", "x", "y"), "id", 7).select("id", "rank")
+
+
+@query()
+def pp_crossprod(spark, d):
+    p = locs(spark, d).select("id", "x", "y")
+    pp = basis.PredictiveProcess.fit(p, 5, knots=20, seed=3)
+    v = linalg.crossprod(p.withColumn("intercept", F.lit(1.0)), ["intercept", "x"], "y", pp)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "row int, value double")

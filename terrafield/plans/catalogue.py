@@ -678,3 +678,24 @@ def pp_crossprod(spark, d):
     pp = basis.PredictiveProcess.fit(p, 5, knots=20, seed=3)
     v = linalg.crossprod(p.withColumn("intercept", F.lit(1.0)), ["intercept", "x"], "y", pp)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "row int, value double")
+
+
+@query(f"with {REC}, {_COMP}, {_PSRF_C} select comp as i, cast(e as integer) as e, round(psrf, 6) as psrf from curve")
+def psrf_components(spark, d):
+    return plotdata.psrf_lines(diagnostics.psrf(_numbered(spark, d), by=["comp"])).select(F.col("comp").alias("i"), "e", r("psrf").alias("psrf"))
+
+
+@query()
+def variance_loss_map(spark, d):
+    p = locs(spark, d).select("id", "x", "y")
+    return plotdata.loss_map(basis.PredictiveProcess.fit(p, 5, knots=20, seed=3).variance_loss(), p)
+
+
+@query()
+def model_estimates(spark, d):
+    """A model of all replicated observations, end to end: index, designs, priors, two chains, posterior summaries."""
+    from terrafield.model import Model, SpatialIndex
+
+    o = obs(spark, d).select((F.col("x") / 50).alias("x"), (F.col("y") * 10).alias("y"), (F.col("z") / 10_000).alias("z"), "cov")
+    index = SpatialIndex.build(cut(o.withColumn("obs_id", F.monotonically_increasing_id())), m=5)
+    return Model.build(index, covariates=["cov"]).run(6).estimate()

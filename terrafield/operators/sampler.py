@@ -54,6 +54,34 @@ class Data:
     def sums(self, v: np.ndarray) -> np.ndarray:
         return np.bincount(self.loc, v, len(self.xy))
 
+    def least_squares(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """X'X, the OLS coefficients and the residual variance."""
+        g = self.x.T @ self.x
+        b = np.linalg.solve(g, self.x.T @ self.z)
+        return g, b, float(((self.z - self.x @ b) ** 2).sum() / max(1, len(self.z) - len(b)))
+
+    def noise_gram(self) -> np.ndarray:
+        return self.x_noise.T @ self.x_noise
+
+    # What the kernels need of the observations. distributed.ObservationTable answers the same by aggregations on Spark.
+
+    def stats(self, s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per location, the sums of 1, e and e^2 over the noise variance, e = z - x beta."""
+        w, e = 1 / s.noise(self), self.z - self.x @ s.beta
+        return self.sums(w), self.sums(w * e), self.sums(w * e * e)
+
+    def beta_system(self, s: State) -> tuple[np.ndarray, np.ndarray]:
+        """X'WX and X'W(z - field), W the noise precision."""
+        w = 1 / s.noise(self)
+        return self.x.T @ (self.x * w[:, None]), self.x.T @ (w * (self.z - s.field[self.loc]))
+
+    def noise_terms(self, s: State, beta: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """Sum of log variances, of squared residuals over them, and X_noise' (1/2 - 1/2 r^2 / variance)."""
+        r2 = (self.z - self.x @ s.beta - s.field[self.loc]) ** 2
+        log_tau = (self.x_noise @ beta)[:, 0]
+        q = r2 * np.exp(-log_tau)
+        return float(log_tau.sum()), float(q.sum()), self.x_noise.T @ (0.5 - 0.5 * q)[:, None]
+
 
 @dataclass
 class State:
@@ -111,8 +139,7 @@ def draw_normal(precision: np.ndarray, rhs: np.ndarray, rng) -> np.ndarray | Non
 
 def beta_centred(s: State, d: Data, rng) -> None:
     """Regression given the field."""
-    w = 1 / s.noise(d)
-    b = draw_normal(d.x.T @ (d.x * w[:, None]), d.x.T @ (w * (d.z - s.field[d.loc])), rng)
+    b = draw_normal(*d.beta_system(s), rng)
     if b is not None:
         s.beta = b
 
@@ -132,8 +159,8 @@ def beta_interwoven(s: State, d: Data, rng) -> None:
 
 def field_gibbs(s: State, d: Data, rng) -> None:
     """The latent field given all else."""
-    w = 1 / s.noise(d)
-    s.field = draw_field(s.factor, s.sd(d), d.sums(w), d.sums(w * (d.z - d.x @ s.beta)), rng)
+    s0, s1, _ = d.stats(s)
+    s.field = draw_field(s.factor, s.sd(d), s0, s1, rng)
 
 
 # ----------------------------------------------------------------------------- potentials and gradients
@@ -159,11 +186,11 @@ def range_ancillary(s: State, d: Data, beta: np.ndarray, grad: bool = True):
     white = s.factor.times(s.field / sd)
     f = build_factor(d, beta, grad)
     w = sd * f.solve(white)
-    r = d.z - d.x @ s.beta - w[d.loc]
-    u = -_prior(s, d, "range", beta) + 0.5 * (r**2 / s.noise(d)).sum()
+    s0, s1, s2 = d.stats(s)
+    u = -_prior(s, d, "range", beta) + 0.5 * (s2 - 2 * w * s1 + w * w * s0).sum()
     if not grad:
         return u, None, (f, w)
-    left = f.transpose_solve(d.sums(r / s.noise(d)) * sd)
+    left = f.transpose_solve((s1 - w * s0) * sd)
     return u, -_prior_gradient(s, d, "range", beta) + _range_gradient(d, f.sandwich(left, w / sd)), (f, w)
 
 
@@ -180,11 +207,8 @@ def range_sufficient(s: State, d: Data, beta: np.ndarray, grad: bool = True):
 
 
 def noise_potential(s: State, d: Data, beta: np.ndarray):
-    r2 = (d.z - d.x @ s.beta - s.field[d.loc]) ** 2
-    log_tau = (d.x_noise @ beta)[:, 0]
-    tau = np.exp(log_tau)
-    u = -_prior(s, d, "noise", beta) + 0.5 * log_tau.sum() + 0.5 * (r2 / tau).sum()
-    return u, -_prior_gradient(s, d, "noise", beta) + d.x_noise.T @ (0.5 - 0.5 * r2 / tau)[:, None]
+    logs, squares, g = d.noise_terms(s, beta)
+    return -_prior(s, d, "noise", beta) + 0.5 * logs + 0.5 * squares, -_prior_gradient(s, d, "noise", beta) + g
 
 
 def scale_sufficient(s: State, d: Data, beta: np.ndarray):
@@ -199,10 +223,9 @@ def scale_sufficient(s: State, d: Data, beta: np.ndarray):
 def scale_ancillary(s: State, d: Data, beta: np.ndarray):
     """(U, gradient): the field is scaled along."""
     w = s.field * np.exp(0.5 * (d.x_scale @ (beta - s.scale_beta))[:, 0])
-    r = d.z - d.x @ s.beta - w[d.loc]
-    tau = s.noise(d)
-    u = -_prior(s, d, "scale", beta) + 0.5 * (r**2 / tau).sum()
-    return u, -_prior_gradient(s, d, "scale", beta) + d.x_scale.T @ (0.5 * w * d.sums(-r / tau))[:, None]
+    s0, s1, s2 = d.stats(s)
+    u = -_prior(s, d, "scale", beta) + 0.5 * (s2 - 2 * w * s1 + w * w * s0).sum()
+    return u, -_prior_gradient(s, d, "scale", beta) + d.x_scale.T @ (0.5 * w * (w * s0 - s1))[:, None]
 
 
 # ----------------------------------------------------------------------------- Metropolis kernels
@@ -237,12 +260,12 @@ def leapfrog(s: State, key: str, family: str, beta: np.ndarray, potential, white
     return (new, last) if accepted else None
 
 
-def _whiten(x: np.ndarray) -> np.ndarray:
-    return np.linalg.cholesky(x.T @ x + 1e-10 * np.eye(x.shape[1])).T
+def _whiten(gram: np.ndarray) -> np.ndarray:
+    return np.linalg.cholesky(gram + 1e-10 * np.eye(len(gram))).T
 
 
 def range_hmc(s: State, d: Data, it: int, rng) -> None:
-    w = _whiten(d.x_range)
+    w = _whiten(d.x_range.T @ d.x_range)
     if got := leapfrog(s, "range_beta_ancillary", "range", s.range_beta, lambda b: range_ancillary(s, d, b), w, it, rng):
         s.range_beta, (s.factor, s.field) = got[0], got[1][0]
     if got := leapfrog(s, "range_beta_sufficient", "range", s.range_beta, lambda b: range_sufficient(s, d, b), w, it, rng):
@@ -250,12 +273,12 @@ def range_hmc(s: State, d: Data, it: int, rng) -> None:
 
 
 def noise_hmc(s: State, d: Data, it: int, rng) -> None:
-    if got := leapfrog(s, "noise_beta_mala", "noise", s.noise_beta, lambda b: noise_potential(s, d, b), _whiten(d.x_noise), it, rng):
+    if got := leapfrog(s, "noise_beta_mala", "noise", s.noise_beta, lambda b: noise_potential(s, d, b), _whiten(d.noise_gram()), it, rng):
         s.noise_beta = got[0]
 
 
 def scale_hmc(s: State, d: Data, it: int, rng) -> None:
-    w = _whiten(d.x_scale)
+    w = _whiten(d.x_scale.T @ d.x_scale)
     if got := leapfrog(s, "scale_beta_sufficient_mala", "scale", s.scale_beta, lambda b: scale_sufficient(s, d, b), w, it, rng):
         s.scale_beta = got[0]
     old = s.scale_beta
@@ -319,9 +342,7 @@ def log_scale_walk(s: State, d: Data, name: str, it: int, rng, tries: int = 4) -
 def initial_state(d: Data, seed: int, chain: int) -> State:
     """OLS plus a draw of its error, prior means for the intercepts, a field drawn from its prior."""
     rng = np.random.Generator(np.random.PCG64([seed, chain]))
-    g = d.x.T @ d.x
-    b = np.linalg.solve(g, d.x.T @ d.z)
-    var = ((d.z - d.x @ b) ** 2).sum() / max(1, len(d.z) - len(b))
+    g, b, var = d.least_squares()
     beta = b + np.linalg.cholesky(var * np.linalg.inv(g) + 1e-300 * np.eye(len(b))) @ rng.standard_normal(len(b))
 
     def first(x, name, cols=1):

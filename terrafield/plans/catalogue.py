@@ -691,11 +691,31 @@ def variance_loss_map(spark, d):
     return plotdata.loss_map(basis.PredictiveProcess.fit(p, 5, knots=20, seed=3).variance_loss(), p)
 
 
+def _lattice_index(spark, d):
+    from terrafield.model import SpatialIndex
+
+    o = obs(spark, d).select((F.col("x") / 50).alias("x"), (F.col("y") * 10).alias("y"), (F.col("z") / 10_000).alias("z"), "cov")
+    return SpatialIndex.build(cut(o.withColumn("obs_id", F.monotonically_increasing_id())), m=5)
+
+
 @query()
 def model_estimates(spark, d):
     """A model of all replicated observations, end to end: index, designs, priors, two chains, posterior summaries."""
-    from terrafield.model import Model, SpatialIndex
+    from terrafield.model import Model
 
-    o = obs(spark, d).select((F.col("x") / 50).alias("x"), (F.col("y") * 10).alias("y"), (F.col("z") / 10_000).alias("z"), "cov")
-    index = SpatialIndex.build(cut(o.withColumn("obs_id", F.monotonically_increasing_id())), m=5)
-    return Model.build(index, covariates=["cov"]).run(6).estimate()
+    return Model.build(_lattice_index(spark, d), covariates=["cov"]).run(6).estimate()
+
+
+@query()
+def distributed_chain(spark, d):
+    """Records of a chain whose observations stay on the cluster; the driver holds arrays of the locations' size."""
+    from terrafield.operators.distributed import ObservationTable
+
+    index = _lattice_index(spark, d)
+    xy = np.array(index.locs.orderBy("id").select("x", "y").toPandas(), float)
+    one = np.ones((len(xy), 1))
+    table = index.obs.select((F.col("loc_id") - 1).alias("loc"), "z", F.lit(1.0).alias("intercept"), "cov")
+    data = ObservationTable.of(table, xy, index.parents(), one, [0], one, one, ["intercept", "cov"], ["intercept"])
+    rows = sampler.run_chain(data, 1, 3, with_field=False)[1]
+    data.table.unpersist()
+    return spark.createDataFrame(rows, sampler.RECORDS)

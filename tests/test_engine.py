@@ -177,3 +177,26 @@ def test_streamed_summary(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select n, mean from running").first()[:] == (10, 5.5)
+
+
+def test_observations_on_the_cluster_give_the_same_chain(spark):
+    from terrafield.operators import distributed, sampler
+
+    rng = np.random.default_rng(8)
+    n = 40
+    xy = rng.random((n, 2))
+    parents = np.full((n, 5), -1, np.int64)
+    parents[:, 0] = np.arange(n)
+    for i in range(1, n):
+        near = np.argsort(((xy[:i] - xy[i]) ** 2).sum(1))[:4]
+        parents[i, 1 : len(near) + 1] = near
+    loc = np.repeat(np.arange(n), 3)
+    one, x_locs = np.ones((n, 1)), np.column_stack([np.ones(n), xy[:, 0]])
+    x = np.column_stack([x_locs[loc], rng.normal(size=len(loc))])
+    z = x @ [1.0, 2.0, -1.0] + rng.normal(size=len(loc))
+    local = sampler.Data(xy, parents, loc, z, x, x_locs, [0, 1], one, one, x_locs[loc])
+    pdf = pd.DataFrame({"loc": loc, "z": z, "intercept": x[:, 0], "x": x[:, 1], "v": x[:, 2]})
+    far = distributed.ObservationTable.of(spark.createDataFrame(pdf), xy, parents, x_locs, [0, 1], one, one, ["intercept", "x", "v"], ["intercept", "x"])
+    a, b = (sampler.run_chain(d, 1, 3, seed=4)[1] for d in (local, far))
+    assert [r[:5] for r in a] == [r[:5] for r in b]
+    assert np.allclose([r[5] for r in a], [r[5] for r in b], rtol=1e-5, atol=1e-7)

@@ -1,4 +1,4 @@
-"""Session helpers: executors need this package, wherever the driver found it."""
+"""Session helpers: the package on the executors, and reliable cuts of a lineage."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's source to the executors, once per application."""
+    """Sends the package's source to the executors, once per application; Spark serves the file from the driver."""
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
@@ -26,9 +26,9 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df):
-    """Writes df to the shared checkpoint folder and reads it back; a temporary folder only in local mode."""
-    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; in local mode a temporary one if it names none."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
@@ -36,4 +36,10 @@ def cut(df):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="terrafield-ckpt-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder and reads it back: survives lost executors, ends the lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,8 +7,7 @@ at most r in that distance, so a point within a band of the threshold also goes
 a local tree prunes the same way down to small blocks, which are compared exactly. Shards report the star of
 each local group, not its pairs; connected components joins them.
 
-Every row takes part. Only the tree is fitted on a bounded sample (`sample_rows`, a quarter of the rows at
-most), and the tree decides where pairs meet, never whether.
+Every row takes part. Only the tree is fitted on a bounded sample (see links), and the tree decides where pairs meet, never whether.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from terrafield.llm.common import LocalUnion, components, cut, pack_rows, words_
 
 SEED = 42
 #: Bits of the sketch that estimates the similarity of two sets of shingles.
-SKETCH_BITS = 256
+SKETCH_BITS = 512
 VIEW_BITS = 32
 
 
@@ -79,7 +78,7 @@ def _wide(h: np.ndarray, n64: int, block: int = 1 << 14) -> np.ndarray:
 
 def views_and_sketch(text: str | None, k: int, views: int) -> tuple[np.ndarray, bytes]:
     """Views: pieces of 32 bits of a SimHash over the set of words, close for near copies. Sketch: a SimHash of
-    256 bits over the set of k-word shingles, whose distance estimates their similarity."""
+    512 bits over the set of k-word shingles, whose distance estimates their similarity."""
     words = words_of(text)
     n64 = (views * VIEW_BITS + 63) // 64
     if not words:
@@ -204,15 +203,17 @@ def _routed(batches, trees):
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *b.take(pa.array(row)).columns], ["shard", *b.schema.names])
 
 
-def links(points: DataFrame, radius: int, sketch_r: int | None = None, sample_rows: int = 65_536, shard_rows: int = 2048) -> DataFrame:
+def links(points: DataFrame, radius: int, sketch_r: int | None = None, sample_rows: int | None = None, shard_rows: int = 2048, task_rows: int = 1 << 20) -> DataFrame:
     """Links (a, b) between ids whose points lie within `radius`, enough to connect all that are.
 
     points: view int, id long (unique in its view), point long, and sketch binary if sketch_r is given. One tree
-    serves all views; a shard holds rows of one view only. A shard far over the aimed size, which no vantage
-    point divides, is compared in pairs of hashed blocks, so its memory stays bounded and no pair is lost.
+    serves all views; a shard holds rows of one view only. The tree is fitted on sample_rows points, by default 65,536 or a
+    65,536th of all, 1,048,576 at most and never over a quarter. Shards larger than shard_rows are searched by their own local
+    tree; one over task_rows is compared in pairs of hashed blocks, so a task's memory stays bounded and no pair is lost.
     """
     spark = points.sparkSession
     total = points.count()
+    sample_rows = sample_rows or min(1 << 20, max(1 << 16, total >> 16))
     share = min(0.25, sample_rows / max(1, total))
     pick = (F.pmod(F.xxhash64("id", "view"), F.lit(1 << 20)) < int(share * (1 << 20))) if total else F.lit(False)
     sample = np.array([x.point for x in points.where(pick).select("point").collect()], np.int64).view(np.uint64)
@@ -223,9 +224,9 @@ def links(points: DataFrame, radius: int, sketch_r: int | None = None, sample_ro
     rows = points.mapInArrow(partial(_routed, trees=trees), f"shard long, {fields}")
     rows = rows.withColumn("shard", F.col("shard") * (views + 1) + F.col("view")).drop("view")
     # shards are as many as the tree has, so this table is bounded by sample_rows
-    heavy = {x.shard: x.n for x in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * shard_rows).collect()}
+    heavy = {x.shard: x.n for x in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows).collect()}
     if heavy:
-        k = F.create_map(*[F.lit(x) for s, n in heavy.items() for x in (s, math.ceil(n / (2 * shard_rows)))])
+        k = F.create_map(*[F.lit(x) for s, n in heavy.items() for x in (s, math.ceil(2 * n / task_rows))])
         rows = rows.withColumn("k", F.coalesce(k[F.col("shard")], F.lit(1)))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         rows = rows.select(F.expr("shard"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *[c for c in points.columns if c != "view"])
@@ -280,7 +281,7 @@ def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, component_id) of the rows that another row of smaller id makes superfluous, once per id.
 
     Linked are texts of the same words, and texts whose sets of k-word shingles have the given similarity or
-    more, as estimated by the distance of two 256-bit SimHashes. A 64-bit SimHash would have to be searched
+    more, as estimated by the distance of two 512-bit SimHashes. A 64-bit SimHash would have to be searched
     at 12 bits or more for that, where no triangle bound prunes; so candidates are pairs at distance 1 or less in one of
     `views` SimHashes of 32 bits over the set of words, each searched by the vantage-point tree. Texts without words are
     never duplicates, nor are rows with a null id.

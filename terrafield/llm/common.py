@@ -1,37 +1,17 @@
-"""Shared pieces of the training-data operators: reliable lineage cuts, distributed
-connected components and distributed running sums."""
+"""Shared pieces of the training-data operators: words, distributed connected components, distributed running sums."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafield.session import cut  # noqa: F401  (the operators take it from here)
+
 #: The word rule of every operator here, as a Java/Python regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="terrafield-ckpt-")
-    sc.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: survives lost executors, ends the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased words: bytes.lower and bytes.split touch ASCII only, as the word rule asks."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()

@@ -90,7 +90,7 @@ def test_simhash_against_brute_force(spark):
 def test_heavy_shards_are_compared_in_blocks(spark):
     rows = [(0, i, v) for i, v in enumerate(sorted({(1 << a) | (1 << b) for a in range(48) for b in range(48)}))]
     pts = spark.createDataFrame(rows, "view int, id long, point long")
-    got = common.components(simhash.links(pts, 2, shard_rows=32, sample_rows=64))
+    got = common.components(simhash.links(pts, 2, shard_rows=32, sample_rows=64, task_rows=200))
     assert got.count() == len(rows) and got.select("component").distinct().count() == 1
 
 
@@ -137,6 +137,17 @@ def test_secret_rows(docs, nothing):
     assert secrets.scan(nothing).count() == secrets.mask_secrets(nothing).count() == 0
 
 
+def test_forest_of_given_findings(spark):
+    rows = []
+    for text, secret in secrets.labelled_findings(600, seed=3):
+        for s, e, _ in secrets.candidates(text):
+            rows.append((text, s, e - s, secret))
+    rows += [(None, 0, 3, True), ("x", None, 3, True)]
+    forest = secrets.forest_of(spark.createDataFrame(rows, "text string, start int, length int, is_secret boolean"))
+    x, y = secrets.training_matrix(secrets.labelled_findings(400, seed=4))
+    assert ((forest.score(x) >= 0.5) == (y > 0)).mean() > 0.95
+
+
 def test_surrogate_rows(docs, nothing):
     rows = pii.pseudonymise(docs, DEMO_KEY).collect()
     assert len(rows) == len(TEXTS)
@@ -336,3 +347,18 @@ def test_stages_run_on_odd_and_empty_documents(spark, docs, nothing):
             if name != "pack":
                 assert out.columns == start.columns
             out.count()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_plans_read_only_what_they_need(spark):
+    plan = _plan(urls.judge(spark.read.parquet(f"{SF}/pages.parquet"), RULES))
+    assert "ReadSchema: struct<page_id:bigint,url:string>" in plan and "Exchange" not in plan
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for out in (packing.pack(docs, tokenizer_path()), pii.pseudonymise(docs, DEMO_KEY), secrets.scan(docs)):
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in _plan(out) and "Exchange" not in _plan(out)
+    even = {s: 1.0 for s in range(24)}
+    plan = _plan(sharding.shard(docs, even))
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan

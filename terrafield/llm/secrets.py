@@ -11,6 +11,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache, partial
 
@@ -45,25 +46,41 @@ DICTIONARY = (
     "object model table column error message request response content system local cache access account order order report config"
 ).split()
 
-_ASSIGNED = r"(?i:\b\w{0,24}(?:pass(?:word|wd)?|pwd|secret|token|api_?key|access_?key|auth_?key|private_?key|credentials?))\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?(?P<value>[^\s\"'`<>,;]{6,512})"
-_BARE = r"(?<![A-Za-z0-9_+/=\-.])(?=[A-Za-z0-9_+/=\-]*[0-9])[A-Za-z0-9_+/=\-]{16,512}(?![A-Za-z0-9_+/=\-])"
-_FORMAT = "|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items())
-_ANY = re.compile(f"{_FORMAT}|{_ASSIGNED}|(?P<bare>{_BARE})")
+#: Beginnings of the formats: a text without any of them needs no search for formats.
+MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "eyJ", "PRIVATE KEY")
+NAMES = ("pass", "pwd", "secret", "token", "key", "credential")
+
+_FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
+_ASSIGNED = re.compile(
+    r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth_?key|private_?key|secret_?key|credentials?)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,512})"
+)
+_BARE = re.compile(r"(?<![A-Za-z0-9_+/=\-.])[A-Za-z0-9_+/=\-]{16,512}(?![A-Za-z0-9_+/=\-])")
+_DIGIT = re.compile("[0-9]")
 _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of everything that might be a secret, in the order of the text, without overlaps."""
+    """(start, end, kind) of everything that might be a secret, in the order of the text, without overlaps.
+
+    Known formats come first, then values that are assigned to a telling name, then bare runs of 16 characters or more
+    with a digit; what overlaps an earlier find is left out. Cheap tests tell which searches a text needs.
+    """
+    if not text:
+        return []
     out = []
-    for m in _ANY.finditer(text or ""):
-        kind = m.lastgroup
-        if kind == "value":
-            kind = "assigned"
-            s, e = m.span("value")
-        else:
-            s, e = m.span()
-        out.append((s, e, kind))
-    return out
+    if any(m in text for m in MARKS):
+        out += [(*m.span(), m.lastgroup) for m in _FORMAT.finditer(text)]
+    low = text.lower()
+    if any(n in low for n in NAMES):
+        out += [(*m.span(1), "assigned") for m in _ASSIGNED.finditer(text)]
+    if _DIGIT.search(text):
+        out += [(*m.span(), "bare") for m in _BARE.finditer(text) if _DIGIT.search(m.group())]
+    kept = []
+    for s, e, kind in out:
+        at = bisect_left(kept, (s, e, kind))
+        if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or kept[at][0] >= e):
+            kept.insert(at, (s, e, kind))
+    return kept
 
 
 def _kind(c: str) -> int:
@@ -237,6 +254,20 @@ def training_matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x[:TRAIN_FINDINGS]), np.array(y[:TRAIN_FINDINGS])
 
 
+def forest_of(findings: DataFrame) -> Forest:
+    """A forest from labelled findings(text, start, length, is_secret), at most TRAIN_FINDINGS of them, by a hash of the text."""
+    rows = findings.where("text is not null and start is not null and length is not null and is_secret is not null")
+    rows = rows.orderBy(F.xxhash64("text", "start"), "start").limit(TRAIN_FINDINGS)
+    x, y = [], []
+    for r in rows.select("text", "start", "length", "is_secret").toLocalIterator():
+        kind = next((k for s, e, k in candidates(r.text) if s < r.start + r.length and e > r.start), "bare")
+        x.append(describe(r.text, r.start, r.start + r.length, kind))
+        y.append(float(r.is_secret))
+    if not x:
+        raise ValueError("no labelled findings")
+    return train_forest(np.array(x), np.array(y))
+
+
 def default_forest() -> Forest:
     return train_forest(*training_matrix(labelled_findings()))
 

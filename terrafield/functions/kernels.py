@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Diagonal of a neighbour block: unit variance and a nugget.
+# Fixed value: diagonal of a neighbour block, unit variance and a nugget.
 DIAGONAL = 1.00001
 SMOOTHNESS = (0.5, 1.5)
 

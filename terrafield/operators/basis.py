@@ -14,6 +14,7 @@ from terrafield.operators.linalg import basis_times
 from terrafield.operators.spatial import MAXMIN_POINTS, maxmin_order
 from terrafield.operators.vecchia import stationary_rows
 
+# Nugget of a basis, and its knots if not told.
 NUGGET = 1e-6
 DEFAULT_KNOTS = 100
 

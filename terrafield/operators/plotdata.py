@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafield.operators.relational import colour_index, cut_right_closed, histogram
 
-#: Radius of the 95 % ellipse of a unit normal in the plane.
+# Fixed value: radius of the 95 % ellipse of a unit normal in the plane.
 ELLIPSE = 2.447747
 
 

@@ -119,7 +119,7 @@ def _small(df: DataFrame, rows: int = 100_000) -> bool:
 
 # ----------------------------------------------------------------------------- bins and colours
 
-#: Upper bounds of the variance-loss bins, in per cent.
+# Upper bounds of the variance-loss bins, in per cent.
 LOSS_BINS = (1, 2, 5, 10, 50, 100)
 
 

@@ -24,21 +24,26 @@ TRAIN_ROWS = 10_000
 #: Columns of the models: the features that tell the labels apart best in that sample.
 FEATURES = 1024
 FOLDS = 3
+#: Words without columns that a task remembers while it scores.
+REMEMBERED = 200_000
 #: Lengths of the word beginnings that are features beside whole words; inflected forms share them.
 PREFIXES = (4, 5, 6)
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> set[int]:
-    """Hashed features of a whole text: its distinct words and their beginnings."""
-    out = set()
+def words(text: str | None) -> set[str]:
+    return set(_TOKEN.findall((text or "").lower()))
+
+
+def word_features(w: str) -> list[int]:
+    """Hashed features of a word: itself and its beginnings."""
     h = xxhash.xxh3_64_intdigest
-    for w in set(_TOKEN.findall((text or "").lower())):
-        out.add(h(w))
-        for n in PREFIXES:
-            if len(w) > n:
-                out.add(h(w[:n] + "~"))
-    return out
+    return [h(w), *[h(w[:n] + "~") for n in PREFIXES if len(w) > n]]
+
+
+def features(text: str | None) -> set[int]:
+    """Hashed features of a whole text."""
+    return {f for w in words(text) for f in word_features(w)}
 
 
 @dataclass
@@ -82,6 +87,17 @@ class Chain:
     vocab: dict[int, int] = field(default_factory=dict)
     models: list[Linear | float] = field(default_factory=list)  # a number: the share of a label that doesn't vary
     thresholds: list[float] = field(default_factory=list)
+    plain: set[str] = field(default_factory=set, repr=False)  # words without columns that a task has met
+
+    def columns(self, text: str | None) -> set[int]:
+        """The model's columns that a text has; most words have none, which is remembered for a bounded number of them."""
+        out: set[int] = set()
+        for w in words(text) - self.plain:
+            if got := [self.vocab[f] for f in word_features(w) if f in self.vocab]:
+                out.update(got)
+            elif len(self.plain) < REMEMBERED:
+                self.plain.add(w)
+        return out
 
     def matrix(self, sets) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = [], []
@@ -91,11 +107,19 @@ class Chain:
             cols += got
         return np.array(rows, np.int64), np.array(cols, np.int64)
 
+    def score_texts(self, texts) -> np.ndarray:
+        """Probabilities of whole texts: texts x categories."""
+        each = [self.columns(t) for t in texts]
+        rows = np.repeat(np.arange(len(each)), [len(e) for e in each])
+        return self._chained(rows, np.array([c for e in each for c in e], np.int64), len(each))
+
     def probabilities(self, sets) -> np.ndarray:
-        rows, cols = self.matrix(sets)
-        out = np.zeros((len(sets), 0))
+        return self._chained(*self.matrix(sets), len(sets))
+
+    def _chained(self, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, 0))
         for model in self.models:
-            p = np.full(len(sets), model) if isinstance(model, float) else _sigmoid(model.margin(rows, cols, len(sets), out))
+            p = np.full(n, model) if isinstance(model, float) else _sigmoid(model.margin(rows, cols, n, out))
             out = np.column_stack([out, p])
         return out
 
@@ -233,7 +257,7 @@ def _scored(batches, chain):
         texts = b.column("text")
         probs = []
         for s in range(0, b.num_rows, 512):
-            probs.append(c.probabilities([features(t) & c.vocab.keys() for t in texts.slice(s, 512).to_pylist()]))
+            probs.append(c.score_texts(texts.slice(s, 512).to_pylist()))
         p = np.concatenate(probs) if probs else np.zeros((0, len(c.categories)))
         cols = [b.column("id")] + [pa.array(p[:, k]) for k in range(p.shape[1])]
         yield pa.RecordBatch.from_arrays(cols, ["id", *[f"p_{x}" for x in c.categories]])
@@ -258,7 +282,7 @@ def _judged(batches, chain, text_at):
         texts = b.column(text_at)
         for s in range(0, b.num_rows, 512):
             part = b.slice(s, 512)
-            p = c.probabilities([features(t) & c.vocab.keys() for t in texts.slice(s, 512).to_pylist()])[:, -1]
+            p = c.score_texts(texts.slice(s, 512).to_pylist())[:, -1]
             yield part.filter(pa.array(p < c.thresholds[-1]))
 
 

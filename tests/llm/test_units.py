@@ -161,6 +161,7 @@ def test_chain_learns_words_and_their_beginnings():
     assert ((p[:, 1] >= chain.thresholds[1]) == y[1000:, 1]).mean() > 0.98
     assert ((p[:, 0] >= chain.thresholds[0]) == y[1000:, 0]).mean() > 0.98
     assert len(chain.models[1].chain) == 1
+    assert np.allclose(chain.score_texts([r[0] for r in rows[1000:]]), p)
     empty = toxicity.fit([], np.zeros((0, 2)), np.zeros(0, int), ["low", "toxic"])
     assert empty.probabilities([set()]).tolist() == [[0.0, 0.0]]
 

@@ -17,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from terrafield.llm.common import LocalUnion, components, cut, pack_rows, words_of
 
 SEED = 42
-#: Bits of the sketch that estimates the similarity of two sets of shingles.
-SKETCH_BITS = 512
-VIEW_BITS = 32
+#: MinHash bands and MinHashes a band: a pair at Jaccard similarity J shares no band with probability (1 - J^5)^32, 3e-6 at 0.8.
+BANDS, BAND_ROWS = 32, 5
+#: Pairs of a bucket are verified unless their MinHashes agree in a share this much below the similarity: under 5e-6 of the pairs at 0.8.
+SLACK = 0.15
 
 
 def _shingle_hashes(words: list[bytes], k: int, block: int = 1 << 16):
@@ -59,39 +61,40 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
-def _mix(h: np.ndarray, n: int) -> np.ndarray:
-    """n further 64-bit hashes of each value (the SplitMix64 finaliser over stepped seeds)."""
+def _finish(z: np.ndarray) -> np.ndarray:
+    """The SplitMix64 finaliser."""
     with np.errstate(over="ignore"):
-        z = h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
 
 
-def _wide(h: np.ndarray, n64: int, block: int = 1 << 14) -> np.ndarray:
-    """A SimHash of n64 x 64 bits over a set of hashes, as uint64."""
-    counts = np.zeros(64 * n64, np.int64)
-    for i in range(0, len(h), block):
-        counts += _bit_counts(np.ascontiguousarray(_mix(h[i : i + block], n64)))
-    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+def _mix(h: np.ndarray, n: int) -> np.ndarray:
+    """n further 64-bit hashes of each value, over stepped seeds."""
+    with np.errstate(over="ignore"):
+        return _finish(h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def views_and_sketch(text: str | None, k: int, views: int) -> tuple[np.ndarray, bytes]:
-    """Views: pieces of 32 bits of a SimHash over the set of words, close for near copies. Sketch: a SimHash of
-    512 bits over the set of k-word shingles, whose distance estimates their similarity."""
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct hashes of a text's k-word shingles, sorted."""
     words = words_of(text)
-    n64 = (views * VIEW_BITS + 63) // 64
-    if not words:
-        return np.zeros(views, np.int64), bytes(SKETCH_BITS // 8)
-    ws = np.array([xxhash.xxh64_intdigest(w, SEED) for w in sorted(set(words))], np.uint64)
-    v = _wide(ws, n64).view(np.uint32)[:views].astype(np.int64)
-    s = np.unique(np.concatenate(list(_shingle_hashes(words, k))))
-    return v, _wide(s, SKETCH_BITS // 64).tobytes()
+    return np.unique(np.concatenate(list(_shingle_hashes(words, k)))) if words else np.empty(0, np.uint64)
 
 
-def sketch_radius(similarity: float) -> int:
-    """Sketch bits that differ, on average, for two sets of like size with this Jaccard similarity."""
-    return math.floor(SKETCH_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def min_hashes(h: np.ndarray, n: int, block: int = 1 << 10) -> np.ndarray:
+    """n (even) MinHashes of 32 bits of a set of hashes: each agrees for two sets with the probability of their Jaccard similarity."""
+    out = np.full(n, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(h), block):
+        out = np.minimum(out, _mix(h[i : i + block], n // 2).view(np.uint32).min(axis=0))
+    return out
+
+
+def band_keys(m: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key for each band of MinHashes; no two bands share keys."""
+    z = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(32)
+    for column in m.reshape(bands, -1).T:
+        z = _finish(z ^ column)
+    return z.view(np.int64)
 
 
 # ----------------------------------------------------------------------------- vantage-point trees
@@ -177,21 +180,14 @@ def near_pairs(pts: np.ndarray, r: int, block: int = 256):
             yield rows[i + a[keep]], rows[i + b[keep]]
 
 
-def _star(table: pa.Table, r: int, sketch_r: int | None) -> pa.Table:
+def _star(table: pa.Table, r: int) -> pa.Table:
     """Of one shard (or pair of blocks of a large one), the links from each row to the smallest id of its local group."""
-    table = table.select([c for c in table.column_names if c in ("id", "point", "sketch")]).combine_chunks().sort_by("id")
+    table = table.select(["id", "point"]).combine_chunks().sort_by("id")
     ids = table.column("id").to_numpy()
     pts = table.column("point").to_numpy().view(np.uint64)
     sets = LocalUnion(len(ids))
-    if sketch_r is not None:
-        sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
     for i, j in near_pairs(pts, r):
-        for s in range(0, len(i), 1 << 16):
-            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            if sketch_r is not None:
-                near = np.bitwise_count(sk[a] ^ sk[b]).sum(axis=1, dtype=np.int64) <= sketch_r
-                a, b = a[near], b[near]
-            sets.add(a, b)
+        sets.add(i, j)
     root = sets.all_roots()
     own = np.nonzero(root != np.arange(len(ids)))[0]
     return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[root[own]], pa.int64())})
@@ -203,10 +199,10 @@ def _routed(batches, trees):
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *b.take(pa.array(row)).columns], ["shard", *b.schema.names])
 
 
-def links(points: DataFrame, radius: int, sketch_r: int | None = None, sample_rows: int | None = None, shard_rows: int = 2048, task_rows: int = 1 << 20) -> DataFrame:
+def links(points: DataFrame, radius: int, sample_rows: int | None = None, shard_rows: int = 2048, task_rows: int = 1 << 20) -> DataFrame:
     """Links (a, b) between ids whose points lie within `radius`, enough to connect all that are.
 
-    points: view int, id long (unique in its view), point long, and sketch binary if sketch_r is given. One tree
+    points: view int, id long (unique in its view), point long. One tree
     serves all views; a shard holds rows of one view only. The tree is fitted on sample_rows points, by default 65,536 or a
     65,536th of all, 1,048,576 at most and never over a quarter. Shards larger than shard_rows are searched by their own local
     tree; one over task_rows is compared in pairs of hashed blocks, so a task's memory stays bounded and no pair is lost.
@@ -232,12 +228,12 @@ def links(points: DataFrame, radius: int, sketch_r: int | None = None, sample_ro
         rows = rows.select(F.expr("shard"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *[c for c in points.columns if c != "view"])
     else:
         rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    return rows.groupBy("shard", "i", "j").applyInArrow(_star_fn(radius, sketch_r), "a long, b long")
+    return rows.groupBy("shard", "i", "j").applyInArrow(_star_fn(radius), "a long, b long")
 
 
-def _star_fn(r: int, sketch_r: int | None):
+def _star_fn(r: int):
     def run(table: pa.Table) -> pa.Table:
-        return _star(table, r, sketch_r)
+        return _star(table, r)
 
     return run
 
@@ -267,33 +263,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _sketched(batches, k, views):
+def _banded(batches, k, bands, band_rows):
+    for b in batches:
+        sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
+        mins = [min_hashes(h, bands * band_rows) for h in sets]
+        flat = pa.array(np.concatenate([band_keys(m, bands) for m in mins]) if mins else [], pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * bands, pa.int32()), flat)
+        digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+        signs = pa.array([m.astype(np.uint8).tobytes() for m in mins], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("id"), digests, lists, signs], ["id", "digest", "keys", "sign"])
+
+
+def _sets(batches, k):
+    for b in batches:
+        sets = pa.array([shingle_set(t, k).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("id"), sets], ["id", "set"])
+
+
+def jaccard(x: bytes, y: bytes) -> float:
+    """Similarity of two sets of hashes, given as the bytes of sorted uint64."""
+    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+    return both / ((len(x) + len(y)) // 8 - both)
+
+
+def _verified(batches, similarity):
     for b in batches:
-        texts = b.column("text").to_pylist()
-        both = [views_and_sketch(t, k, views) for t in texts]
-        digests = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts]
-        flat = pa.array(np.concatenate([v for v, _ in both]) if both else [], pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * views, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.binary()), lists, pa.array([s for _, s in both], pa.binary())], ["id", "digest", "views", "sketch"])
+        pairs = zip(b.column("x").to_pylist(), b.column("y").to_pylist())
+        near = [min(len(x), len(y)) >= similarity * max(len(x), len(y)) and jaccard(x, y) >= similarity for x, y in pairs]
+        yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def _alike(table: pa.Table, share: float) -> pa.Table:
+    """Of one bucket (or pair of blocks of a large one), the pairs of different components whose MinHashes agree in `share`
+    or more. Pairs with the bucket's smallest id have been verified before."""
+    table = table.filter(pc.not_equal(table.column("id"), table.column("rep"))).combine_chunks()
+    ids, part = (table.column(c).to_numpy() for c in ("id", "part"))
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(ids):
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(ids), -1)
+        names, of = np.unique(part, return_inverse=True)
+        few = np.nonzero(of != np.bincount(of).argmax())[0]  # one of a pair is outside the largest component
+        step = max(1, (1 << 18) // len(ids))
+        for s in range(0, len(few), step):
+            i = few[s : s + step]
+            near = (sign[i, None] == sign[None]).sum(axis=2) >= share * sign.shape[1]
+            a, b = np.nonzero(near & (of[i, None] != of[None]))
+            out_a.append(ids[i[a]])
+            out_b.append(ids[b])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _alike_fn(share: float):
+    def run(table: pa.Table) -> pa.Table:
+        return _alike(table, share)
 
+    return run
 
-def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, views: int = 12) -> DataFrame:
+
+def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, task_rows: int = 4096) -> DataFrame:
     """(doc_id, component_id) of the rows that another row of smaller id makes superfluous, once per id.
 
-    Linked are texts of the same words, and texts whose sets of k-word shingles have the given similarity or
-    more, as estimated by the distance of two 512-bit SimHashes. A 64-bit SimHash would have to be searched
-    at 12 bits or more for that, where no triangle bound prunes; so candidates are pairs at distance 1 or less in one of
-    `views` SimHashes of 32 bits over the set of words, each searched by the vantage-point tree. Texts without words are
-    never duplicates, nor are rows with a null id.
+    Linked are texts whose sets of k-word shingles have the given Jaccard similarity or more, verified on the sets. Equal sets
+    are one point, whatever their number. Candidates are pairs that share one of BANDS MinHash bands. First every member of a
+    bucket is compared with the bucket's smallest id; then, in buckets that these links leave in several components,
+    all pairs of different components whose MinHashes agree often enough, buckets over task_rows in pairs of hashed blocks. Pairs
+    that are connected already need no link. Texts without words are never duplicates, nor are rows with a null id.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    rows = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    rows = cut(rows.mapInArrow(partial(_sketched, k=k, views=views), "id long, digest binary, views array<long>, sketch binary"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    texts = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = cut(texts.mapInArrow(partial(_banded, k=k, bands=BANDS, band_rows=BAND_ROWS), "id long, digest binary, keys array<long>, sign binary"))
     firsts = cut(rows.groupBy("digest").agg(F.min("id").alias("first")))
     same = rows.select("id", "digest").join(firsts, "digest").select("id", "first")
-    whole = rows.join(firsts.select(F.col("first").alias("id"), "digest"), ["id", "digest"])
-    points = cut(whole.dropDuplicates(["id", "digest"]).select("id", "sketch", F.posexplode("views").alias("view", "point")).select("view", "id", "point", "sketch"))
-    parts = components(links(points, 1, sketch_radius(similarity)))
+    whole = rows.join(firsts.select(F.col("first").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    points = whole.select("id", F.explode("keys").alias("key"))
+    buckets = points.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(points.join(buckets, "key"))
+    # of the texts only those that have a candidate are read again
+    sets = cut(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, set binary").distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        return cut(both.select("a", "b", "x", "y").mapInArrow(partial(_verified, similarity=similarity), "a long, b long"))
+
+    found = verified(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
+    parts = components(found)
+    left = members.where("n > 2").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    split = left.where("id <> rep").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    left = left.join(split, "key").join(whole.select("id", "sign"), "id")
+    left = left.withColumn("k", F.when(F.col("n") > task_rows, F.ceil(2 * F.col("n") / task_rows)).otherwise(1).cast("int"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "rep", "part", "sign")
+    more = verified(left.groupBy("key", "i", "j").applyInArrow(_alike_fn(similarity - SLACK), "a long, b long").distinct())
+    if not more.isEmpty():
+        parts = components(found.unionByName(more))
     of = same.join(parts, F.col("first") == F.col("node"), "left").select("id", F.coalesce("component", "first").alias("component_id"))
     return of.where("id <> component_id").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", "doc_id")
 

@@ -128,6 +128,43 @@ def test_near_copies_of_five_word_shingles_are_found(spark):
     assert len(kept) <= 60 + 0.03 * len(near)
 
 
+def test_near_copies_at_the_threshold_are_found_exactly(spark):
+    """Isolated pairs: a block appended or replaced, short texts with another last word, on both sides of similarity 0.8."""
+    rng = np.random.default_rng(8)
+    new = iter(f"w{i:x}" for i in rng.permutation(1_000_000))
+    words = lambda n: [next(new) for _ in range(n)]
+    rows, pairs = [], []
+    for d in range(240):
+        n, m = (404, 0) if d % 4 < 2 else (20, 0) if d % 4 == 2 else (15, 0)
+        w = words(n)
+        at = 0.80 + 0.01 * (d % 7) if d % 8 < 4 else 0.76 + 0.005 * (d % 7)
+        m = round(400 * (1 / at - 1)) if d % 4 == 0 else round(400 * (1 - at) / (1 + at))
+        x = w + words(m) if d % 4 == 0 else w[: n - m] + words(m) if d % 4 == 1 else w[:-1] + words(1)
+        rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join(x))]
+        a, b = ({" ".join(v[i : i + 5]) for i in range(len(v) - 4)} for v in (w, x))
+        pairs.append((2 * d + 1, len(a & b) / len(a | b) >= 0.8))
+    gone = {r.doc_id for r in simhash.duplicate_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {i for i, near in pairs if near}
+    assert 120 < len(gone) < 240
+
+
+def test_buckets_are_compared_beyond_their_smallest_id(spark):
+    """Members of a bucket that aren't near its smallest id but near one another, in blocks of a few rows."""
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for d in range(40):
+        w = list(base)
+        w[10 * (d % 20) : 10 * (d % 20) + 60] = [f"g{d % 20}x{i}" for i in range(60)]
+        w[290 + d // 20] = f"own{d}"
+        rows.append((int(d), " ".join(w)))
+    sets = {i: {" ".join(t.split()[j : j + 5]) for j in range(296)} for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = {i: top for i, top in _reach(sets, near).items() if top != i}
+    for task_rows in (4096, 4):
+        got = simhash.duplicate_ids(spark.createDataFrame(rows, "doc_id long, text string"), task_rows=task_rows).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_secret_rows(docs, nothing):
     rows = secrets.scan(docs).collect()
     assert [(r.doc_id, r.kind, r.is_secret) for r in rows if r.is_secret] == [(None, "aws_access_key", True)]

@@ -30,8 +30,8 @@ BESIDE = 48
 # Public formats of keys, words that stand beside secrets and beside harmless tokens, and placeholders.
 FORMATS = {
     "aws_access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
-    "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
-    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,72}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "google_api_key": r"AIza[A-Za-z0-9_\-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
@@ -52,9 +52,9 @@ NAMES = ("pass", "pwd", "secret", "token", "key", "credential")
 
 _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 _ASSIGNED = re.compile(
-    r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth_?key|private_?key|secret_?key|credentials?)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,512})"
+    r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth_?key|private_?key|secret_?key|credentials?)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,})"
 )
-_BARE = re.compile(r"(?<![A-Za-z0-9_+/=\-.])[A-Za-z0-9_+/=\-]{16,512}(?![A-Za-z0-9_+/=\-])")
+_BARE = re.compile(r"(?<![A-Za-z0-9_+/=\-.])[A-Za-z0-9_+/=\-]{16,}(?![A-Za-z0-9_+/=\-])")
 _DIGIT = re.compile("[0-9]")
 _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 
@@ -101,7 +101,7 @@ FEATURES = (
 
 def describe(text: str, start: int, end: int, kind: str) -> list[float]:
     """The features of a candidate in its text."""
-    v = text[start:end][:512]
+    v = text[start:end]
     n = max(1, len(v))
     kinds = [_kind(c) for c in v]
     counts = Counter(v)

@@ -145,6 +145,19 @@ def test_secrets_of_a_text():
     assert secrets.judged(None, forest, 0.5) == secrets.judged("", forest, 0.5) == []
 
 
+def test_long_secrets_are_found_whole():
+    r = random.Random(6)
+    forest = secrets.default_forest()
+    for n in (500, 513, 1599, 20_000):
+        key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+        for before, kind in (("private_key=", "assigned"), ("credential ", "bare"), ("", "bare")):
+            found = secrets.judged(f"{before}{key} and more", forest, 0.5)
+            assert [f[:3] for f in found] == [(len(before), len(before) + n, kind)]
+            assert found[0][4]
+    for token in ("xoxb-" + "1a" * 60, "ghs_" + "a1B" * 40):
+        assert [x[:2] for x in secrets.candidates(token)] == [(0, len(token))]
+
+
 def test_chain_learns_words_and_their_beginnings():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))

@@ -22,6 +22,8 @@ from terrafield.llm.common import cut, n_words, pack_rows, running_sums
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often.
 MAX_EPOCHS = 3
+#: Slots that a source gets at least, unless its blocks are single words: its words miss the target by half a block at most, so by under 1 %.
+LEAST_SLOTS = 64
 #: The sources' totals are held by the driver and sent to the tasks; more sources than this are refused.
 MAX_SOURCES = 200_000
 
@@ -50,13 +52,15 @@ class Plan:
         block = max(1, min(block_words, total // least_slots))
         self.sizes = np.array(sizes, np.int64)
         self.targets = np.array(targets(sizes, weights))
-        self.blocks = np.maximum(1, np.round(self.sizes / block)).astype(np.int64)
-        self.blocks = np.where(self.sizes > 0, np.minimum(self.blocks, np.maximum(self.sizes, 1)), 0)
+        # a small source has smaller blocks, so that every source misses its target by a small share of its own
+        small = np.divide(LEAST_SLOTS * self.sizes, self.targets, out=np.zeros(len(sizes)), where=self.targets > 0)
+        self.blocks = np.minimum(np.ceil(np.maximum(self.sizes / block, small)), self.sizes).astype(np.int64)
         want = np.divide(self.targets * self.blocks, self.sizes, out=np.zeros(len(sizes)), where=self.sizes > 0)
-        self.bits = max(0, int(np.ceil(np.log2(max(1.0, want.sum())))))
+        want = np.round(want).astype(np.int64)
+        self.bits = int(max(1, want.sum()) - 1).bit_length()
         self.n = 1 << self.bits
         # grid cells [edge, next edge) of the points j / 2^bits belong to a source; the rest of the slots stay idle
-        self.edges = np.minimum(np.round(np.concatenate(([0.0], np.cumsum(want)))).astype(np.int64), self.n)
+        self.edges = np.concatenate(([0], np.cumsum(want)))
 
     def _before(self, i: np.ndarray, x: np.ndarray) -> np.ndarray:
         """How many of the slots 0..i-1 have a point below x / 2^bits."""
@@ -120,7 +124,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, size, source_size, target, taken) of every row: words of it that the mix takes, repeats counted.
 
     Sources weigh 5, 2, 1 in code point order, null last, and share all words; a target stops at three times its
-    source. A block is the words from floor(b S / n) to floor((b + 1) S / n) of its source, so a document may lie
+    source. Taken is within half a block of the target, and a block is 1 / LEAST_SLOTS of the target or a single word at
+    most, however many sources there are. A block is the words from floor(b S / n) to floor((b + 1) S / n) of its source, so a document may lie
     in several blocks, and none is taken more than three times. Null and empty texts have size 0 and taken 0. Equal
     inputs give equal results; rows that repeat a doc_id are rows of their own. A hot source is summed
     and numbered in ranges of its hash. An empty table gives an empty one.

@@ -49,6 +49,17 @@ def test_van_der_corput_ranks_are_counts_of_earlier_slots():
         assert abs(got - want) <= 1.5 * 7 + 1
 
 
+@pytest.mark.parametrize("sizes", [[3000] * 60_000, [3000] * 1000, [10**9, *range(1, 3000)], [40, 0, 7, 10**6]])
+def test_every_source_meets_its_own_target(sizes):
+    plan = mixing.Plan(sizes, [mixing.WEIGHTS[k % 3] for k in range(len(sizes))])
+    taken = np.zeros(len(sizes))
+    for s in range(0, plan.n, 1 << 20):
+        _, src, _ = plan.slots(np.arange(s, min(plan.n, s + (1 << 20))))
+        taken += np.bincount(src, minlength=len(sizes))
+    taken *= plan.sizes / np.maximum(1, plan.blocks)
+    assert (np.abs(taken - plan.targets) <= np.maximum(0.5, 0.01 * plan.targets) + 1e-6).all()
+
+
 def test_targets_share_the_excess_by_weight():
     t = mixing.targets([10, 100, 1000], [5, 2, 1])
     assert t[0] == 30 and t[1] == 300 and t[2] == pytest.approx(780)

@@ -316,8 +316,8 @@ def _placed(batches, index, deal):
         ids = b.column("id").to_numpy()
         at = [(s := deal[int(o)])[hash_of(int(i)) % len(s)] for o, i in zip(own, ids)] if deal else own
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.int32()), b.column("id"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err, pa.float64()), b.column("vec")],
-            ["shard", "id", "own", "codes", "err", "vec"],
+            [pa.array(at, pa.int32()), b.column("id"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err, pa.float64()), pa.array(np.linalg.norm(x - ix.centroids[own], axis=1)), b.column("vec")],
+            ["shard", "id", "own", "codes", "err", "away", "vec"],
         )
 
 
@@ -325,24 +325,34 @@ def hash_of(i: int) -> int:
     return ((i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> 32
 
 
-def _routed(batches, index, deal, probes):
-    """Queries to the shards of their nearest lists."""
-    ix, deal = index.value, deal.value
+def _routed(batches, index, deal, probes, need, lists, more):
+    """Queries to the shards of their nearest lists, as many more as hold `need` rows. With `more`, to the other lists that
+    may hold a vector within the distance `kth`, by the lists' radii and the bisectors beside the query's own centroid."""
+    ix, deal, (counts, radii) = index.value, deal.value, lists.value
+    c = ix.centroids
     for b in batches:
         q = _matrix(b.column("vec"))
-        order = np.argsort(_sq(q, ix.centroids), axis=1, kind="stable")[:, :probes]
-        rows, shard, lists = [], [], []
-        for r, near in enumerate(order):
+        d2 = _sq(q, c)
+        order = np.argsort(d2, axis=1, kind="stable")
+        first = np.maximum(probes, (np.cumsum(counts[order], axis=1) < need).sum(axis=1) + 1)
+        chosen = np.argsort(order, axis=1) < first[:, None]
+        if more:
+            near = order[:, 0]
+            between = np.sqrt(np.maximum(_sq(c, c)[near], 1e-300))
+            low = np.maximum(np.sqrt(d2) - radii, (d2 - d2[np.arange(len(q)), near][:, None]) / (2 * between))
+            chosen = ~chosen & (low <= b.column("kth").to_numpy()[:, None] + 1e-6 * (1 + np.sqrt(d2)))
+        rows, shard, wanted = [], [], []
+        for r, pick in enumerate(chosen):
             to = {}
-            for o in near.tolist():
+            for o in np.nonzero(pick)[0].tolist():
                 for s in deal.get(o, ()):
                     to.setdefault(s, []).append(o)
             for s, ls in to.items():
                 rows.append(r)
                 shard.append(s)
-                lists.append(ls)
+                wanted.append(ls)
         t = b.take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), t.column("id"), pa.array(lists, pa.list_(pa.int32())), t.column("vec")], ["shard", "query_id", "lists", "vec"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), t.column("id"), pa.array(wanted, pa.list_(pa.int32())), t.column("vec")], ["shard", "query_id", "lists", "vec"])
 
 
 def _search_shard(index, k: int):
@@ -414,9 +424,9 @@ def sufficient_probes(ix: Index, sample: np.ndarray, k: int, recall: float, quer
 def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.98, lists_per: int = 128, max_lists: int = 1024, sample: int = SAMPLE, shard_rows: tuple[int, int] = (512, 32_768)) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query holds for, its k nearest other rows found.
 
-    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. A query probes as
-    many of its nearest lists as give the `recall` on the sample: few if the vectors cluster, most if they have no
-    structure. In the lists probed the lookups prune by bounds only, so nothing near is lost there. Vectors that are null, zero, hold null or non-finite components or have
+    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. A query first
+    probes as many of its nearest lists as give the `recall` on the sample and hold k other rows, then all other lists that may
+    hold a vector as near as its k-th by then. Lists and rows are pruned by bounds only, so the result is exact. Vectors that are null, zero, hold null or non-finite components or have
     another length than most take no part, nor do rows without an id. Rows that repeat an id count once.
     """
     spark = table.sparkSession
@@ -429,15 +439,32 @@ def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     pts = _sampled(rows, n, sample, 0.25)
     ix = fit(pts, max(1, min(max_lists, n // lists_per, len(pts) // 8)))
     index = spark.sparkContext.broadcast(ix)
-    kinds = "shard int, id long, own int, codes binary, err double, vec array<double>"
+    kinds = "shard int, id long, own int, codes binary, err double, away double, vec array<double>"
     placed = rows.mapInArrow(partial(_placed, index=index, deal=spark.sparkContext.broadcast({})), kinds)
-    counts = {x.own: x.n for x in placed.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as lists
+    per = placed.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()  # as many as lists
+    counts = {x.own: x.n for x in per}
+    held, radii = np.zeros(len(ix.centroids), np.int64), np.zeros(len(ix.centroids))
+    for x in per:
+        held[x.own], radii[x.own] = x.n, x.radius
+    lists = spark.sparkContext.broadcast((held, radii))
     deal = spark.sparkContext.broadcast(_deal(counts, min(shard_rows[1], max(shard_rows[0], n // 128))))
     placed = rows.mapInArrow(partial(_placed, index=index, deal=deal), kinds)
     probes = sufficient_probes(ix, pts, k, recall)
-    queries = rows.where(is_query(F.col("id"))).mapInArrow(partial(_routed, index=index, deal=deal, probes=probes), "shard int, query_id long, lists array<int>, vec array<double>")
-    found = placed.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(_search_shard(index, k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
+    asked = rows.where(is_query(F.col("id"))).select("id", "vec")
+
+    def searched(queries: DataFrame, more: bool) -> DataFrame:
+        route = partial(_routed, index=index, deal=deal, probes=probes, need=k + 1, lists=lists, more=more)
+        sent = queries.mapInArrow(route, "shard int, query_id long, lists array<int>, vec array<double>")
+        return placed.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(_search_shard(index, k), "query_id long, vec_id long, score double")
+
+    def top(found: DataFrame) -> DataFrame:
+        return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
+
+    first = cut(top(searched(asked, False)))
+    kth = first.where(F.size("best") == k).select(F.col("query_id").alias("id"), F.col("best")[k - 1]["score"].alias("kth"))
+    far = asked.join(kth, "id", "left").select("id", "vec", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
+    every = first.select("query_id", F.inline("best")).select("query_id", "vec_id", "score")
+    best = top(every.unionByName(searched(far, True)))
     return best.select("query_id", F.posexplode("best").alias("pos", "x")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
     )

@@ -337,6 +337,23 @@ def test_nearest_against_brute_force(spark):
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_rare_vectors_among_copies_get_all_neighbours(spark):
+    rng = np.random.default_rng(12)
+    groups = rng.normal(size=(20, 8))
+    x = np.concatenate([groups[rng.integers(0, 20, 2900)], 3 * rng.normal(size=(100, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.nearest(t, lambda i: i >= 2900, k=10).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert set(got) == set(range(2900, 3000))
+    for i, near in got.items():
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        want = np.lexsort((np.arange(len(x)), d))[:10]
+        assert [near[k + 1][0] for k in range(10)] == want.tolist()
+
+
 def test_toxic_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, None, 1), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     cats = {"low_quality": "1 - quality", "toxic": "toxic"}

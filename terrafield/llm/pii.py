@@ -34,6 +34,11 @@ GIVEN = {
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя", "greek": "αεηιουω"}
 CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзйклмнпрстфхцчшщьъ", "greek": "βγδζθκλμνξπρστφχψ"}
 
+#: Country codes of two digits; those that begin with 1 or 7 have one, all others three.
+COUNTRY = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Last letters of feminine names outside the Latin script.
+FEMININE = {"latin": "", "cyrillic": "ая", "greek": "αη"}
+
 ROUNDS = 6
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)?"
@@ -193,41 +198,56 @@ def _ipv4(value: str, key: bytes) -> str:
             return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _country(digits: str) -> int:
+    """Digits of the country code that an international number begins with."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in COUNTRY else 3
+
+
 def _script(word: str) -> str:
     c = word[0]
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
-def _cased(like: str, word: str) -> str:
-    return "".join(w.upper() if c.isupper() else w for c, w in zip(like, word)) if len(like) == len(word) else word[:1].upper() + word[1:]
+def _lower(name: str) -> str:
+    """Lower case, the Greek final sigma as any other, so that a name's case and place don't count."""
+    return name.lower().replace("ς", "σ")
 
 
-def _word_name(word: str, key: bytes, tag: str, gender: str) -> str:
-    """A name outside the lists: vowels to vowels, consonants to consonants, an ending that tells the gender stays."""
-    script = _script(word)
-    low = word.lower()
-    tail = 1 if script != "latin" and gender == "f" else 0
-    body, end = (low[:-tail], low[-tail:]) if tail else (low, "")
-    known = {n.lower() for (s, _), names in GIVEN.items() if s == script for n in names}
-    while True:  # names outside the lists stay outside: a permutation of the rest
-        body = _by_class(body, key, f"{tag}{script}{gender}{end}", [VOWELS[script], CONSONANTS[script]])
-        if body + end not in known:
-            return _cased(word, body + end)
+def _cased(like: str, word: str) -> str:
+    return "".join(w.upper() if c.isupper() and len(w.upper()) == 1 else w for c, w in zip(like, word)) if len(like) == len(word) else word[:1].upper() + word[1:]
 
 
-def _name(value: str, gender: str, key: bytes) -> str:
-    """Given names of the lists move within their script and gender, all other words by letters."""
+@lru_cache(maxsize=1)
+def _pools() -> dict[str, list[str]]:
+    """The list of given names, in lower case, that each given name is in."""
+    pools = [[_lower(n) for n in names] for names in GIVEN.values()]
+    return {n: p for p in pools for n in p}
+
+
+def _word_name(word: str, key: bytes, tag: str) -> str:
+    """A name outside the lists: vowels to vowels, consonants to consonants; a feminine ending stays, no other word gets one."""
+    script, low = _script(word), _lower(word)
+    tail = FEMININE[script]
+    body, end = (low[:-1], low[-1:]) if low[-1] in tail else (low, "")
+    while True:  # names outside the lists stay outside, words without the ending stay without: a permutation of the rest
+        body = _by_class(body, key, f"{tag}{script}{end}", [VOWELS[script], CONSONANTS[script]])
+        if body + end not in _pools() and (end or body[-1] not in tail):
+            return body + end
+
+
+def _name(value: str, key: bytes) -> str:
+    """Given names of the lists move within their script and gender, all other words by letters; each word alike wherever it
+    stands, so that a surname alone, after any title and in a full name agree."""
     out = []
-    for k, word in enumerate(re.split(r"(\s+|[-'’])", value)):
+    for word in re.split(r"(\s+|[-'’])", value):
         if not word or not word[0].isalpha():
             out.append(word)
             continue
-        pool = next((p for p in GIVEN.values() if word in p), None)
-        if pool and k == 0:
-            out.append(pool[permute(pool.index(word), len(pool), key, f"given{pool[0]}")])
-        else:
-            # one permutation for a word wherever it stands, so that a surname alone and in a full name agree
-            out.append(_word_name(word, key, "name", gender if _script(word) != "latin" else ""))
+        pool = _pools().get(low := _lower(word))
+        new = pool[permute(pool.index(low), len(pool), key, f"given{pool[0]}")] if pool else _word_name(word, key, "name")
+        if new[-1] == "σ":
+            new = new[:-1] + "ς"
+        out.append(_cased(word, new))
     return "".join(out)
 
 
@@ -251,11 +271,11 @@ def surrogate(kind: str, value: str, gender: str, key: bytes) -> str:
         return _layout(value, new, DIGITS + UPPER)
     if kind == "phone":
         d = "".join(c for c in value if c in DIGITS)
-        head = len(m.group(1)) if (m := re.match(r"\+(\d{1,3})(?=[ .(-])", value)) else 0
+        head = _country(d) if value.startswith("+") else 0
         intl = "+" if value.startswith("+") else ""
         new = d[:head] + _by_class(d[head:], key, f"phone{intl}{d[:head]}", [DIGITS])
         return _layout(value, new, DIGITS)
-    return _name(value, gender, key)
+    return _name(value, key)
 
 
 def canonical(kind: str, value: str) -> str:
@@ -264,7 +284,9 @@ def canonical(kind: str, value: str) -> str:
         return ("+" if value.startswith("+") else "") + "".join(c for c in value if c in DIGITS)
     if kind == "iban":
         return value.replace(" ", "")
-    return value.lower() if kind in ("email", "name") else ".".join(str(int(p)) for p in value.split(".")) if kind == "ipv4" else value
+    if kind == "name":
+        return _lower(value)
+    return value.lower() if kind == "email" else ".".join(str(int(p)) for p in value.split(".")) if kind == "ipv4" else value
 
 
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str, str]]]:
@@ -322,5 +344,7 @@ def entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """(type, surrogate, n): surrogates that stand for more than one entity."""
-    return found.groupBy("type", "surrogate").agg(F.countDistinct("entity").alias("n")).where("n > 1")
+    """(type, surrogate, entity, n): surrogates that stand for n > 1 entities (entity null), entities with n > 1 surrogates (surrogate null)."""
+    shared = found.groupBy("type", "surrogate").agg(F.countDistinct("entity").alias("n")).where("n > 1")
+    split = found.groupBy("type", "entity").agg(F.countDistinct("surrogate").alias("n")).where("n > 1")
+    return shared.unionByName(split, allowMissingColumns=True).select("type", "surrogate", "entity", "n")

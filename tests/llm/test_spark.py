@@ -196,6 +196,11 @@ def test_surrogate_rows(docs, nothing):
     assert pii.pseudonymise(nothing, DEMO_KEY).count() == 0
 
 
+def test_entities_with_two_surrogates_are_collisions(spark):
+    found = spark.createDataFrame([("phone", 1, 10), ("phone", 1, 11), ("phone", 2, 12), ("name", 3, 10), ("name", 4, 13), ("name", 5, 13)], "type string, entity long, surrogate long")
+    assert {tuple(r) for r in pii.collisions(found).collect()} == {("phone", None, 1, 2), ("name", 13, None, 2)}
+
+
 def _rendezvous(key, shards, weights=None):
     def h(s):
         return xxhash.xxh64_intdigest(int(s).to_bytes(4, "little"), xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42))

@@ -140,6 +140,20 @@ def test_surrogates_of_different_entities_differ():
     assert len({pii.surrogate("name", x, "m", DEMO_KEY) for x in names}) == len(names)
 
 
+def test_surrogates_depend_on_the_entity_alone():
+    def one(kind, mentions):
+        got = {pii.canonical(kind, pii.surrogate(kind, v, g, b"key")) for v, g in mentions}
+        assert len({pii.canonical(kind, v) for v, _ in mentions}) == 1 and len(got) == 1, got
+
+    one("phone", [("+49 30 1234567", ""), ("+49301234567", ""), ("+493 01234567", "")])
+    one("phone", [("(030) 1234567", ""), ("030 123 4567", "")])
+    for name in ("Иванова", "Петров", "Παπαδάκη", "Νικολαΐδης", "ΝΙΚΟΛΑΪΔΗΣ", "ANNA", "Smith"):
+        one("name", [(name, "f"), (name, "n"), (name, "m"), (name.title(), "n")])
+    words = [a + b + c + d for a in "БВГ" for b in "ао" for c in "нмл" for d in ("а", "я", "о", "ев", "и")]
+    assert len({pii.surrogate("name", w, "n", b"key") for w in words}) == len(words)
+    assert all((pii.surrogate("name", w, "n", b"key")[-1] in "ая") == (w[-1] in "ая") for w in words)
+
+
 def test_forest_tells_held_out_findings():
     forest = secrets.default_forest()
     x, y = secrets.training_matrix(secrets.labelled_findings(1500, seed=99))

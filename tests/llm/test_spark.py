@@ -303,7 +303,7 @@ def _vectors(spark):
 
 def test_embedding_links_against_brute_force(spark):
     df, rows, x = _vectors(spark)
-    got = {r.vec_id: r for r in vectors.near_duplicates(df, lists_per=40, shard_rows=64).collect()}
+    got = {r.vec_id: r for r in vectors.near_duplicates(df, lists_per=40, bin_rows=64, visitors=100).collect()}
     assert len(got) == len(rows)
     u = x / np.linalg.norm(x, axis=1)[:, None]
     lab = np.array([r[2] for r in rows[: len(x)]])
@@ -323,7 +323,7 @@ def test_nearest_against_brute_force(spark):
     ids = np.array([r[0] for r in rows[: len(x)]] + [3000, 3001])
     y = np.concatenate([x, x[:1], x[:1]])
     got = {}
-    for r in vectors.nearest(df, lambda i: i % 100 == 0, lists_per=30, shard_rows=(64, 64)).collect():
+    for r in vectors.nearest(df, lambda i: i % 100 == 0, lists_per=30, bin_rows=64, visitors=4).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     hit = 0
     for q in ids[ids % 100 == 0]:
@@ -359,6 +359,60 @@ def test_rare_vectors_among_copies_get_all_neighbours(spark):
         assert [near[k + 1][0] for k in range(10)] == want.tolist()
 
 
+def _repeated(spark):
+    """64 dimensions, ids that repeat with other vectors, two lengths, and columns named like those used inside."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(900, 64)).astype(np.float32)
+    x[300:600] = x[:300] + 0.13 * rng.normal(size=(300, 64))  # cosines about the threshold
+    x[600:640] = x[7]
+    ids = rng.permutation(np.concatenate([np.arange(450), np.arange(450)]))
+    label = rng.integers(0, 3, 900)
+    rows = [(int(i), v.tolist(), int(y)) for i, v, y in zip(ids, x, label)]
+    rows += [(5, [1.0, 2.0], 0), (6, [2.0, 4.0], 0), (6, [2.0, -4.0], 0), (None, x[0].tolist(), 0), (9, None, 1), (9, [0.0] * 64, 1)]
+    odd = ["key", "own", "bin", "home", "weight", "component", "part", "h1"]
+    return spark.createDataFrame([(*r, *["x"] * len(odd)) for r in rows], "vec_id long, embedding array<float>, label int" + "".join(f", {c} string" for c in odd)), rows
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    df, rows = _repeated(spark)
+    links = []
+    for a in range(len(rows)):
+        for b in range(a):
+            (i, x, u), (j, y, v) = rows[a], rows[b]
+            if x and y and any(x) and any(y) and u == v and len(x) == len(y) and i is not None and j is not None:
+                x, y = np.array(x), np.array(y)
+                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                    links.append((a, b))
+    assert len(links) > 300
+    n = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    root = _reach(range(len(rows)), links)
+    low = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            low[root[k]] = min(low.get(root[k], r[0]), r[0])
+    want = sorted((-1 if r[0] is None else r[0], int(n[k]), -1 if r[0] is None else low[root[k]], r[0] is None or low[root[k]] == r[0]) for k, r in enumerate(rows))
+    for how in ({}, {"lists_per": 30, "bin_rows": 40, "visitors": 64}):
+        got = vectors.near_duplicates(df, **how).collect()
+        assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in got) == want
+
+
+def test_nearest_keeps_every_row_of_a_repeated_id(spark):
+    df, rows = _repeated(spark)
+    fine = [(i, np.array(v)) for i, v, _ in rows if i is not None and v and len(v) == 64 and any(v)]
+    ids, x = np.array([i for i, _ in fine]), np.stack([v for _, v in fine])
+    want = []
+    for k in np.nonzero(ids % 100 == 0)[0]:
+        d = np.sqrt(((x - x[k]) ** 2).sum(1))
+        near = [j for j in np.lexsort((ids, d)) if j != k][:10]
+        want += [(int(ids[k]), rank + 1, int(ids[j]), round(float(d[j]), 9)) for rank, j in enumerate(near)]
+    for how in ({}, {"lists_per": 30, "bin_rows": 100, "visitors": 2}):
+        got = vectors.nearest(df, lambda i: i % 100 == 0, **how).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+    some = vectors.nearest(df, lambda i: i % 100 == 0, exact=False).collect()
+    assert len(some) == len(want)
+    assert len({(r.query_id, r.vec_id) for r in some} & {(w[0], w[2]) for w in want}) >= 0.9 * len({(w[0], w[2]) for w in want})
+
+
 def test_toxic_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, None, 1), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     cats = {"low_quality": "1 - quality", "toxic": "toxic"}

@@ -211,10 +211,10 @@ def test_lookup_bounds_hold():
     own = ix.nearest(x)
     codes, err = ix.encode(x, own)
     q = rng.normal(size=(20, 16))
+    tables, offsets = ix.tables(q), ix.offsets(codes, own)
     for lst in range(10):
         rows = np.nonzero(own == lst)[0]
-        t = ix.tables(q, lst)
-        adc = np.sqrt(sum(t[:, k, codes[rows, k]] for k in range(4)))
+        adc = ix.lookup(tables, vectors._sq(q, ix.centroids[lst][None]), codes[rows], offsets[rows])
         true = np.sqrt(((q[:, None] - x[rows][None]) ** 2).sum(-1))
         assert (np.abs(adc - true) <= err[rows] + 1e-9).all()
 

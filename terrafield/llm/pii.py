@@ -1,9 +1,10 @@
 """Surrogates for personal data: every entity becomes another of its type, gender, script and format.
 
-A surrogate comes from a keyed permutation of the entity's own format class (a Feistel network over the numbers 0..n-1 with
-cycle walking), so equal entities get equal surrogates everywhere (coreference), different ones different surrogates,
-and nothing has to be gathered or stored. Collisions are checked all the same: entities() lists what was replaced by what,
-as keyed digests, and collisions() counts surrogates that stand for two entities, or entities with two surrogates.
+A surrogate is the next entity of its format class in a keyed order: a Feistel permutation p of the class's numbers 0..n-1,
+and x goes to p((inverse of p)(x) + 1). So equal entities get equal surrogates everywhere (coreference), different ones
+different surrogates, none its own, and nothing has to be gathered or stored. Collisions are checked all the same: entities()
+lists what was replaced by what, as keyed digests, collisions() counts surrogates that stand for two entities, or entities with
+two surrogates, and resolve() moves all but one of the entities that share one further along the order.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache, partial
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Titles by gender, given names by script and gender, alphabets by script.
@@ -31,9 +32,20 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα".split(),
 }
+#: Words before a name that tell no gender, and Han names: family names, and what is said after a whole name, by gender.
+CUES = ["my name is", "name:", "signed,", "dear", "regards,", "sincerely,", "attn:", "contact:", "patient:", "author:"]
+HAN_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘蔡蒋余"
+HAN_TITLES = {"m": ["先生"], "f": ["女士", "小姐", "太太"], "n": ["博士", "教授", "医生", "老师"]}
+HAN_GIVEN = {"m": "伟强磊军勇杰涛明超刚平辉健波斌浩宇峰龙鹏", "f": "芳娜敏静丽艳娟霞秀兰燕玲丹萍雪梅琳莉婷红"}
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя", "greek": "αεηιουω"}
 CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзйклмнпрстфхцчшщьъ", "greek": "βγδζθκλμνξπρστφχψ"}
 
+#: Letters with marks that names of the Latin script have: vowels, consonants.
+MARKED = ["áàâäãåæéèêëíìîïóòôöõøúùûüýÿœ", "çñßšžčćđłńřťď"]
+#: Addresses (first, one past the last) that aren't public: each range is a class of its own.
+RANGES = [(0x00000000, 0x01000000), (0x0A000000, 0x0B000000), (0x64400000, 0x64800000), (0x7F000000, 0x80000000), (0xA9FE0000, 0xA9FF0000),
+          (0xAC100000, 0xAC200000), (0xC0A80000, 0xC0A90000), (0xE0000000, 0xF0000000), (0xF0000000, 0x100000000)]
+
 #: Country codes of two digits; those that begin with 1 or 7 have one, all others three.
 COUNTRY = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Last letters of feminine names outside the Latin script.
@@ -52,15 +64,23 @@ _NUMBER = re.compile(
 )
 _IBAN = re.compile(r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)")
 _NAME = re.compile(rf"\b(?P<title>{_TITLE})\b\.?\s(?P<name>{_CAP}(?:\s{_CAP})?)|\b(?P<full>(?:{_GIVEN})\s{_CAP})")
+_CUED = re.compile(rf"(?i:{'|'.join(map(re.escape, CUES))})\s+(?P<cued>{_CAP}\s{_CAP})")
+_HAN = re.compile(rf"(?P<han>[{HAN_FAMILY}][\u4e00-\u9fff]{{1,2}}?)(?P<after>{'|'.join(t for g in HAN_TITLES.values() for t in g)})")
+_WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[+(]?\d[\d .()+-]*")
 
 
 @lru_cache(maxsize=1)
 def _cues() -> ahocorasick.Automaton:
-    """Titles and given names, to be found in one pass over a text."""
+    """Titles, given names and cues, each with its search, to be found in one pass over a text."""
     a = ahocorasick.Automaton()
     for n in {n for g in (*TITLES.values(), *GIVEN.values()) for n in g}:
-        a.add_word(n, n)
+        a.add_word(n, 3)
+    for n in CUES:
+        for w in {n, n.title(), n.capitalize(), n.upper()}:
+            a.add_word(w, 4)
+    for n in {n for g in HAN_TITLES.values() for n in g}:
+        a.add_word(n, 5)
     a.make_automaton()
     return a
 
@@ -75,32 +95,64 @@ def _found(text: str):
         every += [(m.start(), 1, m) for m in _NUMBER.finditer(text, s, e + 2)]
     if runs:
         every += [(m.start(), 2, m) for m in _IBAN.finditer(text)]
-    if next(_cues().iter(text), None):
-        every += [(m.start(), 3, m) for m in _NAME.finditer(text)]
+    cues = {k for _, k in _cues().iter(text)}
+    for k, search in ((3, _NAME), (4, _CUED), (5, _HAN)):
+        if k in cues:
+            every += [(m.start(m.lastgroup if k == 4 else 0), k, m) for m in search.finditer(text)]
     end = 0
-    for s, _, m in sorted(every, key=lambda x: x[:2]):
+    for s, k, m in sorted(every, key=lambda x: x[:2]):
         if s >= end:
-            end = m.end()
+            end = m.end("han") if k == 5 else m.end()
             yield m
 
 
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, gender or '') of the entities of a text, in order, without overlaps."""
-    out = []
+    """(start, end, type, gender or '') of the entities of a text, in order, without overlaps.
+
+    Words of a name that was found are names wherever else the text has them, with the gender that they had first.
+    """
+    out, names = [], {}
     for m in _found(text or ""):
-        kind = m.lastgroup
+        kind = "han" if "han" in m.re.groupindex else m.lastgroup
         if kind == "card" and not any(c in " -" for c in m.group()) and len(m.group()) != 16 and not _luhn_ok(m.group()):
             continue
-        if kind in ("name", "full"):
-            s, e = m.span(kind)
-            title = m.group("title")
-            gender = next((g for g, t in TITLES.items() if title in t), "") if title else ""
-            first = m.group(kind).split()[0]
-            gender = next((g for (_, g), names in GIVEN.items() if first in names), gender) if gender in ("", "n") else gender
-            out.append((s, e, "name", gender or "n"))
-        else:
-            s, e = m.span(kind)
+        s, e = m.span(kind)
+        if kind not in ("name", "full", "cued", "han"):
             out.append((s, e, kind, ""))
+            continue
+        first = m.group(kind).split()[0]
+        gender = ""
+        if kind == "han":
+            gender = next(g for g, t in HAN_TITLES.items() if m.group("after") in t)
+        elif kind == "name":
+            gender = next((g for g, t in TITLES.items() if m.group("title") in t), "")
+        if gender in ("", "n"):
+            gender = next((g for (_, g), given in GIVEN.items() if first in given), gender) or "n"
+        out.append((s, e, "name", gender))
+        for w in [m.group(kind)] if kind == "han" else _WORD.findall(m.group(kind)):
+            names.setdefault(w, gender)
+    return _mentions(text, out, names) if names else out
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]], names: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """found and the other places of the names' words: in Latin, Cyrillic and Greek whole words, in Han also within a run."""
+    more = [(*m.span(), "name", names[m.group()]) for m in _WORD.finditer(text) if m.group() in names and len(m.group()) > 1]
+    for w in (w for w in names if _script(w) == "han"):
+        at = text.find(w)
+        while at >= 0:
+            more.append((at, at + len(w), "name", names[w]))
+            at = text.find(w, at + len(w))
+    out, end = [], 0
+    rank = {x: 0 for x in found}
+    for x in sorted({*found, *more}, key=lambda x: (x[0], rank.get(x, 1), x[1])):
+        if x in rank:  # what was found goes first
+            while out and out[-1][1] > x[0] and out[-1] not in rank:
+                out.pop()
+            out.append(x)
+            end = x[1]
+        elif x[0] >= end:
+            out.append(x)
+            end = x[1]
     return out
 
 
@@ -111,11 +163,8 @@ def _round(key: bytes, tag: bytes, r: int, x: int, n: int) -> int:
     return int.from_bytes(h, "big") % n
 
 
-def permute(x: int, n: int, key: bytes, tag: str) -> int:
-    """A keyed permutation of 0..n-1: Feistel rounds on a grid of a x b >= n cells, walked until back below n.
-
-
-    """
+def permute(x: int, n: int, key: bytes, tag: str, back: bool = False) -> int:
+    """A keyed permutation of 0..n-1, or its inverse: Feistel rounds on a grid of a x b >= n cells, walked until back below n."""
     if n <= 1:
         return x
     a = max(2, int(n**0.5) if n < 1 << 52 else 1 << ((n.bit_length() + 1) // 2))
@@ -123,26 +172,34 @@ def permute(x: int, n: int, key: bytes, tag: str) -> int:
     t = f"{tag}:{n}".encode()
     while True:
         left, right = divmod(x, b)
-        for r in range(0, ROUNDS, 2):
-            left = (left + _round(key, t, r, right, a)) % a
-            right = (right + _round(key, t, r + 1, left, b)) % b
+        if back:
+            for r in range(ROUNDS - 2, -1, -2):
+                right = (right - _round(key, t, r + 1, left, b)) % b
+                left = (left - _round(key, t, r, right, a)) % a
+        else:
+            for r in range(0, ROUNDS, 2):
+                left = (left + _round(key, t, r, right, a)) % a
+                right = (right + _round(key, t, r + 1, left, b)) % b
         x = left * b + right
         if x < n:
             return x
 
 
+def following(x: int, n: int, key: bytes, tag: str) -> int:
+    """The number after x in a keyed cyclic order of 0..n-1: a bijection without fixed points, where n is 2 or more."""
+    return permute((permute(x, n, key, tag, back=True) + 1) % n, n, key, tag) if n > 1 else x
+
+
 def _by_class(s: str, key: bytes, tag: str, classes: list[str]) -> str:
-    """Permutes the characters of s that are in one of the classes, as one mixed-radix number; the others stay."""
+    """Moves the characters of s that are in one of the classes, as one mixed-radix number; the others stay."""
     where = {c: k for k in classes for c in k}
-    n = x = 0
-    total = 1
+    x, total = 0, 1
     for c in s:
         if c in where:
             abc = where[c]
             x = x * len(abc) + abc.index(c)
             total *= len(abc)
-            n += 1
-    y = permute(x, total, key, f"{tag}|{''.join(str(classes.index(where[c])) if c in where else c for c in s)}")
+    y = following(x, total, key, f"{tag}|{''.join(str(classes.index(where[c])) if c in where else c for c in s)}")
     out = []
     for c in reversed(s):
         if c in where:
@@ -183,19 +240,48 @@ def _card(value: str, key: bytes) -> str:
     return _layout(value, body + last, DIGITS)
 
 
-def _ip_class(n: int) -> int:
-    a, b = n >> 24, n >> 16
-    return 1 if a == 10 else 2 if b >> 4 == 0xAC1 else 3 if b == 0xC0A8 else 4 if a in (0, 127) or a >= 224 else 0
-
-
 def _ipv4(value: str, key: bytes) -> str:
-    """Private stays private, public public, reserved reserved."""
-    n = int.from_bytes(bytes(map(int, value.split("."))), "big")
-    own = x = n
-    while True:
-        x = permute(x, 1 << 32, key, "ipv4")
-        if _ip_class(x) == _ip_class(own):
-            return ".".join(map(str, x.to_bytes(4, "big")))
+    """Within its own range of RANGES, or among the addresses outside all of them, by rank."""
+    x = int.from_bytes(bytes(map(int, value.split("."))), "big")
+    low, high = next(((a, b) for a, b in RANGES if a <= x < b), (None, None))
+    if low is not None:
+        x = low + following(x - low, high - low, key, f"ipv4.{low}")
+    else:
+        x = following(x - sum(b - a for a, b in RANGES if b <= x), (1 << 32) - sum(b - a for a, b in RANGES), key, "ipv4")
+        for a, b in RANGES:
+            x += (b - a) * (x >= a)
+    return ".".join(map(str, x.to_bytes(4, "big")))
+
+
+def _ssn(value: str, key: bytes) -> str:
+    """Numbers that can be issued stay so: area 001 to 899 but 666, group and serial not zero; all others stay among the others."""
+    area, group, serial = map(int, value.split("-"))
+    if 0 < area < 900 and area != 666 and group and serial:
+        x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+        x, serial = divmod(following(x, 898 * 99 * 9999, key, "ssn"), 9999)
+        area, group = divmod(x, 99)
+        area, group, serial = area + 1 + (area >= 665), group + 1, serial + 1
+    else:
+        x = int(value.replace("-", ""))
+        while True:  # about one number in nine
+            x = following(x, 10**9, key, "ssn other")
+            area, group, serial = x // 10**6, x // 10**4 % 100, x % 10**4
+            if not (0 < area < 900 and area != 666 and group and serial):
+                break
+    return f"{area:03}-{group:02}-{serial:04}"
+
+
+def _iban_mod(body: str, check: str, country: str) -> int:
+    return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
+
+
+def _iban(flat: str, key: bytes) -> str:
+    """Country and validity stay: the check digits 02 to 98 keep the remainder by 97, which is 1 if the number is valid."""
+    country, check, body = flat[:2], flat[2:4], flat[4:]
+    new = _by_class(body, key, f"iban{country}", [DIGITS, UPPER])
+    if "02" <= check <= "98":
+        check = f"{2 + (_iban_mod(body, check, country) - _iban_mod(new, '02', country)) % 97:02}"
+    return country + check + new
 
 
 def _country(digits: str) -> int:
@@ -205,7 +291,7 @@ def _country(digits: str) -> int:
 
 def _script(word: str) -> str:
     c = word[0]
-    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
+    return "han" if "\u4e00" <= c <= "\u9fff" else "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
 def _lower(name: str) -> str:
@@ -225,16 +311,38 @@ def _pools() -> dict[str, list[str]]:
 
 
 def _word_name(word: str, key: bytes, tag: str) -> str:
-    """A name outside the lists: vowels to vowels, consonants to consonants; a feminine ending stays, no other word gets one."""
+    """A name outside the lists: vowels to vowels, consonants to consonants, marked letters to marked ones; a feminine ending stays,
+    no other word gets one."""
     script, low = _script(word), _lower(word)
     tail = FEMININE[script]
     body, end = (low[:-1], low[-1:]) if low[-1] in tail else (low, "")
     while True:  # names outside the lists stay outside, words without the ending stay without: a permutation of the rest
-        body = _by_class(body, key, f"{tag}{script}{end}", [VOWELS[script], CONSONANTS[script]])
+        body = _by_class(body, key, f"{tag}{script}{end}", [VOWELS[script], CONSONANTS[script], *(MARKED if script == "latin" else [])])
         if body + end not in _pools() and (end or body[-1] not in tail):
             return body + end
 
 
+def _han_name(word: str, key: bytes) -> str:
+    """Family names of the list stay in it; the others' characters, and those of given names by their list, move within theirs."""
+    lists = [HAN_GIVEN["m"], HAN_GIVEN["f"]]
+    out = []
+    for k, c in enumerate(word):
+        if k == 0 and c in HAN_FAMILY:
+            out.append(HAN_FAMILY[following(HAN_FAMILY.index(c), len(HAN_FAMILY), key, "han family")])
+            continue
+        abc = next((x for x in lists if c in x), None)
+        if abc:
+            out.append(abc[following(abc.index(c), len(abc), key, f"han{abc[0]}")])
+            continue
+        x = ord(c) - 0x4E00
+        while True:  # the rest of the block
+            x = following(x, 0x5200, key, "han")
+            if not any(chr(0x4E00 + x) in a for a in lists):
+                break
+        out.append(chr(0x4E00 + x))
+    return "".join(out)
+
+
 def _name(value: str, key: bytes) -> str:
     """Given names of the lists move within their script and gender, all other words by letters; each word alike wherever it
     stands, so that a surname alone, after any title and in a full name agree."""
@@ -244,7 +352,10 @@ def _name(value: str, key: bytes) -> str:
             out.append(word)
             continue
         pool = _pools().get(low := _lower(word))
-        new = pool[permute(pool.index(low), len(pool), key, f"given{pool[0]}")] if pool else _word_name(word, key, "name")
+        if _script(word) == "han":
+            out.append(_han_name(word, key))
+            continue
+        new = pool[following(pool.index(low), len(pool), key, f"given{pool[0]}")] if pool else _word_name(word, key, "name")
         if new[-1] == "σ":
             new = new[:-1] + "ς"
         out.append(_cased(word, new))
@@ -257,24 +368,24 @@ def surrogate(kind: str, value: str, gender: str, key: bytes) -> str:
     if kind == "email":
         local, _, domain = value.lower().partition("@")
         host, _, tld = domain.rpartition(".")
-        both = _by_class(f"{local}@{host}", key, f"email.{tld}", [LOWER, DIGITS])
-        return f"{both}.{tld}"
+        return f"{_by_class(local, key, 'mailbox', [LOWER, DIGITS])}@{_by_class(host, key, f'host.{tld}', [LOWER, DIGITS])}.{tld}"
     if kind == "ipv4":
         return _ipv4(".".join(str(int(p)) for p in value.split(".")), key)
     if kind == "card":
         return _card(value, key)
     if kind == "ssn":
-        return _by_class(value, key, "ssn", [DIGITS])
+        return _ssn(value, key)
     if kind == "iban":
-        flat = value.replace(" ", "")
-        new = flat[:2] + _by_class(flat[2:], key, f"iban{flat[:2]}", [DIGITS, UPPER])
-        return _layout(value, new, DIGITS + UPPER)
+        return _layout(value, _iban(value.replace(" ", ""), key), DIGITS + UPPER)
     if kind == "phone":
         d = "".join(c for c in value if c in DIGITS)
         head = _country(d) if value.startswith("+") else 0
-        intl = "+" if value.startswith("+") else ""
-        new = d[:head] + _by_class(d[head:], key, f"phone{intl}{d[:head]}", [DIGITS])
-        return _layout(value, new, DIGITS)
+        zeros = len(d) - head - len(d[head:].lstrip("0"))  # trunk prefixes stay, and no other number gets one
+        rest = d[head + zeros :]
+        if rest:
+            low = 10 ** (len(rest) - 1)
+            rest = str(low + following(int(rest) - low, 9 * low, key, f"phone{value[:1] == '+'}{d[: head + zeros]}"))
+        return _layout(value, d[: head + zeros] + rest, DIGITS)
     return _name(value, key)
 
 
@@ -289,11 +400,19 @@ def canonical(kind: str, value: str) -> str:
     return value.lower() if kind == "email" else ".".join(str(int(p)) for p in value.split(".")) if kind == "ipv4" else value
 
 
-def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str, str]]]:
+def _moved(kind: str, value: str, gender: str, key: bytes, moved: dict[bytes, int]) -> str:
+    """The surrogate, as many steps further along its order as `moved` says for the entity's digest."""
+    new = surrogate(kind, value, gender, key)
+    for _ in range(moved.get(_digest(key, kind, canonical(kind, value)), 0) if moved else 0):
+        new = surrogate(kind, new, gender, key)
+    return new
+
+
+def replace(text: str | None, key: bytes, moved: dict[bytes, int] | None = None) -> tuple[str | None, list[tuple[int, int, str, str]]]:
     """(text with surrogates, [(start, length in the new text, type, gender)])."""
     out, at, size, found = [], 0, 0, []
     for s, e, kind, gender in detect(text):
-        new = surrogate(kind, text[s:e], gender, key)
+        new = _moved(kind, text[s:e], gender, key, moved or {})
         out += [text[at:s], new]
         size += s - at
         found.append((size, len(new), kind, gender))
@@ -302,49 +421,75 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, i
     return ("".join([*out, text[at:]]) if found else text), found
 
 
-def _replaced(batches, key):
+def _replaced(batches, key, moved):
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("gender", pa.string())]))
     for b in batches:
-        got = [replace(t, key) for t in b.column("text").to_pylist()]
+        got = [replace(t, key, moved) for t in b.column("text").to_pylist()]
         spans = pa.array([[dict(zip(("start", "length", "type", "gender"), f)) for f in fs] for _, fs in got], span)
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([t for t, _ in got], pa.string()), pa.array([len(f) for _, f in got], pa.int32()), spans], ["doc_id", "text", "n_entities", "entities"])
 
 
-def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", moved: dict[bytes, int] | None = None) -> DataFrame:
     """(doc_id, text, n_entities, entities) of every row: the text with surrogates and where they stand in it.
 
-    Types: email, ipv4, ssn, card, iban, phone, name (gender m, f or n from a title or a given name). Null stays null, empty
-    empty; a text without entities comes back as it is. Equal rows give equal rows; rows with a null id are like others; other
+    Types: email, ipv4, ssn, card, iban, phone, name (gender m, f or n from a title or a given name). `moved` is what resolve()
+    found. Null stays null, empty empty; a text without entities comes back as it is. Equal rows give equal rows; rows with a null id are like others; other
     columns aren't read. Texts are replaced whole and where they are read: no shuffle, and a lost task runs again
     to the same result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_replaced, key=key), "doc_id long, text string, n_entities int, entities array<struct<start:long,length:long,type:string,gender:string>>")
+    return rows.mapInArrow(partial(_replaced, key=key, moved=moved or {}), "doc_id long, text string, n_entities int, entities array<struct<start:long,length:long,type:string,gender:string>>")
 
 
-def _digest(key: bytes, *parts: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), key=key, digest_size=8).digest(), "big", signed=True)
+def _digest(key: bytes, *parts: str) -> bytes:
+    return hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), key=key, digest_size=16).digest()
 
 
-def _listed(batches, key):
+def _listed(batches, key, moved):
     for b in batches:
         rows = set()
         for t in b.column("text").to_pylist():
             for s, e, kind, gender in detect(t):
-                new = surrogate(kind, t[s:e], gender, key)
+                new = _moved(kind, t[s:e], gender, key, moved)
                 rows.add((kind, _digest(key, kind, canonical(kind, t[s:e])), _digest(key, kind, canonical(kind, new))))
         cols = list(zip(*rows)) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["type", "entity", "surrogate"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["type", "entity", "surrogate"])
 
 
-def entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """Distinct (type, entity, surrogate) as keyed digests."""
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(partial(_listed, key=key), "type string, entity long, surrogate long")
+def entities(docs: DataFrame, key: bytes, text_col: str = "text", moved: dict[bytes, int] | None = None) -> DataFrame:
+    """Distinct (type, entity, surrogate) as keyed digests of 128 bits. Null and empty texts have none, repeated rows count once, an
+    empty table gives none; whole texts are searched, where they are read, and only digests are shuffled."""
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(partial(_listed, key=key, moved=moved or {}), "type string, entity binary, surrogate binary")
     return rows.distinct()
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """(type, surrogate, entity, n): surrogates that stand for n > 1 entities (entity null), entities with n > 1 surrogates (surrogate null)."""
+    """(type, surrogate, entity, n): surrogates that stand for n > 1 entities (entity null), entities with n > 1 surrogates
+    (surrogate null). None for an empty table; rows that repeat count once."""
     shared = found.groupBy("type", "surrogate").agg(F.countDistinct("entity").alias("n")).where("n > 1")
     split = found.groupBy("type", "entity").agg(F.countDistinct("surrogate").alias("n")).where("n > 1")
     return shared.unionByName(split, allowMissingColumns=True).select("type", "surrogate", "entity", "n")
+
+
+def resolve(docs: DataFrame, key: bytes, text_col: str = "text", most: int = 100_000, rounds: int = 8) -> dict[bytes, int]:
+    """For pseudonymise(): the entities, as digests, whose surrogates have to move along their order, and how far, so that no two share one.
+
+    Of the entities that share a surrogate the one with the smallest digest keeps it. The orders are bijections, so
+    there are none unless a class is wrongly told apart; more than `most`, or an entity with two surrogates, is an error.
+    """
+    moved: dict[bytes, int] = {}
+    for _ in range(rounds):
+        found = entities(docs, key, text_col, moved)
+        clash = collisions(found)
+        if not (some := clash.limit(most + 1).collect()):
+            return moved
+        if len(some) > most or any(x.entity is not None for x in some):
+            raise RuntimeError(f"{len(some)} collisions of surrogates: {some[0]}")
+        first = found.join(clash.select("type", "surrogate"), ["type", "surrogate"])
+        first = first.withColumn("first", F.min("entity").over(Window.partitionBy("type", "surrogate"))).where("entity <> first")
+        again = first.select("entity").limit(most + 1).collect()
+        if len(again) > most:
+            raise RuntimeError(f"more than {most} entities share surrogates")
+        for x in again:
+            moved[bytes(x.entity)] = moved.get(bytes(x.entity), 0) + 1
+    raise RuntimeError(f"surrogates still collide after {rounds} rounds")

@@ -196,6 +196,50 @@ def test_surrogate_rows(docs, nothing):
     assert pii.pseudonymise(nothing, DEMO_KEY).count() == 0
 
 
+def test_surrogates_of_a_table(spark):
+    """The registered query: text outside the entities stays, one surrogate for an entity and one entity for a surrogate."""
+    import re
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    new = {r.doc_id: r for r in queries()["op1_pii_surrogates"](spark, "/root/testdata/sf0.01").collect()}
+    old = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    assert set(new) == set(old)
+    to, back, n = {}, {}, 0
+    for i, text in old.items():
+        at = shift = 0
+        for x, (s, e, kind, _) in zip(new[i].entities, pii.detect(text)):
+            a, b = text[s:e], new[i].text[x.start : x.start + x.length]
+            assert kind == x.type and x.start == s + shift and new[i].text[at + shift : x.start] == text[at:s]
+            shift += len(b) - len(a)
+            at = e
+            a, b = pii.canonical(kind, a), pii.canonical(kind, b)
+            assert a != b and to.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
+            n += 1
+        assert (text or "")[at:] == (new[i].text or "")[at + shift :]
+    assert n == sum(r.n_entities for r in new.values()) > 50
+    # plain searches, apart from the operator's own
+    for search in (r"\b[\w.]+@\w+\.example\.com\b", r"\+1 \(\d{3}\) 555-\d{4}\b", r"\b4\d{15}\b"):
+        for i, text in old.items():
+            assert not set(re.findall(search, text or "")) & set(re.findall(search, new[i].text or ""))
+
+
+def test_entities_that_share_a_surrogate_are_moved_apart(spark, monkeypatch):
+    digest = pii._digest
+    df = spark.createDataFrame([(i, f"x {a}") for i, a in enumerate(["10.0.0.1", "10.0.0.2", "10.0.0.3"])], "doc_id int, text string")
+    shared = [("ipv4", digest(b"k", str(i)), digest(b"k", "s" if i < 2 else "t")) for i in range(3)]
+    first = spark.createDataFrame(shared, "type string, entity binary, surrogate binary")
+    real = pii.entities
+    monkeypatch.setattr(pii, "entities", lambda docs, key, text_col="text", moved=None: real(docs, key, text_col, moved) if moved else first)
+    moved = pii.resolve(df, b"k")
+    assert moved == {max(digest(b"k", "0"), digest(b"k", "1")): 1}
+    monkeypatch.setattr(pii, "entities", lambda docs, key, text_col="text", moved=None: first)
+    with pytest.raises(RuntimeError):
+        pii.resolve(df, b"k", rounds=2)
+    own = digest(b"k", "ipv4", "10.0.0.1")
+    plain, far = pii.replace("x 10.0.0.1", b"k")[0], pii.replace("x 10.0.0.1", b"k", {own: 1})[0]
+    assert far == "x " + pii.surrogate("ipv4", plain[2:], "", b"k")
+
+
 def test_entities_with_two_surrogates_are_collisions(spark):
     found = spark.createDataFrame([("phone", 1, 10), ("phone", 1, 11), ("phone", 2, 12), ("name", 3, 10), ("name", 4, 13), ("name", 5, 13)], "type string, entity long, surrogate long")
     assert {tuple(r) for r in pii.collisions(found).collect()} == {("phone", None, 1, 2), ("name", 13, None, 2)}

@@ -154,6 +154,85 @@ def test_surrogates_depend_on_the_entity_alone():
     assert all((pii.surrogate("name", w, "n", b"key")[-1] in "ая") == (w[-1] in "ая") for w in words)
 
 
+@pytest.mark.parametrize("n", [2, 3, 10, 97])
+def test_following_is_one_cycle_without_fixed_points(n):
+    got = [pii.following(x, n, DEMO_KEY, "t") for x in range(n)]
+    assert sorted(got) == list(range(n)) and all(a != b for a, b in enumerate(got))
+    assert all(pii.permute(pii.permute(x, n, DEMO_KEY, "t"), n, DEMO_KEY, "t", back=True) == x for x in range(n))
+
+
+def test_no_listed_name_is_its_own_surrogate():
+    for key in (DEMO_KEY, b"a", b"b"):
+        for (script, gender), names in pii.GIVEN.items():
+            new = [pii.surrogate("name", n, gender, key) for n in names]
+            assert sorted(new) == sorted(names) and not any(a == b for a, b in zip(new, names))
+
+
+def test_addresses_stay_in_their_range_and_cost_no_walk():
+    import time
+
+    start = time.time()
+    for low, high in [*pii.RANGES, (0x08000000, 0x08100000), (0xDFFF0000, 0xE0000000)]:
+        some = {low, high - 1, *range(low, high, max(1, (high - low) // 1000))}
+        text = [".".join(map(str, x.to_bytes(4, "big"))) for x in some]
+        new = [int.from_bytes(bytes(map(int, pii.surrogate("ipv4", t, "", DEMO_KEY).split("."))), "big") for t in text]
+        assert len(set(new)) == len(some) and not any(a == b for a, b in zip(some, new))
+        if (low, high) in pii.RANGES:
+            assert all(low <= x < high for x in new)
+        else:
+            assert not any(a <= x < b for x in new for a, b in pii.RANGES)
+    assert time.time() - start < 10
+
+
+def test_numbers_with_rules_stay_valid():
+    rng = random.Random(3)
+
+    def iban(country, body):
+        return f"{country}{98 - pii._iban_mod(body, '00', country):02}{body}"
+
+    for country, n in (("DE", 18), ("GB", 18), ("FR", 23)):
+        made = [iban(country, "".join(rng.choice(pii.DIGITS) for _ in range(n))) for _ in range(50)]
+        made.append(iban("GB", "WEST12345698765432"))
+        new = [pii.surrogate("iban", x, "", DEMO_KEY) for x in made]
+        assert all(pii._iban_mod(x[4:], x[2:4], x[:2]) == 1 and x[:2] == y[:2] and x != y for x, y in zip(new, made))
+        assert len(set(new)) == len(set(made))
+    wrong = pii.surrogate("iban", "DE00500105170648489890", "", DEMO_KEY)
+    assert wrong[:4] == "DE00"
+    fine = lambda s: 0 < int(s[:3]) < 900 and s[:3] != "666" and s[4:6] != "00" and s[7:] != "0000"
+    made = {f"{rng.randrange(1000):03}-{rng.randrange(100):02}-{rng.randrange(10000):04}" for _ in range(3000)} | {"001-01-0001", "665-01-0001", "667-01-0001", "899-99-9999", "666-01-0001", "000-11-2222", "123-00-1234"}
+    new = {x: pii.surrogate("ssn", x, "", DEMO_KEY) for x in made}
+    assert len(set(new.values())) == len(made) and all(fine(a) == fine(b) and a != b for a, b in new.items())
+    phones = [f"0{a}{b}" for a in ("30", "1") for b in range(1000, 1400)] + [f"{a}" for a in range(301000, 301400)]
+    got = [pii.surrogate("phone", x, "", DEMO_KEY) for x in phones]
+    assert len(set(got)) == len(phones) and all((a[0] == "0") == (b[0] == "0") and a != b and len(a) == len(b) for a, b in zip(phones, got))
+
+
+def test_later_mentions_of_a_name_are_replaced():
+    for text, names in (
+        ("Frau Müller kam. Später ging Müller, und Müllers Hund; Müllerei.", ["Müller"]),
+        ("Mrs Anna Lee spoke. Anna left, Lee did not. ANNA-LEE and Leeds.", ["Anna", "Lee"]),
+        ("Доктор Иванов и Господин Иванов. Потом Иванов.", ["Иванов"]),
+        ("王伟先生来了。后来王伟走了。", ["王伟"]),
+        ("My name is Priya Sharma. Priya lives here.", ["Priya", "Sharma"]),
+        ("Signed, Wei Zhang", ["Wei", "Zhang"]),
+    ):
+        new, spans = pii.replace(text, DEMO_KEY)
+        assert spans
+        for n in names:
+            if pii._script(n) == "han":
+                assert n not in new
+            else:
+                assert n not in pii._WORD.findall(new)
+                words = {w for s, k, _, _ in spans for w in pii._WORD.findall(new[s : s + k])}
+                assert pii._name(n, DEMO_KEY) in words
+    new, _ = pii.replace("Доктор Иванов и Господин Иванов", DEMO_KEY)
+    assert new.split()[1] == new.split()[4]
+    for x in ("müßig", "Jérôme", "Núñez"):
+        assert not set(pii._name(x, DEMO_KEY)) & set("üßéôúñ") or pii._name(x, DEMO_KEY) != x
+    assert pii.detect("Dear sir, name: none. The Will of Mark") == []
+    assert pii.surrogate("name", "王芳", "f", DEMO_KEY)[1] in pii.HAN_GIVEN["f"]
+
+
 def test_forest_tells_held_out_findings():
     forest = secrets.default_forest()
     x, y = secrets.training_matrix(secrets.labelled_findings(1500, seed=99))

@@ -1,12 +1,15 @@
 """URL filters as a sort-merge range join.
 
 A host's labels, reversed and each ended by a separator, make a key under which a host and all its subdomains form one
-interval. Urls are sorted by that key within their partition and swept once beside the sorted rules; the rules whose
-interval holds the current key lie nested on a stack.
+interval. Urls are sorted by that key within their partition and swept once beside the sorted hosts of the rules; the hosts whose
+interval holds the current key lie nested on a stack. Of each, the rules' paths are intervals too, sorted and nested: the
+last that begins before a url's path, or one of those around it, is the longest that fits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterable
 from functools import partial
 from itertools import islice
@@ -37,25 +40,50 @@ def _key(host: str) -> str:
     return SEP.join(reversed(host.split("."))) + SEP
 
 
-def _sweep(batches, rules):
-    rules = rules.value  # (key, host, path, verdict), sorted by key
+class Host:
+    """The rules of one host: paths, sorted; of each the next shorter one around it, or -1; and their verdicts."""
+
+    def __init__(self, host: str, rules: list[tuple[str, str]]):
+        self.key, self.host = _key(host), host
+        self.paths, self.verdicts = zip(*sorted(rules))
+        self.around, stack = [], []
+        for k, path in enumerate(self.paths):
+            while stack and not path.startswith(self.paths[stack[-1]]):
+                stack.pop()
+            self.around.append(stack[-1] if stack else -1)
+            stack.append(k)
+
+    def longest(self, path: str) -> int:
+        """The number of the longest path that `path` starts with, or -1."""
+        k = bisect_right(self.paths, path) - 1
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.around[k]
+        return k
+
+
+def _sweep(batches, hosts):
+    hosts = hosts.value  # sorted by key
     nxt, stack, last = 0, [], None
     for b in batches:
-        best = []
+        best, before = [], None
         for key, host, path, was in zip(*[b.column(c).to_pylist() for c in ("key", "host", "path", "rule")]):
+            if before == (key, path, was):  # sorted, so equal urls follow one another
+                best.append(best[-1])
+                continue
+            before = (key, path, was)
             if key != last:
-                while nxt < len(rules) and rules[nxt][0] <= key:  # intervals that begin up to here, outer ones first
-                    while stack and not rules[nxt][0].startswith(stack[-1][0]):
+                while nxt < len(hosts) and hosts[nxt].key <= key:  # intervals that begin up to here, outer ones first
+                    while stack and not hosts[nxt].key.startswith(stack[-1].key):
                         stack.pop()
-                    stack.append(rules[nxt])
+                    stack.append(hosts[nxt])
                     nxt += 1
-                while stack and not key.startswith(stack[-1][0]):  # intervals that ended
+                while stack and not key.startswith(stack[-1].key):  # intervals that ended
                     stack.pop()
                 last = key
             found = (len(was["rule"]), len(was["host"]), was["rule"], was["verdict"], was["host"]) if was else (-1, -1, None, None, None)
-            for _, rhost, rpath, verdict in stack:
-                if path.startswith(rpath) and (host == rhost or host.endswith("." + rhost)):
-                    found = max(found, (len(rhost) + len(rpath), len(rhost), rhost + rpath, verdict, rhost), key=lambda x: x[:2])
+            for h in stack:
+                if (host == h.host or host.endswith("." + h.host)) and (k := h.longest(path)) >= 0:
+                    found = max(found, (len(h.host) + len(h.paths[k]), len(h.host), h.host + h.paths[k], h.verdicts[k], h.host), key=lambda x: x[:2])
             best.append(None if found[2] is None else {"rule": found[2], "verdict": found[3], "host": found[4]})
         kind = pa.struct([("rule", pa.string()), ("verdict", pa.string()), ("host", pa.string())])
         cols = [b.column(i) if n != "rule" else pa.array(best, kind) for i, n in enumerate(b.schema.names)]
@@ -69,7 +97,8 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str = "al
     longest that fits wins, of equal lengths the one with the longer host, and of equal rules the first. Without one the
     verdict is `default`. A url that is null or has no :// has an empty host and path, which no rule fits. Nothing is
     shuffled: each task sorts and sweeps its own urls, so a host that holds most urls is as cheap as many
-    small ones. Rules beyond `max_rules` are swept in further passes that keep the better rule. Empty tables and
+    small ones, and a url costs the depth of its host and a search in each host's sorted paths, however many rules a host has. Very long
+    urls are judged whole. Rules beyond `max_rules` are swept in further passes that keep the better rule. Empty tables and
     repeated rows are as any; other columns aren't read.
     """
     host, path = host_and_path(F.col(url_col))
@@ -78,13 +107,12 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str = "al
     rows = rows.withColumns({"key": host_key(F.col("host")), "rule": F.lit(None).cast(none)})
     seen, it = {}, iter(rules)
     while some := list(islice(it, max_rules)):
-        part = []
+        part = defaultdict(list)
         for rule, verdict in some:
             rhost, slash, rpath = rule.partition("/")
             if rhost and slash and rule not in seen:
-                part.append((_key(rhost), rhost, slash + rpath, verdict))
+                part[rhost].append((slash + rpath, verdict))
                 seen[rule] = verdict
-        part.sort(key=lambda x: x[:3])
-        shared = pages.sparkSession.sparkContext.broadcast(part)
-        rows = rows.sortWithinPartitions("key").mapInArrow(partial(_sweep, rules=shared), f"page_id {pages.schema[id_col].dataType.simpleString()}, host string, path string, key string, rule {none}")
+        shared = pages.sparkSession.sparkContext.broadcast(sorted((Host(h, r) for h, r in part.items()), key=lambda h: h.key))
+        rows = rows.sortWithinPartitions("key", "path").mapInArrow(partial(_sweep, hosts=shared), f"page_id {pages.schema[id_col].dataType.simpleString()}, host string, path string, key string, rule {none}")
     return rows.select("page_id", "host", "path", F.col("rule.rule").alias("rule"), F.coalesce("rule.verdict", F.lit(default)).alias("verdict"))

@@ -335,6 +335,20 @@ def test_url_rows(spark):
     assert urls.judge(pages, []).where("verdict = 'allow' and rule is null").count() == len(made) * 2
 
 
+def test_urls_of_many_rules_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    hosts = ["org", "a.org", "b.a.org", "c.org", "x.c.org", "org.a"]
+    path = lambda n: "/" + "".join(rng.choice(list("ab/"), n))
+    rules = list({f"{rng.choice(hosts)}{path(rng.integers(0, 5))}": str(rng.choice(["allow", "block"])) for _ in range(300)}.items())
+    made = [f"http://{rng.choice(['', 'www.', 'a.', 'b.a.'])}{rng.choice(hosts)}{path(rng.integers(0, 9))}{rng.choice(['', '?q', '#f'])}" for _ in range(600)]
+    made += ["http://a.org/" + "ab" * 100_000, "http://" + "a." * 5000 + "org/ab"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id int, url string").repartition(3), rules, default="allow", max_rules=120).collect()
+    for r in got:
+        fits = [x for x in rules if x[0].partition("/")[0] in (r.host, *[r.host[-len(h) :] for h in hosts if r.host.endswith("." + h)]) and r.path.startswith("/" + x[0].partition("/")[2])]
+        best = max(fits, key=lambda x: (len(x[0]), len(x[0].partition("/")[0])), default=None)
+        assert (r.rule, r.verdict) == (best or (None, "allow"))
+
+
 def _vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(700, 16))

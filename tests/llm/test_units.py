@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from terrafield.llm import mixing, packing, pii, secrets, simhash, toxicity, vectors
+from terrafield.llm import mixing, packing, pii, secrets, simhash, toxicity, urls, vectors
 from terrafield.llm.queries import DEMO_KEY, tokenizer_path
 
 
@@ -233,6 +233,19 @@ def test_later_mentions_of_a_name_are_replaced():
     assert pii.surrogate("name", "王芳", "f", DEMO_KEY)[1] in pii.HAN_GIVEN["f"]
 
 
+def test_longest_paths_of_a_host_against_brute_force():
+    rng = random.Random(9)
+    for n in (1, 5, 60, 3000):
+        paths = {"/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(8))) for _ in range(n)}
+        h = urls.Host("x.org", [(p, "block") for p in paths])
+        for _ in range(300):
+            path = "/" + "".join(rng.choice("abc/") for _ in range(rng.randrange(12)))
+            want = max((p for p in paths if path.startswith(p)), key=len, default=None)
+            k = h.longest(path)
+            assert (h.paths[k] if k >= 0 else None) == want
+    assert urls.Host("x", [("/", "a")]).longest("") == -1
+
+
 def test_forest_tells_held_out_findings():
     forest = secrets.default_forest()
     x, y = secrets.training_matrix(secrets.labelled_findings(1500, seed=99))

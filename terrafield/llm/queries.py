@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrafield.llm import mixing, packing, pii, secrets, sharding, simhash, toxicity, urls, vectors
 from terrafield.session import ship
 
-#: Key of the surrogates in the registered query; a deployment passes its own secret.
+#: Key of surrogates and digests in the registered queries; a deployment passes its own secret.
 DEMO_KEY = b"terrafield demo key"
 SHARDS = 24
 RULES = [
@@ -45,7 +45,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"), forest())
+    return secrets.scan(_table(spark, sf_dir, "documents"), forest(), key=DEMO_KEY)
 
 
 @lru_cache(maxsize=1)

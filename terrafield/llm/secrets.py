@@ -7,6 +7,7 @@ labelled set is generated here from public key formats and from what scanners ta
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -17,7 +18,6 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,8 @@ FORMATS = {
     "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "google_api_key": r"AIza[A-Za-z0-9_\-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+    # a whole block, its headers included; without an end its headers and its lines of 16 characters or more
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s*(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n]*)*(?:\s*[A-Za-z0-9+/=]{16,})*)",
 }
 SECRET_WORDS = "password passwd pwd pass secret token key apikey auth bearer credential credentials private signature".split()
 HARMLESS_WORDS = "sha sha1 sha256 md5 commit checksum hash digest uuid guid etag revision example sample id ref isbn order invoice version".split()
@@ -43,7 +44,10 @@ DICTIONARY = (
     "the and for that with this from have not are was you your all can has but what when time there which their will would about "
     "into other than then them these some like could people only over know just first year good work name file path user home data "
     "page image index main test value class function return string number service client server config default public static method "
-    "object model table column error message request response content system local cache access account order order report config"
+    "object model table column error message request response content system local cache access account order report "
+    "nicht eine einer auch sich oder werden wurde haben durch nach über unter zwischen seite datei name jahr "
+    "dans pour avec cette sont plus elle nous vous leur entre sans fichier page année nom "
+    "para como pero este esta entre sobre desde hasta cuando archivo página nombre año todos"
 ).split()
 
 #: Beginnings of the formats: a text without any of them needs no search for formats.
@@ -54,6 +58,7 @@ _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 _ASSIGNED = re.compile(
     r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth_?key|private_?key|secret_?key|credentials?)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,})"
 )
+_IN_URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@?#]*:([^\s/@?#]{4,})@")
 _BARE = re.compile(r"(?<![A-Za-z0-9_+/=\-.])[A-Za-z0-9_+/=\-]{16,}(?![A-Za-z0-9_+/=\-])")
 _DIGIT = re.compile("[0-9]")
 _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
@@ -62,14 +67,16 @@ _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of everything that might be a secret, in the order of the text, without overlaps.
 
-    Known formats come first, then values that are assigned to a telling name, then bare runs of 16 characters or more
-    with a digit; what overlaps an earlier find is left out. Cheap tests tell which searches a text needs.
+    Known formats come first, then passwords within urls, then values that are assigned to a telling name, then bare runs of 16
+    characters or more with a digit; what overlaps an earlier find is left out. Cheap tests tell which searches a text needs.
     """
     if not text:
         return []
     out = []
     if any(m in text for m in MARKS):
         out += [(*m.span(), m.lastgroup) for m in _FORMAT.finditer(text)]
+    if "://" in text and "@" in text:
+        out += [(*m.span(1), "in_url") for m in _IN_URL.finditer(text)]
     low = text.lower()
     if any(n in low for n in NAMES):
         out += [(*m.span(1), "assigned") for m in _ASSIGNED.finditer(text)]
@@ -126,7 +133,7 @@ def describe(text: str, start: int, end: int, kind: str) -> list[float]:
         float(bool(re.search(r"^(?:https?:|\.{0,2}/|[A-Za-z]:\\)|\.(?:html?|png|jpe?g|js|css|py|txt|json)$", low)) or v.count("/") >= 3),
         sum(v.count(c) for c in "/-_."),
         float(kind in FORMATS),
-        float(kind == "assigned"),
+        float(kind in ("assigned", "in_url")),
         float(any(w in SECRET_WORDS for w in beside)),
         float(any(w in HARMLESS_WORDS for w in beside)),
         float(any(p in low for p in PLACEHOLDERS)),
@@ -204,6 +211,7 @@ def labelled_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, bool]]:
     r = random.Random(seed)
     pick = lambda abc, k: "".join(r.choice(abc) for _ in range(k))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
+    weak, schemes = "hunter letmein dragon monkey qwerty welcome summer winter iloveu".split(), ["https", "http", "ftp", "postgres", "redis", "amqp", "mongodb+srv"]
     prose = lambda: " ".join(r.choice(DICTIONARY) for _ in range(r.randint(0, 6)))
     name = lambda: r.choice(["password", "passwd", "token", "api_key", "secret", "access_key", "db_password", "auth_key", "client_secret", "apikey", "private_key", "SECRET_KEY"])
 
@@ -221,6 +229,10 @@ def labelled_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, bool]]:
         lambda: assign(pick(alnum, r.randint(10, 44))),
         lambda: assign(pick(alnum + "!@#$%^&*", r.randint(8, 24))),
         lambda: assign(pick(string.ascii_lowercase, r.randint(3, 6)) + pick(string.digits + "!_", r.randint(3, 8))),
+        lambda: assign(r.choice(DICTIONARY + weak) + pick(string.digits + "!", r.randint(1, 4))),
+        lambda: assign(pick(string.ascii_lowercase, r.randint(5, 8)) + pick(string.digits, 1) + r.choice(["", "!", "#"])),
+        lambda: f"{r.choice(schemes)}://{r.choice(DICTIONARY)}:{pick(alnum, r.randint(6, 24))}@{r.choice(DICTIONARY)}.example.com/{r.choice(DICTIONARY)}",
+        lambda: f"{r.choice(schemes)}://{r.choice(DICTIONARY)}:{r.choice(DICTIONARY + weak)}{pick(string.digits, r.randint(1, 3))}@{r.choice(DICTIONARY)}",
         lambda: r.choice(SECRET_WORDS) + " " + pick(alnum + "+/", 40),
         lambda: pick(alnum + "+/", r.randint(32, 60)) + r.choice(["", "="]),
     ]
@@ -231,6 +243,7 @@ def labelled_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, bool]]:
         lambda: "/" + "/".join(r.choice(DICTIONARY) for _ in range(r.randint(3, 6))) + "/" + pick(string.digits, 4) + r.choice([".html", ".png", ""]),
         lambda: r.choice("-_").join(r.choice(DICTIONARY) for _ in range(r.randint(3, 6))) + r.choice("-_") + pick(string.digits, r.randint(1, 4)),
         lambda: assign(r.choice(["changeme123", "your_api_key_here", "YOUR-TOKEN-HERE", "xxxxxxxxxxxx", "example_password", "<placeholder>", "********", "test1234", "${SECRET}", "os.environ", "None", "null"])),
+        lambda: f"{r.choice(schemes)}://{r.choice(['user', 'username', 'name'])}:{r.choice(['password', 'pass', '${PASS}', '****', '<password>', 'your_password', '$TOKEN', '{token}'])}@{r.choice(DICTIONARY)}",
         lambda: assign(r.choice(DICTIONARY) + r.choice(DICTIONARY) + r.choice(["()", ".get", "[0]", ""])),
         lambda: f"{name()}: " + r.choice(["string", "required", "optional", "strings", "function", "default"]),
         lambda: r.choice(["order", "invoice", "ref", "id", "isbn"]) + " " + pick(string.digits, r.randint(4, 8)) + "-" + pick(string.digits, r.randint(8, 12)),
@@ -283,26 +296,31 @@ def judged(text: str | None, forest: Forest, threshold: float) -> list[tuple[int
     return [(s, e, k, float(q), bool(q >= threshold)) for (s, e, k), q in zip(found, p)]
 
 
-def _scan(batches, forest, threshold):
+def value_hash(value: str, key: bytes) -> str:
+    """A keyed digest of a finding: equal ones agree, and a short one can't be guessed without the key."""
+    return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest()
+
+
+def _scan(batches, forest, threshold, key):
     for b in batches:
         rows = []
         for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-            rows += [(i, s, e - s, k, f"{xxhash.xxh3_64_intdigest(t[s:e]):016x}", q, ok) for s, e, k, q, ok in judged(t, forest.value, threshold)]
+            rows += [(i, s, e - s, k, value_hash(t[s:e], key), q, ok) for s, e, k, q, ok in judged(t, forest.value, threshold)]
         cols = list(zip(*rows)) if rows else [[]] * 7
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "start", "length", "kind", "value_hash", "score", "is_secret"])
 
 
-def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", key: bytes = b"") -> DataFrame:
     """Every candidate of every text with its verdict: (doc_id, start, length, kind, value_hash, score, is_secret).
 
-    start and length count characters. The value itself isn't returned, its hash tells equal ones. False positives are rows
+    start and length count characters. The value itself isn't returned, its digest under `key` tells equal ones. False positives are rows
     with is_secret false. Null and empty texts have no candidates; rows with a null id are scanned like others; repeated rows
     give repeated findings; an empty table gives none. Texts are scanned whole, where they are read: no shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
-    return rows.mapInArrow(partial(_scan, forest=shared, threshold=threshold), "doc_id long, start long, length long, kind string, value_hash string, score double, is_secret boolean")
+    return rows.mapInArrow(partial(_scan, forest=shared, threshold=threshold, key=key), "doc_id long, start long, length long, kind string, value_hash string, score double, is_secret boolean")
 
 
 def _masked(batches, forest, threshold, text_at, length_at):
@@ -321,7 +339,11 @@ def _masked(batches, forest, threshold, text_at, length_at):
 
 
 def mask_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with every secret replaced by [KIND]; all rows and columns stay, the length column follows the text."""
+    """docs with every secret replaced by [KIND]; all rows and columns stay, the length column follows the text.
+
+    Secrets of any length go whole. Null and empty texts stay as they are; repeated rows are masked alike; rows with a null id are
+    masked like others; an empty table stays empty; other columns pass through, whatever their names. No shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
     at = {c: k for k, c in enumerate(docs.columns)}
     return map_whole(docs, partial(_masked, forest=shared, threshold=threshold, text_at=at[text_col], length_at=at.get(length_col)))

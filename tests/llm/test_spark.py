@@ -174,6 +174,27 @@ def test_secret_rows(docs, nothing):
     assert secrets.scan(nothing).count() == secrets.mask_secrets(nothing).count() == 0
 
 
+def test_planted_secrets_leave_no_trace(spark):
+    """Secrets in the documents of a table, beside a search that knows what was planted."""
+    import random
+
+    r = random.Random(11)
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda n: "".join(r.choice(abc) for _ in range(n))
+    rows, planted = [], {}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        value = r.choice([lambda: "ghp_" + pick(36), lambda: "AKIA" + pick(16).upper(), lambda: pick(24), lambda: pick(900)])()
+        at = len(d.text) // 2
+        planted[d.doc_id] = value
+        rows.append((d.doc_id, f"{d.text[:at]} api_key={value} {d.text[at:]}", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    for m in secrets.mask_secrets(df).collect():
+        value = planted[m.doc_id]
+        assert value[:8] not in m.text and value[-8:] not in m.text and m.n_chars == len(m.text)
+    found = {(x.doc_id, x.value_hash) for x in secrets.scan(df, key=DEMO_KEY).collect() if x.is_secret}
+    assert {(i, secrets.value_hash(v, DEMO_KEY)) for i, v in planted.items()} <= found
+
+
 def test_forest_of_given_findings(spark):
     rows = []
     for text, secret in secrets.labelled_findings(600, seed=3):

@@ -275,6 +275,26 @@ def test_long_secrets_are_found_whole():
         assert [x[:2] for x in secrets.candidates(token)] == [(0, len(token))]
 
 
+def test_no_tail_of_a_secret_is_left():
+    r = random.Random(5)
+    forest = secrets.default_forest()
+    lines = "\n".join("".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(64)) for _ in range(12))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    blocks = [f"-----BEGIN RSA PRIVATE KEY-----\n{h}{lines}\n-----END RSA PRIVATE KEY-----" for h in ("", head)]
+    blocks += [f"-----BEGIN PRIVATE KEY-----\n{lines}", f"-----BEGIN RSA PRIVATE KEY-----\n{head}{lines}"]
+    blocks += ["-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n" + lines + "\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----"]
+    blocks += ["-----BEGIN PRIVATE KEY-----\\n" + lines.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----"]
+    for block in blocks:
+        for tail in ("", "\nplain words that go on. And more."):
+            found = secrets.judged(f"some words {block}{tail}", forest, 0.5)
+            assert [f[:2] for f in found if f[4]] == [(11, 11 + len(block))], block
+    for text, value in (("postgres://app:s3cr3tPw99@db.example.com/x", "s3cr3tPw99"), ("password: hunter2", "hunter2"), ("pwd=letmein9! x", "letmein9!")):
+        assert [text[s:e] for s, e, _, _, ok in secrets.judged(text, forest, 0.5) if ok] == [value]
+    for text in ("https://user:password@host", "password: required", "token: string", "see http://a.example.com:8080/x@y"):
+        assert not [f for f in secrets.judged(text, forest, 0.5) if f[4]]
+    assert secrets.value_hash("a", b"x") != secrets.value_hash("a", b"y")
+
+
 def test_chain_learns_words_and_their_beginnings():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))

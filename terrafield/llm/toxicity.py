@@ -219,7 +219,8 @@ def score(pos, n, p_all: int, n_all: int) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, most: int = FEATURES) -> Chain:
     """Fits the chain; categories: name -> SQL condition on a row of `labels`, in the order of the chain.
 
-    Trained on at most train_rows labelled ids, those of the smallest hashes. Executors hash their texts' features and count them;
+    Trained on at most train_rows labelled rows, those whose ids have the smallest hashes; rows that repeat an id and its text count
+    once. Executors hash their texts' features and count them;
     the driver gets the `most` features that score() finds best and, of the sample's rows, which of these they have.
     Rows without an id, a label or a text are left out. Without labelled rows every probability is 0.
     """
@@ -230,7 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
     marks = marks.orderBy(F.xxhash64("id", F.lit("train")), "id").limit(train_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     texts = texts.join(F.broadcast(marks.select("id")), "id", "left_semi")  # train_rows ids at most
-    sample = cut(texts.mapInArrow(_feature_rows, "id long, features binary, grp long").join(F.broadcast(marks), "id"))
+    sample = texts.mapInArrow(_feature_rows, "id long, features binary, grp long").dropDuplicates(["id", "grp"])
+    sample = sample.orderBy(F.xxhash64("id", F.lit("train")), "id", "grp").limit(train_rows)
+    sample = cut(sample.join(F.broadcast(marks), "id"))
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     fields = ", ".join(f"pos{j} long" for j in range(k))
     counts = sample.mapInArrow(partial(_counted, k=k), f"feature long, n long, {fields}")
@@ -287,6 +290,10 @@ def _judged(batches, chain, text_at):
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the chain's last category rejects; order and columns stay."""
+    """docs without the rows that the chain's last category rejects; columns stay, whatever their names.
+
+    Whole texts are judged where they are read, without a shuffle. Null and empty texts have no features: they stay unless the
+    model's bias alone rejects them. Repeated rows share their fate; an empty table stays empty; an id isn't needed.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     return map_whole(docs, partial(_judged, chain=shared, text_at=docs.columns.index(text_col)))

@@ -212,7 +212,7 @@ def links(points: DataFrame, radius: int, sample_rows: int | None = None, shard_
     sample_rows = sample_rows or min(1 << 20, max(1 << 16, total >> 16))
     share = min(0.25, sample_rows / max(1, total))
     pick = (F.pmod(F.xxhash64("id", "view"), F.lit(1 << 20)) < int(share * (1 << 20))) if total else F.lit(False)
-    sample = np.array([x.point for x in points.where(pick).select("point").collect()], np.int64).view(np.uint64)
+    sample = points.where(pick).select("point").toArrow().column("point").to_numpy().view(np.uint64)
     views = points.agg(F.max("view")).first()[0] or 0
     tree = Tree(sample, radius, max(8, int(shard_rows * share * (views + 1))))
     trees = spark.sparkContext.broadcast(tree)

@@ -4,7 +4,8 @@ Full windows are cut off long documents; what remains is routed to the tier of t
 Tiers are packed from the longest: a window starts with a document of its own tier, its gap is filled from shorter
 tiers, the best fit first, and what no whole document fits is filled with a piece cut from a shorter one. With nothing
 left to cut from, the window itself is cut into full windows of shorter tiers. Each task packs the documents it
-reads, so no token is shuffled, and a lost task is simply run again.
+reads, so no token is shuffled, and a lost task is simply run again. Windows of a tier are numbered over all tasks, so that
+step groups are full ones, whatever the tasks: of each tier only the last is short.
 """
 
 from __future__ import annotations
@@ -16,22 +17,27 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafield.llm.common import cut
+
 #: Context sizes. All are powers of two, so a full window of any tier needs no padding.
 TIERS = (1024, 512, 256, 128, 64)
 END = 0
 #: Tokens of a training step: every step group holds windows of one tier with this many tokens.
 STEP_TOKENS = 8192
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, task int, number long"
+#: How texts are cut before merges. Fixed value: the tokenizer file names this rule ("ByteLevel", without a leading space) and doesn't spell it out.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """The ids that the tokenizer file at `path` gives, from a faster engine for its vocabulary and rules.
 
-    The file's merges are read into ranks; that both engines agree on every code point is tested.
+    The file's merges are read into ranks; that both engines agree on every code point is tested. A file with other rules
+    (a normalizer, another way to cut texts, another kind of model) is refused.
     """
     import json
 
@@ -39,13 +45,17 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain_rules = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback") if model.get(k)]
+    if spec.get("normalizer") or not plain_rules or model.get("type") != "BPE" or odd:
+        raise ValueError(f"{path}: not a byte-level BPE of the plain rules")
     # byte-level alphabet: printable bytes stand for themselves, the rest follow from U+0100
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("terrafield", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding("terrafield", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
@@ -79,11 +89,13 @@ class Packer:
             self.mask ^= 1 << n
         return got
 
-    def add(self, doc, n: int) -> None:
+    def add(self, doc, n: int, rest=None) -> None:
+        """A document of n ids; what doesn't fill windows waits under the name rest(first id), `doc` if there is none."""
         whole = n - n % self.top
         for s in range(0, whole, self.top):
             self.emit(self.top, [(doc, s, s + self.top)])
-        self.put((doc, whole, n))
+        if whole < n:
+            self.put((rest(whole) if rest else doc, whole, n))
 
     def pack(self, last: bool) -> None:
         """Packs every tier; before the last call the shortest tier is kept as filling for later windows."""
@@ -123,7 +135,8 @@ class Packer:
 
 
 def _packed(batches, path, text_at_once=4 << 20):
-    base = TaskContext.get().partitionId() << 40
+    task = TaskContext.get().partitionId()
+    base = task << 40
     count = [0]
     per_tier = defaultdict(int)
     out = []
@@ -131,19 +144,18 @@ def _packed(batches, path, text_at_once=4 << 20):
     def emit(size, window):
         seq = base + count[0]
         count[0] += 1
-        # a step group holds STEP_TOKENS / size windows of one tier of this task
-        group = base + (TIERS.index(size) << 36) + per_tier[size] // max(1, STEP_TOKENS // size)
+        number = per_tier[size]  # of the window among those of its tier in this task
         per_tier[size] += 1
         at = 0
-        for (i, ids, n), s, e in window:
-            out.append((i, s, e - s, zlib.crc32(ids[s:e].tobytes()), n, seq, at, size, group))
+        for (i, ids, n, first), s, e in window:
+            out.append((i, s, e - s, zlib.crc32(ids[s - first : e - first].tobytes()), n, seq, at, size, task, number))
             at += e - s
 
     packer = Packer(emit)
 
     def flush():
-        cols = list(zip(*out)) if out else [[]] * 9
-        kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+        cols = list(zip(*out)) if out else [[]] * 10
+        kinds = [pa.int64()] * 7 + [pa.int32(), pa.int32(), pa.int64()]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
@@ -153,7 +165,8 @@ def _packed(batches, path, text_at_once=4 << 20):
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
             text = text.as_py()
             ids = token_ids(text, path).astype("<u4")
-            packer.add((i, ids, len(ids)), len(ids))
+            # what waits is a copy of its own ids, so that no long document is kept for a short rest
+            packer.add((i, ids, len(ids), 0), len(ids), lambda s, i=i, ids=ids: (i, ids[s:].copy(), len(ids), s))
             size += len(ids)
             if size >= text_at_once or len(out) > 200_000:
                 packer.pack(False)
@@ -169,10 +182,20 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """Pieces of every row's ids (END included), a row each: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and the window's tier and step group.
 
-    A sequence holds tier ids, but for the last of a task, which is padded to 1024. Null and empty texts are the END id
+    A sequence holds tier ids, but for the last of a task, which is padded to 1024. A step group holds STEP_TOKENS tokens of one tier;
+    the last group of each tier may be short. Null and empty texts are the END id
     alone. Rows with equal or null ids are documents of their own. Memory: the ids of one Arrow batch and the pieces
     of the shortest tier that wait for a gap; a very long text is cut at once. An empty table gives no pieces. Other
-    columns aren't read.
+    columns aren't read. The pieces (not the texts) are written once, to number the windows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_packed, path=tokenizer_path), SCHEMA)
+    pieces = cut(rows.mapInArrow(partial(_packed, path=tokenizer_path), SCHEMA))
+    # windows of each tier in each task: a row per task and tier
+    earlier = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tops = pieces.groupBy("tier", "task").agg((F.max("number") + 1).alias("n"))
+    tops = tops.select("tier", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    step = F.floor((F.col("before") + F.col("number")) * F.col("tier") / STEP_TOKENS)
+    tier_no = F.element_at(F.create_map(*[F.lit(x) for k, t in enumerate(TIERS) for x in (t, k)]), F.col("tier"))
+    return pieces.join(tops, ["tier", "task"]).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", (F.shiftleft(tier_no.cast("long"), 56) + step).alias("step_group")
+    )

@@ -526,6 +526,59 @@ def test_pack_rows(docs, nothing):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
+def test_pieces_of_a_table_against_the_tokenizer(spark):
+    """The registered query beside the tokenizer library: every id once, its CRC, full windows, balanced step groups."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.01"
+    t = Tokenizer.from_file(tokenizer_path())
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries()["op10_pack_windows"](spark, sf).collect()
+    by_doc, by_seq, groups = {}, {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(docs)
+    for i, pieces in by_doc.items():
+        ids = np.array(t.encode(docs[i] or "", add_special_tokens=False).ids + [0], "<u4")
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            at += r.length
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : at].tobytes())
+        assert at == len(ids)
+    pad = 0
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= r.tier
+        pad += 0 if at & (at - 1) == 0 else 1024 - at
+        groups.setdefault((r.tier, r.step_group), []).append(r.sequence_id)
+    assert pad <= 0.01 * sum(r.length for r in rows)
+    per_tier = {}
+    for (tier, _), seqs in groups.items():
+        assert len(seqs) <= packing.STEP_TOKENS // tier
+        per_tier.setdefault(tier, []).append(len(seqs))
+    assert all(sum(n < packing.STEP_TOKENS // tier for n in ns) <= 1 for tier, ns in per_tier.items())
+
+
+def test_chain_is_trained_on_a_bounded_number_of_rows(spark):
+    texts = spark.range(400).select(F.lit(7).alias("doc_id"), F.concat(F.lit("same id other text "), (F.col("id") % 90).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = toxicity.fit_matrix
+    try:
+        toxicity.fit_matrix = lambda *a: seen.append(len(a[3])) or real(*a)
+        toxicity.train(texts, labels, {"toxic": "toxic"}, train_rows=50)
+    finally:
+        toxicity.fit_matrix = real
+    assert seen == [50]
+
+
 def test_pipeline_and_catalogue(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id"} <= set(out.columns)
@@ -549,7 +602,7 @@ def test_plans_read_only_what_they_need(spark):
     plan = _plan(urls.judge(spark.read.parquet(f"{SF}/pages.parquet"), RULES))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan and "Exchange" not in plan
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for out in (packing.pack(docs, tokenizer_path()), pii.pseudonymise(docs, DEMO_KEY), secrets.scan(docs)):
+    for out in (pii.pseudonymise(docs, DEMO_KEY), secrets.scan(docs)):
         assert "ReadSchema: struct<doc_id:bigint,text:string>" in _plan(out) and "Exchange" not in _plan(out)
     even = {s: 1.0 for s in range(24)}
     plan = _plan(sharding.shard(docs, even))

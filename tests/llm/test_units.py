@@ -1,7 +1,6 @@
 """The operators' own pieces against brute force, without Spark."""
 
 import random
-import zlib
 
 import numpy as np
 import pytest
@@ -331,6 +330,14 @@ def test_lookup_bounds_hold():
         assert (np.abs(adc - true) <= err[rows] + 1e-9).all()
 
 
-def test_crc_is_of_little_endian_ids():
-    ids = np.array([1, 258], np.uint32).astype("<u4")
-    assert zlib.crc32(ids.tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\x01\0\0")
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "unk_token": "?"}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        packing.encoder.cache_clear()
+        with pytest.raises(ValueError):
+            packing.encoder(str(path))
+    packing.encoder.cache_clear()

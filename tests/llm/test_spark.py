@@ -326,18 +326,57 @@ def test_mix_rows(spark, docs, nothing):
     assert all(abs(taken[s] - target[s]) < 0.02 * target[s] for s in taken)
 
 
-def test_mix_takes_what_the_schedule_says(spark, docs):
+def test_mix_takes_what_the_schedule_says(spark):
     big = spark.read.parquet(f"{SF}/documents.parquet")
-    rows, plan = mixing.prepare(big, "doc_id", "text", "source")
-    where = rows.collect()
-    taken = {}
-    for s in mixing.schedule(spark, plan).collect():
-        size, n = int(plan.sizes[s.source_no]), int(plan.blocks[s.source_no])
-        lo, hi = s.block * size // n, (s.block + 1) * size // n
-        for r in (r for r in where if r.source_no == s.source_no and r.before < hi and r.before + r.size > lo) if hi - lo > 1 else ():
-            taken[r.doc_id] = taken.get(r.doc_id, 0) + min(hi, r.before + r.size) - max(lo, r.before)
-    if any(int(z) // int(n) > 1 for z, n in zip(plan.sizes, plan.blocks) if n):
-        assert {r.doc_id: r.taken for r in mixing.mix(big).collect() if r.taken} == taken
+    how = {"least_slots": 256, "block_words": 200}
+    rows, sources = mixing.prepare(big, "doc_id", "text", "source", **how)
+    where = {}
+    for r in rows.collect():
+        where.setdefault(r.source_no, []).append(r)
+    of = {x.source_no: x for x in sources.collect()}
+    assert max(x["size"] // x.blocks for x in of.values() if x.blocks) > 10
+    slots = mixing.schedule(sources).orderBy("slot").collect()
+    assert len({s.slot for s in slots}) == len(slots) == sum(x.hi - x.lo for x in of.values())
+    taken, seen = {}, {}
+    for s in slots:  # in the mix's order: ranks count up, block after block
+        x = of[s.source_no]
+        k = seen[s.source_no] = seen.get(s.source_no, -1) + 1
+        assert (s.epoch, s.block) == divmod(k, x.blocks)
+        lo, hi = s.block * x["size"] // x.blocks, (s.block + 1) * x["size"] // x.blocks
+        for r in where[s.source_no]:
+            if r.before < hi and r.before + r.size > lo:
+                taken[r.doc_id] = taken.get(r.doc_id, 0) + min(hi, r.before + r.size) - max(lo, r.before)
+    assert {r.doc_id: r.taken for r in mixing.mix(big, **how).collect() if r.taken} == taken
+
+
+def _levels(sizes, weights, cap):
+    """Targets by bisection of the level that capped shares sum up to."""
+    total, low, high = sum(sizes), 0.0, float(sum(sizes)) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap * s, mid * w) for s, w in zip(sizes, weights)) < total else (low, mid)
+    return [min(cap * s, high * w) for s, w in zip(sizes, weights)]
+
+
+@pytest.mark.parametrize("sizes", [[3000] * 60_000, [10**9, *range(1, 3000)], [40, 0, 7, 10**6], [10, 100, 1000], [0, 0], []])
+def test_every_source_meets_its_own_target(spark, sizes):
+    rows = [(k, s, mixing.WEIGHTS[k % 3]) for k, s in enumerate(sizes)]
+    got = mixing.plan(spark.createDataFrame(rows, "source_no long, size long, weight int")).orderBy("source_no").collect()
+    want = _levels(sizes, [w for _, _, w in rows], 3)
+    edge = 0
+    for x, t in zip(got, want):
+        assert x.target == pytest.approx(t, rel=1e-9, abs=1e-6) and x.lo == edge and x.hi >= x.lo
+        edge = x.hi
+        assert abs((x.hi - x.lo) * x["size"] / max(1, x.blocks) - x.target) <= max(0.5, 0.01 * x.target) + 1e-6
+        assert x.hi - x.lo <= 3 * x.blocks
+    assert len(got) == len(sizes) and all(edge <= 1 << x.bits for x in got)
+
+
+def test_many_sources_are_joined_and_none_is_refused(spark, monkeypatch):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 900).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int") + 20).alias("text"))
+    want = sorted(mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "SMALL_ROWS", 10)
+    assert sorted(mixing.mix(df).collect()) == want and len(want) == 4000
 
 
 def test_url_rows(spark):

@@ -69,17 +69,40 @@ def crossprod(x: DataFrame, names, y: str, basis=None, on: str = "id") -> np.nda
 # ----------------------------------------------------------------------------- the factor on the driver, as padded arrays
 
 
+class Graph:
+    """What solves need of a neighbour graph, whatever the coefficients: which entries there are, and the levels of its rows.
+
+    A row's level is one more than the greatest of its parents', so the rows of a level can be solved at once.
+    """
+
+    def __init__(self, parents: np.ndarray):
+        self.ok = parents >= 0
+        self.safe = np.where(self.ok, parents, 0)
+        level = np.full(len(parents), -1, np.int64)
+        todo = np.arange(len(parents))
+        while len(todo):  # a round settles the rows whose parents are settled; as many rounds as levels
+            near = np.where(self.ok[todo, 1:], level[self.safe[todo, 1:]], 0)
+            ready = ((near >= 0) | ~self.ok[todo, 1:]).all(axis=1)
+            if not ready.any():
+                raise ValueError("the neighbour graph has a cycle")
+            rows = todo[ready]
+            has = self.ok[rows, 1:]
+            level[rows] = np.where(has.any(axis=1), np.where(has, level[self.safe[rows, 1:]], -1).max(axis=1, initial=-1) + 1, 0)
+            todo = todo[~ready]
+        order = np.argsort(level, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(level))[:-1]) if len(level) else []
+
+
 class Factor:
     """A factor's rows as arrays: parents n x (k+1) (own index first, -1 where none) and coefficients.
 
     The sequential solves of the sampler need it in one place; 12 bytes times n (m + 1), checked against `limit`.
     """
 
-    def __init__(self, parents: np.ndarray, coef: np.ndarray, deriv: np.ndarray | None = None):
+    def __init__(self, parents: np.ndarray, coef: np.ndarray, deriv: np.ndarray | None = None, graph: Graph | None = None):
         self.parents, self.coef, self.deriv = parents, coef, deriv
-        self.ok = parents >= 0
-        self.safe = np.where(self.ok, parents, 0)
-        self.levels = self._levels()
+        graph = graph or Graph(parents)
+        self.ok, self.safe, self.levels = graph.ok, graph.safe, graph.levels
 
     @classmethod
     def collect(cls, vecchia: DataFrame, limit: int = 2_000_000) -> Factor:
@@ -96,14 +119,6 @@ class Factor:
             c[i, : len(b)] = b
         return cls(p, c)
 
-    def _levels(self):
-        level = np.zeros(len(self.parents), np.int64)
-        for i, (p, ok) in enumerate(zip(self.parents, self.ok)):
-            q = p[1:][ok[1:]]
-            level[i] = level[q].max() + 1 if len(q) else 0
-        order = np.argsort(level, kind="stable")
-        return np.split(order, np.cumsum(np.bincount(level))[:-1]) if len(level) else []
-
     def times(self, v: np.ndarray) -> np.ndarray:
         return (self.coef * np.where(self.ok, v[self.safe], 0)).sum(1)
 

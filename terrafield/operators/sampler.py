@@ -14,8 +14,8 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 from terrafield.functions.kernels import canonical_range
-from terrafield.operators.design import beta_prior_gradient, beta_prior_log_density
-from terrafield.operators.linalg import Factor, draw_field
+from terrafield.operators.design import beta_prior_gradient, beta_prior_log_density, transition_kernels
+from terrafield.operators.linalg import Factor, Graph, draw_field
 from terrafield.operators.vecchia import factor_rows
 
 
@@ -51,6 +51,15 @@ class Data:
     bounds: dict = field(default_factory=dict)  # of the log scales, by parameter
     n_observed: int = 0  # locations before those to predict, where a caller keeps both together
 
+    _graph: Graph | None = field(default=None, repr=False)
+
+    @property
+    def graph(self) -> Graph:
+        """The neighbour graph's entries and levels; it never changes, so they are found once."""
+        if self._graph is None:
+            self._graph = Graph(self.parents)
+        return self._graph
+
     def sums(self, v: np.ndarray) -> np.ndarray:
         return np.bincount(self.loc, v, len(self.xy))
 
@@ -83,6 +92,51 @@ class Data:
         return float(log_tau.sum()), float(q.sum()), self.x_noise.T @ (0.5 - 0.5 * q)[:, None]
 
 
+@dataclass
+class Cells(Data):
+    """Data whose observations are summed up in cells: those of one location with one row of the noise design.
+
+    A normal likelihood needs no more of them than their number, sum x, z, x x', x z and z^2, so kernels cost as much for a cell of a million
+    observations as for one of one. loc, x_noise: per cell; z and x stay empty but for the number of columns.
+    """
+
+    n: np.ndarray = None
+    zz: np.ndarray = None
+    xz: np.ndarray = None  # cells x p
+    xx: np.ndarray = None  # cells x p x p
+
+    # the first column of x is the intercept, so sums of x and z are among those of x x' and x z
+
+    def least_squares(self):
+        g, v = self.xx.sum(0), self.xz.sum(0)
+        b = np.linalg.solve(g, v)
+        return g, b, float(max(1e-300, self.zz.sum() - b @ v) / max(1, self.n.sum() - len(b)))
+
+    def noise_gram(self):
+        return self.x_noise.T @ (self.x_noise * self.n[:, None])
+
+    def _squares(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per cell, the sums of e and e^2, e = z - x beta."""
+        xb = self.xx @ beta
+        return self.xz[:, 0] - xb[:, 0], self.zz - 2 * self.xz @ beta + xb @ beta
+
+    def stats(self, s):
+        w = np.exp(-(self.x_noise @ s.noise_beta)[:, 0])
+        e, e2 = self._squares(s.beta)
+        return self.sums(w * self.n), self.sums(w * e), self.sums(w * e2)
+
+    def beta_system(self, s):
+        w = np.exp(-(self.x_noise @ s.noise_beta)[:, 0])
+        return np.tensordot(w, self.xx, 1), w @ (self.xz - self.xx[:, 0] * s.field[self.loc][:, None])
+
+    def noise_terms(self, s, beta):
+        log_tau = (self.x_noise @ beta)[:, 0]
+        e, e2 = self._squares(s.beta)
+        f = s.field[self.loc]
+        q = (e2 - 2 * f * e + self.n * f * f) * np.exp(-log_tau)
+        return float((self.n * log_tau).sum()), float(q.sum()), self.x_noise.T @ (0.5 * self.n - 0.5 * q)[:, None]
+
+
 @dataclass
 class State:
     """Parameters and what follows from them. range_beta is p x 1 or p x 3; log_scale has 1 or 6 entries per basis."""
@@ -94,7 +148,7 @@ class State:
     field: np.ndarray
     log_scale: dict = field(default_factory=dict)
     momenta: dict = field(default_factory=dict)
-    steps: dict = field(default_factory=dict)
+    steps: dict = field(default_factory=transition_kernels)
     factor: Factor | None = None
 
     def sd(self, d: Data) -> np.ndarray:
@@ -104,23 +158,35 @@ class State:
         return np.exp((d.x_noise @ self.noise_beta)[:, 0])
 
 
-def build_factor(d: Data, range_beta: np.ndarray, grad: bool = False) -> Factor:
-    """The factor of every location, by batches of equally many neighbours."""
-    f = d.x_range @ canonical_range(range_beta)
-    n, width = d.parents.shape
-    coef = np.zeros((n, width))
-    deriv = np.zeros((n, width, width, f.shape[1])) if grad else None
-    size = (d.parents >= 0).sum(1)
+def _row_batches(parents: np.ndarray, rows_at_once: int = 2048):
+    """(rows, their neighbours) of equally many neighbours each."""
+    size = (parents >= 0).sum(1)
     for k in np.unique(size):
         rows = np.nonzero(size == k)[0]
-        for s in range(0, len(rows), 2048):
-            r = rows[s : s + 2048]
-            near = d.parents[r, :k]
-            c, g = factor_rows(d.xy[near], f[near], d.smoothness, grad)
-            coef[r, :k] = c
-            if grad:
-                deriv[r, :k, :k] = g
-    return Factor(d.parents, coef, deriv)
+        for s in range(0, len(rows), rows_at_once):
+            yield rows[s : s + rows_at_once], parents[rows[s : s + rows_at_once], :k]
+
+
+def build_factor(d: Data, range_beta: np.ndarray) -> Factor:
+    """The factor of every location, by batches of equally many neighbours."""
+    f = d.x_range @ canonical_range(range_beta)
+    coef = np.zeros(d.parents.shape)
+    for rows, near in _row_batches(d.parents):
+        coef[rows, : near.shape[1]] = factor_rows(d.xy[near], f[near], d.smoothness)[0]
+    return Factor(d.parents, coef, graph=d.graph)
+
+
+def sandwich(d: Data, range_beta: np.ndarray, left: np.ndarray, right: np.ndarray, log_det: bool = False) -> np.ndarray:
+    """Factor.sandwich of the factor at range_beta; derivatives are made batch by batch and never held for all rows."""
+    f = d.x_range @ canonical_range(range_beta)
+    out = np.zeros(f.shape)
+    for rows, near in _row_batches(d.parents):
+        coef, deriv = factor_rows(d.xy[near], f[near], d.smoothness, True)
+        g = left[rows, None, None] * np.einsum("ikpj,ik->ipj", deriv, right[near])
+        if log_det:
+            g = g + deriv[:, 0] / coef[:, 0, None, None]
+        np.add.at(out, near, g)
+    return out
 
 
 def draw_normal(precision: np.ndarray, rhs: np.ndarray, rng) -> np.ndarray | None:
@@ -184,25 +250,25 @@ def range_ancillary(s: State, d: Data, beta: np.ndarray, grad: bool = True):
     """(U, gradient, field): the white noise of the field stays, the field moves with its factor."""
     sd = s.sd(d)
     white = s.factor.times(s.field / sd)
-    f = build_factor(d, beta, grad)
+    f = build_factor(d, beta)
     w = sd * f.solve(white)
     s0, s1, s2 = d.stats(s)
     u = -_prior(s, d, "range", beta) + 0.5 * (s2 - 2 * w * s1 + w * w * s0).sum()
     if not grad:
         return u, None, (f, w)
     left = f.transpose_solve((s1 - w * s0) * sd)
-    return u, -_prior_gradient(s, d, "range", beta) + _range_gradient(d, f.sandwich(left, w / sd)), (f, w)
+    return u, -_prior_gradient(s, d, "range", beta) + _range_gradient(d, sandwich(d, beta, left, w / sd)), (f, w)
 
 
 def range_sufficient(s: State, d: Data, beta: np.ndarray, grad: bool = True):
     """(U, gradient, factor): the field stays."""
-    f = build_factor(d, beta, grad)
+    f = build_factor(d, beta)
     v = s.field / s.sd(d)
     lv = f.times(v)
     u = -_prior(s, d, "range", beta) + 0.5 * (lv**2).sum() - np.log(f.coef[:, 0]).sum()
     if not grad:
         return u, None, f
-    by = -f.sandwich(-lv, v, log_det=True)
+    by = -sandwich(d, beta, -lv, v, log_det=True)
     return u, -_prior_gradient(s, d, "range", beta) + _range_gradient(d, by), f
 
 
@@ -242,12 +308,12 @@ ADAPT = {
 
 def _adapt(s: State, key: str, family: str, it: int, accepted: bool) -> None:
     miss, hit = ADAPT[family]
-    s.steps[key] = s.steps.get(key, -4.0) + miss(it) + (hit(it) if accepted else 0.0)
+    s.steps[key][0] += miss(it) + (hit(it) if accepted else 0.0)
 
 
 def leapfrog(s: State, key: str, family: str, beta: np.ndarray, potential, whiten: np.ndarray, it: int, rng):
     """One Hamiltonian step of one leapfrog in coordinates whitened by an upper factor. Returns (new beta, last) if accepted, else None."""
-    eps = math.exp(s.steps.get(key, -4.0))
+    eps = math.exp(s.steps[key][0])
     p = renew_momentum(s.momenta.get(key, rng.standard_normal(beta.shape)), rng)
     u0, g0, *_ = potential(beta)
     half = p - 0.5 * eps * np.linalg.solve(whiten.T, g0)
@@ -287,53 +353,101 @@ def scale_hmc(s: State, d: Data, it: int, rng) -> None:
         s.scale_beta = got[0]
 
 
-def log_scale_walk(s: State, d: Data, name: str, it: int, rng, tries: int = 4) -> None:
-    """Random walks of a basis's log scale within its bounds: sufficient (coefficients stay) and ancillary (they move along)."""
+# Plain walks of a log scale after each of its other moves, and their standard deviation.
+WALKS = {"range": 10, "noise": 10, "scale": 4}
+WALK_SD = 0.1
+
+
+def _inside(d: Data, name: str, v: np.ndarray) -> bool:
     from terrafield.functions.kernels import expmat
 
-    k = d.n_pp[name]
-    if not k or name not in s.log_scale:
-        return
     low, high = d.bounds.get(name, (-6.0, 3.0))
-    family = {"range": "range", "noise": "noise_log_scale", "scale": "scale_log_scale"}[name]
-    attr = f"{name}_beta"
-
-    def inside(v):
-        e = np.log(np.maximum(np.linalg.eigvalsh(expmat(v)), 1e-300))
-        return low <= e.min() and e.max() <= high
-
-    for _ in range(tries):
-        key = f"{name}_log_scale_sufficient"
-        new = s.log_scale[name] + math.exp(s.steps.get(key, -4.0)) * rng.standard_normal(len(s.log_scale[name]))
-        beta = getattr(s, attr)
-        ok = inside(new) and math.log(rng.random()) < _prior(replace(s, log_scale={**s.log_scale, name: new}), d, name, beta) - _prior(s, d, name, beta)
-        if ok:
+    e = np.log(np.maximum(np.linalg.eigvalsh(expmat(v)), 1e-300))
+    return bool(low <= e.min() and e.max() <= high)
+
+
+def _along(beta: np.ndarray, k: int, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """beta whose k last rows, whitened by the log scale `old`, are coloured by `new`."""
+    from terrafield.functions.kernels import expmat
+
+    up = lambda v: np.linalg.cholesky(expmat(v)).T
+    out = beta.copy()
+    out[-k:] = beta[-k:] @ np.linalg.inv(up(old)) @ up(new)
+    return out
+
+
+def log_scale_prior_walk(s: State, d: Data, name: str, rng) -> None:
+    """Random walks of a log scale, coefficients stay: only their prior judges."""
+    for _ in range(WALKS[name]):
+        new = s.log_scale[name] + WALK_SD * rng.standard_normal(len(s.log_scale[name]))
+        beta = getattr(s, f"{name}_beta")
+        if _inside(d, name, new) and math.log(rng.random()) < _prior(replace(s, log_scale={**s.log_scale, name: new}), d, name, beta) - _prior(s, d, name, beta):
             s.log_scale[name] = new
-        _adapt(s, key, family, it, bool(ok))
-    key = f"{name}_log_scale_ancillary"
-    new = s.log_scale[name] + math.exp(s.steps.get(key, -4.0)) * rng.standard_normal(len(s.log_scale[name]))
-    ok = False
-    if inside(new):
-        beta = getattr(s, attr).copy()
-        up = lambda v: np.linalg.cholesky(expmat(v)).T
-        beta[-k:] = beta[-k:] @ np.linalg.inv(up(s.log_scale[name])) @ up(new)
-        if name == "range":
-            u0, u1 = range_ancillary(s, d, s.range_beta, False), range_ancillary(s, d, beta, False)
-            # the prior of the whitened coefficients doesn't change, so only the data's part counts
-            du = (u1[0] + _prior(s, d, name, beta)) - (u0[0] + _prior(s, d, name, s.range_beta))
-            ok = math.log(rng.random()) < -du
-            if ok:
-                s.factor, s.field = u1[2]
-        elif name == "noise":
-            u0, u1 = noise_potential(s, d, s.noise_beta)[0], noise_potential(s, d, beta)[0]
-            ok = math.log(rng.random()) < (u0 + _prior(s, d, name, s.noise_beta)) - (u1 + _prior(s, d, name, beta))
+
+
+def range_log_scale_potential(s: State, d: Data, q: np.ndarray, ancillary: bool):
+    """(U, gradient, coefficients, factor or (factor, field)) at the log scale q, the coefficients moved along; infinite outside the bounds.
+
+    The whitened coefficients don't change, so their prior drops out and the data's part counts alone.
+    """
+    k, old_q, old = d.n_pp["range"], s.log_scale["range"], s.range_beta
+    if not _inside(d, "range", q):
+        return math.inf, np.zeros_like(q), old, None
+    beta = _along(old, k, old_q, q)
+    u, g, last = (range_ancillary if ancillary else range_sufficient)(s, d, beta)
+    u, g = u + _prior(s, d, "range", beta), g + _prior_gradient(s, d, "range", beta)
+    by = np.zeros_like(q)
+    for j in range(len(q)):
+        h = np.zeros_like(q)
+        h[j] = 1e-5
+        by[j] = (g * (_along(old, k, old_q, q + h) - _along(old, k, old_q, q - h))).sum() / 2e-5
+    return u, by, beta, last
+
+
+def range_log_scale_hmc(s: State, d: Data, it: int, rng, ancillary: bool) -> None:
+    """A Hamiltonian step of the range's log scale; the field stays, or (ancillary) moves with its factor."""
+    q = s.log_scale["range"]
+    key = "range_log_scale_ancillary" if ancillary else "range_log_scale_sufficient"
+    if got := leapfrog(s, key, "range", q, lambda v: range_log_scale_potential(s, d, v, ancillary), np.eye(len(q)), it, rng):
+        s.log_scale["range"], (s.range_beta, last) = got[0], got[1]
+        if ancillary:
+            s.factor, s.field = last
         else:
-            u0, u1 = scale_sufficient(s, d, s.scale_beta)[0], scale_sufficient(s, d, beta)[0]
-            ok = math.log(rng.random()) < (u0 + _prior(s, d, name, s.scale_beta)) - (u1 + _prior(s, d, name, beta))
+            s.factor = last
+
+
+def variance_log_scale_walk(s: State, d: Data, name: str, key: str, it: int, rng, moves_field: bool = False) -> None:
+    """A walk of the log scale of noise or scale, its coefficients move along; the field stays, or is scaled along."""
+    new = s.log_scale[name] + math.exp(s.steps[key][0]) * rng.standard_normal(len(s.log_scale[name]))
+    beta, ok = getattr(s, f"{name}_beta"), False
+    if _inside(d, name, new):
+        moved = _along(beta, d.n_pp[name], s.log_scale[name], new)
+        potential = {("noise", False): noise_potential, ("scale", False): scale_sufficient, ("scale", True): scale_ancillary}[name, moves_field]
+        # the prior of the whitened coefficients doesn't change, so only the data's part counts
+        u0, u1 = (potential(s, d, b)[0] + _prior(s, d, name, b) for b in (beta, moved))
+        ok = bool(math.log(rng.random()) < u0 - u1)
         if ok:
-            setattr(s, attr, beta)
+            if moves_field:
+                s.field = s.field * np.exp(0.5 * (d.x_scale @ (moved - beta))[:, 0])
+            setattr(s, f"{name}_beta", moved)
             s.log_scale[name] = new
-    _adapt(s, key, family, it, bool(ok))
+    _adapt(s, key, f"{name}_log_scale", it, ok)
+
+
+def log_scale_kernels(s: State, d: Data, name: str, it: int, rng) -> None:
+    """All moves of a basis's log scale, see WALKS: after each move that takes the coefficients along, walks that leave them."""
+    if not d.n_pp[name] or name not in s.log_scale:
+        return
+    if name == "noise":
+        variance_log_scale_walk(s, d, name, "noise_log_scale", it, rng)
+        log_scale_prior_walk(s, d, name, rng)
+        return
+    for ancillary in (False, True):
+        if name == "range":
+            range_log_scale_hmc(s, d, it, rng, ancillary)
+        else:
+            variance_log_scale_walk(s, d, name, f"scale_log_scale_{'ancillary' if ancillary else 'sufficient'}", it, rng, ancillary)
+        log_scale_prior_walk(s, d, name, rng)
 
 
 # ----------------------------------------------------------------------------- chains
@@ -347,7 +461,8 @@ def initial_state(d: Data, seed: int, chain: int) -> State:
 
     def first(x, name, cols=1):
         out = np.zeros((x.shape[1], cols))
-        out[0, 0] = d.means[name]
+        if len(out):
+            out[0, 0] = d.means[name]
         return out
 
     comps = 3 if d.bounds.get("anisotropic") else 1
@@ -371,7 +486,7 @@ def step(s: State, d: Data, it: int, rng, hyper: bool = True) -> State:
         noise_hmc(s, d, it, rng)
         scale_hmc(s, d, it, rng)
         for name in ("range", "noise", "scale"):
-            log_scale_walk(s, d, name, it, rng)
+            log_scale_kernels(s, d, name, it, rng)
     return s
 
 
@@ -396,46 +511,91 @@ def kept_iterations(n: int, thinning: float) -> list[int]:
     return [i for i in range(1, n + 1) if i * thinning == math.floor(i * thinning)]
 
 
-def run_chain(d: Data, chain: int, n: int, seed: int = 1, start: int = 0, state: State | None = None, thinning: float = 1.0, hyper: bool = True, with_field: bool = True):
-    """Runs n more iterations from `start`; returns (state, records). A run continues from the state it returned."""
+def chain_blocks(d: Data, chain: int, n: int, seed: int = 1, start: int = 0, state: State | None = None, thinning: float = 1.0, hyper: bool = True, with_field: bool = True, rows_at_once: int = 200_000):
+    """Runs n more iterations from `start`; yields (None, records) block by block, then (state, the rest of the records)."""
     s = state or initial_state(d, seed, chain)
+    if s.factor is None:
+        s.factor = build_factor(d, s.range_beta)
     rng = np.random.Generator(np.random.PCG64([seed, chain, start + 1]))
     keep, rows = set(kept_iterations(n, thinning)), []
     for k in range(1, n + 1):
         step(s, d, start + k, rng, hyper)
         if k in keep:
             rows += record(s, chain, start + k, with_field)
-    return s, rows
+        if len(rows) >= rows_at_once:
+            yield None, rows
+            rows = []
+    yield s, rows
+
+
+def run_chain(d: Data, chain: int, n: int, **how):
+    """The same at once: (state, records). A run continues from the state it returned."""
+    every = []
+    for state, rows in chain_blocks(d, chain, n, **how):
+        every += rows
+    return state, every
+
+
+RECORD_COLUMNS = ["chain", "iteration", "param", "i", "j", "value"]
 
 
-def run_chains(spark, d: Data, chains: int, n: int, **how):
-    """Records of several chains, a Spark task each; a lost task runs its chain again to the same numbers."""
+def chain_frames(blocks, chain: int):
+    """Blocks of a chain as pandas frames of RECORDS and `state`; the last row carries the state, without its factor, which follows from it."""
+    import pickle
+
     import pandas as pd
 
-    shared = spark.sparkContext.broadcast(d)
+    for state, rows in blocks:
+        if rows:
+            yield pd.DataFrame(rows, columns=RECORD_COLUMNS).assign(state=None)
+        if state is not None:
+            yield pd.DataFrame([(chain, None, None, None, None, None, pickle.dumps(replace(state, factor=None)))], columns=[*RECORD_COLUMNS, "state"])
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(run_chain(shared.value, int(pdf.chain.iloc[0]), n, **how)[1], columns=["chain", "iteration", "param", "i", "j", "value"])
+def run_chains(spark, d: Data, chains: int, n: int, states: dict | None = None, **how):
+    """(RECORDS, state) of several chains, a Spark task each, written in blocks; a lost task runs its chain again to the same numbers."""
+    shared = spark.sparkContext.broadcast((d, states or {}))
+
+    def run(frames):
+        data, old = shared.value
+        for pdf in frames:
+            for c in pdf.chain:
+                yield from chain_frames(chain_blocks(data, int(c), n, state=old.get(int(c)), **how), int(c))
 
     ids = spark.range(1, chains + 1, numPartitions=chains).selectExpr("cast(id as int) as chain")
-    return ids.groupBy("chain").applyInPandas(one, RECORDS)
+    return ids.mapInPandas(run, f"{RECORDS}, state binary")
 
 
 # ----------------------------------------------------------------------------- prediction
 
 
-def predict_field(xy_obs, parents_new, xy_new, f_obs, f_new, sd_obs, sd_new, field_obs, smoothness, rng=None) -> np.ndarray:
+def prediction_rows(xy: np.ndarray, f: np.ndarray, parents: np.ndarray, smoothness: float) -> np.ndarray:
+    """Factor rows of points on their neighbours, parents n x (k + 1) with a point's own index first; rows as in Factor.coef."""
+    coef = np.zeros(parents.shape)
+    for rows, near in _row_batches(parents):
+        coef[rows, : near.shape[1]] = factor_rows(xy[near], f[near], smoothness)[0]
+    return coef
+
+
+def predict_field(xy_obs, parents_new, xy_new, f_obs, f_new, sd_obs, sd_new, field_obs, smoothness, rng=None, graph: Graph | None = None) -> np.ndarray:
     """The field at new locations given that at observed ones; without rng the conditional mean.
 
-    parents_new: n_new x k indices into the observed locations followed by the new ones, earlier new ones only, -1 where none.
+    parents_new: n_new x k indices into the observed locations followed by the new ones, -1 where none; the new ones' graph has no cycle. Rows
+    are made in batches and solved level by level, so the cost is that of the neighbours, whatever the number of locations.
     """
-    xy, f = np.concatenate([xy_obs, xy_new]), np.concatenate([f_obs, f_new])
-    n = len(xy_obs)
-    white = np.concatenate([field_obs / sd_obs, np.zeros(len(xy_new))])
-    for i in range(len(xy_new)):
-        p = parents_new[i][parents_new[i] >= 0]
-        at = np.concatenate(([n + i], p))
-        row = factor_rows(xy[at][None], f[at][None], smoothness)[0][0]
-        z = rng.standard_normal() if rng is not None else 0.0
-        white[n + i] = (z - row[1:] @ white[p]) / row[0]
+    n, new = len(xy_obs), len(xy_new)
+    parents = np.column_stack([n + np.arange(new), parents_new])
+    coef = prediction_rows(np.concatenate([xy_obs, xy_new]), np.concatenate([f_obs, f_new]), parents, smoothness)
+    graph = graph or prediction_graph(parents_new, n)
+    white = np.concatenate([field_obs / sd_obs, np.zeros(new)])
+    z = rng.standard_normal(new) if rng is not None else np.zeros(new)
+    near = np.where(parents >= 0, parents, 0)
+    for rows in graph.levels:
+        rest = (coef[rows, 1:] * white[near[rows, 1:]]).sum(1)  # coefficients are 0 where there is no neighbour
+        white[n + rows] = (z[rows] - rest) / coef[rows, 0]
     return sd_new * white[n:]
+
+
+def prediction_graph(parents_new: np.ndarray, n_obs: int) -> Graph:
+    """The graph of the new locations among themselves."""
+    return Graph(np.column_stack([np.arange(len(parents_new)), np.where(parents_new >= n_obs, parents_new - n_obs, -1)]))

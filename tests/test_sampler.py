@@ -111,6 +111,8 @@ def test_chains_recover_the_regression_and_resume():
     assert a == b
     _, more = sampler.run_chain(d, 1, 5, seed=3, start=5, state=first)
     assert {r[1] for r in more} == set(range(6, 11))
+    parts = list(sampler.chain_blocks(d, 1, 5, seed=3, rows_at_once=100))
+    assert len(parts) > 2 and [r for _, rows in parts for r in rows] == a and [s is None for s, _ in parts] == [True] * (len(parts) - 1) + [False]
 
 
 def test_thinning_and_kernels():
@@ -158,3 +160,137 @@ def test_conditional_mean_interpolates():
     assert got[0] == pytest.approx(w[3], abs=1e-2)
     q = linalg.conjugate_gradient(lambda v: 2 * v, np.ones(4), np.full(4, 2.0))
     assert np.allclose(q, 0.5)
+
+
+def test_levels_of_a_graph():
+    d = _data(200, 5)
+    level = np.zeros(200, int)
+    for i in range(200):
+        q = d.parents[i, 1:][d.parents[i, 1:] >= 0]
+        level[i] = level[q].max() + 1 if len(q) else 0
+    for k, rows in enumerate(d.graph.levels):
+        assert sorted(rows) == np.nonzero(level == k)[0].tolist()
+    assert sum(map(len, d.graph.levels)) == 200 and linalg.Graph(np.empty((0, 3), int)).levels == []
+    with pytest.raises(ValueError):
+        linalg.Graph(np.array([[0, 1], [1, 0]]))
+
+
+@pytest.mark.parametrize("aniso", [False, True])
+def test_batched_sandwiches(aniso):
+    d = _data(aniso=aniso)
+    beta = np.full((2, 3 if aniso else 1), -0.7)
+    f, w = sampler.build_factor(d, beta), d.x_range @ canonical_range(beta)
+    f.deriv = np.zeros((*d.parents.shape, d.parents.shape[1], w.shape[1]))
+    for i, p in enumerate(d.parents):
+        p = p[p >= 0]
+        f.deriv[i, : len(p), : len(p)] = vecchia.factor_rows(d.xy[p][None], w[p][None], 1.5, True)[1][0]
+    left, right = np.random.default_rng(6).normal(size=(2, 60))
+    for log_det in (False, True):
+        assert np.allclose(sampler.sandwich(d, beta, left, right, log_det), f.sandwich(left, right, log_det))
+
+
+def _with_bases(aniso=False, seed=0):
+    d = _data(50, 5, aniso, seed)
+    phi = np.random.default_rng(7).normal(size=(50, 4))
+    d.x_range, d.x_scale = np.column_stack([d.x_range, phi]), np.column_stack([d.x_scale, phi])
+    d.x_noise = np.column_stack([d.x_noise, phi[d.loc]])
+    d.n_pp = {"range": 4, "scale": 4, "noise": 4}
+    s = sampler.initial_state(d, 1, 1)
+    rng = np.random.default_rng(8)
+    for name in ("range", "scale", "noise"):
+        m = getattr(s, f"{name}_beta")
+        m[-4:] = 0.1 * rng.normal(size=m[-4:].shape)
+        s.log_scale[name] = np.array([-2.0, -1.5, -2.5, 0.1, 0.2, -0.1]) if name == "range" and aniso else np.array([-2.0])
+    s.factor = sampler.build_factor(d, s.range_beta)
+    return d, s
+
+
+@pytest.mark.parametrize("aniso", [False, True])
+@pytest.mark.parametrize("ancillary", [False, True])
+def test_log_scale_gradients(aniso, ancillary):
+    d, s = _with_bases(aniso)
+    _check_gradient(lambda q: sampler.range_log_scale_potential(s, d, q, ancillary), s.log_scale["range"] + 0.1, 1e-2)
+    assert sampler.range_log_scale_potential(s, d, s.log_scale["range"] + 50, ancillary)[0] == np.inf
+
+
+@pytest.mark.parametrize("aniso", [False, True])
+def test_every_log_scale_kernel_moves_within_its_bounds(aniso):
+    d, s = _with_bases(aniso)
+    seen = {n: [] for n in s.log_scale}
+    rng = np.random.default_rng(9)
+    for it in range(1, 30):
+        for name in seen:
+            sampler.log_scale_kernels(s, d, name, it, rng)
+            assert sampler._inside(d, name, s.log_scale[name])
+            seen[name].append(s.log_scale[name].copy())
+    assert all(len(np.unique(np.round(v, 9), axis=0)) > 10 for v in seen.values())
+    # a field that moves with the factor keeps its white noise, and the factor is that of the coefficients
+    assert np.allclose(s.factor.coef, sampler.build_factor(d, s.range_beta).coef)
+    assert all(s.steps[k][0] != -4 for k in ("range_log_scale_sufficient", "range_log_scale_ancillary", "scale_log_scale_sufficient", "scale_log_scale_ancillary", "noise_log_scale"))
+    assert set(s.steps) == set(design.transition_kernels())
+
+
+def test_log_scale_walk_has_the_prior_as_its_law():
+    """Without any moves of the coefficients, the log scale given them: inverse-gamma like, compared with its density on a grid."""
+    d, s = _with_bases()
+    d.bounds["noise"] = (-6.0, 3.0)
+    rng = np.random.default_rng(10)
+    got = []
+    for _ in range(4000):
+        sampler.log_scale_prior_walk(s, d, "noise", rng)
+        got.append(s.log_scale["noise"][0])
+    grid = np.linspace(-6, 3, 2000)
+    logs = np.array([design.beta_prior_log_density(s.noise_beta, 4, d.means["noise"], d.variances["noise"], [g]) for g in grid])
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    mean = (grid * p).sum()
+    assert np.mean(got[200:]) == pytest.approx(mean, abs=0.25)
+
+
+def _cells(d):
+    """The observations of d, summed up by location and row of the noise design."""
+    key, at = np.unique(np.column_stack([d.loc, d.x_noise]), axis=0, return_inverse=True)
+    at = at.ravel()
+    n = len(key)
+    xx = np.zeros((n, d.x.shape[1], d.x.shape[1]))
+    np.add.at(xx, at, d.x[:, :, None] * d.x[:, None, :])
+    xz = np.zeros((n, d.x.shape[1]))
+    np.add.at(xz, at, d.x * d.z[:, None])
+    return sampler.Cells(
+        d.xy, d.parents, key[:, 0].astype(int), np.empty(0), np.empty((0, d.x.shape[1])), d.x_locs, d.loc_columns, d.x_range, d.x_scale, key[:, 1:], d.smoothness,
+        d.n_pp, d.means, d.variances, d.bounds, n=np.bincount(at, minlength=n).astype(float), zz=np.bincount(at, d.z**2, n), xz=xz, xx=xx,
+    )
+
+
+def test_cells_say_the_same_as_their_observations():
+    d = _data(40, 5, k=6)
+    d.x_noise = np.column_stack([d.x_noise, np.arange(len(d.loc)) % 2])
+    c = _cells(d)
+    assert len(c.n) == 80
+    s = sampler.initial_state(d, 1, 1)
+    for a, b in zip(d.least_squares(), c.least_squares()):
+        assert np.allclose(a, b)
+    assert np.allclose(d.noise_gram(), c.noise_gram())
+    for a, b in zip((*d.stats(s), *d.beta_system(s), *d.noise_terms(s, s.noise_beta + 0.2)), (*c.stats(s), *c.beta_system(s), *c.noise_terms(s, s.noise_beta + 0.2))):
+        assert np.allclose(a, b)
+    a, b = (sampler.run_chain(x, 1, 4, seed=5)[1] for x in (d, c))
+    assert [r[:5] for r in a] == [r[:5] for r in b] and np.allclose([r[5] for r in a], [r[5] for r in b], rtol=1e-6, atol=1e-8)
+
+
+def test_prediction_against_the_joint_precision():
+    """Conditional means of many new locations that hang on one another: -Q_nn^-1 Q_no w, of the joint factor."""
+    d = _data(90, 6)
+    n = 60
+    parents = d.parents[n:, 1:]
+    f = d.x_range @ canonical_range(np.array([[-1.0], [0.4]]))
+    sd = np.exp(0.3 * d.xy[:, 0])
+    w = np.sin(4 * d.xy[:n, 1])
+    got = sampler.predict_field(d.xy[:n], parents, d.xy[n:], f[:n], f[n:], sd[:n], sd[n:], w, 1.5)
+    l = sampler.build_factor(d, np.array([[-1.0], [0.4]])).dense()[n:]
+    a, b = l[:, n:], l[:, :n]
+    assert np.allclose(got, sd[n:] * np.linalg.solve(a, -b @ (w / sd[:n])))
+    rng = np.random.default_rng(3)
+    draws = np.array([sampler.predict_field(d.xy[:n], parents, d.xy[n:], f[:n], f[n:], sd[:n], sd[n:], w, 1.5, rng) for _ in range(3000)])
+    cov = np.linalg.inv(a.T @ a) * np.outer(sd[n:], sd[n:])
+    assert np.allclose(draws.mean(0), got, atol=5 * np.sqrt(np.diag(cov).max() / 3000))
+    assert np.allclose(np.cov(draws.T), cov, atol=0.1 * np.diag(cov).max())

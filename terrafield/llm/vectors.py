@@ -489,9 +489,10 @@ def sufficient_probes(ix: Index, sample: np.ndarray, k: int, recall: float, quer
 def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.98, exact: bool = True, lists_per: int = 128, max_lists: int = 1024, sample: tuple[int, int] = SAMPLE, bin_rows: int = 4096, visitors: int = VISITORS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query holds for, its k nearest other rows found.
 
-    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. A query first
-    probes as many of its nearest lists as give the `recall` on the sample and hold k other rows; if `exact`, then all other lists that may
-    hold a vector as near as its k-th by then. Lists and rows are pruned by bounds only, so the result is then exact. Vectors that are null,
+    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. A query probes
+    as many of its nearest lists as give the `recall` on the sample and hold k other rows. If `exact`, it probes those that give half of its
+    neighbours, then all other lists that may hold a vector as near as its k-th by then; lists and rows are pruned by bounds only, so
+    the result is exact, and the second search returns no more than the rows within the k-th distance. Vectors that are null,
     zero, hold null or non-finite components or have another length than most take no part, nor do rows without an id. Rows that repeat an id are
     candidates, and queries, of their own: ranks then repeat for the id, and a row finds the others of its id. An empty
     table, or a single row, gives an empty one. Other columns aren't read.
@@ -512,11 +513,12 @@ def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     counts, radii = np.zeros(len(ix.centroids), np.int64), np.zeros(len(ix.centroids))
     for x in placed.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect():  # as many as lists
         counts[x.own], radii[x.own] = x.n, x.radius
-    bins = _bins(counts, min(bin_rows, max(256, n // 128)))
+    bins = _bins(counts, bin_rows)
     lists = spark.sparkContext.broadcast((counts, radii, bins))
     of = spark.createDataFrame(pd.DataFrame({"own": np.arange(len(bins), dtype=np.int32), "bin": bins}))
     members = placed.drop("away").join(F.broadcast(of), "own").withColumns({"home": F.lit(True), "visit": F.lit(False)})
-    probes = sufficient_probes(ix, pts, k, recall)
+    # the second search starts from what the first found, so that may be less
+    probes = sufficient_probes(ix, pts, k, 0.5 if exact else recall)
     asked = rows.where(is_query(F.col("id"))).select("key", "id", "vec")
 
     def searched(queries: DataFrame, more: bool) -> DataFrame:

@@ -275,89 +275,120 @@ def _banded(batches, k, bands, band_rows):
 
 
 def _sets(batches, k):
+    """Sets of the texts whose digest is the wanted one: an id may have other texts."""
     for b in batches:
-        sets = pa.array([shingle_set(t, k).tobytes() for t in b.column("text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("id"), sets], ["id", "set"])
+        sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
+        right = [xxhash.xxh3_128_digest(h.tobytes()) == d for h, d in zip(sets, b.column("digest").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("num"), pa.array([h.tobytes() for h in sets], pa.binary())], ["num", "set"]).filter(pa.array(right, pa.bool_()))
 
 
 def jaccard(x: bytes, y: bytes) -> float:
     """Similarity of two sets of hashes, given as the bytes of sorted uint64."""
-    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-    return both / ((len(x) + len(y)) // 8 - both)
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _near(x: bytes, y: bytes, similarity: float) -> bool:
+    return min(len(x), len(y)) >= similarity * max(len(x), len(y)) and jaccard(x, y) >= similarity
 
 
 def _verified(batches, similarity):
     for b in batches:
-        pairs = zip(b.column("x").to_pylist(), b.column("y").to_pylist())
-        near = [min(len(x), len(y)) >= similarity * max(len(x), len(y)) and jaccard(x, y) >= similarity for x, y in pairs]
+        near = [_near(x, y, similarity) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
         yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def _alike(table: pa.Table, share: float) -> pa.Table:
-    """Of one bucket (or pair of blocks of a large one), the pairs of different components whose MinHashes agree in `share`
-    or more. Pairs with the bucket's smallest id have been verified before."""
-    table = table.filter(pc.not_equal(table.column("id"), table.column("rep"))).combine_chunks()
-    ids, part = (table.column(c).to_numpy() for c in ("id", "part"))
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if len(ids):
-        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(ids), -1)
+def _linked(table: pa.Table, similarity: float) -> pa.Table:
+    """Of one bucket (or pair of blocks of a large one), verified links that join the components of its members.
+
+    A pair is verified on its sets unless it is connected already, its MinHashes agree too seldom, it met in an earlier band's bucket, or
+    it has the bucket's smallest number, as those pairs have been verified before. A link joins its components at once, so there are
+    fewer links than members, however many pairs are near.
+    """
+    table = table.filter(pc.not_equal(table.column("num"), table.column("rep"))).combine_chunks()
+    links = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if table.num_rows:
+        num, part = (table.column(c).to_numpy() for c in ("num", "part"))
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(num), -1)
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(num), -1)
+        band = int(np.nonzero(keys[0] == table.column("key")[0].as_py())[0][0])
+        sets, size = table.column("set"), pc.binary_length(table.column("set")).to_numpy()
         names, of = np.unique(part, return_inverse=True)
+        joined = LocalUnion(len(names))
         few = np.nonzero(of != np.bincount(of).argmax())[0]  # one of a pair is outside the largest component
-        step = max(1, (1 << 18) // len(ids))
+        step = max(1, (1 << 18) // len(num))
         for s in range(0, len(few), step):
             i = few[s : s + step]
-            near = (sign[i, None] == sign[None]).sum(axis=2) >= share * sign.shape[1]
-            a, b = np.nonzero(near & (of[i, None] != of[None]))
-            out_a.append(ids[i[a]])
-            out_b.append(ids[b])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-
-def _alike_fn(share: float):
+            root = joined.roots(of)
+            near = (sign[i, None] == sign[None]).sum(axis=2) >= (similarity - SLACK) * sign.shape[1]
+            a, b = np.nonzero(near & (root[i, None] != root[None]))
+            a = i[a]
+            ok = (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])) & ~((keys[a, :band] == keys[b, :band]).any(axis=1))
+            for x, y in zip(a[ok].tolist(), b[ok].tolist()):
+                u, v = joined.roots(of[[x, y]]).tolist()
+                if u != v and jaccard(sets[x].as_py(), sets[y].as_py()) >= similarity:
+                    joined.add(np.array([u]), np.array([v]))
+                    links[0].append(num[[x]])
+                    links[1].append(num[[y]])
+    a, b = (np.concatenate(x) for x in links)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _linked_fn(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        return _alike(table, share)
+        return _linked(table, similarity)
 
     return run
 
 
-def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, task_rows: int = 4096) -> DataFrame:
+def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, task_rows: int = 4096, task_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, component_id) of the rows that another row of smaller id makes superfluous, once per id.
 
     Linked are texts whose sets of k-word shingles have the given Jaccard similarity or more, verified on the sets. Equal sets
     are one point, whatever their number. Candidates are pairs that share one of BANDS MinHash bands. First every member of a
-    bucket is compared with the bucket's smallest id; then, in buckets that these links leave in several components,
-    all pairs of different components whose MinHashes agree often enough, buckets over task_rows in pairs of hashed blocks. Pairs
-    that are connected already need no link. Texts without words are never duplicates, nor are rows with a null id.
+    bucket is compared with the bucket's first; then, in buckets that these links leave in several components,
+    members of different components whose MinHashes agree often enough, each pair in one bucket only. Buckets of more than task_rows rows or
+    task_bytes of sets meet in pairs of hashed blocks. Pairs that are connected already need no link. Texts without words are never
+    duplicates, nor are rows with a null id. An id with several texts goes if any of them is superfluous.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     texts = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     rows = cut(texts.mapInArrow(partial(_banded, k=k, bands=BANDS, band_rows=BAND_ROWS), "id long, digest binary, keys array<long>, sign binary"))
-    firsts = cut(rows.groupBy("digest").agg(F.min("id").alias("first")))
-    same = rows.select("id", "digest").join(firsts, "digest").select("id", "first")
-    whole = rows.join(firsts.select(F.col("first").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id", "digest"])
-    points = whole.select("id", F.explode("keys").alias("key"))
-    buckets = points.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # equal sets have equal keys, so any row's will do; whole is written, so its numbers stay
+    whole = cut(rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sign").alias("sign"))).withColumn("num", F.monotonically_increasing_id())
+    points = whole.select("num", F.explode("keys").alias("key"))
+    buckets = points.groupBy("key").agg(F.min("num").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(points.join(buckets, "key"))
     # of the texts only those that have a candidate are read again
-    sets = cut(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, set binary").distinct())
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        return cut(both.select("a", "b", "x", "y").mapInArrow(partial(_verified, similarity=similarity), "a long, b long"))
-
-    found = verified(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
+    asked = members.select("num").distinct().join(whole.select("num", F.col("first").alias("id"), "digest"), "num")
+    sets = cut(texts.join(asked, "id").mapInArrow(partial(_sets, k=k), "num long, set binary"))
+    if sets.count() > asked.count():  # rows that repeat an id and its text
+        sets = cut(sets.dropDuplicates(["num"]))
+
+    pairs = members.where("num <> rep").select(F.col("rep").alias("a"), F.col("num").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("num").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("num").alias("b"), F.col("set").alias("y")), "b")
+    found = cut(both.select("a", "b", "x", "y").mapInArrow(partial(_verified, similarity=similarity), "a long, b long"))
     parts = components(found)
-    left = members.where("n > 2").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    split = left.where("id <> rep").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    left = left.join(split, "key").join(whole.select("id", "sign"), "id")
-    left = left.withColumn("k", F.when(F.col("n") > task_rows, F.ceil(2 * F.col("n") / task_rows)).otherwise(1).cast("int"))
-    left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "rep", "part", "sign")
-    more = verified(left.groupBy("key", "i", "j").applyInArrow(_alike_fn(similarity - SLACK), "a long, b long").distinct())
+    left = members.where("n > 2").join(parts.withColumnRenamed("node", "num"), "num", "left").withColumn("part", F.coalesce("component", "num")).drop("component")
+    left = left.join(sets.select("num", F.length("set").alias("bytes")), "num")
+    split = left.where("num <> rep").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("bytes").alias("all_bytes")).where("low < high")
+    # as many blocks as half a task's rows, or bytes, ask for
+    blocks = F.greatest(F.when(F.col("n") > task_rows, F.ceil(2 * F.col("n") / task_rows)).otherwise(1), F.when(F.col("all_bytes") > task_bytes, F.ceil(2 * F.col("all_bytes") / task_bytes)).otherwise(1))
+    left = left.join(split.select("key", "all_bytes"), "key").withColumn("k", blocks.cast("int"))
+    left = left.select("key", "num", "rep", "part", "k").join(whole.select("num", "sign", "keys"), "num").join(sets, "num")
+    left = left.withColumn("own", F.pmod(F.xxhash64("num"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "num", "rep", "part", "sign", "keys", "set")
+    more = cut(left.groupBy("key", "i", "j").applyInArrow(_linked_fn(similarity), "a long, b long"))
     if not more.isEmpty():
         parts = components(found.unionByName(more))
-    of = same.join(parts, F.col("first") == F.col("node"), "left").select("id", F.coalesce("component", "first").alias("component_id"))
+    low = parts.join(whole.select(F.col("num").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("low"))
+    low = parts.join(low, "component").select(F.col("node").alias("num"), "low")
+    same = rows.select("id", "digest").join(whole.select("digest", "num", "first"), "digest").select("id", "num", "first")
+    of = same.join(low, "num", "left").select("id", F.coalesce("low", "first").alias("component_id"))
     return of.where("id <> component_id").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", "doc_id")
 
 

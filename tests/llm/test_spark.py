@@ -160,11 +160,41 @@ def test_buckets_are_compared_beyond_their_smallest_id(spark):
     sets = {i: {" ".join(t.split()[j : j + 5]) for j in range(296)} for i, t in rows}
     near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
     want = {i: top for i, top in _reach(sets, near).items() if top != i}
-    for task_rows in (4096, 4):
-        got = simhash.duplicate_ids(spark.createDataFrame(rows, "doc_id long, text string"), task_rows=task_rows).collect()
+    for how in ({}, {"task_rows": 4}, {"task_bytes": 10_000}):
+        got = simhash.duplicate_ids(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_links_of_a_bucket_are_fewer_than_its_members():
+    """Two groups of near copies that the first pass left apart: verified links join components, near pairs aren't listed."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = [np.sort(rng.integers(0, 1 << 62, 100).astype(np.uint64)) for _ in range(2)]
+    sets = []
+    for k in range(60):
+        h = base[k % 2].copy()
+        h[rng.integers(0, 100, 3)] = rng.integers(0, 1 << 62, 3).astype(np.uint64)
+        sets.append(np.unique(h))
+    mins = [simhash.min_hashes(h, 160) for h in sets]
+    keys = np.array([simhash.band_keys(m, 32) for m in mins])
+    keys[:, 0] = keys[0, 0]  # all in one bucket of the first band
+    n = len(sets)
+    cols = {"num": np.arange(n), "rep": np.full(n, -1), "part": np.arange(n), "key": np.full(n, keys[0, 0])}
+    table = pa.table({**{c: pa.array(v, pa.int64()) for c, v in cols.items()}, "keys": pa.array(keys.tolist(), pa.list_(pa.int64())), "sign": [m.astype(np.uint8).tobytes() for m in mins], "set": [h.tobytes() for h in sets]})
+    got = simhash._linked(table, 0.8).to_pylist()
+    near = [(a, b) for a in range(n) for b in range(a) if simhash.jaccard(sets[a].tobytes(), sets[b].tobytes()) >= 0.8]
+    assert len(got) == n - 2 and len(near) > 500
+    assert _reach(range(n), [(x["a"], x["b"]) for x in got]) == _reach(range(n), near)
+
+
+def test_an_id_with_several_texts(spark):
+    word = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, word("a")), (2, word("b")), (2, word("a")), (3, word("b")), (3, word("b")), (4, word("c")), (4, word("c", 41)), (5, word("c", 42)), (6, word("d"))] + [(7, word("e"))] * 30
+    got = {r.doc_id: r.component_id for r in simhash.duplicate_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: 1, 3: 2, 5: 4}
+
+
 def test_secret_rows(docs, nothing):
     rows = secrets.scan(docs).collect()
     assert [(r.doc_id, r.kind, r.is_secret) for r in rows if r.is_secret] == [(None, "aws_access_key", True)]

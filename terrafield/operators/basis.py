@@ -46,6 +46,32 @@ def max_distance(xy: np.ndarray, block: int = 512) -> float:
     return float(max((np.sqrt(((xy[i : i + block, None] - xy[None]) ** 2).sum(-1)).max() for i in range(0, len(xy), block)), default=0.0))
 
 
+def times(y: np.ndarray, x: DataFrame | None = None, names=(), pp: PredictiveProcess | None = None, on: str | None = None, key: str = "id") -> DataFrame:
+    """(key, value0..): (X | basis) Y, X the columns `names` of x(key, ...), Y with a row for each of them and then for each knot.
+
+    Without `on`, x has a row per location, whose id is the key; with it, rows of x hang on locations by that column, so the basis part is
+    spread over observations. Without x the rows are those of the basis's locations. Names of three columns, or of one, are those of a range's.
+    """
+    if x is None and pp is None:
+        raise ValueError("there is neither a design nor a basis to multiply")
+    y = np.asarray(y, float)
+    y = y[:, None] if y.ndim == 1 else y
+    names = list(names) if x is not None else []
+    want = len(names) + (len(pp.knots) if pp is not None else 0)
+    if len(y) != want:
+        raise ValueError(f"the coefficients should have {want} rows, they have {len(y)}")
+    top, low = y[: len(names)], y[len(names) :]
+    cols = range(y.shape[1])
+    part = lambda j: sum((F.col(f"`{n}`") * F.lit(float(top[i, j])) for i, n in enumerate(names)), F.lit(0.0))
+    if pp is None:
+        return x.select(key, *[part(j).alias(f"value{j}") for j in cols])
+    basis = pp.times(low).withColumnRenamed("id", "_id")
+    if x is None:
+        return basis.select(F.col("_id").alias(key), *[F.col(f"pp{j}").alias(f"value{j}") for j in cols])
+    rows = x.join(basis, F.col(f"`{on or key}`") == F.col("_id"))
+    return rows.select(key, *[(part(j) + F.col(f"pp{j}")).alias(f"value{j}") for j in cols])
+
+
 @dataclass
 class PredictiveProcess:
     """Knots in max-min order, their lower factor (driver, knots squared) and the rows of the locations.
@@ -103,14 +129,37 @@ class PredictiveProcess:
 
     def variance_loss(self) -> DataFrame:
         """(id, loss): per cent of the unit prior variance that the basis misses at each location."""
-        return self.dense_rows().select("id", loss_of(F.col("phi"), F.col("own")).alias("loss"))
+        return self.dense_rows().select("id", loss_of(F.col("phi")).alias("loss"))
+
+    def knot_loss(self) -> np.ndarray:
+        """The same at the knots, in their order: only rounding, as a knot's own value is in the basis."""
+        phi = np.linalg.inv(self.knot_factor)
+        return 100 * np.maximum(0, 1 + NUGGET - (phi**2).sum(axis=1)) / (1 + NUGGET)
+
+    def every_loss(self) -> DataFrame:
+        """(kind, id, loss): the knots, numbered from 1, and the locations."""
+        knots = self.rows.sparkSession.createDataFrame([("knot", k + 1, float(v)) for k, v in enumerate(self.knot_loss())], "kind string, id long, loss double")
+        return knots.unionByName(self.variance_loss().select(F.lit("location").alias("kind"), "id", "loss"))
+
+    def mean_loss(self) -> float:
+        """Over knots and locations alike."""
+        return float(self.every_loss().agg(F.avg("loss")).first()[0])
 
     def verdict(self) -> str:
-        mean = self.variance_loss().agg(F.avg("loss")).first()[0]
+        """Fixed words for a mean loss above 10, above 3 and below."""
+        mean = self.mean_loss()
         return "quite a bit of loss" if mean > 10 else "fairly good" if mean > 3 else "great"
 
+    def summary(self) -> DataFrame:
+        """(name, value) rows that describe the basis."""
+        rows = [("knots", str(len(self.knots))), ("locations", str(self.rows.count())), ("matern_range", str(self.matern_range)), ("mean_loss", str(round(self.mean_loss(), 1))), ("verdict", self.verdict())]
+        return self.rows.sparkSession.createDataFrame(rows, "name string, value string")
+
+    def __str__(self) -> str:
+        return f"basis of {len(self.knots)} knots, range {self.matern_range:.4g}"
+
 
-def loss_of(phi, own):
+def loss_of(phi):
     """100 max(0, 1 + 1e-6 - sum of squares of the basis row) / (1 + 1e-6)."""
     total = F.aggregate(phi, F.lit(0.0), lambda a, v: a + v * v)
     return F.lit(100.0) * F.greatest(F.lit(0.0), F.lit(1 + NUGGET) - total) / F.lit(1 + NUGGET)

@@ -47,8 +47,11 @@ def which_constant(table: DataFrame, names, on="loc_id") -> list[str]:
     return [n for n in names if got[n] == 1]
 
 
-def process_covariates(obs: DataFrame, numeric=(), on="loc_id", order="obs_id", one_obs_per_locs: bool = False) -> Design:
-    """The design of obs(obs_id, loc_id, covariates); collinear columns are refused."""
+def process_covariates(obs: DataFrame, numeric=(), on="loc_id", order="obs_id", one_obs_per_locs: bool = False, pp=None) -> Design:
+    """The design of obs(obs_id, loc_id, covariates); collinear columns are refused.
+
+    With a basis `pp` (operators.basis) its columns follow the design's in both Gram matrices, per observation and per location.
+    """
     strings = [c for c in numeric if isinstance(obs.schema[c].dataType, StringType)]
     table, names = model_matrix(obs, [c for c in numeric if c not in strings], strings)
     g, _ = gram_np(table, names)
@@ -59,6 +62,10 @@ def process_covariates(obs: DataFrame, numeric=(), on="loc_id", order="obs_id",
         raise ValueError(f"these covariates vary within locations: {sorted(set(names) - set(constant))}")
     first = table.groupBy(on).agg(*[F.min_by(n, order).alias(n) for n in constant])
     gl, _ = gram_np(first, constant)
+    if pp is not None:
+        phi = [f"phi{k}" for k in range(len(pp.knots))]
+        values = pp.dense_rows().select(F.col("id").alias(on), *[F.col("phi")[k].alias(c) for k, c in enumerate(phi)])
+        g, gl = gram_np(table.join(values, on), [*names, *phi])[0], gram_np(first.join(values, on), [*constant, *phi])[0]
     upper = lambda a: np.linalg.cholesky(a + 1e-10 * np.eye(len(a))).T
     return Design(table, names, g, upper(g), constant, first, gl, upper(gl))
 
@@ -116,7 +123,7 @@ class Priors:
 def prior_bounds(residual_variance: float, max_dist: float, median_nn: float, smoothness: float) -> Priors:
     """Log variances between 1 and 99 per cent of the residuals'; log ranges between three neighbour distances and an eighth of the domain."""
     if smoothness not in (0.5, 1.5):
-        raise ValueError("matern_smoothness must be equal to 0.5 or 1.5")
+        raise ValueError("the smoothness is 0.5 or 1.5")
     base = -0.5 * math.log(8 * smoothness)
     return Priors((math.log(0.01 * residual_variance), math.log(0.99 * residual_variance)), (base + math.log(3 * median_nn), base + math.log(max_dist / 8)))
 

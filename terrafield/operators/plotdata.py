@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafield.operators.ranges import numbered
 from terrafield.operators.relational import colour_index, cut_right_closed, histogram
 
 # Fixed value: radius of the 95 % ellipse of a unit normal in the plane.
@@ -15,10 +16,25 @@ ELLIPSE = 2.447747
 
 def loss_map(losses: DataFrame, locs: DataFrame) -> DataFrame:
     """(id, x, y, loss, bin, draw): locations by the variance that a basis misses, in drawing order, the worst last."""
-    from pyspark.sql import Window
-
     rows = losses.join(locs.select("id", "x", "y"), "id").withColumn("bin", cut_right_closed(F.col("loss")))
-    return rows.withColumn("draw", F.row_number().over(Window.partitionBy("bin").orderBy("loss", "id")))
+    rows = numbered(rows, [F.col("loss").asc(), F.col("id").asc()]).withColumn("draw", F.col("rank") + 1)
+    return rows.select("id", "x", "y", "loss", "bin", "draw")
+
+
+def knot_map(pp, locs: DataFrame, losses: bool = True, knots: bool = True) -> DataFrame:
+    """(kind, id, x, y, loss, bin, draw): the map of a basis, in one drawing order: locations, by loss if it is shown, the worst
+    last, and on top the knots, numbered from 1."""
+    if losses:
+        out = loss_map(pp.variance_loss(), locs)
+    else:
+        out = numbered(locs.select("id", "x", "y"), [F.col("id").asc()]).withColumns({"loss": F.lit(None).cast("double"), "bin": F.lit(None).cast("string"), "draw": F.col("rank") + 1})
+    out = out.select(F.lit("location").alias("kind"), F.col("id").cast("long").alias("id"), "x", "y", "loss", "bin", "draw")
+    if not knots:
+        return out
+    n = locs.count()
+    rows = [("knot", k + 1, float(x), float(y), n + k + 1) for k, (x, y) in enumerate(pp.knots)]
+    top = locs.sparkSession.createDataFrame(rows, "kind string, id long, x double, y double, draw long")
+    return out.unionByName(top, allowMissingColumns=True)
 
 
 def loss_histogram(losses: DataFrame) -> DataFrame:

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafield.operators.ranges import numbered
+from terrafield.session import cut
+
 QUANTILES = (0.025, 0.5, 0.975)
 
 
@@ -15,11 +21,81 @@ def not_nan(c: Column) -> Column:
 
 
 def summary(samples: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """mean, q0_025, median, q0_975 (interpolated between order statistics) and sample sd per group, without NaN and null."""
-    v = not_nan(F.col(value))
-    q = F.percentile(v, F.array(*[F.lit(p) for p in QUANTILES]))
-    out = samples.groupBy(*by).agg(F.avg(v).alias("mean"), q.alias("q"), F.stddev_samp(v).alias("sd"))
-    return out.select(*by, "mean", F.col("q")[0].alias("q0_025"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q0_975"), "sd")
+    """mean, q0_025, median, q0_975 (interpolated between order statistics) and sample sd per group, without NaN and null.
+
+    No task holds a group: values are numbered in ranges of (group, value), and a group's quantiles come from the rows at their places.
+    """
+    by = list(by)
+    v = not_nan(F.col(value).cast("double"))
+    rows = samples.select(*by, v.alias("_v"))
+    stats = cut(rows.groupBy(*by).agg(F.avg("_v").alias("mean"), F.count("_v").alias("_n"), F.stddev_samp("_v").alias("sd")))
+    ranked = numbered(rows.where("_v is not null"), [*[F.col(c).asc_nulls_first() for c in by], F.col("_v").asc()])
+    # where each group begins: the number of values in groups before it
+    starts = numbered(stats, [F.col(c).asc_nulls_first() for c in by], ("_n",)).withColumnRenamed("before__n", "_start").drop("rank")
+    place = lambda p: F.col("_start") + (F.col("_n") - 1) * F.lit(p)
+    wanted = starts.where("_n > 0").select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("q"), place(p).alias("at")) for k, p in enumerate(QUANTILES)])).alias("w"))
+    wanted = wanted.select(*by, "w.q", "w.at").withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    share = F.when(F.col("rank") == F.floor("at"), 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
+    found = wanted.join(ranked.select("rank", "_v"), "rank").groupBy(*by).pivot("q", [0, 1, 2]).agg(F.sum(F.col("_v") * share))
+    found = found.toDF(*by, "q0_025", "median", "q0_975")
+    out = stats.alias("s").join(found.alias("f"), [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by], "left")
+    return out.select(*[F.col(f"s.{c}").alias(c) for c in by], "mean", "q0_025", "median", "q0_975", "sd")
+
+
+def array_summary(rows: DataFrame, by: Sequence[str], values: str = "values") -> DataFrame:
+    """The same of arrays of samples, a row per group: within the row, no shuffle."""
+    v = F.array_sort(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)))
+    rows = rows.select(*by, v.alias("_v")).withColumn("_n", F.size("_v"))
+    mean = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / F.col("_n")
+    rows = rows.withColumn("mean", F.when(F.col("_n") > 0, mean))
+    spread = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
+
+    def quantile(p):
+        at = (F.col("_n") - 1) * F.lit(p)
+        low, high = (F.get("_v", f(at).cast("int")) for f in (F.floor, F.ceil))
+        return F.when(F.col("_n") > 0, low + (high - low) * (at - F.floor(at)))
+
+    return rows.select(*by, "mean", *[quantile(p).alias(n) for p, n in zip(QUANTILES, ("q0_025", "median", "q0_975"))], F.when(F.col("_n") > 1, F.sqrt(spread / (F.col("_n") - 1))).alias("sd"))
+
+
+#: Coefficients of samples that are sent to every task, at most.
+MAX_SAMPLE_VALUES = 5_000_000
+
+
+def sample_matrix(beta: DataFrame) -> tuple[list, np.ndarray]:
+    """(samples, samples x coefficients) of beta(chain, iteration, i, value), i from 1; more than MAX_SAMPLE_VALUES are refused."""
+    t = beta.select("chain", "iteration", "i", "value").limit(MAX_SAMPLE_VALUES + 1).toPandas()
+    if len(t) > MAX_SAMPLE_VALUES:
+        raise ValueError(f"more than {MAX_SAMPLE_VALUES} sampled coefficients; thin the records")
+    wide = t.pivot_table(index=["chain", "iteration"], columns="i", values="value").sort_index()
+    return list(wide.index), wide.to_numpy()
+
+
+def _multiplied(batches, samples):
+    b = samples.value
+    for batch in batches:
+        v = batch.column(1)
+        for s in range(0, batch.num_rows, 1024):
+            part = v.slice(s, 1024)
+            x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+            values = x @ b.T
+            ends = np.arange(len(part) + 1) * b.shape[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, 1024), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.ravel()))], ["key", "values"])
+
+
+def products(rows: DataFrame, beta: DataFrame, key: str) -> DataFrame:
+    """(key, values): rows(key, v array) times every sample of beta(chain, iteration, i, value), in the order of the samples. No shuffle: the
+    samples, whose number is bounded, go to the rows."""
+    _, b = sample_matrix(beta)
+    shared = rows.sparkSession.sparkContext.broadcast(b)
+    kind = rows.schema[key].dataType.simpleString()
+    out = rows.select(F.col(key).alias("key"), "v").mapInArrow(partial(_multiplied, samples=shared), f"key {kind}, values array<double>")
+    return out.withColumnRenamed("key", key)
+
+
+def product_summary(rows: DataFrame, beta: DataFrame, key: str) -> DataFrame:
+    """Summaries per row of a design's products with every sample."""
+    return array_summary(products(rows, beta, key), [key])
 
 
 def estimate_parameters(records: DataFrame, by: Sequence[str] = ("param", "i", "j"), share: float = 0.5) -> DataFrame:
@@ -29,10 +105,10 @@ def estimate_parameters(records: DataFrame, by: Sequence[str] = ("param", "i", "
 
 
 def fixed_effects(design: DataFrame, beta: DataFrame, names: Sequence[str], key: str = "obs_id") -> DataFrame:
-    """Design times coefficients for every sample: design(key, names...), beta(sample, names...), which has a row a sample."""
-    b = beta.select("sample", *[F.col(n).alias(f"b_{n}") for n in names])
-    value = sum((F.col(n) * F.col(f"b_{n}") for n in names), F.lit(0.0))
-    return design.crossJoin(F.broadcast(b)).select(key, "sample", value.alias("value"))
+    """(key, values): design(key, names...) times the coefficients beta(sample, names...) of every sample, in the order of `sample`."""
+    long = beta.select(F.lit(1).alias("chain"), F.col("sample").alias("iteration"), F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("pos", "value"))
+    rows = design.select(key, F.array(*[F.col(n).cast("double") for n in names]).alias("v"))
+    return products(rows, long.withColumn("i", F.col("pos") + 1), key)
 
 
 def noise_variance(log_noise: Column) -> Column:
@@ -45,18 +121,24 @@ def normal_log_density(y: Column, mean: Column, log_var: Column) -> Column:
 
 
 def log_score(samples: DataFrame, by: str = "obs_id") -> DataFrame:
-    """Per observation, the log of the mean predictive density over samples(by, z, latent, fixed, log_noise); safe from underflow."""
-    ll = normal_log_density(F.col("z"), F.col("latent") + F.col("fixed"), F.col("log_noise"))
-    top = samples.select(by, ll.alias("ll"))
-    w = Window.partitionBy(by)
-    top = top.withColumn("top", F.max("ll").over(w))
-    return top.groupBy(by).agg((F.first("top") + F.log(F.avg(F.exp(F.col("ll") - F.col("top"))))).alias("log_score"))
-
-
-def dic(samples: DataFrame, by: str = "obs_id", sample: Sequence[str] = ("sample",)) -> DataFrame:
-    """Deviance information criterion from samples(by, z, mean, log_noise): DIC, and the log-likelihood at the posterior means."""
-    ll = F.sum(normal_log_density(F.col("z"), F.col("mean"), F.col("log_noise")))
-    each = samples.groupBy(*sample).agg(ll.alias("ll")).agg(F.avg("ll").alias("mean_ll"))
-    at = samples.groupBy(by).agg(F.first("z").alias("z"), F.avg("mean").alias("mean"), F.avg("log_noise").alias("log_noise")).agg(ll.alias("ll_at_mean"))
-    both = each.crossJoin(at)
+    """Per observation, the log of the mean predictive density; safe from underflow.
+
+    samples(by, z, means, log_noises): arrays with an element per sample, so an observation is one row and nothing is shuffled.
+    """
+    ll = F.zip_with("means", "log_noises", lambda m, v: normal_log_density(F.col("z"), m, v))
+    rows = samples.select(by, ll.alias("ll")).withColumn("top", F.array_max("ll"))
+    total = F.aggregate("ll", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    return rows.select(by, (F.col("top") + F.log(total / F.size("ll"))).alias("log_score"))
+
+
+def dic(samples: DataFrame) -> DataFrame:
+    """Deviance information criterion from samples(z, means, log_noises): DIC, and the log-likelihood at the posterior means.
+
+    One pass: the mean over samples of an observation's log density, and its density at its mean, both summed.
+    """
+    n = F.size("means")
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    each = F.aggregate(F.zip_with("means", "log_noises", lambda m, v: normal_log_density(F.col("z"), m, v)), F.lit(0.0), lambda a, x: a + x) / n
+    at = normal_log_density(F.col("z"), mean("means"), mean("log_noises"))
+    both = samples.agg(F.sum(each).alias("mean_ll"), F.sum(at).alias("ll_at_mean"))
     return both.select((-2 * (2 * F.col("mean_ll") - F.col("ll_at_mean"))).alias("dic"), "ll_at_mean")

@@ -23,11 +23,11 @@ def numbered(df: DataFrame, order: list[Column], sums: tuple[str, ...] = (), ran
     dealt = dealt.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit(_PLACE))})
     per = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums]).orderBy("_range").collect()
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
-    totals, offsets = [0] * (1 + len(sums)), []
+    of = {c: "double" if kinds[c] in ("double", "float") else "long" for c in sums}
+    totals, offsets = [0, *[0.0 if of[c] == "double" else 0 for c in sums]], []
     for x in per:
         offsets.append((x["_range"], *totals))
         totals = [t + (v or 0) for t, v in zip(totals, (x["n"], *[x[c] for c in sums]))]
-    of = {c: "double" if kinds[c] in ("double", "float") else "long" for c in sums}
     tops = spark.createDataFrame(offsets, ", ".join(["_range long", "_rank long", *[f"_s{k} {of[c]}" for k, c in enumerate(sums)]]))
     rows = dealt.join(F.broadcast(tops), "_range")
     inner = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)

@@ -57,13 +57,11 @@ def scatter_add(obs: DataFrame, value: str, on) -> DataFrame:
 
 
 def random_order(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds `rank` from 1 in the order of a seeded hash, equal in every run."""
-    from pyspark.sql.types import LongType, StructField, StructType
+    """Adds `rank` from 1 in the order of a seeded hash (MD5 of seed and key, ties by key), equal in every run and in any engine."""
+    from terrafield.operators.ranges import numbered
 
-    ordered = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).drop("_h")
-    fields = StructType([*ordered.schema.fields, StructField("rank", LongType(), False)])
-    numbered = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))  # ranks of a sorted table without one task for all
-    return df.sparkSession.createDataFrame(numbered, fields)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return numbered(df.withColumn("_h", h), [F.col("_h").asc(), F.col(key).asc()]).withColumn("rank", F.col("rank") + 1).drop("_h")
 
 
 def first_index(df: DataFrame, condition: Column, index: str, by=()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrafield.functions import kernels as K
 from terrafield.operators import basis, design, diagnostics, linalg, plotdata, posterior, sampler, spatial, vecchia
 from terrafield.operators import relational as rel
+from terrafield.operators.ranges import numbered
 from terrafield.session import cut, ship
 from terrafield.sources import tables as T
 
@@ -234,10 +235,7 @@ def gather(spark, d):
 def match_locations(spark, d):
     o = obs(spark, d)
     u = rel.unique_points(o)
-    # ranks by counts of smaller keys per x, so that no window sees all rows
-    per = u.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    before = per.select("x", (F.sum("n").over(Window.orderBy("x")) - F.col("n")).alias("before"))  # a row per distinct x
-    l = u.join(F.broadcast(before), "x").select("x", "y", (F.col("before") + F.row_number().over(Window.partitionBy("x").orderBy("y"))).alias("loc_id"))
+    l = numbered(u, [F.col("x").asc(), F.col("y").asc()]).select("x", "y", (F.col("rank") + 1).alias("loc_id"))
     return rel.match_locations(o, l).select("loc_id", "x", "y", "z")
 
 
@@ -579,20 +577,20 @@ def _samples(spark) -> DataFrame:
 @query(f"with {PTS}, {_S}, v as (select p.id as obs_id, s.intercept + p.x * s.x as value from p, s) {_summary_sql('obs_id', 'v')}")
 def fixed_effects_pred(spark, d):
     dsg = rel.with_intercept(locs(spark, d)).withColumnRenamed("id", "obs_id")
-    return _rounded(posterior.summary(posterior.fixed_effects(dsg, _samples(spark), ["intercept", "x"]), ["obs_id"]), ["obs_id"])
+    return _rounded(posterior.array_summary(posterior.fixed_effects(dsg, _samples(spark), ["intercept", "x"], "obs_id"), ["obs_id"]), ["obs_id"])
 
 
 @query(f"with {PTS}, {_S}, v as (select p.id as obs_id, exp(s.intercept + p.x * s.x) as value from p, s) {_summary_sql('obs_id', 'v')}")
 def noise_pred(spark, d):
     dsg = rel.with_intercept(locs(spark, d)).withColumnRenamed("id", "obs_id")
-    v = posterior.fixed_effects(dsg, _samples(spark), ["intercept", "x"]).withColumn("value", posterior.noise_variance(F.col("value")))
-    return _rounded(posterior.summary(v, ["obs_id"]), ["obs_id"])
+    v = posterior.fixed_effects(dsg, _samples(spark), ["intercept", "x"]).withColumn("values", F.transform("values", posterior.noise_variance))
+    return _rounded(posterior.array_summary(v, ["obs_id"]), ["obs_id"])
 
 
 def _predictive(spark, d) -> DataFrame:
     f = posterior.fixed_effects(rel.with_intercept(locs(spark, d)).withColumnRenamed("id", "obs_id"), _samples(spark), ["intercept", "x"])
     z = locs(spark, d).select(F.col("id").alias("obs_id"), F.col("y").alias("z"))
-    return f.join(z, "obs_id").select("obs_id", "sample", "z", F.lit(0.1).alias("latent"), F.col("value").alias("fixed"), F.lit(-1.0).alias("log_noise"))
+    return f.join(z, "obs_id").select("obs_id", "z", F.transform("values", lambda v: v + 0.1).alias("means"), F.transform("values", lambda v: F.lit(-1.0)).alias("log_noises"))
 
 
 _LL = "-0.5e0 * (ln(2 * pi()) + (-1.0e0) + (z - mean) * (z - mean) * exp(1.0e0))"
@@ -607,8 +605,7 @@ def log_score(spark, d):
 @query(f"""with {PTS}, {_S}, {_PRED}, e as (select sample, sum({_LL}) as ll from v group by sample), a as (select obs_id, any_value(z) as z, avg(mean) as mean from v group by obs_id), b as (select sum({_LL}) as ll_ from a)
     select round(-2 * (2 * avg(ll) - any_value(ll_)), 4) as dic, round(any_value(ll_), 4) as ll_at_mean from e, b""")
 def dic(spark, d):
-    x = _predictive(spark, d).withColumn("mean", F.col("latent") + F.col("fixed"))
-    return posterior.dic(x).select(r("dic", 4).alias("dic"), r("ll_at_mean", 4).alias("ll_at_mean"))
+    return posterior.dic(_predictive(spark, d)).select(r("dic", 4).alias("dic"), r("ll_at_mean", 4).alias("ll_at_mean"))
 
 
 # ----------------------------------------------------------------------------- plots

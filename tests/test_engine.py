@@ -93,7 +93,6 @@ def test_basis_against_dense(spark, index):
     assert 0 <= pp.variance_loss().agg(F.min("loss")).first()[0]
     tight = basis.PredictiveProcess.fit(index.locs, 5, knots=pp.knots, matern_range=0.001)
     assert tight.verdict() == "quite a bit of loss" and basis.PredictiveProcess.fit(index.locs, 5, knots=pp.knots, matern_range=5.0).verdict() == "great"
-    assert plotdata.loss_map(pp.variance_loss(), index.locs).count() == 150
 
 
 def test_design(index):
@@ -151,13 +150,163 @@ def test_model(spark, index):
 def test_model_with_bases(spark, index):
     pp = basis.PredictiveProcess.fit(index.locs, 5, knots=10, seed=1)
     m = Model.build(index, covariates=["v1"], noise_pp=pp, range_pp=pp, n_chains=2, anisotropic=True).run(4)
-    assert m.data.x_range.shape == (150, 11) and m.data.x_noise.shape == (200, 11)
+    # 200 observations, but one cell per location, as the noise design is constant within locations
+    assert m.data.x_range.shape == (150, 11) and m.data.x_noise.shape == (150, 11) and m.data.n.sum() == 200
     assert m.records.where("param = 'range_beta'").count() == 2 * 4 * 11 * 3
     assert m.records.where("param = 'range_log_scale'").count() == 2 * 4 * 6
     new = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.51, 0.5)], "id long, x double, y double")
     assert m.predict_noise(new).count() == 2 and m.predict_field(new).count() == 2
 
 
+def test_models_over_cells_and_over_a_table_agree(spark, index, monkeypatch):
+    """Two ways to ask the observations: sums by cell on the driver, and aggregations on the cluster."""
+    from terrafield import model
+    from terrafield.operators import distributed
+
+    pp = basis.PredictiveProcess.fit(index.locs, 5, knots=6, seed=1)
+    monkeypatch.setattr(model, "RECORDS_AT_ONCE", 300)
+    a = Model.build(index, covariates=["v1"], noise_x=["v1"], noise_pp=pp)
+    b = Model.build(index, covariates=["v1"], noise_x=["v1"], noise_pp=pp, max_cells=10)
+    assert isinstance(b.data, distributed.ObservationTable) and len(a.data.n) == 200
+    a.run(2).run(1)
+    b.run(2).run(1)
+    rows = [sorted(map(tuple, m.records.collect())) for m in (a, b)]
+    assert [r[:5] for r in rows[0]] == [r[:5] for r in rows[1]]
+    assert np.allclose([r[5] for r in rows[0]], [r[5] for r in rows[1]], rtol=1e-4, atol=1e-6)
+    assert {r.section for r in a.summary().collect()} == {"data", "index", "model", "basis", "prior", "states", "chains", "records"} and "150 locations" in str(a)
+
+
+def test_prediction_at_many_and_repeated_places(spark, index):
+    m = Model.build(index, covariates=["v1"]).run(8)
+    rng = np.random.default_rng(3)
+    xy = rng.random((300, 2))
+    rows = [(int(i), float(x), float(y)) for i, (x, y) in zip(rng.permutation(300), xy)] + [(1000 + i, float(x), float(y)) for i, (x, y) in enumerate(xy[:40])]
+    got = {r.id: r for r in m.predict_field(spark.createDataFrame(rows, "id long, x double, y double")).collect()}
+    assert len(got) == 340
+    at = {(x, y): got[i] for i, x, y in rows[:300]}
+    for i, x, y in rows[300:]:
+        assert got[i][1:] == at[x, y][1:]
+    # far from all locations the prior's spread, near one of them the field there
+    near = index.locs.orderBy("id").limit(1).select(F.lit(1).alias("id"), (F.col("x") + 1e-7).alias("x"), "y")
+    one = m.predict_field(near).first()
+    field = m.estimate().where("param = 'field' and i = 1").first()
+    assert one.mean == pytest.approx(field.mean, abs=0.05) and one.q0_025 <= one.median <= one.q0_975
+    # a design that is told, by id, is the design's own
+    new = spark.createDataFrame(rows[:30], "id long, x double, y double")
+    ones = np.ones((30, 1))
+    assert sorted(m.predict_field(new).collect()) == sorted(m.predict_field(new, range_new=ones, scale_new=ones).collect())
+
+
+@pytest.mark.parametrize("case", ["x", "basis", "both", "both_on_obs", "basis_three"])
+def test_products_of_designs_and_bases(spark, index, case):
+    pp = basis.PredictiveProcess.fit(index.locs, 5, knots=8, seed=2)
+    phi = {r.id: np.array(r.phi) for r in pp.dense_rows().collect()}
+    rng = np.random.default_rng(4)
+    locs = index.locs.withColumn("intercept", F.lit(1.0))
+    of = {r.id: np.array([1.0, r.x]) for r in locs.collect()}
+    cols = 3 if case == "basis_three" else 2
+    y = rng.normal(size=({"x": 2, "basis": 8, "basis_three": 8}.get(case, 10), cols))
+    if case == "x":
+        got, want = basis.times(y, locs, ["intercept", "x"]), {i: v @ y for i, v in of.items()}
+    elif case.startswith("basis"):
+        got, want = basis.times(y, pp=pp), {i: v @ y for i, v in phi.items()}
+    elif case == "both":
+        got, want = basis.times(y, locs, ["intercept", "x"], pp), {i: np.concatenate([of[i], phi[i]]) @ y for i in phi}
+    else:
+        obs = index.obs.select("obs_id", "loc_id", "v1")
+        got = basis.times(y[1:], obs, ["v1"], pp, on="loc_id", key="obs_id")
+        want = {r.obs_id: np.concatenate([[r.v1], phi[r.loc_id]]) @ y[1:] for r in obs.collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) and all(np.allclose(r[1:], want[r[0]]) for r in rows)
+
+
+def test_products_refuse_wrong_shapes(index):
+    pp = basis.PredictiveProcess.fit(index.locs, 5, knots=8, seed=2)
+    for how in ({"y": np.ones(3)}, {"y": np.ones(3), "x": index.locs, "names": ["x"]}, {"y": np.ones(7), "pp": pp}, {"y": np.ones(8), "x": index.locs, "names": ["x"], "pp": pp}):
+        with pytest.raises(ValueError):
+            basis.times(**how)
+
+
+def test_gram_with_a_basis(spark, index):
+    pp = basis.PredictiveProcess.fit(index.locs, 5, knots=6, seed=2)
+    d = design.process_covariates(index.obs, ["v1", "x"], pp=pp)
+    phi = {r.id: np.array(r.phi) for r in pp.dense_rows().collect()}
+    rows = index.obs.collect()
+    x = np.array([[1.0, r.v1, r.x, *phi[r.loc_id]] for r in rows])
+    assert np.allclose(d.gram, x.T @ x) and np.allclose(d.chol.T @ d.chol, x.T @ x + 1e-10 * np.eye(9))
+    first = {}
+    for r in rows:
+        first.setdefault(r.loc_id, np.array([1.0, r.x, *phi[r.loc_id]]))
+    x = np.array(list(first.values()))
+    assert np.allclose(d.gram_locs, x.T @ x) and d.names == ["intercept", "v1", "x"]
+
+
+def test_losses_of_knots_and_the_map(spark, index):
+    pp = basis.PredictiveProcess.fit(index.locs, 5, knots=12, seed=3)
+    every = pp.every_loss().collect()
+    assert [r.kind for r in every].count("knot") == 12 and len(every) == 162
+    assert all(0 <= r.loss <= 100 for r in every)
+    inv = np.linalg.inv(pp.knot_factor)
+    assert np.allclose([r.loss for r in every if r.kind == "knot"], 100 * np.maximum(0, 1.000001 - (inv**2).sum(1)) / 1.000001)
+    assert {r.name for r in pp.summary().collect()} >= {"knots", "verdict", "mean_loss"} and "12 knots" in str(pp)
+    rows = plotdata.knot_map(pp, index.locs).orderBy("draw").collect()
+    assert [r.draw for r in rows] == list(range(1, 163)) and [r.kind for r in rows] == ["location"] * 150 + ["knot"] * 12
+    losses = [r.loss for r in rows[:150]]
+    assert losses == sorted(losses) and all(r.bin is not None for r in rows[:150]) and rows[-1].bin is None
+    plain = plotdata.knot_map(pp, index.locs, losses=False, knots=False).collect()
+    assert len(plain) == 150 and all(r.loss is None for r in plain)
+
+
+def test_neighbours_on_a_grid_do_not_mind_far_points(spark):
+    rng = np.random.default_rng(1)
+    xy = rng.random((1500, 2))
+    xy[:400] = 0.5 + 1e-5 * rng.random((400, 2))
+    xy[7], xy[8], xy[9:40] = (900, -900), (0.2, 1e4), xy[50]
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(1500), "x": xy[:, 0], "y": xy[:, 1]}))
+    for ordered in (True, False):
+        want = sorted(map(tuple, spatial.nearest_neighbours(df, 6, ordered).select("child", "k", "parent").collect()))
+        got = sorted(map(tuple, spatial.grid_neighbours(df, 6, ordered, cell_rows=20).select("child", "k", "parent").collect()))
+        assert got == want
+    few = spatial.grid_neighbours(df, 6, children="id >= 1490")
+    assert sorted(map(tuple, few.select("child", "k", "parent").collect())) == [w for w in sorted(map(tuple, spatial.nearest_neighbours(df, 6).select("child", "k", "parent").collect())) if w[0] >= 1490]
+    with pytest.raises(ValueError):
+        spatial.nearest_of(df, df, 1, most=100)
+    assert spatial.grid_neighbours(df.where("false"), 3).count() == 0
+
+
+def test_numbers_and_totals_over_ranges(spark):
+    from terrafield.operators.ranges import numbered
+
+    df = spark.range(5000).select(F.xxhash64("id").alias("h"), "id", (F.col("id") / 7).alias("v"))
+    rows = numbered(df, [F.col("h").desc()], ("id", "v")).orderBy(F.col("h").desc()).collect()
+    n, v = 0, 0.0
+    for k, r in enumerate(rows):
+        assert r.rank == k and r.before_id == n and r.before_v == pytest.approx(v)
+        n, v = n + r.id, v + r.v
+    assert numbered(df.where("false"), [F.col("h")], ("id",)).count() == 0
+
+
+def test_summaries_over_ranges_and_arrays(spark):
+    from terrafield.operators import posterior
+
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a": rng.integers(0, 4, 3000), "b": rng.choice(["x", None], 3000), "value": np.round(rng.normal(size=3000), 1)})
+    pdf.loc[rng.integers(0, 3000, 200), "value"] = np.nan
+    df = spark.createDataFrame(pdf)
+    df = df.unionByName(spark.createDataFrame([(9, "x", None), (8, "x", 2.5)], "a long, b string, value double"))
+    got = {(r.a, r.b): r for r in posterior.summary(df, ["a", "b"]).collect()}
+    assert (got[9, "x"].mean, got[9, "x"].median) == (None, None) and got[8, "x"].median == 2.5 and got[8, "x"].sd is None
+    rows = df.groupBy("a", "b").agg(F.collect_list("value").alias("values"))
+    arrays = {(r.a, r.b): r for r in posterior.array_summary(rows, ["a", "b"]).collect()}
+    for (a, b), r in got.items():
+        v = pdf[(pdf.a == a) & (pdf.b.isna() if b is None else pdf.b == b)].value.dropna().to_numpy()
+        if len(v) > 1:
+            want = [v.mean(), *np.quantile(v, (0.025, 0.5, 0.975)), v.std(ddof=1)]
+            assert np.allclose(r[2:], want) and np.allclose(arrays[a, b][2:], want)
+        else:
+            assert arrays[a, b] == r
+
+
 def test_colours_and_arrays(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, None)], "id int, v double")
     assert [r.colour for r in rel.colour_index(df, "v").orderBy("id").collect()] == [1, 46, 91, 1]

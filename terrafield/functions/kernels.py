@@ -33,18 +33,23 @@ def log_sum_exp(x: Column, y: Column) -> Column:
 # ----------------------------------------------------------------------------- symmetric matrices and exponentials
 
 
-def symmat(coords) -> np.ndarray:
-    """The symmetric matrix of its diagonal followed by its lower triangle, column by column."""
-    coords = np.asarray(coords, float)
-    n = (math.isqrt(8 * len(coords) + 1) - 1) // 2
-    if n * (n + 1) // 2 != len(coords):
-        raise ValueError("length of coords incompatible with a symetric matrix")
-    out = np.diag(coords[:n])
+def symmat_places(length: int) -> np.ndarray:
+    """Which coordinate each entry of a symmetric matrix is: its diagonal first, then its lower triangle, column by column."""
+    n = (math.isqrt(8 * length + 1) - 1) // 2
+    if n * (n + 1) // 2 != length:
+        raise ValueError(f"{length} numbers don't make a symmetric matrix")
+    out = np.diag(np.arange(n))
     rows, cols = np.triu_indices(n, 1)  # (col, row) of the lower triangle, column-major
-    out[cols, rows] = out[rows, cols] = coords[n:]
+    out[cols, rows] = out[rows, cols] = np.arange(n, length)
     return out
 
 
+def symmat(coords) -> np.ndarray:
+    """The symmetric matrix of the coordinates, see symmat_places."""
+    coords = np.asarray(coords, float)
+    return coords[symmat_places(len(coords))]
+
+
 def expmat(coords, eps: float = 1e-4) -> np.ndarray:
     """Matrix exponential of symmat(coords), eps added to the diagonal."""
     values, vectors = np.linalg.eigh(symmat(coords))

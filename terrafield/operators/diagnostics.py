@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafield.operators.ranges import prefixes
+
 
 def psrf(records: DataFrame, by=(), burn_in: float = 0.5, start: float = 0.5) -> DataFrame:
     """Potential scale reduction curves: for each end e beyond start * last, chains compared over (lb, e], lb = ceil(burn_in e).
 
     records(chain, i, value, by...): i numbers a chain's samples from 1; chains are cut to the shortest. Windows come from
-    prefix sums, so every sample is read once, and the prefixes at e and lb from one equi-join each.
+    prefix sums over blocks of samples, so no task holds a chain, and the prefixes at e and lb come from one equi-join.
     """
     by = list(by)
     per = records.groupBy("chain", *by).agg(F.max("i").alias("c"))
     last = per.groupBy(*by).agg(F.min("c").alias("last"))
-    r = records.crossJoin(F.broadcast(last)) if not by else records.join(F.broadcast(last), by)
-    r = r.where(F.col("i") <= F.col("last"))
-    w = Window.partitionBy("chain", *by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    cs = r.select("chain", *by, "i", "last", F.sum("value").over(w).alias("s"), F.sum(F.col("value") * F.col("value")).over(w).alias("s2"))
+    r = records.crossJoin(last) if not by else records.join(last, by)  # without groups it is a single row
+    r = r.where(F.col("i") <= F.col("last")).select("chain", *by, "i", "last", "value")
+    cs = prefixes(r, ["chain", *by], "i", {"s": F.col("value"), "s2": F.col("value") * F.col("value")}).drop("value")
     ends = cs.where(F.col("i") > F.col("last") * F.lit(start)).select("chain", *by, F.col("i").alias("e"), F.greatest(F.ceil(F.col("i") * F.lit(burn_in)).cast("long"), F.lit(1)).alias("lb"), "s", "s2")
     low = cs.select("chain", *by, F.col("i").alias("lb"), F.col("s").alias("s0"), F.col("s2").alias("s20"))
     n = (F.col("e") - F.col("lb")).cast("double")

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 
-from terrafield.functions.kernels import canonical_range
+from terrafield.functions.kernels import canonical_range, derivative_field_wrt_scale
 from terrafield.operators.design import beta_prior_gradient, beta_prior_log_density, transition_kernels
 from terrafield.operators.linalg import Factor, Graph, draw_field
 from terrafield.operators.vecchia import factor_rows
@@ -396,11 +396,7 @@ def range_log_scale_potential(s: State, d: Data, q: np.ndarray, ancillary: bool)
     beta = _along(old, k, old_q, q)
     u, g, last = (range_ancillary if ancillary else range_sufficient)(s, d, beta)
     u, g = u + _prior(s, d, "range", beta), g + _prior_gradient(s, d, "range", beta)
-    by = np.zeros_like(q)
-    for j in range(len(q)):
-        h = np.zeros_like(q)
-        h[j] = 1e-5
-        by[j] = (g * (_along(old, k, old_q, q + h) - _along(old, k, old_q, q - h))).sum() / 2e-5
+    by = np.einsum("ik,ikc->c", g[-k:], derivative_field_wrt_scale(beta[-k:], q))
     return u, by, beta, last
 
 

@@ -310,7 +310,7 @@ def median_nn_dist(spark, d):
 def nearest_knots(spark, d):
     p = locs(spark, d)
     knots = p.groupBy(F.col("label").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return spatial.nearest_of(p, knots, 3).select("child", "k", F.col("parent").alias("knot"))
+    return spatial.nearest_of(p, knots, 3).select("child", "k", F.col("parent").cast("int").alias("knot"))
 
 
 def _nn_self(spark, d, m: int) -> DataFrame:
@@ -332,14 +332,27 @@ def cluster_graph(spark, d):
     return spatial.cluster_graph(spatial.moral_graph(_nn_self(spark, d, 3)), locs(spark, d).select("id", F.col("label").alias("cluster")))
 
 
-@query()
+@query(f"""with recursive {PTS}, {NN_SELF3}, g as (select distinct s.parent as a, t.parent as b from ns s join ns t on s.child = t.child where s.parent < t.parent),
+    links as (select distinct ca.label as v, cb.label as u from g join p ca on ca.id = g.a join p cb on cb.id = g.b where ca.label <> cb.label),
+    near as (select v, list(u) as us from (select v, u from links union select u, v from links) group by v),
+    every as (select cast(id as integer) as v, coalesce(us, []) as us from range(10) t(id) left join near on near.v = id),
+    col(v, cs) as (select -1, cast([] as integer[]) union all
+        select e.v, list_append(cs, cast(list_min(list_filter(range(1, 12), lambda c: not list_contains(list_transform(us, lambda u: coalesce(cs[u + 1], 0)), c))) as integer)) from col join every e on e.v = col.v + 1)
+    select cast(k - 1 as integer) as cluster, cs[k] as colour from col, range(1, 11) t(k) where col.v = 9""")
 def cluster_colouring(spark, d):
     p = locs(spark, d)
     links = [(x.a, x.b) for x in spatial.cluster_graph(spatial.moral_graph(_nn_self(spark, d, 3)), p.select("id", F.col("label").alias("cluster"))).collect()]
     return spark.createDataFrame(list(enumerate(spatial.greedy_colouring(10, links))), "cluster int, colour int")
 
 
-@query()
+@query(f"""with recursive {PTS}, o as (select id, x, y, row_number() over (order by md5('1:' || cast(id as varchar)), id) as r from p),
+    s0 as (select o.*, first_value(r) over w as sel, first_value(x) over w as sx, first_value(y) over w as sy from o, (select avg(x) as cx, avg(y) as cy from o) c
+           window w as (order by (x - cx) * (x - cx) + (y - cy) * (y - cy), r)),
+    st(k, r, x, y, far, sel) as (
+        select cast(1 as bigint), r, x, y, case when r = sel then -1.0e0 else (x - sx) * (x - sx) + (y - sy) * (y - sy) end, sel from s0 union all
+        select k + 1, r, x, y, case when r = sel then -1.0e0 else least(far, (x - sx) * (x - sx) + (y - sy) * (y - sy)) end, sel from
+            (select k, r, x, y, far, first_value(r) over w as sel, first_value(x) over w as sx, first_value(y) over w as sy, count(*) over () as n from st window w as (order by far desc, r)) where k < n)
+    select o.id, k as rank from (select distinct k, sel from st) join o on o.r = sel""")
 def maxmin_order(spark, d):
     return spatial.ordered_locations(locs(spark, d).select("id", "x", "y"), "id").select("id", "rank")
 
@@ -366,8 +379,8 @@ def logsumexp(spark, d):
 
 @query(f"with {PTS} select id, x as m11, x + y as m21, x + y as m12, y as m22 from p")
 def symmat_2x2(spark, d):
-    b = F.col("x") + F.col("y")
-    return locs(spark, d).select("id", F.col("x").alias("m11"), b.alias("m21"), b.alias("m12"), F.col("y").alias("m22"))
+    at, coords = K.symmat_places(3), [F.col("x"), F.col("y"), F.col("x") + F.col("y")]
+    return locs(spark, d).select("id", *[coords[at[i, j]].alias(f"m{i + 1}{j + 1}") for i in range(2) for j in range(2)])
 
 
 _EXPM = "e as (select *, (a + c) / 2 as mean, (a - c) / 2 as half, sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) as dl from ab)"
@@ -489,23 +502,49 @@ def decompressed_factor(spark, d):
     return spatial.decompress(_factor(spark, d, 1).select("child", "coef"), nn).select("row", "col", r("value", 3).alias("value"))
 
 
-@query()
+@query(f"""with {PTS}, {NN_BEFORE}, f as (select id, x, y, exp(2 * (-1.0e0 + 0.3e0 * x)) as r from p),
+    e as (select child, parent, c.x as l, c.y as yc, q.y as yp, nn.d2, c.r as rc, q.r as rp from nn join f c on c.id = child join f q on q.id = parent where k = 1),
+    v as (select *, unnest([0, 1, 2]) as move from e),
+    m as (select *, rc * case when move = 1 then exp(1e-5) else 1 end as a, rp * case when move = 2 then exp(1e-5) else 1 end as b from v),
+    k as (select *, power(a * b, 0.25) * power((a + b) / 2, -0.5) * exp(-sqrt(d2 / ((a + b) / 2))) * (1 + sqrt(d2 / ((a + b) / 2))) as c from m),
+    h as (select child, parent, any_value(l) as l, any_value(yc) as yc, any_value(yp) as yp, max(c) filter (move = 0) as c, (max(c) filter (move = 1) - max(c) filter (move = 0)) / 1e-5 as d1, (max(c) filter (move = 2) - max(c) filter (move = 0)) / 1e-5 as d2 from k group by child, parent),
+    g as (select *, c / 1.00001e0 as s, power(1.00001e0 - c * c / 1.00001e0, -0.5) as g from h),
+    w as (select child as id, l, yc, yp, s, g, d1 as dc from g union all select parent, l, yc, yp, s, g, d2 from g),
+    u as (select id, g * g * g * s * dc as dg, l, yc, yp, s, g, dc from w)
+    select id, cast(0 as integer) as component, round(sum(l * (dg * yc - (dg * s + g * dc / 1.00001e0) * yp) + dg / g), 1) as grad from u group by id""")
 def sandwich(spark, d):
     p = locs(spark, d)
-    v = cut(_factor(spark, d, 3, grad=True))
-    return vecchia.sandwiches(v, p.select("id", F.col("x").alias("value")), p.select("id", F.col("y").alias("value")), 1, log_det=True)
+    v = cut(_factor(spark, d, 1, grad=True))
+    got = vecchia.sandwiches(v, p.select("id", F.col("x").alias("value")), p.select("id", F.col("y").alias("value")), 1, log_det=True)
+    return got.select("id", "component", r("grad", 1).alias("grad"))
 
 
-@query()
+#: Two knots and a range for the bases below: with one neighbour each, SQL can say their rows.
+KNOTS = np.array([[-0.5, -0.5], [0.5, 0.5]])
+_NUG = "(1 + 1e-6)"
+_MAT = "(1 + t) * exp(-t)"
+_PP = f"""kd as (select {_MAT} as c from (select sqrt(2.0e0) / 2 as t)),
+    ki as (select power({_NUG}, 0.5) as i1, c / {_NUG} as s2, power({_NUG} - c * c / {_NUG}, 0.5) as i2 from kd),
+    kn as (select id, x, y, (x + 0.5) * (x + 0.5) + (y + 0.5) * (y + 0.5) as a, (x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) as b from p),
+    ks as (select id, x, y, a <= b as one, {_MAT} / {_NUG} as s from (select *, sqrt(least(a, b)) / 2 as t from kn)),
+    phi as (select id, x, y, s * case when one then i1 else s2 * i1 end as f1, s * case when one then 0 else i2 end as f2 from ks, ki)"""
+_LOSS = f"100 * greatest(0, {_NUG} - f1 * f1 - f2 * f2) / {_NUG}"
+
+
+def _basis(spark, d) -> basis.PredictiveProcess:
+    return basis.PredictiveProcess.fit(locs(spark, d).select("id", "x", "y"), 1, knots=KNOTS, matern_range=2.0)
+
+
+@query(f"with {PTS}, {_PP} select 'location' as kind, id, round({_LOSS}, 6) as loss from phi union all select 'knot', unnest([1, 2]), 0.0")
 def pp_variance_loss(spark, d):
-    p = locs(spark, d).select("id", "x", "y")
-    return basis.PredictiveProcess.fit(p, 5, knots=20, seed=3).variance_loss()
+    return _basis(spark, d).every_loss().select("kind", "id", F.abs(r("loss")).alias("loss"))
 
 
-@query()
+@query(f"with {PTS}, {_PP} select id, round(f1 + 2 * f2 + 3 + 4 * x, 8) as value0, round(5 * f1 - f2 - x, 8) as value1 from phi")
 def pp_times(spark, d):
-    p = locs(spark, d).select("id", "x", "y")
-    return basis.PredictiveProcess.fit(p, 5, knots=20, seed=3).times(np.arange(20.0)[:, None])
+    x = rel.with_intercept(locs(spark, d))
+    y = np.array([[3.0, 0.0], [4.0, -1.0], [1.0, 5.0], [2.0, -1.0]])
+    return basis.times(y, x, ["intercept", "x"], _basis(spark, d)).select("id", r("value0", 8).alias("value0"), r("value1", 8).alias("value1"))
 
 
 # ----------------------------------------------------------------------------- designs and regression
@@ -647,7 +686,7 @@ def _data(spark, d) -> sampler.Data:
 @query()
 def gibbs_field(spark, d):
     """Records of two short chains with all kernels, a task each."""
-    return sampler.run_chains(spark, _data(spark, d), 2, 10, with_field=False)
+    return sampler.run_chains(spark, _data(spark, d), 2, 10, with_field=False).where("state is null").drop("state")
 
 
 @query()
@@ -664,17 +703,16 @@ def log_scale_trace(spark, d):
     return plotdata.log_scale_trace(records(spark, d)).select("chain", "iteration", "i", "value")
 
 
-@query()
+@query(f"with {PTS} select id, row_number() over (order by md5('7:' || cast(id as varchar)), id) as rank from p")
 def random_order(spark, d):
     return rel.random_order(locs(spark, d).select("id", "x", "y"), "id", 7).select("id", "rank")
 
 
-@query()
+@query(f"""with {PTS}, {_PP}, v as (select [sum(p.y), sum(p.x * p.y), sum(f1 * p.y), sum(f2 * p.y)] as v from phi join p on p.id = phi.id)
+    select cast(k as integer) as row, round(v[k + 1], 6) as value from v, range(4) t(k)""")
 def pp_crossprod(spark, d):
-    p = locs(spark, d).select("id", "x", "y")
-    pp = basis.PredictiveProcess.fit(p, 5, knots=20, seed=3)
-    v = linalg.crossprod(p.withColumn("intercept", F.lit(1.0)), ["intercept", "x"], "y", pp)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "row int, value double")
+    v = linalg.crossprod(rel.with_intercept(locs(spark, d)), ["intercept", "x"], "y", _basis(spark, d))
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(v)], "row int, value double")
 
 
 @query(f"with {REC}, {_COMP}, {_PSRF_C} select comp as i, cast(e as integer) as e, round(psrf, 6) as psrf from curve")
@@ -682,10 +720,12 @@ def psrf_components(spark, d):
     return plotdata.psrf_lines(diagnostics.psrf(_numbered(spark, d), by=["comp"])).select(F.col("comp").alias("i"), "e", r("psrf").alias("psrf"))
 
 
-@query()
+@query(f"""with {PTS}, {_PP}, l as (select id, x, y, {_LOSS} as loss from phi),
+    m as (select *, row_number() over (order by loss, id) as draw, case when loss >= 0 and loss <= 1 then '[0,1]' when loss <= 2 then '(1,2]' when loss <= 5 then '(2,5]' when loss <= 10 then '(5,10]' when loss <= 50 then '(10,50]' when loss <= 100 then '(50,100]' end as bin from l)
+    select 'location' as kind, id, x, y, round(loss, 6) as loss, bin, draw from m
+    union all select 'knot', k, case when k = 1 then -0.5 else 0.5 end, case when k = 1 then -0.5 else 0.5 end, null, null, (select count(*) from p) + k from range(1, 3) t(k)""")
 def variance_loss_map(spark, d):
-    p = locs(spark, d).select("id", "x", "y")
-    return plotdata.loss_map(basis.PredictiveProcess.fit(p, 5, knots=20, seed=3).variance_loss(), p)
+    return plotdata.knot_map(_basis(spark, d), locs(spark, d).select("id", "x", "y")).withColumn("loss", r("loss"))
 
 
 def _lattice_index(spark, d):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafield.operators.ranges import numbered
+
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -28,7 +30,10 @@ def point_locations(embeddings: DataFrame) -> DataFrame:
 
 
 def chain_records(events: DataFrame, components: int = 1) -> DataFrame:
-    """records(chain, iteration, i, value): one chain per event type, numbered by time; i spreads rows over components."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    """records(chain, iteration, i, value): one chain per event type (five of them, so their starts are sent to all tasks), numbered by time; i spreads
+    rows over components."""
+    rows = numbered(events.select("event_type", "ts", "event_id", "user_id", "value"), [F.col(c).asc() for c in ("event_type", "ts", "event_id")])
+    starts = rows.groupBy(F.col("event_type").alias("_type")).agg(F.min("rank").alias("_start"))
+    rows = rows.join(F.broadcast(starts), F.col("event_type").eqNullSafe(F.col("_type")))
     i = F.pmod(F.col("user_id"), F.lit(components)).cast("int")
-    return events.select(F.col("event_type").alias("chain"), F.row_number().over(w).alias("iteration"), i.alias("i"), F.col("value").cast("double").alias("value"))
+    return rows.select(F.col("event_type").alias("chain"), (F.col("rank") - F.col("_start") + 1).cast("int").alias("iteration"), i.alias("i"), F.col("value").cast("double").alias("value"))

@@ -37,11 +37,6 @@ def test_query_against_sql(spark, con, name):
     assert _rows(got) == _rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_query_without_sql_has_rows(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() > 0
-
-
 @pytest.fixture(scope="module")
 def index(spark):
     rng = np.random.default_rng(0)

@@ -39,7 +39,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder and reads it back: survives lost executors, ends the lineage."""
+    """Writes df to the checkpoint folder and reads it back: survives lost executors, ends the lineage.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints, Spark deletes the files when nothing refers to them any more.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafield.llm.common import cut
+
 # Titles by gender, given names by script and gender, alphabets by script.
 TITLES = {
     "m": "Mr Mister Sir Herr Monsieur Señor Sr Don Господин Κύριος".split(),
@@ -479,7 +481,7 @@ def resolve(docs: DataFrame, key: bytes, text_col: str = "text", most: int = 100
     """
     moved: dict[bytes, int] = {}
     for _ in range(rounds):
-        found = entities(docs, key, text_col, moved)
+        found = cut(entities(docs, key, text_col, moved))
         clash = collisions(found)
         if not (some := clash.limit(most + 1).collect()):
             return moved

@@ -486,7 +486,7 @@ def sufficient_probes(ix: Index, sample: np.ndarray, k: int, recall: float, quer
     return int(np.quantile(np.concatenate(ranks), recall, method="higher")) + 1
 
 
-def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.98, exact: bool = True, lists_per: int = 128, max_lists: int = 1024, sample: tuple[int, int] = SAMPLE, bin_rows: int = 4096, visitors: int = VISITORS) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.98, exact: bool = True, lists_per: int = 128, max_lists: int = MAX_LISTS, sample: tuple[int, int] = SAMPLE, bin_rows: int = 4096, visitors: int = VISITORS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query holds for, its k nearest other rows found.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. A query probes

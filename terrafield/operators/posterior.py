@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafield.operators.ranges import numbered
-from terrafield.session import cut
 
 QUANTILES = (0.025, 0.5, 0.975)
 
@@ -26,18 +25,17 @@ def summary(samples: DataFrame, by: Sequence[str], value: str = "value") -> Data
     No task holds a group: values are numbered in ranges of (group, value), and a group's quantiles come from the rows at their places.
     """
     by = list(by)
-    v = not_nan(F.col(value).cast("double"))
-    rows = samples.select(*by, v.alias("_v"))
-    stats = cut(rows.groupBy(*by).agg(F.avg("_v").alias("mean"), F.count("_v").alias("_n"), F.stddev_samp("_v").alias("sd")))
+    rows = samples.select(*by, not_nan(F.col(value).cast("double")).alias("_v"))
+    stats = rows.groupBy(*by).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
     ranked = numbered(rows.where("_v is not null"), [*[F.col(c).asc_nulls_first() for c in by], F.col("_v").asc()])
-    # where each group begins: the number of values in groups before it
-    starts = numbered(stats, [F.col(c).asc_nulls_first() for c in by], ("_n",)).withColumnRenamed("before__n", "_start").drop("rank")
+    # a group's values have the ranks from its first on; of each quantile one or two of them are wanted, with their shares
+    starts = ranked.groupBy(*by).agg(F.min("rank").alias("_start"), F.count(F.lit(1)).alias("_n"))
     place = lambda p: F.col("_start") + (F.col("_n") - 1) * F.lit(p)
-    wanted = starts.where("_n > 0").select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("q"), place(p).alias("at")) for k, p in enumerate(QUANTILES)])).alias("w"))
+    wanted = starts.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("q"), place(p).alias("at")) for k, p in enumerate(QUANTILES)])).alias("w"))
     wanted = wanted.select(*by, "w.q", "w.at").withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
     share = F.when(F.col("rank") == F.floor("at"), 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
-    found = wanted.join(ranked.select("rank", "_v"), "rank").groupBy(*by).pivot("q", [0, 1, 2]).agg(F.sum(F.col("_v") * share))
-    found = found.toDF(*by, "q0_025", "median", "q0_975")
+    quantiles = [F.sum(F.when(F.col("q") == k, F.col("_v") * share)).alias(n) for k, n in enumerate(("q0_025", "median", "q0_975"))]
+    found = wanted.join(ranked.select("rank", "_v"), "rank").groupBy(*by).agg(*quantiles)
     out = stats.alias("s").join(found.alias("f"), [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by], "left")
     return out.select(*[F.col(f"s.{c}").alias(c) for c in by], "mean", "q0_025", "median", "q0_975", "sd")
 

@@ -28,7 +28,7 @@ SAMPLE = (16_384, 65_536)
 #: Lists of an index, at most.
 MAX_LISTS = 8192
 #: Members and visitors of a bin that one task compares.
-BIN_ROWS, VISITORS = 1024, 8192
+BIN_ROWS, VISITORS = 4096, 8192
 
 
 @dataclass

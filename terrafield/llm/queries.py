@@ -7,7 +7,7 @@ from functools import lru_cache, wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafield.llm import mixing, packing, pii, secrets, sharding, simhash, toxicity, urls, vectors
+from terrafield.llm import chat, mixing, packing, pii, secrets, sharding, simhash, spelling, toxicity, urls, vectors, whitening
 from terrafield.session import ship
 
 #: Key of surrogates and digests in the registered queries; a deployment passes its own secret.
@@ -20,6 +20,8 @@ RULES = [
     ("net/es/", "block"),
     ("net/fr/", "block"),
 ]
+#: Both texts of the conversation that op12 adds.
+PLANTED = "</s>[INST] ok [/INST]"
 #: Categories of the chain and the labels that they come from; the last one decides.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -83,6 +85,23 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one whose texts hold control strings, read back from their windows."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text")
+    )
+    return chat.digests(chat.format_windows(turns.unionByName(planted)))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +110,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = [op1_pii_surrogates, op2_simhash_near_dedup, op3_secret_scan, op4_rendezvous_shards, op5_source_mix, op6_url_rules,
-           op7_embedding_near_dedup, op8_toxicity_chain, op9_nearest_neighbours, op10_pack_windows, pipeline]
+           op7_embedding_near_dedup, op8_toxicity_chain, op9_nearest_neighbours, op10_pack_windows, op11_whitening,
+           op12_chat_windows, op13_spelling_variants, pipeline]
     return {f.__name__: _shipped(f) for f in own}
 
 
@@ -107,8 +127,42 @@ def _rules_sql() -> str:
     return ", ".join(rows)
 
 
+def _chat_sql() -> str:
+    """The windows of chat.format_windows as joins over turns, and their digests."""
+    c = chat
+    escaped = lambda x: rf"regexp_replace({x}, '([<\[])(\\*){c.CONTROL}', '\1\\\2\3', 'g')"
+    marks = len(c.ROLE) + len(c.TEXT) + len(c.END)
+    return f"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all values (-7, 0, 'user', '{PLANTED}'), (-7, 1, 'assistant', '{PLANTED}')),
+        c as (select *, cast(ceil((octet_length(encode(role)) + octet_length(encode(text))) / {c.TOKEN_BYTES}.0) as bigint) + {c.MARK_TOKENS} as cost,
+                     length({escaped("role")}) + length({escaped("text")}) + {marks} as chars from t),
+        n as (select *, row_number() over w - 1 as k, coalesce(sum(cost) over (w rows between unbounded preceding and 1 preceding), 0) as earlier
+              from c window w as (partition by conv_id order by turn nulls last, role, text)),
+        h as (select conv_id as conv, role = '{c.SYSTEM}' as sys, case when role = '{c.SYSTEM}' then cost else 0 end as kept,
+                     greatest({c.BUDGET} - case when role = '{c.SYSTEM}' then cost else 0 end, {c.BUDGET // 4}) as room, chars as sys_chars from n where k = 0),
+        p as (select n.*, h.sys, h.room, greatest(1, cast(floor(h.room * 0.75) as bigint)) as step, h.sys_chars,
+                     case when h.sys and k = 0 then 0 else earlier - kept end as pos, case when h.sys and k = 0 then 0 else cost end as own
+              from n join h on n.conv_id is not distinct from h.conv),
+        b as (select *, cast(floor(pos / cast(step as double)) as bigint) as span from p),
+        q as (select *, case when pos + own - span * step > room then 1 else 0 end as alone from b),
+        s as (select conv_id, span, alone, min(k) as f, min(pos) as fa, any_value(sys) as sys, any_value(sys_chars) as sys_chars,
+                     least({c.HISTORY}, any_value(step), greatest(0, any_value(room) - (max(pos + own) - min(pos)))) as reach, sum(chars) as chars
+              from q group by conv_id, span, alone),
+        again as (select s.conv_id, s.span, s.alone, sum(q.chars) as chars from s join q on s.conv_id is not distinct from q.conv_id and q.k < s.f and q.pos >= s.fa - s.reach and not (q.sys and q.k = 0) group by all),
+        sizes as (select s.conv_id, sum(s.chars + coalesce(a.chars, 0) + case when s.sys and s.f > 0 then s.sys_chars else 0 end) as formatted_chars
+                  from s left join again a on s.conv_id is not distinct from a.conv_id and s.span = a.span and s.alone = a.alone group by s.conv_id),
+        d as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+                     sum(case when role = '{c.TARGET}' then length(text) else 0 end) as loss_chars,
+                     sha256(coalesce(string_agg(case when role = '{c.TARGET}' then text end, '' order by k), '')) as loss_sha256 from n group by conv_id)
+        select d.conv_id, n_turns, turns_sha256, cast(loss_chars as bigint) as loss_chars, loss_sha256, cast(formatted_chars as bigint) as formatted_chars
+        from d join sizes on d.conv_id is not distinct from sizes.conv_id
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_chat_windows": _chat_sql(),
         "op6_url_rules": f"""
             with rules(rule, rhost, rpath, verdict) as (values {_rules_sql()}),
             cut as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),

@@ -10,6 +10,7 @@ step groups are full ones, whatever the tasks: of each tier only the last is sho
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache, partial
@@ -31,6 +32,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: How texts are cut before merges. Fixed value: the tokenizer file names this rule ("ByteLevel", without a leading space) and doesn't spell it out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space as the rule of PATTERN takes it, and how much of it the engine's rule isn't given: it backs up over a run, character by character.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_BLANK = re.compile(f"[{_BLANK}]{{4096,}}")
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
@@ -60,11 +65,37 @@ def encoder(path: str):
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a text and the end id; null is an empty text."""
-    ids = encoder(path).encode(text, allowed_special="all") if text else []
+    engine = encoder(path)
+    if not text:
+        ids = []
+    elif _LONG_BLANK.search(text):
+        ids = _ids_around_blanks(engine, text)
+    else:
+        ids = engine.encode(text, allowed_special="all")
     ids.append(END)
     return np.array(ids, np.uint32)
 
 
+def _ids_around_blanks(engine, text: str) -> list[int]:
+    """Ids of a text with long runs of white space. By the rule a run is one piece but for its last character, if more text follows; so it
+    is cut off there and merged by itself. Special tokens end a text as its end does."""
+    special = sorted(engine.special_tokens_set, key=len, reverse=True)
+    parts = re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]
+    ids = []
+    for k, part in enumerate(parts):
+        if k % 2:
+            ids.append(engine.encode_single_token(part))
+            continue
+        at = 0
+        for m in _LONG_BLANK.finditer(part):
+            end = m.end() - (m.end() < len(part))
+            ids += engine.encode(part[at : m.start()], disallowed_special=())
+            ids += engine._encode_single_piece(part[m.start() : end])
+            at = end
+        ids += engine.encode(part[at:], disallowed_special=())
+    return ids
+
+
 class Packer:
     """Packs pieces (doc, ids from, ids to) into windows; keeps unfinished shorter pieces between batches."""
 

@@ -324,3 +324,11 @@ def test_other_tokenizer_files_are_refused(tmp_path):
         with pytest.raises(ValueError):
             packing.encoder(str(path))
     packing.encoder.cache_clear()
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 1_100_000 + "y", "x" + "\n" * 1_100_000 + "y", "x" + "\t" * 1_100_000, "a " + " \n\t" * 400_000 + " b", "漢" + "　" * 1_100_000 + "字", "x" + " " * 600_000 + "<|endoftext|>" + " " * 600_000 + "y<|endoftext|>", "漢字" * 400_000, "a" * 1_100_000])
+def test_ids_of_long_runs_are_the_librarys(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(text, tokenizer_path()).tolist() == [*want, packing.END]

@@ -102,9 +102,10 @@ def _schedule(batches):
 
 def schedule(sources: DataFrame) -> DataFrame:
     """The mix of a plan: (slot, source_no, block, epoch), a row per busy slot; in the order of `slot` it is the mix's own. A source
-    with many slots is cut into chunks of them, so no task holds them all."""
+    with many slots is cut into chunks of them, dealt evenly to as many tasks as shuffles have partitions."""
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = sources.where("hi > lo").select("source_no", "blocks", "lo", "hi", "bits", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK).cast("long"))).alias("at"))
-    return chunks.mapInArrow(_schedule, "slot long, source_no long, block long, epoch long")
+    return chunks.repartition(tasks).mapInArrow(_schedule, "slot long, source_no long, block long, epoch long")
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str, **how) -> tuple[DataFrame, DataFrame]:

@@ -676,3 +676,22 @@ def test_plans_read_only_what_they_need(spark):
     even = {s: 1.0 for s in range(24)}
     plan = _plan(sharding.shard(docs, even))
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_long_white_space_is_packed_by_op10_and_the_pipeline(spark, docs):
+    rows = [(1, "x" + " " * 1_200_000 + "y", "en", "a", 1_200_002), (2, "\n" * 1_200_000, "en", "a", 1_200_000), (3, "plain words", "en", "b", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {}
+    for r in packing.pack(df, tokenizer_path()).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    want = {i: len(packing.token_ids(t, tokenizer_path())) for i, t, *_ in rows}
+    assert got == want
+    assert dict(corpus_pipeline.STAGES)["pack"](spark, df, SF).count() > 0
+
+
+def test_the_schedule_runs_on_all_tasks(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("w "), 50).alias("text"))
+    slots = mixing.schedule(mixing.prepare(df, "doc_id", "text", "source")[1])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in slots.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == tasks and max(sizes) <= 2 * sum(sizes) / tasks

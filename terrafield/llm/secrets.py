@@ -12,7 +12,6 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache, partial
 
@@ -26,6 +25,8 @@ from terrafield.llm.common import map_whole
 #: Labelled findings that a forest is trained on, at most.
 TRAIN_FINDINGS = 20_000
 BESIDE = 48
+#: Characters of a value that is assigned to a telling name, at least.
+LEAST_ASSIGNED = 6
 
 # Public formats of keys, words that stand beside secrets and beside harmless tokens, and placeholders.
 FORMATS = {
@@ -33,7 +34,7 @@ FORMATS = {
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "google_api_key": r"AIza[A-Za-z0-9_\-]{35}",
-    "jwt": r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+    "jwt": r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
     # a whole block, its headers included; without an end its headers and its lines of 16 characters or more
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s*(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n]*)*(?:\s*[A-Za-z0-9+/=]{16,})*)",
 }
@@ -55,10 +56,18 @@ MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza",
 NAMES = ("pass", "pwd", "secret", "token", "key", "credential")
 
 _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
+# a quoted value goes to its quote on the same line, another one to white space, but for what closes a sentence or a call and for a query's next field
 _ASSIGNED = re.compile(
-    r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth_?key|private_?key|secret_?key|credentials?)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;]{6,})"
+    r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth_?key|private_?key|secret_?key|credentials?)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}"
+    r"(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|`([^`\r\n]+)`|[\"'`]?([^\s\"'`]\S*))"
+)
+_NEXT_FIELD = re.compile(r"&(?:amp;)?[A-Za-z_][A-Za-z0-9_.\-]*=")
+_CLOSERS = "\"'`.,;:)]}>"
+# the last @ before the host's end closes a password; one that holds / ? or # goes on to an @ with a host behind it, unless a port stands there
+_IN_URL = re.compile(
+    r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@?#]*:"
+    r"(?:([^\s/?#\"'<>]+)@(?=[A-Za-z0-9\[])|(?!\d{1,5}[/?#])((?:(?!://)[^\s@\"'<>])+)@(?=[A-Za-z0-9\[]))"
 )
-_IN_URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@?#]*:([^\s/@?#]{4,})@")
 _BARE = re.compile(r"(?<![A-Za-z0-9_+/=\-.])[A-Za-z0-9_+/=\-]{16,}(?![A-Za-z0-9_+/=\-])")
 _DIGIT = re.compile("[0-9]")
 _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
@@ -67,29 +76,50 @@ _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of everything that might be a secret, in the order of the text, without overlaps.
 
-    Known formats come first, then passwords within urls, then values that are assigned to a telling name, then bare runs of 16
-    characters or more with a digit; what overlaps an earlier find is left out. Cheap tests tell which searches a text needs.
+    Known formats come first, then passwords within urls, then values of LEAST_ASSIGNED characters or more that are assigned to a telling name, then bare
+    runs of 16 characters or more with a digit; what overlaps an earlier find is left out. Shorter values are too like words to be told apart.
+    Cheap tests tell which searches a text needs; each takes time in proportion to the text.
     """
     if not text:
         return []
     out = []
     if any(m in text for m in MARKS):
-        out += [(*m.span(), m.lastgroup) for m in _FORMAT.finditer(text)]
+        out.append([(*m.span(), m.lastgroup) for m in _FORMAT.finditer(text)])
     if "://" in text and "@" in text:
-        out += [(*m.span(1), "in_url") for m in _IN_URL.finditer(text)]
+        out.append([(*m.span(m.lastindex), "in_url") for m in _IN_URL.finditer(text)])
     low = text.lower()
     if any(n in low for n in NAMES):
-        out += [(*m.span(1), "assigned") for m in _ASSIGNED.finditer(text)]
+        out.append([x for m in _ASSIGNED.finditer(text) if (x := _assigned(text, m))])
     if _DIGIT.search(text):
-        out += [(*m.span(), "bare") for m in _BARE.finditer(text) if _DIGIT.search(m.group())]
+        out.append([(*m.span(), "bare") for m in _BARE.finditer(text) if _DIGIT.search(m.group())])
     kept = []
-    for s, e, kind in out:
-        at = bisect_left(kept, (s, e, kind))
-        if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or kept[at][0] >= e):
-            kept.insert(at, (s, e, kind))
+    for found in out:
+        kept = _with(kept, found)
     return kept
 
 
+def _assigned(text: str, m: re.Match) -> tuple[int, int, str] | None:
+    s, e = m.span(m.lastindex)
+    if m.lastindex == 4:
+        if cut := _NEXT_FIELD.search(text, s, e):
+            e = cut.start()
+        bare = text[s:e].rstrip(_CLOSERS)
+        e = s + len(bare)
+    return (s, e, "assigned") if e - s >= LEAST_ASSIGNED else None
+
+
+def _with(kept, found):
+    """Two lists of intervals, each in order and without overlaps, as one: what overlaps one of `kept` is left out."""
+    out, k = [], 0
+    for f in found:
+        while k < len(kept) and kept[k][1] <= f[0]:
+            out.append(kept[k])
+            k += 1
+        if k == len(kept) or kept[k][0] >= f[1]:
+            out.append(f)
+    return out + kept[k:]
+
+
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -233,6 +263,9 @@ def labelled_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, bool]]:
         lambda: assign(pick(string.ascii_lowercase, r.randint(5, 8)) + pick(string.digits, 1) + r.choice(["", "!", "#"])),
         lambda: f"{r.choice(schemes)}://{r.choice(DICTIONARY)}:{pick(alnum, r.randint(6, 24))}@{r.choice(DICTIONARY)}.example.com/{r.choice(DICTIONARY)}",
         lambda: f"{r.choice(schemes)}://{r.choice(DICTIONARY)}:{r.choice(DICTIONARY + weak)}{pick(string.digits, r.randint(1, 3))}@{r.choice(DICTIONARY)}",
+        lambda: f"{r.choice(schemes)}://{r.choice(DICTIONARY)[0]}:{pick(alnum + '/@#?', r.randint(6, 16))}{pick(string.digits, 1)}@{r.choice(DICTIONARY)}",
+        lambda: f'{name()} = "{" ".join(r.choice(DICTIONARY) for _ in range(r.randint(2, 4)))} {pick(string.digits, r.randint(1, 3))} {pick(alnum, r.randint(1, 3))}"',
+        lambda: assign(pick(alnum, r.randint(3, 9)) + r.choice(",;&<>") + pick(alnum + ",;", r.randint(4, 12)) + pick(string.digits, 1)),
         lambda: r.choice(SECRET_WORDS) + " " + pick(alnum + "+/", 40),
         lambda: pick(alnum + "+/", r.randint(32, 60)) + r.choice(["", "="]),
     ]
@@ -245,6 +278,7 @@ def labelled_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, bool]]:
         lambda: assign(r.choice(["changeme123", "your_api_key_here", "YOUR-TOKEN-HERE", "xxxxxxxxxxxx", "example_password", "<placeholder>", "********", "test1234", "${SECRET}", "os.environ", "None", "null"])),
         lambda: f"{r.choice(schemes)}://{r.choice(['user', 'username', 'name'])}:{r.choice(['password', 'pass', '${PASS}', '****', '<password>', 'your_password', '$TOKEN', '{token}'])}@{r.choice(DICTIONARY)}",
         lambda: assign(r.choice(DICTIONARY) + r.choice(DICTIONARY) + r.choice(["()", ".get", "[0]", ""])),
+        lambda: f'{name()}: "{" ".join(r.choice(DICTIONARY) for _ in range(r.randint(3, 7)))}"',
         lambda: f"{name()}: " + r.choice(["string", "required", "optional", "strings", "function", "default"]),
         lambda: r.choice(["order", "invoice", "ref", "id", "isbn"]) + " " + pick(string.digits, r.randint(4, 8)) + "-" + pick(string.digits, r.randint(8, 12)),
         lambda: "20" + pick("0123", 2) + "-" + pick("0123456789", 2) + "-" + pick("0123", 2) + "T" + pick("012345", 2) + pick("012345", 4) + "-" + pick("0", 4),

@@ -332,3 +332,52 @@ def test_ids_of_long_runs_are_the_librarys(text):
 
     want = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
     assert packing.token_ids(text, tokenizer_path()).tolist() == [*want, packing.END]
+
+
+def _plain_values(text):
+    """Values after `password=` by characters: to the closing quote, else to white space without what closes a sentence."""
+    out, at = [], 0
+    while (at := text.find("password=", at)) >= 0:
+        at += len("password=")
+        q = text[at : at + 1]
+        end = text.find(q, at + 1) if q and q in "\"'`" else -1
+        if end > at + 1 and not set("\r\n") & set(text[at:end]):
+            s, e, at = at + 1, end, end + 1
+        else:
+            s = at + (q in ("\"", "'", "`"))
+            e = s
+            while e < len(text) and not text[e].isspace():
+                e += 1
+            at = e
+            while e > s and text[e - 1] in "\"'`.,;:)]}>":
+                e -= 1
+        if e - s >= secrets.LEAST_ASSIGNED:
+            out.append((s, e))
+    return out
+
+
+def test_assigned_values_are_whole():
+    r = random.Random(6)
+    for _ in range(3000):
+        q = r.choice(["", "", '"', "'", "`"])
+        value = r.choice("abcZ9") + "".join(r.choice("abcXYZ019!#,;@/.-" + (" " if q else "")) for _ in range(r.randint(0, 20)))
+        text = f"{r.choice(['', 'so ', 'x{'])}password={q}{value}{q}{r.choice(['', '.', ', and', ' then', chr(10) + 'next', ')'])}"
+        assert [(s, e) for s, e, k in secrets.candidates(text) if k == "assigned"] == _plain_values(text), text
+
+
+@pytest.mark.parametrize("text, value", [
+    ("pwd: Tr0ub4dor&3,xyz99", "Tr0ub4dor&3,xyz99"), ("password=abcdef1;ghijkl9Q", "abcdef1;ghijkl9Q"), ('password="my pass phrase 99 xK"', "my pass phrase 99 xK"),
+    ('db_password = "ab,c9Xk2Lm8Qz"', "ab,c9Xk2Lm8Qz"), ("postgres://u:p/ssW0rd9@host", "p/ssW0rd9"), ("https://u:p@ss:w0rd9@host/", "p@ss:w0rd9"), ("token=abc123def456&user=bob", "abc123def456"),
+])
+def test_no_part_of_a_secret_stays(text, value):
+    assert [text[s:e] for s, e, _, _, ok in secrets.judged(text, secrets.default_forest(), 0.5) if ok] == [value]
+
+
+def test_hostile_texts_are_scanned_in_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("eyJ" * 1_000_000, "x://a:" * 300_000, "password='" * 200_000, 'password="x ' * 200_000, "eyJaaaaaaaaa." * 200_000, "http://h:80/a@" * 200_000):
+        secrets.candidates(t)
+    assert secrets.candidates("http://host:80/path?x=a@b") == []
+    assert time.time() - began < 20

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrafield.operators import cholesky, noise, sampler
+from terrafield.operators import cholesky, noise, sampler, triangular
 
 
 def _data(n, m=5, seed=0):
@@ -87,3 +87,38 @@ def test_fronts_are_bounded_and_halves_meet_in_separators_only(spark):
         cholesky.Cholesky.of(precision, locs, leaf=50, most=20)
     with pytest.raises(Exception, match="positive definite"):
         cholesky.Cholesky.of(precision.withColumn("value", F.when(F.col("a") == F.col("b"), -1.0).otherwise(F.col("value"))), locs, leaf=50)
+
+
+def _vecchia(spark, f):
+    ok = f.parents >= 0
+    rows = [(i, f.parents[i][ok[i]].tolist(), f.coef[i][ok[i]].tolist()) for i in range(len(f.coef))]
+    return spark.createDataFrame(rows, "child long, parents array<long>, coef array<double>")
+
+
+def _edges(vecchia):
+    return vecchia.select(F.col("child").alias("row"), F.explode("parents").alias("col"))
+
+
+@pytest.mark.parametrize("most", [100_000, 60])
+def test_solves_by_bands_equal_those_of_one_process(spark, most):
+    d = _data(400)
+    f = sampler.build_factor(d, np.array([[-1.5], [0.3]]))
+    v = _vecchia(spark, f)
+    level = triangular.levels(_edges(v), v.select(F.col("child").alias("id")))
+    got = level.toPandas().sort_values("id")["level"].to_numpy()
+    assert all((got[rows] == k).all() for k, rows in enumerate(f.levels)) and len(f.levels) == got.max() + 1
+    t = triangular.Triangular.of(v, level, most)
+    assert (len(t.spans) == 1) == (most > 400)
+    z = np.random.default_rng(3).normal(size=400)
+    zs = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "value": z}))
+    assert np.allclose(_values(t.solve(zs)), f.solve(z), rtol=1e-10)
+    assert np.allclose(_values(t.solve(zs, backward=True)), f.transpose_solve(z), rtol=1e-10)
+    t.close()
+
+
+def test_levels_of_few_rows_share_bands_and_large_ones_are_joined(spark):
+    level = spark.createDataFrame([(i, k) for k, n in enumerate((3, 4, 50, 2, 9, 40)) for i in range(100 * k, 100 * k + n)], "id long, level int")
+    assert triangular.bands(level, 10) == [(0, 1, True), (2, 2, False), (3, 3, True), (4, 4, True), (5, 5, False)]
+    with pytest.raises(ValueError, match="cycle"):
+        triangular.levels(spark.createDataFrame([(1, 2), (2, 1)], "row long, col long"), spark.range(1, 3))
+    assert triangular.levels(spark.createDataFrame([], "row long, col long"), spark.range(0)).count() == 0

@@ -72,6 +72,46 @@ class Data:
     def noise_gram(self) -> np.ndarray:
         return self.x_noise.T @ self.x_noise
 
+    # What the kernels need of the locations. fieldtables.FieldTables answers the same by joins and aggregations on Spark.
+
+    def gram(self, name: str) -> np.ndarray:
+        """X'X of the design of range or scale."""
+        x = self.x_range if name == "range" else self.x_scale
+        return x.T @ x
+
+    def factor(self, range_beta: np.ndarray) -> Factor:
+        return build_factor(self, range_beta)
+
+    def prior_field(self, s: State, rng) -> np.ndarray:
+        """A draw of the field from its prior."""
+        return s.sd(self) * s.factor.solve(rng.standard_normal(len(self.xy)))
+
+    def posterior_field(self, s: State, rng) -> np.ndarray:
+        """A draw of the field given all else."""
+        s0, s1, _ = self.stats(s)
+        return draw_field(s.factor, s.sd(self), s0, s1, rng)
+
+    def interwoven_system(self, s: State) -> tuple[np.ndarray, np.ndarray]:
+        """A'A and A'(L c / sd), A = L X_locs / sd and c the field with the part of X_locs."""
+        sd = s.sd(self)
+        c = s.field + self.x_locs @ s.beta[self.loc_columns]
+        a = np.column_stack([s.factor.times(col / sd) for col in self.x_locs.T])
+        return a.T @ a, a.T @ s.factor.times(c / sd)
+
+    def shifted_field(self, s: State, by: np.ndarray) -> np.ndarray:
+        """The field plus X_locs by."""
+        return s.field + self.x_locs @ by
+
+    def scaled_field(self, s: State, by: np.ndarray) -> np.ndarray:
+        """The field times exp(X_scale by / 2)."""
+        return s.field * np.exp(0.5 * (self.x_scale @ by)[:, 0])
+
+    def range_potential(self, s: State, beta: np.ndarray, ancillary: bool):
+        return (range_ancillary if ancillary else range_sufficient)(s, self, beta)
+
+    def scale_potential(self, s: State, beta: np.ndarray, ancillary: bool):
+        return (scale_ancillary if ancillary else scale_sufficient)(s, self, beta)
+
     # What the kernels need of the observations. distributed.ObservationTable answers the same by aggregations on Spark.
 
     def stats(self, s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,19 +254,16 @@ def beta_interwoven(s: State, d: Data, rng) -> None:
     """Regressors constant within locations, given field plus their part: the field is shifted along."""
     if not d.loc_columns:
         return
-    c = s.field + d.x_locs @ s.beta[d.loc_columns]
-    sd = s.sd(d)
-    a = np.column_stack([s.factor.times(col / sd) for col in d.x_locs.T])
-    b = draw_normal(a.T @ a, a.T @ s.factor.times(c / sd), rng)
+    b = draw_normal(*d.interwoven_system(s), rng)
     if b is not None:
+        old = s.beta[d.loc_columns].copy()
         s.beta[d.loc_columns] = b
-        s.field = c - d.x_locs @ b
+        s.field = d.shifted_field(s, old - b)
 
 
 def field_gibbs(s: State, d: Data, rng) -> None:
     """The latent field given all else."""
-    s0, s1, _ = d.stats(s)
-    s.field = draw_field(s.factor, s.sd(d), s0, s1, rng)
+    s.field = d.posterior_field(s, rng)
 
 
 # ----------------------------------------------------------------------------- potentials and gradients
@@ -331,10 +368,10 @@ def _whiten(gram: np.ndarray) -> np.ndarray:
 
 
 def range_hmc(s: State, d: Data, it: int, rng) -> None:
-    w = _whiten(d.x_range.T @ d.x_range)
-    if got := leapfrog(s, "range_beta_ancillary", "range", s.range_beta, lambda b: range_ancillary(s, d, b), w, it, rng):
+    w = _whiten(d.gram("range"))
+    if got := leapfrog(s, "range_beta_ancillary", "range", s.range_beta, lambda b: d.range_potential(s, b, True), w, it, rng):
         s.range_beta, (s.factor, s.field) = got[0], got[1][0]
-    if got := leapfrog(s, "range_beta_sufficient", "range", s.range_beta, lambda b: range_sufficient(s, d, b), w, it, rng):
+    if got := leapfrog(s, "range_beta_sufficient", "range", s.range_beta, lambda b: d.range_potential(s, b, False), w, it, rng):
         s.range_beta, s.factor = got[0], got[1][0]
 
 
@@ -344,12 +381,12 @@ def noise_hmc(s: State, d: Data, it: int, rng) -> None:
 
 
 def scale_hmc(s: State, d: Data, it: int, rng) -> None:
-    w = _whiten(d.x_scale.T @ d.x_scale)
-    if got := leapfrog(s, "scale_beta_sufficient_mala", "scale", s.scale_beta, lambda b: scale_sufficient(s, d, b), w, it, rng):
+    w = _whiten(d.gram("scale"))
+    if got := leapfrog(s, "scale_beta_sufficient_mala", "scale", s.scale_beta, lambda b: d.scale_potential(s, b, False), w, it, rng):
         s.scale_beta = got[0]
     old = s.scale_beta
-    if got := leapfrog(s, "scale_beta_ancillary_mala", "scale", old, lambda b: scale_ancillary(s, d, b), w, it, rng):
-        s.field = s.field * np.exp(0.5 * (d.x_scale @ (got[0] - old))[:, 0])
+    if got := leapfrog(s, "scale_beta_ancillary_mala", "scale", old, lambda b: d.scale_potential(s, b, True), w, it, rng):
+        s.field = d.scaled_field(s, got[0] - old)
         s.scale_beta = got[0]
 
 
@@ -394,7 +431,7 @@ def range_log_scale_potential(s: State, d: Data, q: np.ndarray, ancillary: bool)
     if not _inside(d, "range", q):
         return math.inf, np.zeros_like(q), old, None
     beta = _along(old, k, old_q, q)
-    u, g, last = (range_ancillary if ancillary else range_sufficient)(s, d, beta)
+    u, g, last = d.range_potential(s, beta, ancillary)
     u, g = u + _prior(s, d, "range", beta), g + _prior_gradient(s, d, "range", beta)
     by = np.einsum("ik,ikc->c", g[-k:], derivative_field_wrt_scale(beta[-k:], q))
     return u, by, beta, last
@@ -418,13 +455,13 @@ def variance_log_scale_walk(s: State, d: Data, name: str, key: str, it: int, rng
     beta, ok = getattr(s, f"{name}_beta"), False
     if _inside(d, name, new):
         moved = _along(beta, d.n_pp[name], s.log_scale[name], new)
-        potential = {("noise", False): noise_potential, ("scale", False): scale_sufficient, ("scale", True): scale_ancillary}[name, moves_field]
+        potential = noise_potential if name == "noise" else lambda s, d, b: d.scale_potential(s, b, moves_field)
         # the prior of the whitened coefficients doesn't change, so only the data's part counts
         u0, u1 = (potential(s, d, b)[0] + _prior(s, d, name, b) for b in (beta, moved))
         ok = bool(math.log(rng.random()) < u0 - u1)
         if ok:
             if moves_field:
-                s.field = s.field * np.exp(0.5 * (d.x_scale @ (moved - beta))[:, 0])
+                s.field = d.scaled_field(s, moved - beta)
             setattr(s, f"{name}_beta", moved)
             s.log_scale[name] = new
     _adapt(s, key, f"{name}_log_scale", it, ok)
@@ -462,13 +499,13 @@ def initial_state(d: Data, seed: int, chain: int) -> State:
         return out
 
     comps = 3 if d.bounds.get("anisotropic") else 1
-    s = State(beta, first(d.x_range, "range", comps), first(d.x_scale, "scale"), first(d.x_noise, "noise"), np.zeros(len(d.xy)))
+    s = State(beta, first(d.x_range, "range", comps), first(d.x_scale, "scale"), first(d.x_noise, "noise"), None)
     for name in ("range", "scale", "noise"):
         if d.n_pp[name]:
             low = d.bounds.get(name, (-6.0, 3.0))[0]
             s.log_scale[name] = np.array([low] * 3 + [0.0] * 3) if name == "range" and comps == 3 else np.array([low])
-    s.factor = build_factor(d, s.range_beta)
-    s.field = s.sd(d) * s.factor.solve(rng.standard_normal(len(d.xy)))
+    s.factor = d.factor(s.range_beta)
+    s.field = d.prior_field(s, rng)
     return s
 
 
@@ -511,7 +548,7 @@ def chain_blocks(d: Data, chain: int, n: int, seed: int = 1, start: int = 0, sta
     """Runs n more iterations from `start`; yields (None, records) block by block, then (state, the rest of the records)."""
     s = state or initial_state(d, seed, chain)
     if s.factor is None:
-        s.factor = build_factor(d, s.range_beta)
+        s.factor = d.factor(s.range_beta)
     rng = np.random.Generator(np.random.PCG64([seed, chain, start + 1]))
     keep, rows = set(kept_iterations(n, thinning)), []
     for k in range(1, n + 1):

@@ -67,26 +67,81 @@ def factor_rows(xy: np.ndarray, f: np.ndarray, smoothness: float, grad: bool = F
     return coef, dcoef
 
 
-def _blocks(near, d):
-    """Batches of rows with equally many neighbours: (row numbers, parents, xy, log ranges)."""
-    size = np.array([len(x) for x in near])
+def _blocks(near: pa.ListArray, names: list[str], rows_at_once: int = 2048):
+    """Batches of rows with equally many neighbours: (row numbers, parents, columns b x (k+1) x names), from the Arrow list's own buffers."""
+    at, flat = near.offsets.to_numpy(), near.values
+    parent = flat.field("parent").to_numpy(zero_copy_only=False)
+    cols = np.column_stack([flat.field(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
+    size = np.diff(at)
     for n in np.unique(size):
-        rows = np.nonzero(size == n)[0]
-        a = np.array([[[p["parent"], p["x"], p["y"], *[p[f"lr{j}"] for j in range(d)]] for p in near[r]] for r in rows], float)
-        yield rows, a[:, :, 0].astype(np.int64), a[:, :, 1:3], a[:, :, 3:]
+        every = np.nonzero(size == n)[0]
+        for s in range(0, len(every), rows_at_once):
+            rows = every[s : s + rows_at_once]
+            place = at[rows][:, None] + np.arange(n)
+            yield rows, parent[place].astype(np.int64), cols[place]
 
 
-def _factor(batches, d, smoothness, grad, prefactor):
+def _lists(a: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as an Arrow list column."""
+    a = np.ascontiguousarray(a.reshape(len(a), -1))
+    return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], pa.array(a.ravel()))
+
+
+def _factor(batches, d, smoothness, grad, prefactor, names=None, beta=None):
+    """names, beta: neighbours carry design columns in place of log ranges, which follow from them."""
+    names = names or [f"lr{j}" for j in range(d)]
+    for b in batches:
+        child = b.column("child")
+        for rows, parents, cols in _blocks(b.column("near"), ["x", "y", *names]):
+            f = cols[..., 2:] if beta is None else cols[..., 2:] @ beta
+            coef, dcoef = factor_rows(cols[..., :2], f, smoothness, grad, prefactor)
+            out = [child.take(pa.array(rows)), _lists(parents), _lists(coef)]
+            if grad:
+                out.append(_lists(dcoef))
+            yield pa.RecordBatch.from_arrays(out, ["child", "parents", "coef", *["deriv"] * grad])
+
+
+def factor_at(near: DataFrame, names: list[str], beta: np.ndarray, smoothness: float = 1.5, prefactor: str = "reference") -> DataFrame:
+    """vecchia(child, parents, coef) at range coefficients beta; near: neighbourhoods() with x, y and the design columns `names`. Nothing is shuffled."""
+    b = canonical_range(np.asarray(beta, float))
+    run = partial(_factor, d=b.shape[1], smoothness=smoothness, grad=False, prefactor=prefactor, names=list(names), beta=b)
+    return near.select("child", "near").mapInArrow(run, "child long, parents array<long>, coef array<double>")
+
+
+def range_sums(near: DataFrame, names: list[str], beta: np.ndarray, smoothness: float = 1.5, log_det: bool = False, prefactor: str = "reference") -> tuple[float, float, np.ndarray]:
+    """(sum of (L r)^2, sum of log L_ii, X'g) of near(child, near, r array[, l]): r are the neighbours' values in their order, and
+    g is the sandwich of l and r by the log range of each member; without l it is that of -(L r), plus with log_det the logs' gradient, turned to -g.
+
+    Rows, derivatives and sums are made batch by batch where the neighbourhoods are; a row per batch and sum is shuffled.
+    """
+    b = canonical_range(np.asarray(beta, float))
+    run = partial(_range_sums, names=list(names), beta=b, smoothness=smoothness, log_det=log_det, prefactor=prefactor)
+    got = {r.k: r.value for r in near.mapInArrow(run, "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).collect()}  # p d + 2 rows
+    p, d = len(names), b.shape[1]
+    g = np.array([got.get(k + 2, 0.0) for k in range(p * d)]).reshape(p, d)
+    return got.get(0, 0.0), got.get(1, 0.0), g
+
+
+def _range_sums(batches, names, beta, smoothness, log_det, prefactor):
     for b in batches:
-        child, near = b.column("child").to_numpy(), b.column("near").to_pylist()
-        for rows, parents, xy, f in _blocks(near, d):
-            for s in range(0, len(rows), 2048):
-                q = slice(s, s + 2048)
-                coef, dcoef = factor_rows(xy[q], f[q], smoothness, grad, prefactor)
-                cols = [pa.array(child[rows[q]]), pa.array(parents[q].tolist(), pa.list_(pa.int64())), pa.array(coef.tolist(), pa.list_(pa.float64()))]
-                if grad:
-                    cols.append(pa.array(dcoef.reshape(len(dcoef), -1).tolist(), pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(cols, ["child", "parents", "coef", *["deriv"] * grad])
+        squares = logs = 0.0
+        g = np.zeros((len(names), beta.shape[1]))
+        near, r = b.column("near"), b.column("r")
+        at, values = r.offsets.to_numpy(), r.values.to_numpy(zero_copy_only=False)
+        left = b.column("l").to_numpy() if "l" in b.schema.names else None
+        for rows, _, cols in _blocks(near, ["x", "y", *names]):
+            x = cols[..., 2:]
+            coef, deriv = factor_rows(cols[..., :2], x @ beta, smoothness, True, prefactor)
+            right = values[at[rows][:, None] + np.arange(x.shape[1])]
+            lr = (coef * right).sum(1)
+            squares += float((lr**2).sum())
+            logs += float(np.log(coef[:, 0]).sum())
+            by = (left[rows] if left is not None else -lr)[:, None, None] * np.einsum("ikpj,ik->ipj", deriv, right)
+            if log_det:
+                by = by + deriv[:, 0] / coef[:, 0, None, None]
+            g += np.einsum("ipn,ipj->nj", x, by if left is not None else -by)
+        out = np.concatenate([[squares, logs], g.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["k", "value"])
 
 
 def factor(nn_self: DataFrame, locs: DataFrame, components: int = 1, smoothness: float = 1.5, grad: bool = False, prefactor: str = "reference") -> DataFrame:
@@ -135,19 +190,21 @@ def sandwiches(vecchia: DataFrame, left: DataFrame, right: DataFrame, components
 
 def _sandwich(batches, d, log_det):
     for b in batches:
-        out = [], [], []
-        for parents, coef, deriv, l, r in zip(*[b.column(c).to_pylist() for c in ("parents", "coef", "deriv", "l", "r")]):
-            n = len(parents)
-            dc = np.array(deriv).reshape(n, n, d)
-            g = l * np.einsum("kpj,k->pj", dc, np.array(r))
+        left, every = b.column("l").to_numpy(), []
+        at, member = (f(b.column("parents")) for f in (lambda c: c.offsets.to_numpy(), lambda c: c.values.to_numpy(zero_copy_only=False)))
+        coef, deriv, r = (b.column(c).values.to_numpy(zero_copy_only=False) for c in ("coef", "deriv", "r"))
+        starts = {c: b.column(c).offsets.to_numpy() for c in ("coef", "deriv", "r")}
+        size = np.diff(at)
+        for n in np.unique(size):
+            rows = np.nonzero(size == n)[0]
+            pick = lambda v, c, m: v[starts[c][rows][:, None] + np.arange(m)]
+            dc = pick(deriv, "deriv", n * n * d).reshape(len(rows), n, n, d)
+            g = left[rows, None, None] * np.einsum("ikpj,ik->ipj", dc, pick(r, "r", n))
             if log_det:
-                g = g + dc[0] / coef[0]
-            for p in range(n):
-                for j in range(d):
-                    out[0].append(parents[p])
-                    out[1].append(j)
-                    out[2].append(g[p, j])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64())], ["id", "component", "grad"])
+                g = g + dc[:, 0] / pick(coef, "coef", n)[:, 0, None, None]
+            every.append((np.repeat(member[at[rows][:, None] + np.arange(n)], d), np.tile(np.arange(d, dtype=np.int32), len(rows) * n), g.ravel()))
+        cols = [np.concatenate(c) for c in zip(*every)] if every else [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], ["id", "component", "grad"])
 
 
 def stationary_rows(xy: np.ndarray, variance: float, scale: float, nugget: float) -> np.ndarray:

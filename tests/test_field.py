@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrafield.operators import cholesky, noise, sampler, triangular
+from terrafield.operators import cholesky, fieldtables, noise, sampler, triangular
 
 
 def _data(n, m=5, seed=0):
@@ -122,3 +122,82 @@ def test_levels_of_few_rows_share_bands_and_large_ones_are_joined(spark):
     with pytest.raises(ValueError, match="cycle"):
         triangular.levels(spark.createDataFrame([(1, 2), (2, 1)], "row long, col long"), spark.range(1, 3))
     assert triangular.levels(spark.createDataFrame([], "row long, col long"), spark.range(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    """One model as arrays and as tables, with a state of each that say the same."""
+    d = _data(120, seed=4)
+    rng = np.random.default_rng(2)
+    d.loc = rng.integers(0, 110, 400)  # some locations have no observation
+    d.x = np.column_stack([np.ones(400), rng.normal(size=400)])
+    d.z, d.x_noise = rng.normal(size=400) + d.x @ [0.5, 1.0], np.column_stack([np.ones(400), d.x[:, 1] ** 2])
+    d.x_scale = np.column_stack([np.ones(120), d.xy[:, 1]])
+    s = sampler.initial_state(d, 3, 1)
+    s.range_beta, s.scale_beta, s.noise_beta = np.array([[-1.5], [0.3]]), np.array([[0.2], [-0.1]]), np.array([[-0.2], [0.05]])
+    s.factor = d.factor(s.range_beta)
+    sites = spark.createDataFrame(pd.DataFrame({"id": np.arange(120), "x": d.xy[:, 0], "y": d.xy[:, 1], "one": 1.0, "rx": d.x_range[:, 1], "sy": d.x_scale[:, 1]}))
+    child, k = np.nonzero(d.parents[:, 1:] >= 0)
+    nn = spark.createDataFrame(pd.DataFrame({"child": child, "k": k + 1, "parent": d.parents[child, k + 1]}))
+    obs = spark.createDataFrame(pd.DataFrame({"loc": d.loc, "z": d.z, "x0": d.x[:, 0], "x1": d.x[:, 1], "n1": d.x_noise[:, 1]}))
+    t = fieldtables.FieldTables.build(obs, sites, nn, ["x0", "x1"], ["x0", "n1"], ["one", "rx"], ["one", "sy"], {"one": 0}, band_rows=50, means=d.means, variances=d.variances)
+    return d, t, s
+
+
+def _as_table(spark, t, s):
+    from copy import deepcopy
+
+    out = deepcopy(s)
+    out.factor = t.factor(s.range_beta)
+    out.field = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(s.field)), "value": s.field}))
+    return out
+
+
+def test_table_products_and_draws_equal_dense_algebra(spark, model):
+    d, t, s = model
+    f = _as_table(spark, t, s)
+    v = spark.createDataFrame(pd.DataFrame({"id": np.arange(120), "value": s.field}))
+    assert np.allclose(_values(f.factor.times(v)), s.factor.times(s.field)) and np.allclose(_values(f.factor.transpose_times(v)), s.factor.transpose_times(s.field))
+    l, sd = s.factor.dense(), s.sd(d)
+    s0, s1, _ = d.stats(s)
+    q = (l.T @ l) / np.outer(sd, sd) + np.diag(s0)
+    ids = np.arange(120)
+    seed = 77
+    b = s1 + l.T @ noise.normals(ids, 2 * seed) / sd + np.sqrt(s0) * noise.normals(ids, 2 * seed + 1)
+    at = spark.createDataFrame(pd.DataFrame({"id": ids, "sd": sd, "precision": s0}))
+    got = fieldtables.draw_field(f.factor, at, spark.createDataFrame(pd.DataFrame({"id": ids, "value": s1})), seed)
+    assert np.allclose(_values(got), np.linalg.solve(q, b), rtol=1e-5, atol=1e-6)
+
+
+@pytest.mark.parametrize("ancillary", [True, False])
+def test_table_potentials_equal_those_of_arrays(spark, model, ancillary):
+    d, t, s = model
+    f = _as_table(spark, t, s)
+    beta = s.range_beta + [[0.1], [-0.2]]
+    want, got = d.range_potential(s, beta, ancillary), t.range_potential(f, beta, ancillary)
+    assert got[0] == pytest.approx(want[0], rel=1e-9) and np.allclose(got[1], want[1], rtol=1e-6, atol=1e-7)
+    if ancillary:
+        assert np.allclose(_values(got[2][1]), want[2][1], rtol=1e-8, atol=1e-9)
+    beta = s.scale_beta + [[0.3], [0.1]]
+    want, got = d.scale_potential(s, beta, ancillary), t.scale_potential(f, beta, ancillary)
+    assert got[0] == pytest.approx(want[0], rel=1e-9) and np.allclose(got[1], want[1], rtol=1e-8, atol=1e-9)
+
+
+def test_kernels_on_tables_make_the_same_chain(spark, model):
+    """Regression, interweaving, range, noise and scale draw the same numbers, so both chains are one."""
+    from copy import deepcopy
+
+    d, t, s = model
+    a, b = deepcopy(s), _as_table(spark, t, s)
+    r1, r2 = np.random.default_rng(8), np.random.default_rng(8)
+    for kernel in (sampler.beta_centred, sampler.beta_interwoven):
+        kernel(a, d, r1), kernel(b, t, r2)
+        assert np.allclose(a.beta, b.beta, rtol=1e-8)
+    moved = 0
+    for kernel in (sampler.range_hmc, sampler.noise_hmc, sampler.scale_hmc):
+        old = (a.range_beta, a.noise_beta, a.scale_beta)
+        kernel(a, d, 1, r1), kernel(b, t, 1, r2)
+        moved += any(x is not y for x, y in zip(old, (a.range_beta, a.noise_beta, a.scale_beta)))
+        for name in ("range_beta", "noise_beta", "scale_beta"):
+            assert np.allclose(getattr(a, name), getattr(b, name), rtol=1e-6)
+    assert moved and a.steps == b.steps and np.allclose(_values(b.field), a.field, rtol=1e-6, atol=1e-8)

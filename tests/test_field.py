@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrafield.operators import cholesky, fieldtables, noise, sampler, triangular
+from terrafield.functions.kernels import canonical_range
+from terrafield.operators import chromatic, cholesky, fieldtables, noise, regions, sampler, triangular
 
 
 def _data(n, m=5, seed=0):
@@ -201,3 +202,61 @@ def test_kernels_on_tables_make_the_same_chain(spark, model):
         for name in ("range_beta", "noise_beta", "scale_beta"):
             assert np.allclose(getattr(a, name), getattr(b, name), rtol=1e-6)
     assert moved and a.steps == b.steps and np.allclose(_values(b.field), a.field, rtol=1e-6, atol=1e-8)
+
+
+def test_colours_and_sweeps(spark):
+    d = _data(90, m=3, seed=7)
+    q, rhs = _precision(d)
+    precision, locs, right = _tables(spark, d, q, rhs)
+    ids = locs.select("id")
+    colours = chromatic.colouring(precision.where("a < b").select("a", "b"), ids)
+    c = colours.toPandas().sort_values("id")["colour"].to_numpy()
+    a, b = np.nonzero(np.triu(q, 1))
+    assert len(c) == 90 and (c[a] != c[b]).all() and c.min() == 1 and c.max() <= 1 + np.count_nonzero(q, axis=1).max()
+    update = chromatic.ColourUpdate(precision, colours)
+    w0 = np.random.default_rng(1).normal(size=90)
+    got = _values(update.sweep(spark.createDataFrame(pd.DataFrame({"id": np.arange(90), "value": w0})), right, 6))
+    update.close()
+
+    def sweep(w, z, rhs=rhs):
+        w = w.copy()
+        for k in range(1, c.max() + 1):
+            rows = np.nonzero(c == k)[0]
+            w[rows] = (rhs[rows] - q[rows] @ w + np.diag(q)[rows] * w[rows]) / np.diag(q)[rows] + z[rows] / np.sqrt(np.diag(q)[rows])
+        return w
+
+    assert np.allclose(got, sweep(w0, noise.normals(np.arange(90), 6)), rtol=1e-9, atol=1e-10)
+    # a sweep is w -> a w + b + c z: the field's own mean and covariance are what it leaves as they are
+    mean, cov, zero = np.linalg.solve(q, rhs), np.linalg.inv(q), np.zeros(90)
+    of_w = np.column_stack([sweep(e, zero, zero) for e in np.eye(90)])
+    of_z = np.column_stack([sweep(zero, e, zero) for e in np.eye(90)])
+    assert np.allclose(sweep(mean, zero), mean) and np.allclose(of_w @ cov @ of_w.T + of_z @ of_z.T, cov) and np.abs(np.linalg.eigvals(of_w)).max() < 1
+
+
+@pytest.mark.parametrize("region", [40, 10_000])
+def test_prediction_by_regions_equals_one_process(spark, region):
+    d = _data(300, seed=9)
+    n = 120
+    ids = np.arange(300)
+    design = np.column_stack([np.ones(300), d.xy[:, 0]])
+    rows = [(int(i), float(x), float(y), design[i].tolist(), [1.0]) for i, (x, y) in zip(ids, d.xy)]
+    every = spark.createDataFrame(rows, "id long, x double, y double, xr array<double>, xs array<double>")
+    child, k = np.nonzero(d.parents[n:, 1:] >= 0)
+    nn = spark.createDataFrame(pd.DataFrame({"child": child + n, "parent": d.parents[n:][child, k + 1]}))
+    rng = np.random.default_rng(5)
+    fields = rng.normal(size=(3, n))
+    params = [(np.array([[-1.5 + 0.2 * s], [0.3]]), np.array([[0.1 * s]]), 40 + s) for s in range(3)]
+    field = spark.createDataFrame([(s, i, float(v)) for s in range(3) for i, v in enumerate(fields[s])], "sample int, id long, value double")
+    new, seen = every.where(F.col("id") >= n), every.where(F.col("id") < n)
+    for noisy in (False, True):
+        got = {r.id: r["values"] for r in regions.predict(new, seen, nn, field, params, noise=noisy, region=region).collect()}
+        assert sorted(got) == list(range(n, 300))
+        for s, (rb, sb, seed) in enumerate(params):
+            f = design @ canonical_range(rb)
+            l = np.zeros((300, 300))
+            coef = sampler.prediction_rows(d.xy, f, d.parents, 1.5)
+            l[np.repeat(ids, 6)[(d.parents >= 0).ravel()], d.parents[d.parents >= 0]] = coef[d.parents >= 0]
+            sd = np.exp(0.5 * sb[0, 0])
+            z = noise.normals(ids[n:], seed) if noisy else 0.0
+            want = sd * np.linalg.solve(l[n:, n:], z - l[n:, :n] @ (fields[s] / sd))
+            assert np.allclose([got[i][s] for i in range(n, 300)], want, rtol=1e-8, atol=1e-10)

@@ -4,40 +4,62 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafield.operators.noise import normal
-from terrafield.operators.triangular import levels
+from terrafield.operators.triangular import BAND_ROWS
 from terrafield.session import checkpoint_dir, cut, remove
 
 
-def colouring(graph: DataFrame, ids: DataFrame) -> DataFrame:
+def _rest_colours(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Colours of the last rows(id, hash, taken), links(row, col) among them: in the order of hashes, so all that a row waits for comes before it."""
+    rows = rows.sort_values(["hash", "id"])
+    near: dict = {}
+    for row, col in zip(links["row"], links["col"]):
+        near.setdefault(row, []).append(col)
+    colour: dict = {}
+    for i, taken in zip(rows["id"], rows["taken"]):
+        used = {*taken, *(colour[c] for c in near.get(i, ()))}
+        colour[i] = next(c for c in range(1, len(used) + 2) if c not in used)
+    return pd.DataFrame({"id": list(colour), "colour": list(colour.values())})
+
+
+def colouring(graph: DataFrame, ids: DataFrame, most: int = BAND_ROWS) -> DataFrame:
     """(id, colour), colours from 1, of ids(id): links graph(a, b), each once, join different colours.
 
-    Each link points from the end of the smaller hash to the other, which makes a graph without cycles; its levels are coloured one after
-    another, a join and a grouping each: a location takes the smallest colour that no neighbour of a lower level has. The number of levels grows with the
-    degree and the logarithm of the number of locations, that of colours is one more than the degree at most.
+    Each link points from the end of the smaller hash to the other, which makes a graph without cycles. A round, a join and a grouping, colours the
+    locations whose neighbours of smaller hashes are coloured: each takes the smallest colour that none of these has. The number of rounds grows with the
+    degree and the logarithm of the number of locations, that of colours is one more than the degree at most. A task finishes the last `most` locations.
     """
     h, a, b = F.xxhash64, F.col("a"), F.col("b")
     first = (h("a") < h("b")) | ((h("a") == h("b")) & (a < b))
     links = cut(graph.select(F.when(first, b).otherwise(a).alias("row"), F.when(first, a).otherwise(b).alias("col")))
-    level = levels(links, ids)
-    links = cut(links.join(level.withColumnRenamed("id", "row"), "row"))
-    parts, done = [], None
-    for k in range(1 + (level.agg(F.max("level")).first()[0] or 0)):
-        mine = level.where(F.col("level") == k).select("id")
-        if done is None:
-            got = mine.withColumn("colour", F.lit(1))
-        else:
-            near = links.where(F.col("level") == k).join(done.withColumnRenamed("id", "col"), "col").groupBy(F.col("row").alias("id")).agg(F.collect_set("colour").alias("taken"))
-            free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("taken") + 1), "taken"))
-            got = mine.join(near, "id").select("id", free.alias("colour"))  # above level 0 every row has a neighbour below
-        parts.append(cut(got))
-        done = parts[0]
-        for p in parts[1:]:
-            done = done.unionByName(p)
-    return cut(done)
+    count = links.groupBy(F.col("row").alias("id")).agg(F.count(F.lit(1)).alias("left"))
+    todo = ids.select("id").join(count, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left"), F.array().cast("array<int>").alias("taken"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("taken") + 1), "taken"))
+    parts = []
+    while True:
+        todo = cut(todo)
+        n, ready = todo.agg(F.count(F.lit(1)), F.count_if(F.col("left") == 0)).first()
+        now = todo.where("left = 0").select("id", free.cast("int").alias("colour"))
+        if n:
+            parts.append(now)
+        if n == ready:
+            break
+        if n <= most:
+            one, last = F.lit(0).alias("one"), todo.select("id", F.xxhash64("id").alias("hash"), "taken")
+            inner = links.join(todo.select(F.col("id").alias("row")), "row", "left_semi").join(todo.select(F.col("id").alias("col")), "col", "left_semi").select(one, "row", "col")
+            parts[-1] = last.withColumn("one", one).groupBy("one").cogroup(inner.toDF(*inner.columns).groupBy("one")).applyInPandas(_rest_colours, "id long, colour int")
+            break
+        told = links.join(now.withColumnRenamed("id", "col"), "col").groupBy(F.col("row").alias("id")).agg(F.count(F.lit(1)).alias("done"), F.collect_set("colour").alias("new"))
+        todo = todo.where("left > 0").join(told, "id", "left")
+        todo = todo.select("id", (F.col("left") - F.coalesce("done", F.lit(0))).alias("left"), F.when(F.col("new").isNull(), F.col("taken")).otherwise(F.array_union("taken", "new")).alias("taken"))
+    out = parts[0] if parts else ids.select("id", F.lit(1).alias("colour")).limit(0)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return cut(out)
 
 
 class ColourUpdate:

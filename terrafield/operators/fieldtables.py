@@ -11,14 +11,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafield.operators import sampler, triangular, vecchia
+from terrafield.operators.cholesky import dissect
 from terrafield.operators.distributed import ObservationTable
 from terrafield.operators.noise import normal
 from terrafield.session import cut
 
+#: Locations of a block whose part of a precision matrix is inverted, about.
+BLOCK = 768
 #: Conjugate gradients stop at this share of the right-hand side's norm, or after so many steps.
 TOLERANCE, STEPS = 1e-8, 1000
 
@@ -68,40 +73,92 @@ class TableFactor:
             self._solver = None
 
 
-def conjugate_gradient(factor: TableFactor, sites: DataFrame, b: DataFrame, tol: float = TOLERANCE, most: int = STEPS) -> DataFrame:
-    """(id, value): the solution of Q x = b, Q = diag(1 / sd) L'L diag(1 / sd) + diag(precision), scaled by Q's diagonal.
+def _inverse(entries: pd.DataFrame, sites: pd.DataFrame) -> pd.DataFrame:
+    """A block of Q inverted: entries(block, a, b, value) of L'L, sites(block, id, sd, precision)."""
+    sites = sites.sort_values("id")
+    ids, sd = sites["id"].to_numpy(), sites["sd"].to_numpy(float)
+    q = np.zeros((len(ids),) * 2)
+    if len(entries):
+        q[np.searchsorted(ids, entries["a"].to_numpy()), np.searchsorted(ids, entries["b"].to_numpy())] = entries["value"].to_numpy(float)
+    q = q / np.outer(sd, sd) + np.diag(sites["precision"].to_numpy(float))
+    return pd.DataFrame({"block": [int(sites["block"].iloc[0])], "ids": [ids], "sd": [sd], "precision": [sites["precision"].to_numpy(float)], "inverse": [np.linalg.inv(q).ravel()]})
 
-    sites(id, sd, precision); b(id, value). A step writes the vectors once and brings four sums to the driver, whatever the number of locations.
+
+def _products(batches):
+    """q = t / sd + precision p and its block's inverse times q, beside the vectors of a block; t are rows (id, t) that came back from the products."""
+    for b in batches:
+        q, u = [], []
+        column = lambda c, i: b.column(c)[i].values.to_numpy(zero_copy_only=False)
+        for i in range(b.num_rows):
+            t = b.column("t")[i].values
+            at, ids = t.field("id").to_numpy(), column("ids", i)
+            values = np.zeros(len(ids))
+            values[np.searchsorted(ids, at)] = t.field("t").to_numpy()
+            q.append(values / column("sd", i) + column("precision", i) * column("p", i))
+            u.append(column("inverse", i).reshape(len(ids), len(ids)) @ q[-1])
+        yield pa.RecordBatch.from_arrays([b.column("block"), *[b.column(c) for c in "xrzp"], *[pa.array(v, pa.list_(pa.float64())) for v in (q, u)]], ["block", *"xrzpqu"])
+
+
+def _scaled(batches):
+    """z = the block's inverse times r."""
+    for b in batches:
+        z = [m.values.to_numpy().reshape(len(r.values), -1) @ r.values.to_numpy(zero_copy_only=False) for m, r in zip(b.column("inverse"), b.column("r"))]
+        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("r"), pa.array(z, pa.list_(pa.float64()))], ["block", "r", "z"])
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def conjugate_gradient(factor: TableFactor, sites: DataFrame, b: DataFrame, places: DataFrame, tol: float = TOLERANCE, most: int = STEPS) -> DataFrame:
+    """(id, value): the solution of Q x = b, Q = diag(1 / sd) L'L diag(1 / sd) + diag(precision), scaled by the inverses of Q's blocks.
+
+    sites(id, sd, precision); b(id, value); places(id, block): blocks of near locations, of a size that a task inverts. Vectors lie as an array
+    per block beside the block's inverse, so only products shuffle. A step writes the vectors once and brings eight sums to the driver,
+    whatever the number of locations.
     """
-    squares = factor.entries("col").groupBy(F.col("col").alias("id")).agg(F.sum(F.col("value") * F.col("value")).alias("square"))
-    s = sites.join(squares, "id").join(b.withColumnRenamed("value", "r"), "id")
-    s = s.withColumn("d", F.col("square") / (F.col("sd") * F.col("sd")) + F.col("precision"))
-    s = cut(s.select("id", "sd", "precision", "d", "r", F.lit(0.0).alias("x"), (F.col("r") / F.col("d")).alias("p")))
-    r, d, q = F.col("r"), F.col("d"), F.col("q")
-    start = _sum(s, rr=r * r, rz=r * r / d)
+    places = cut(places)
+    half = factor.entries("row").join(places.withColumnRenamed("id", "col"), "col")
+    x, y = (half.select("row", "block", F.col("col").alias(c), F.col("value").alias(f"v{c}")) for c in ("a", "b"))
+    inside = x.join(y, ["row", "block"]).groupBy("block", "a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("value"))
+    own = sites.select("id", "sd", "precision").join(places, "id")
+    blocks = inside.groupBy("block").cogroup(own.toDF(*own.columns).groupBy("block")).applyInPandas(_inverse, "block long, ids array<long>, sd array<double>, precision array<double>, inverse array<double>")
+    blocks = cut(blocks.repartition("block"))
+    r = b.select("id", F.col("value").alias("r")).join(places, "id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "r"))).alias("r")).select("block", F.col("r.r").alias("r"))
+    s = cut(r.join(blocks.select("block", "inverse"), "block").mapInArrow(_scaled, "block long, r array<double>, z array<double>"))
+    s = s.select("block", F.transform("r", lambda v: v * 0.0).alias("x"), "r", "z", F.col("z").alias("p"))
+    start = _sum(s, rr=_dot("r", "r"), rz=_dot("r", "z"))
     rr, rz = start["rr"], start["rz"]
     stop = tol * tol * rr
     for _ in range(most):
         if rr <= stop:
             break
-        lp = factor.times(s.select("id", (F.col("p") / F.col("sd")).alias("value")))
-        t = factor.transpose_times(lp).withColumnRenamed("value", "t")
-        s = cut(s.join(t, "id").withColumn("q", F.col("t") / F.col("sd") + F.col("precision") * F.col("p")).drop("t"))
-        got = _sum(s, pq=F.col("p") * q)
-        a = F.lit(rz / got["pq"])
-        s = s.withColumns({"x": F.col("x") + a * F.col("p"), "r": r - a * q}).drop("q")
-        new = _sum(s, rr=r * r, rz=r * r / d)
-        s = s.withColumn("p", r / d + F.lit(new["rz"] / rz) * F.col("p"))
-        rr, rz = new["rr"], new["rz"]
-    return s.select("id", F.col("x").alias("value"))
-
-
-def draw_field(factor: TableFactor, sites: DataFrame, rhs: DataFrame, seed: int, tol: float = TOLERANCE) -> DataFrame:
+        p = s.join(blocks.select("block", "ids", "sd"), "block").select(F.explode(F.arrays_zip("ids", "sd", "p")).alias("e"))
+        t = factor.transpose_times(factor.times(p.select(F.col("e.ids").alias("id"), (F.col("e.p") / F.col("e.sd")).alias("value"))))
+        t = t.join(places, "id").groupBy("block").agg(F.collect_list(F.struct("id", F.col("value").alias("t"))).alias("t"))
+        s = cut(s.join(t, "block").join(blocks, "block").mapInArrow(_products, "block long, " + ", ".join(f"{c} array<double>" for c in "xrzpqu")))
+        got = _sum(s, **{c: _dot(*c) for c in ("pq", "rr", "rq", "qq", "rz", "ru", "qz", "qu")})
+        a = got["rz"] / got["pq"]
+        rr = max(0.0, got["rr"] - 2 * a * got["rq"] + a * a * got["qq"])
+        rz = got["rz"] - a * (got["ru"] + got["qz"]) + a * a * got["qu"]
+        along = lambda c, d, f: F.zip_with(c, d, lambda v, w: v + F.lit(f) * w)
+        s = s.select("block", along("x", "p", a).alias("x"), along("r", "q", -a).alias("r"), along("z", "u", -a).alias("z"), "p")
+        s = s.withColumn("p", along("z", "p", rz / got["rz"]))
+    out = s.join(blocks.select("block", "ids"), "block").select(F.explode(F.arrays_zip("ids", "x")).alias("e"))
+    return out.select(F.col("e.ids").alias("id"), F.col("e.x").alias("value"))
+
+
+def draw_field(factor: TableFactor, sites: DataFrame, rhs: DataFrame, places: DataFrame, seed: int, tol: float = TOLERANCE) -> DataFrame:
     """(id, value): an exact draw from N(Q^-1 rhs, Q^-1): perturb the right-hand side, then solve. The noise is a function of seed and id."""
     white = factor.transpose_times(sites.select("id", normal("id", 2 * seed).alias("value"))).withColumnRenamed("value", "t")
     b = sites.join(white, "id").join(rhs.withColumnRenamed("value", "f"), "id")
     b = b.select("id", (F.col("f") + F.col("t") / F.col("sd") + F.sqrt("precision") * normal("id", 2 * seed + 1)).alias("value"))
-    return conjugate_gradient(factor, sites, cut(b), tol)
+    return conjugate_gradient(factor, sites, cut(b), places, tol)
+
+
+def blocks_of(locs: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """(id, block) of locs(id, x, y): blocks of near locations, about `rows` each."""
+    return dissect(locs, rows)[0].withColumnRenamed("leaf", "block")
 
 
 @dataclass
@@ -115,6 +172,7 @@ class FieldTables(ObservationTable):
     near: DataFrame = None
     nn_self: DataFrame = None
     level: DataFrame = None
+    places: DataFrame = None
     range_names: list[str] = field(default_factory=list)
     scale_names: list[str] = field(default_factory=list)
     loc_names: list[str] = field(default_factory=list)
@@ -142,7 +200,7 @@ class FieldTables(ObservationTable):
         none = np.empty(0)
         return cls(
             empty("xy"), None, none, none, empty(response), empty(loc_columns), list(loc_columns.values()), empty(range_names), empty(scale_names), empty(noise),
-            table=table, response=list(response), noise=list(noise), sites=sites, near=cut(near.repartition("child")), nn_self=nn_self, level=level,
+            table=table, response=list(response), noise=list(noise), sites=sites, near=cut(near.repartition("child")), nn_self=nn_self, level=level, places=cut(blocks_of(sites)),
             range_names=list(range_names), scale_names=list(scale_names), loc_names=list(loc_columns), band_rows=band_rows, **more,
         )
 
@@ -174,7 +232,7 @@ class FieldTables(ObservationTable):
     def posterior_field(self, s: sampler.State, rng) -> DataFrame:
         at = self.with_sd(s).join(self.location_sums(s), "id", "left").select("id", "sd", F.coalesce("s0", F.lit(0.0)).alias("precision"), F.coalesce("s1", F.lit(0.0)).alias("value"))
         at = cut(at)
-        return draw_field(s.factor, at.select("id", "sd", "precision"), at.select("id", "value"), int(rng.integers(1 << 60)), self.tolerance)
+        return draw_field(s.factor, at.select("id", "sd", "precision"), at.select("id", "value"), self.places, int(rng.integers(1 << 60)), self.tolerance)
 
     def interwoven_system(self, s: sampler.State):
         q = len(self.loc_names)

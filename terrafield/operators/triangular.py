@@ -22,10 +22,31 @@ from terrafield.session import checkpoint_dir, cut, remove
 BAND_ROWS = 100_000
 
 
-def levels(edges: DataFrame, ids: DataFrame) -> DataFrame:
+def _rest_levels(rows: pd.DataFrame, edges: pd.DataFrame, first: int) -> pd.DataFrame:
+    """Levels of the last rows of a graph: rows(id), edges(row, col) among them; those without parents have the level `first`."""
+    ids = np.sort(rows["id"].to_numpy(np.int64))
+    child, parent = np.searchsorted(ids, edges["row"].to_numpy(np.int64)), np.searchsorted(ids, edges["col"].to_numpy(np.int64))
+    left, level = np.bincount(child, minlength=len(ids)), np.full(len(ids), first)
+    order = np.argsort(parent, kind="stable")
+    child, starts = child[order], np.searchsorted(parent[order], np.arange(len(ids) + 1))
+    now, seen = np.nonzero(left == 0)[0], 0
+    while len(now):
+        seen += len(now)
+        reached = np.concatenate([child[starts[i] : starts[i + 1]] for i in now])
+        np.subtract.at(left, reached, 1)
+        reached = np.unique(reached)
+        first += 1
+        now = reached[left[reached] == 0]
+        level[now] = first
+    if seen < len(ids):
+        raise ValueError("the neighbour graph has a cycle")
+    return pd.DataFrame({"id": ids, "level": level.astype(np.int32)})
+
+
+def levels(edges: DataFrame, ids: DataFrame, most: int = BAND_ROWS) -> DataFrame:
     """(id, level) of ids(id): 0 for rows without parents in edges(row, col), else one more than the greatest level of their parents.
 
-    A round is a join of the rows that the last one settled with the edges, and a grouping; there are as many rounds as levels. Edges
+    A round is a join of the rows that the last one settled with the edges, and a grouping; a task finishes the last `most` rows. Edges
     to ids that aren't there are ignored; a cycle is an error.
     """
     edges = edges.where("row <> col").select("row", "col").join(ids.select(F.col("id").alias("col")), "col")
@@ -38,6 +59,11 @@ def levels(edges: DataFrame, ids: DataFrame) -> DataFrame:
         n, some = todo.agg(F.count(F.lit(1)), F.count_if(F.col("left") == 0)).first()
         if not n:
             break
+        if n <= most:
+            one, last = F.lit(0).alias("one"), todo.select("id")
+            inner = edges.join(last.select(F.col("id").alias("row")), "row", "left_semi").join(last.select(F.col("id").alias("col")), "col", "left_semi").select(one, "row", "col")
+            parts.append(last.select(one, "id").groupBy("one").cogroup(inner.toDF(*inner.columns).groupBy("one")).applyInPandas(partial(_rest_levels, first=level), "id long, level int"))
+            break
         if not some:
             raise ValueError("the neighbour graph has a cycle")
         parts.append(ready.select("id", F.lit(level).alias("level")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafield.functions import kernels as K
-from terrafield.operators import basis, design, diagnostics, linalg, plotdata, posterior, sampler, spatial, vecchia
+from terrafield.operators import basis, chromatic, cholesky, design, diagnostics, fieldtables, linalg, plotdata, posterior, regions, sampler, spatial, triangular, vecchia
 from terrafield.operators import relational as rel
 from terrafield.operators.ranges import numbered
 from terrafield.session import cut, ship
@@ -691,11 +691,133 @@ def gibbs_field(spark, d):
 
 @query()
 def predict_field(spark, d):
-    """The conditional mean at the locations of label 9, given the response at all others."""
-    data = _data(spark, d)
-    n, f, one = data.n_observed, data.x_range @ K.canonical_range(np.array([[-1.0]])), np.ones(len(data.xy))
-    w = sampler.predict_field(data.xy[:n], data.parents[n:, 1:], data.xy[n:], f[:n], f[n:], one[:n], one[n:], data.z[:n], 1.5)
-    return spark.createDataFrame([(int(n + i), float(v)) for i, v in enumerate(w)], "id long, value double")
+    """The conditional mean at the locations of label 9, given the response at all others: by regions, a task each."""
+    e = T.read(spark, d, "embeddings").where("vec_id is not null and embedding is not null")
+    e = numbered(e, [(F.col("label") == 9).asc(), F.col("vec_id").asc()])
+    one = F.array(F.lit(1.0))
+    p = cut(e.select(F.col("rank").alias("id"), (F.col("label") == 9).alias("new"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(("x", "y", "z"))], one.alias("xr"), one.alias("xs")))
+    n = p.where("not new").count()
+    near = spatial.nearest_neighbours(p, 5, children=f"id >= {n}").select("child", "parent")
+    field = p.where("not new").select(F.lit(0).alias("sample"), "id", F.col("z").alias("value"))
+    got = regions.predict(p.where("new"), p.where("not new"), cut(near), field, [(np.array([[-1.0]]), np.array([[0.0]]), 0)], noise=False, region=256)
+    return got.select("id", F.col("values")[0].alias("value"))
+
+
+# ----------------------------------------------------------------------------- fields of any number of locations
+
+# the tree of a factor with one neighbour each, its levels, and the matrix L'L / 4 + 10
+_TREE = f"""{_L1}, t as (select p.id, m1.parent, coalesce(m1.l0, 1.0e0) as l0, m1.l1, p.y from p left join m1 on m1.child = p.id),
+    lv as (with recursive w as (select id, 0 as depth from t where parent is null union all select t.id, w.depth + 1 from t join w on t.parent = w.id) select * from w),
+    q as (select t.id, t.parent, t.y, lv.depth, t.l0 * t.l0 / 4 + coalesce(c.s, 0) / 4 + 10 as own, t.l0 * t.l1 / 4 as up
+          from t join lv on lv.id = t.id left join (select parent, sum(l1 * l1) as s from t where parent is not null group by parent) c on c.parent = t.id)"""
+# eliminated from the deepest level up: what is left of the diagonal and of the right-hand side; then solved from the root down
+_MEAN = f"""{_TREE}, e as (with recursive w as (
+      select id, parent, depth, own as left_own, y as left_y, up from q where depth = (select max(depth) from q)
+      union all
+      select q.id, q.parent, q.depth, q.own - coalesce(c.a, 0), q.y - coalesce(c.b, 0), q.up
+      from q left join (select parent, sum(up * up / left_own) as a, sum(up * left_y / left_own) as b from w group by parent) c on c.parent = q.id
+      where q.depth = (select max(depth) from w) - 1) select * from w),
+    x as (with recursive w as (select id, left_y / left_own as value from e where parent is null
+      union all select e.id, (e.left_y - e.up * w.value) / e.left_own from e join w on e.parent = w.id) select * from w)"""
+
+
+@query(f"""with {PTS}, {NN_BEFORE}, {_TREE}, w as (with recursive w as (select id, y / l0 as value from t where parent is null
+    union all select t.id, (t.y - t.l1 * w.value) / t.l0 from t join w on t.parent = w.id) select * from w) select id, round(value, 3) + 0.0e0 as value from w""")
+def field_solve(spark, d):
+    """L^-1 y for the factor with one neighbour each, by bands of levels."""
+    p, v = locs(spark, d), cut(_factor(spark, d, 1))
+    level = triangular.levels(v.select(F.col("child").alias("row"), F.explode("parents").alias("col")), p.select("id"))
+    t = triangular.Triangular.of(v, level)
+    x = t.solve(p.select("id", F.col("y").alias("value")))
+    t.close()
+    return x.select("id", (r("value", 3) + 0.0).alias("value"))
+
+
+def _sites(p: DataFrame) -> DataFrame:
+    return p.select("id", F.lit(2.0).alias("sd"), F.lit(10.0).alias("precision"))
+
+
+@query(f"with {PTS}, {NN_BEFORE}, {_MEAN} select id, round(value, 6) as value from x")
+def posterior_mean_gradients(spark, d):
+    """Q^-1 y by conjugate gradients over tables, Q as in posterior_precision."""
+    p, v = locs(spark, d), cut(_factor(spark, d, 1))
+    level = v.select(F.col("child").alias("id"), F.lit(0).alias("level"))  # products need none
+    x = fieldtables.conjugate_gradient(fieldtables.TableFactor(v, level), _sites(p), p.select("id", F.col("y").alias("value")), fieldtables.blocks_of(p), tol=1e-10)
+    return x.select("id", r("value").alias("value"))
+
+
+@query(f"with {PTS}, {NN_BEFORE}, {_MEAN} select x.id, round(x.value, 6) as value, round((select sum(ln(left_own)) from e), 3) as log_det from x")
+def posterior_mean_cholesky(spark, d):
+    """The same by a sparse Cholesky factor, with its log determinant."""
+    p = locs(spark, d)
+    q = linalg.posterior_precision(_entries(spark, d), p.select("id", F.lit(2.0).alias("sd")), p.select("id", F.lit(10.0).alias("value")))
+    c = cholesky.Cholesky.of(cut(q), p, p.select("id", F.col("y").alias("value")), leaf=128)
+    return c.solve().select("id", r("value").alias("value"), F.lit(round(c.log_det, 3)).alias("log_det"))
+
+
+def field_tables(spark, d, **how) -> tuple[fieldtables.FieldTables, DataFrame]:
+    """(model, its observations): the first two components of the vectors are places, the third is observed, the fourth a covariate."""
+    e = T.read(spark, d, "embeddings").where("vec_id is not null and embedding is not null")
+    e = cut(e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(("x", "y", "z", "cov"))], F.lit(1.0).alias("one")))
+    means = {"range": -2.0, "scale": -4.0, "noise": -5.0}
+    near = spatial.nearest_neighbours(e, 5)
+    obs = e.select(F.col("id").alias("loc"), "z", "one", "cov")
+    return fieldtables.FieldTables.build(obs, e, near, ["one", "cov"], ["one"], ["one", "x"], ["one"], {"one": 0, "cov": 1}, means=means, **how), e
+
+
+def table_state(model: fieldtables.FieldTables, field: DataFrame) -> sampler.State:
+    """A state to start from: prior means, and a field(id, value)."""
+    s = sampler.State(np.array([0.0, 0.0]), np.array([[-2.0], [0.0]]), np.array([[-4.0]]), np.array([[-5.0]]), field)
+    s.factor = model.factor(s.range_beta)
+    return s
+
+
+@query()
+def field_draw(spark, d):
+    """A draw of the field given the observations, by conjugate gradients over tables."""
+    model, e = field_tables(spark, d)
+    s = table_state(model, e.select("id", F.col("z").alias("value")))
+    return model.posterior_field(s, np.random.default_rng(1))
+
+
+@query()
+def field_draw_cholesky(spark, d):
+    """A draw from the same distribution by a sparse Cholesky factor of its precision."""
+    model, e = field_tables(spark, d)
+    s = table_state(model, e.select("id", F.col("z").alias("value")))
+    sums = model.location_sums(s)
+    q = linalg.posterior_precision(s.factor.entries("row"), model.with_sd(s).select("id", "sd"), sums.select("id", F.col("s0").alias("value")))
+    return cholesky.Cholesky.of(cut(q), e.select("id", "x", "y"), sums.select("id", F.col("s1").alias("value"))).solve(seed=3)
+
+
+@query()
+def colour_sweep(spark, d):
+    """A sweep over the field by colours of its neighbour graph, from the observations on."""
+    model, e = field_tables(spark, d)
+    s = table_state(model, e.select("id", F.col("z").alias("value")))
+    sums = model.location_sums(s)
+    q = cut(linalg.posterior_precision(s.factor.entries("row"), model.with_sd(s).select("id", "sd"), sums.select("id", F.col("s0").alias("value"))))
+    update = chromatic.ColourUpdate(q, chromatic.colouring(spatial.moral_graph(model.nn_self), e.select("id")))
+    out = update.sweep(s.field, sums.select("id", F.col("s1").alias("value")), seed=3)
+    update.close()
+    return out
+
+
+@query()
+def range_step(spark, d):
+    """The range coefficients and the field after both Hamiltonian steps of the range, from the observations on; the field stays a table."""
+    model, e = field_tables(spark, d)
+    s = table_state(model, e.select("id", F.col("z").alias("value")))
+    sampler.range_hmc(s, model, 1, np.random.default_rng(2))
+    rows = [("range_beta", k, float(v)) for k, v in enumerate(s.range_beta[:, 0])] + [(f"log_step_{k}", 0, float(v[0])) for k, v in sorted(s.steps.items()) if k.startswith("range_beta")]
+    return spark.createDataFrame(rows, "param string, id long, value double").unionByName(s.field.select(F.lit("field").alias("param"), "id", "value"))
+
+
+@query()
+def table_chain(spark, d):
+    """Records of a short chain with all kernels whose field and observations stay tables."""
+    model, _ = field_tables(spark, d, tolerance=1e-6)
+    return fieldtables.run_chain(model, 1, 1)[1]
 
 
 @query(f"with {REC}, l as (select max(iteration) as last from rec) select chain, iteration, i, value from rec, l where iteration > last * 0.5e0")

@@ -105,7 +105,7 @@ def test_solves_by_bands_equal_those_of_one_process(spark, most):
     d = _data(400)
     f = sampler.build_factor(d, np.array([[-1.5], [0.3]]))
     v = _vecchia(spark, f)
-    level = triangular.levels(_edges(v), v.select(F.col("child").alias("id")))
+    level = triangular.levels(_edges(v), v.select(F.col("child").alias("id")), most)
     got = level.toPandas().sort_values("id")["level"].to_numpy()
     assert all((got[rows] == k).all() for k, rows in enumerate(f.levels)) and len(f.levels) == got.max() + 1
     t = triangular.Triangular.of(v, level, most)
@@ -120,8 +120,9 @@ def test_solves_by_bands_equal_those_of_one_process(spark, most):
 def test_levels_of_few_rows_share_bands_and_large_ones_are_joined(spark):
     level = spark.createDataFrame([(i, k) for k, n in enumerate((3, 4, 50, 2, 9, 40)) for i in range(100 * k, 100 * k + n)], "id long, level int")
     assert triangular.bands(level, 10) == [(0, 1, True), (2, 2, False), (3, 3, True), (4, 4, True), (5, 5, False)]
-    with pytest.raises(ValueError, match="cycle"):
-        triangular.levels(spark.createDataFrame([(1, 2), (2, 1)], "row long, col long"), spark.range(1, 3))
+    for most in (0, 100):
+        with pytest.raises(Exception, match="cycle"):
+            triangular.levels(spark.createDataFrame([(1, 2), (2, 1)], "row long, col long"), spark.range(1, 3), most)
     assert triangular.levels(spark.createDataFrame([], "row long, col long"), spark.range(0)).count() == 0
 
 
@@ -166,7 +167,7 @@ def test_table_products_and_draws_equal_dense_algebra(spark, model):
     seed = 77
     b = s1 + l.T @ noise.normals(ids, 2 * seed) / sd + np.sqrt(s0) * noise.normals(ids, 2 * seed + 1)
     at = spark.createDataFrame(pd.DataFrame({"id": ids, "sd": sd, "precision": s0}))
-    got = fieldtables.draw_field(f.factor, at, spark.createDataFrame(pd.DataFrame({"id": ids, "value": s1})), seed)
+    got = fieldtables.draw_field(f.factor, at, spark.createDataFrame(pd.DataFrame({"id": ids, "value": s1})), fieldtables.blocks_of(t.sites, 20), seed)
     assert np.allclose(_values(got), np.linalg.solve(q, b), rtol=1e-5, atol=1e-6)
 
 
@@ -211,6 +212,8 @@ def test_colours_and_sweeps(spark):
     ids = locs.select("id")
     colours = chromatic.colouring(precision.where("a < b").select("a", "b"), ids)
     c = colours.toPandas().sort_values("id")["colour"].to_numpy()
+    by_rounds = chromatic.colouring(precision.where("a < b").select("a", "b"), ids, most=40)  # rounds first, then a task
+    assert by_rounds.toPandas().sort_values("id")["colour"].tolist() == c.tolist()
     a, b = np.nonzero(np.triu(q, 1))
     assert len(c) == 90 and (c[a] != c[b]).all() and c.min() == 1 and c.max() <= 1 + np.count_nonzero(q, axis=1).max()
     update = chromatic.ColourUpdate(precision, colours)

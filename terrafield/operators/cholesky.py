@@ -180,7 +180,7 @@ class Cholesky:
         for d in range(depth, -1, -1):
             mine = rows.where(F.col("depth") == d).drop("depth")
             left = left if left is not None else mine.sparkSession.createDataFrame([], "node long, boundary array<long>, rest array<double>, carried array<double>")
-            done = cut(mine.groupBy("node").cogroup(left.groupBy("node")).applyInPandas(partial(_front, most=most), _NODES))
+            done = cut(mine.groupBy("node").cogroup(left.groupBy("node")).applyInPandas(lambda a, b: _front(a, b, most), _NODES))
             left = done.select(F.shiftright("node", 1).alias("node"), "boundary", "rest", "carried").where(F.size("boundary") > 0)
             nodes.append(done.select("node", "own", "boundary", "l11", "l21", "y"))
         nodes.reverse()

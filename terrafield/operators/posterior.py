@@ -19,23 +19,31 @@ def not_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def summary(samples: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """mean, q0_025, median, q0_975 (interpolated between order statistics) and sample sd per group, without NaN and null.
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, of: dict[str, float]) -> DataFrame:
+    """(by..., a column per quantile of `of`), interpolated between order statistics; nulls and NaN don't count, groups without other values have no row.
 
     No task holds a group: values are numbered in ranges of (group, value), and a group's quantiles come from the rows at their places.
     """
     by = list(by)
-    rows = samples.select(*by, not_nan(F.col(value).cast("double")).alias("_v"))
-    stats = rows.groupBy(*by).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
-    ranked = numbered(rows.where("_v is not null"), [*[F.col(c).asc_nulls_first() for c in by], F.col("_v").asc()])
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    rows = rows.select(group.alias("_g"), not_nan(F.col(value).cast("double")).alias("_v")).where("_v is not null")
+    ranked = numbered(rows, [F.col("_g").asc(), F.col("_v").asc()])
     # a group's values have the ranks from its first on; of each quantile one or two of them are wanted, with their shares
-    starts = ranked.groupBy(*by).agg(F.min("rank").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    starts = ranked.groupBy("_g").agg(F.min("rank").alias("_start"), F.count(F.lit(1)).alias("_n"))
     place = lambda p: F.col("_start") + (F.col("_n") - 1) * F.lit(p)
-    wanted = starts.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("q"), place(p).alias("at")) for k, p in enumerate(QUANTILES)])).alias("w"))
-    wanted = wanted.select(*by, "w.q", "w.at").withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    wanted = starts.select("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("q"), place(p).alias("at")) for k, p in enumerate(of.values())])).alias("w"))
+    wanted = wanted.select("_g", "w.q", "w.at").withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
     share = F.when(F.col("rank") == F.floor("at"), 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
-    quantiles = [F.sum(F.when(F.col("q") == k, F.col("_v") * share)).alias(n) for k, n in enumerate(("q0_025", "median", "q0_975"))]
-    found = wanted.join(ranked.select("rank", "_v"), "rank").groupBy(*by).agg(*quantiles)
+    found = wanted.join(ranked.select("rank", "_v"), "rank").groupBy("_g").agg(*[F.sum(F.when(F.col("q") == k, F.col("_v") * share)).alias(n) for k, n in enumerate(of)])
+    return found.select(*[F.col(f"_g.{c}").alias(c) for c in by], *of)
+
+
+def summary(samples: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """mean, q0_025, median, q0_975 (interpolated between order statistics) and sample sd per group, without NaN and null. No task holds a group."""
+    by = list(by)
+    rows = samples.select(*by, not_nan(F.col(value).cast("double")).alias("_v"))
+    stats = rows.groupBy(*by).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
+    found = quantiles(rows, by, "_v", dict(zip(("q0_025", "median", "q0_975"), QUANTILES)))
     out = stats.alias("s").join(found.alias("f"), [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by], "left")
     return out.select(*[F.col(f"s.{c}").alias(c) for c in by], "mean", "q0_025", "median", "q0_975", "sd")
 
@@ -140,3 +148,37 @@ def dic(samples: DataFrame) -> DataFrame:
     at = normal_log_density(F.col("z"), mean("means"), mean("log_noises"))
     both = samples.agg(F.sum(each).alias("mean_ll"), F.sum(at).alias("ll_at_mean"))
     return both.select((-2 * (2 * F.col("mean_ll") - F.col("ll_at_mean"))).alias("dic"), "ll_at_mean")
+
+
+def kernel_score(samples: DataFrame, by: str = "obs_id", bandwidth: float | None = None) -> DataFrame:
+    """(by, kde_score): per row the log of a Gaussian kernel density of its samples at its own value z; samples(by, z, values).
+
+    The bandwidth is given, or Silverman's: 0.9 min(sd, interquartile range / 1.34) n^(-1/5) of the row's samples. Nulls and NaN among samples don't count. A
+    row whose samples don't vary, with fewer than two of them or without z has a null score. Rows are scored in batches where they are: no shuffle.
+    """
+    kind = samples.schema[by].dataType.simpleString()
+    rows = samples.select(F.col(by).alias("key"), F.col("z").cast("double").alias("z"), F.filter("values", lambda v: v.isNotNull() & ~F.isnan(v)).alias("values"))
+    return rows.mapInArrow(partial(_kernel_scores, bandwidth=bandwidth), f"key {kind}, kde_score double").withColumnRenamed("key", by)
+
+
+def _kernel_scores(batches, bandwidth, at_once=1 << 20):
+    for b in batches:
+        z, values = b.column("z").to_numpy(zero_copy_only=False), b.column("values")
+        at, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False).astype(float)
+        size = np.where(values.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
+        out = np.full(len(z), np.nan)
+        for n in np.unique(size[size > 1]):
+            every = np.nonzero(size == n)[0]
+            for s in range(0, len(every), max(1, at_once // int(n))):
+                rows = every[s : s + max(1, at_once // int(n))]
+                x = flat[at[rows][:, None] + np.arange(n)]
+                q1, q3 = np.quantile(x, (0.25, 0.75), axis=1)
+                sd = x.std(axis=1, ddof=1)
+                spread = np.where(q3 > q1, np.minimum(sd, (q3 - q1) / 1.34), sd)
+                h = np.full(len(rows), bandwidth) if bandwidth else 0.9 * spread * float(n) ** -0.2
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    e = -0.5 * ((z[rows, None] - x) / h[:, None]) ** 2
+                    top = e.max(axis=1)
+                    score = top + np.log(np.exp(e - top[:, None]).mean(axis=1)) - np.log(h) - 0.5 * np.log(2 * np.pi)
+                out[rows] = np.where(h > 0, score, np.nan)
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, from_pandas=True)], ["key", "kde_score"])

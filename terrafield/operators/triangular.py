@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -62,7 +61,7 @@ def levels(edges: DataFrame, ids: DataFrame, most: int = BAND_ROWS) -> DataFrame
         if n <= most:
             one, last = F.lit(0).alias("one"), todo.select("id")
             inner = edges.join(last.select(F.col("id").alias("row")), "row", "left_semi").join(last.select(F.col("id").alias("col")), "col", "left_semi").select(one, "row", "col")
-            parts.append(last.select(one, "id").groupBy("one").cogroup(inner.toDF(*inner.columns).groupBy("one")).applyInPandas(partial(_rest_levels, first=level), "id long, level int"))
+            parts.append(last.select(one, "id").groupBy("one").cogroup(inner.toDF(*inner.columns).groupBy("one")).applyInPandas(lambda a, b: _rest_levels(a, b, level), "id long, level int"))
             break
         if not some:
             raise ValueError("the neighbour graph has a cycle")
@@ -158,7 +157,7 @@ class Triangular:
             if self.spans[k][2]:
                 near = here.where(F.col(other) == k).select("row", "col", "value")
                 one = F.lit(0).alias("one")
-                got = mine.withColumn("one", one).groupBy("one").cogroup(near.withColumn("one", one).groupBy("one")).applyInPandas(partial(_solve_band, backward=backward), "id long, value double")
+                got = mine.withColumn("one", one).groupBy("one").cogroup(near.withColumn("one", one).groupBy("one")).applyInPandas(lambda a, b: _solve_band(a, b, backward), "id long, value double")
             else:
                 got = mine.select("id", (F.col("rest") / F.col("diagonal")).alias("value"))
             parts.append(cut(got))

@@ -302,7 +302,8 @@ def knn1(spark, d):
 
 @query(f"with {PTS}, {NN_ALL} select round(quantile_cont(sqrt(d2), 0.5), 8) as median_dist from nn where k = 1")
 def median_nn_dist(spark, d):
-    return spatial.nearest_neighbours(locs(spark, d), 1, ordered=False).agg(r(F.percentile(F.sqrt("d2"), F.lit(0.5)), 8).alias("median_dist"))
+    near = spatial.nearest_neighbours(locs(spark, d), 1, ordered=False).select(F.sqrt("d2").alias("d"))
+    return posterior.quantiles(near, [], "d", {"median_dist": 0.5}).select(r("median_dist", 8).alias("median_dist"))
 
 
 @query(f"""with {PTS}, kn as (select label as id, avg(x) as x, avg(y) as y from p group by label), pr as (select p.id as child, kn.id as knot, (p.x - kn.x) * (p.x - kn.x) + (p.y - kn.y) * (p.y - kn.y) as d2 from p, kn),
@@ -589,7 +590,7 @@ def prior_params(spark, d):
     p = rel.with_intercept(locs(spark, d))
     b = linalg.ols(p, ["intercept", "x"], "y")
     v = p.agg(F.var_samp(F.col("y") - float(b[0]) - float(b[1]) * F.col("x"))).first()[0]
-    near = spatial.nearest_neighbours(p, 1, ordered=False).agg(F.percentile(F.sqrt("d2"), F.lit(0.5))).first()[0]
+    near = posterior.quantiles(spatial.nearest_neighbours(p, 1, ordered=False).select(F.sqrt("d2").alias("d")), [], "d", {"near": 0.5}).first().near
     far = basis.max_distance(np.array(p.orderBy("id").limit(spatial.MAXMIN_POINTS).select("x", "y").toPandas(), float))
     pr = design.prior_bounds(v, far, near, 1.5)
     return spark.createDataFrame([tuple(round(float(c), 6) for c in (*pr.sigma, *pr.alpha))], "sigma_min double, sigma_max double, alpha_min double, alpha_max double")
@@ -632,6 +633,15 @@ def _predictive(spark, d) -> DataFrame:
     return f.join(z, "obs_id").select("obs_id", "z", F.transform("values", lambda v: v + 0.1).alias("means"), F.transform("values", lambda v: F.lit(-1.0)).alias("log_noises"))
 
 
+@query(f"""with {PTS}, {_S}, v as (select p.id as obs_id, p.y as z, s.intercept + p.x * s.x as value from p, s), h as (select obs_id, any_value(z) as z, count(*) as n, stddev_samp(value) as sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as iqr from v group by obs_id),
+    b as (select *, 0.9e0 * case when iqr > 0 then least(sd, iqr / 1.34e0) else sd end * power(n, -0.2e0) as h from h)
+    select v.obs_id, round(ln(avg(exp(-0.5e0 * power((v.z - v.value) / b.h, 2)) / (b.h * sqrt(2 * pi())))), 4) as kde_score from v join b on b.obs_id = v.obs_id group by v.obs_id""")
+def kde_score(spark, d):
+    f = posterior.fixed_effects(rel.with_intercept(locs(spark, d)).withColumnRenamed("id", "obs_id"), _samples(spark), ["intercept", "x"])
+    z = locs(spark, d).select(F.col("id").alias("obs_id"), F.col("y").alias("z"))
+    return posterior.kernel_score(f.join(z, "obs_id"), "obs_id").select("obs_id", r("kde_score", 4).alias("kde_score"))
+
+
 _LL = "-0.5e0 * (ln(2 * pi()) + (-1.0e0) + (z - mean) * (z - mean) * exp(1.0e0))"
 _PRED = f"v as (select p.id as obs_id, s.sample, p.y as z, 0.1e0 + s.intercept + p.x * s.x as mean from p, s)"
 

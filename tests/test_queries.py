@@ -1,14 +1,17 @@
 """Queries that SQL can't express, on whole tables, against dense algebra and plain loops."""
 
+from copy import deepcopy
+
 import numpy as np
 import pytest
 
 from terrafield.functions.kernels import canonical_range, covariance
-from terrafield.operators import sampler, spatial
+from terrafield.operators import diagnostics, sampler, spatial
+from terrafield.operators.noise import _xxhash, normals
 from terrafield.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = {"ess", "kmeans_partition", "vecchia_full", "vecchia_anisotropic", "gibbs_field", "predict_field", "model_estimates", "distributed_chain"}
+NAMES = {"field_draw", "field_draw_cholesky", "colour_sweep", "range_step", "table_chain", "ess", "kmeans_partition", "vecchia_full", "vecchia_anisotropic", "gibbs_field", "predict_field", "model_estimates", "distributed_chain"}
 
 
 def _run(spark, name):
@@ -38,6 +41,8 @@ def test_ess(spark):
                 best = aic, var * n / (n - p - 1) / (1 - phi.sum()) ** 2
         want[i] = want.get(i, 0) + n * x.var(ddof=1) / best[1]
     assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+    short = {r.i: r.ess for r in diagnostics.ess(catalogue.records(spark, SF), by=["i"], block=7).collect()}  # blocks shorter than the lags
+    assert set(short) == set(want) and all(short[i] == pytest.approx(want[i], rel=1e-6) for i in want)
 
 
 def test_kmeans_partition(spark):
@@ -170,3 +175,89 @@ def test_orders_are_those_of_loops(spark):
     for k in range(1, 50):
         far = ((xy[k:, None] - xy[None, :k]) ** 2).sum(-1).min(1)
         assert far[0] == pytest.approx(far.max())
+
+
+class _SameNoise(sampler.Data):
+    """Arrays whose field is drawn from the noise that the tables use."""
+
+    def prior_field(self, s, rng):
+        return s.sd(self) * s.factor.solve(normals(self.ids, int(rng.integers(1 << 60))))
+
+    def posterior_field(self, s, rng):
+        seed, sd = int(rng.integers(1 << 60)), s.sd(self)
+        s0, s1, _ = self.stats(s)
+        l = s.factor.dense()
+        noise = l.T @ normals(self.ids, 2 * seed) / sd + np.sqrt(s0) * normals(self.ids, 2 * seed + 1)
+        return np.linalg.solve((l.T @ l) / np.outer(sd, sd) + np.diag(s0), s1 + noise)
+
+
+@pytest.fixture(scope="module")
+def field_arrays(spark):
+    """The model of catalogue.field_tables as arrays, and its starting state."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").where("embedding is not null").orderBy("vec_id").collect()
+    v = np.array([r.embedding[:4] for r in e], float)
+    xy, n = v[:, :2], len(v)
+    parents = np.full((n, 6), -1, np.int64)
+    parents[:, 0] = np.arange(n)
+    for i in range(1, n):
+        near = np.lexsort((np.arange(i), ((xy[:i] - xy[i]) ** 2).sum(1)))[:5]
+        parents[i, 1 : 1 + len(near)] = near
+    one = np.ones((n, 1))
+    x = np.column_stack([one, v[:, 3]])
+    d = _SameNoise(xy, parents, np.arange(n), v[:, 2], x, x, [0, 1], np.column_stack([one, xy[:, 0]]), one, one, means={"range": -2.0, "scale": -4.0, "noise": -5.0})
+    d.ids = np.array([r.vec_id for r in e])
+    s = sampler.State(np.array([0.0, 0.0]), np.array([[-2.0], [0.0]]), np.array([[-4.0]]), np.array([[-5.0]]), d.z.copy())
+    s.factor = d.factor(s.range_beta)
+    l, sd = s.factor.dense(), s.sd(d)
+    s0, s1, _ = d.stats(s)
+    return d, s, (l.T @ l) / np.outer(sd, sd) + np.diag(s0), s1
+
+
+def _by_id(rows, ids):
+    got = {r.id: r.value for r in rows}
+    assert sorted(got) == sorted(ids.tolist())
+    return np.array([got[i] for i in ids])
+
+
+def test_field_draws(spark, field_arrays):
+    d, s, q, s1 = field_arrays
+    want = d.posterior_field(s, np.random.default_rng(1))
+    assert np.allclose(_by_id(_run(spark, "field_draw").collect(), d.ids), want, rtol=1e-4, atol=1e-5)
+    # L'(x - mean) is the noise, in whatever order: so are the squares' sums
+    off = _by_id(_run(spark, "field_draw_cholesky").collect(), d.ids) - np.linalg.solve(q, s1)
+    assert off @ q @ off == pytest.approx((normals(d.ids, 3) ** 2).sum(), rel=1e-6)
+
+
+def test_colour_sweep(spark, field_arrays):
+    d, s, q, s1 = field_arrays
+    hashes = _xxhash(d.ids.view(np.uint64), np.array([42], np.uint64)).view(np.int64)
+    colour = {}
+    for i in np.lexsort((d.ids, hashes)):
+        used = {colour.get(j) for j in np.nonzero(q[i])[0]}
+        colour[i] = next(c for c in range(1, len(d.ids)) if c not in used)
+    c, w, z = np.array([colour[i] for i in range(len(d.ids))]), s.field.copy(), normals(d.ids, 3)
+    for k in range(1, c.max() + 1):
+        rows = np.nonzero(c == k)[0]
+        w[rows] += (s1[rows] - q[rows] @ w) / np.diag(q)[rows] + z[rows] / np.sqrt(np.diag(q)[rows])
+    assert np.allclose(_by_id(_run(spark, "colour_sweep").collect(), d.ids), w, rtol=1e-6, atol=1e-8)
+
+
+def test_range_step(spark, field_arrays):
+    d, s, _, _ = field_arrays
+    a = deepcopy(s)
+    sampler.range_hmc(a, d, 1, np.random.default_rng(2))
+    rows = _run(spark, "range_step").collect()
+    got = {(r.param, r.id): r.value for r in rows if r.param != "field"}
+    assert np.allclose([got["range_beta", 0], got["range_beta", 1]], a.range_beta[:, 0], rtol=1e-6)
+    assert all(got[f"log_step_{k}", 0] == pytest.approx(a.steps[k][0]) for k in ("range_beta_ancillary", "range_beta_sufficient"))
+    assert np.allclose(_by_id([r for r in rows if r.param == "field"], d.ids), a.field, rtol=1e-5, atol=1e-7)
+
+
+def test_table_chain(spark, field_arrays):
+    d = field_arrays[0]
+    want = {r[2:5]: r[5] for r in sampler.run_chain(d, 1, 1)[1]}
+    rows = _run(spark, "table_chain").collect()
+    at = {int(i): k for k, i in enumerate(d.ids)}
+    got = {(r.param, at[r.i - 1] + 1 if r.param == "field" else r.i, r.j): r.value for r in rows}
+    assert set(got) == set(want) and len(rows) == len(want)
+    assert all(got[k] == pytest.approx(v, rel=1e-3, abs=1e-4) for k, v in want.items())

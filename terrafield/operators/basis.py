@@ -182,7 +182,10 @@ def _dense(batches, inv):
     inv = inv.value
     for b in batches:
         diag = b.column("diag").to_numpy()
-        phi = np.zeros((b.num_rows, len(inv)))
-        for i, (k, c) in enumerate(zip(b.column("knot").to_pylist(), b.column("coef").to_pylist())):
-            phi[i] = -(np.array(c) @ inv[k]) / diag[i]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(phi.tolist(), pa.list_(pa.float64())), pa.array(1 / diag)], ["id", "phi", "own"])
+        # every row hangs on equally many knots
+        knots, coef = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("knot", "coef"))
+        for s in range(0, b.num_rows, 1024):
+            q = slice(s, s + 1024)
+            phi = -np.einsum("ik,ikj->ij", coef[q], inv[knots[q]]) / diag[q, None]
+            ends = np.arange(len(phi) + 1, dtype=np.int32) * phi.shape[1]
+            yield pa.RecordBatch.from_arrays([b.column("id").slice(s, 1024), pa.ListArray.from_arrays(ends, pa.array(phi.ravel())), pa.array(1 / diag[q])], ["id", "phi", "own"])

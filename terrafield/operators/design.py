@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql.types import StringType
 from terrafield.operators.linalg import gram_np
 
 INTERCEPT = "intercept"
+#: Levels of a factor, at most: each but the first is a column.
+MAX_LEVELS = 1000
 
 
 def model_matrix(df: DataFrame, numeric=(), factors=()) -> tuple[DataFrame, list[str]]:
@@ -20,7 +23,10 @@ def model_matrix(df: DataFrame, numeric=(), factors=()) -> tuple[DataFrame, list
     names, cols = [INTERCEPT, *numeric], {INTERCEPT: F.lit(1.0)}
     cols |= {c: F.col(c).cast("double") for c in numeric}
     for f in factors:
-        for level in sorted(r[0] for r in df.select(f).distinct().collect() if r[0] is not None)[1:]:
+        found = df.select(f).where(F.col(f).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"more than {MAX_LEVELS} levels of {f}")
+        for level in sorted(r[0] for r in found)[1:]:
             cols[f"{f}{level}"] = F.when(F.col(f) == level, 1.0).otherwise(0.0)
             names.append(f"{f}{level}")
     return df.withColumns(cols), names
@@ -77,7 +83,7 @@ def process_pp_prior(pp, bounds, name: str):
             raise ValueError(f"{name} bounds were given without a {name} basis")
         return None
     if bounds is None:
-        print(f"the bounds of the {name} log scale are set to (-6, 3)")
+        warnings.warn(f"the bounds of the {name} log scale are set to (-6, 3)", stacklevel=2)
         return (-6.0, 3.0)
     if isinstance(bounds, str) or not hasattr(bounds, "__len__") or len(bounds) != 2 or not all(isinstance(b, (int, float)) for b in bounds):
         raise ValueError(f"the bounds of the {name} log scale should be two numbers")

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafield.operators.ranges import numbered, prefixes
+
 
 def unique_points(df: DataFrame, cols=("x", "y")) -> DataFrame:
     return df.select(*cols).distinct()
 
 
 def duplicated(df: DataFrame, cols, order) -> DataFrame:
-    """Adds `dup`: true from a key's second row on."""
-    return df.withColumn("dup", F.row_number().over(Window.partitionBy(*cols).orderBy(*order)) > 1)
+    """Adds `dup`: true from a key's second row on. Rows are numbered in ranges of (key, order), so no task holds a key."""
+    ranked = numbered(df, [*[F.col(c).asc_nulls_first() for c in cols], *[F.col(c).asc_nulls_first() for c in order]])
+    first = ranked.groupBy(*cols).agg(F.min("rank").alias("_first")).withColumnsRenamed({c: f"_{k}" for k, c in enumerate(cols)})
+    rows = ranked.join(first, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(cols)])
+    return rows.select(*df.columns, (F.col("rank") > F.col("_first")).alias("dup"))
 
 
 def zero_safe(c: str) -> Column:
@@ -95,8 +100,12 @@ def with_intercept(df: DataFrame) -> DataFrame:
 
 
 def cumsum_array(x: DataFrame, by=("i", "j"), along="k") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("cumsum", F.sum("value").over(w))
+    """Adds `cumsum`: running totals of `value` along an axis, in blocks, so no task holds a group."""
+    ranked = numbered(x, [*[F.col(c).asc_nulls_first() for c in by], F.col(along).asc()])
+    first = ranked.groupBy(*by).agg(F.min("rank").alias("_first")).withColumnsRenamed({c: f"_{k}" for k, c in enumerate(by)})
+    rows = ranked.join(first, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)])
+    rows = rows.select(*x.columns, (F.col("rank") - F.col("_first") + 1).alias("_at"))
+    return prefixes(rows, list(by), "_at", {"cumsum": F.col("value")}).drop("_at")
 
 
 def multiply_array(x: DataFrame, m: DataFrame, axis: int) -> DataFrame:

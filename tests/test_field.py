@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafield.functions.kernels import canonical_range
-from terrafield.operators import chromatic, cholesky, fieldtables, noise, regions, sampler, triangular
+from terrafield.operators import chromatic, cholesky, fieldtables, noise, regions, sampler, spatial, triangular
 
 
 def _data(n, m=5, seed=0):
@@ -263,3 +263,28 @@ def test_prediction_by_regions_equals_one_process(spark, region):
             z = noise.normals(ids[n:], seed) if noisy else 0.0
             want = sd * np.linalg.solve(l[n:, n:], z - l[n:, :n] @ (fields[s] / sd))
             assert np.allclose([got[i][s] for i in range(n, 300)], want, rtol=1e-8, atol=1e-10)
+
+
+@pytest.mark.parametrize("most", [10_000, 5])
+def test_transfers_end_below_lloyds_rounds(spark, most):
+    rng = np.random.default_rng(11)
+    xy, k = rng.random((400, 2)) ** 2, 7
+    c = xy[rng.permutation(400)[:k]].copy()
+    for _ in range(100):  # Lloyd's rounds, to their end
+        own = ((xy[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        c = np.array([xy[own == j].mean(0) for j in range(k)])
+
+    def within(own):
+        return sum(((xy[own == j] - xy[own == j].mean(0)) ** 2).sum() for j in range(k) if (own == j).any())
+
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "x": xy[:, 0], "y": xy[:, 1], "own": own}))
+    for first in (own, rng.integers(0, k, 400)):
+        df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "x": xy[:, 0], "y": xy[:, 1], "own": first}))
+        got = spatial.transfers(df, k, most=most if first is own else 10_000).toPandas().sort_values("id")["own"].to_numpy()
+        assert within(got) <= within(first) + 1e-12 and len(set(got)) == k
+        best = within(got)
+        for i in range(0, 400, 7):  # no single change lowers it
+            for j in range(k):
+                other = got.copy()
+                other[i] = j
+                assert within(other) >= best * (1 - 1e-8)

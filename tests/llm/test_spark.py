@@ -651,7 +651,7 @@ def test_chain_is_trained_on_a_bounded_number_of_rows(spark):
 def test_pipeline_and_catalogue(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id"} <= set(out.columns)
-    assert sorted(q for q in queries() if q.startswith("op")) == sorted(f"op{n}_{name}" for n, name in [(1, "pii_surrogates"), (2, "simhash_near_dedup"), (3, "secret_scan"), (4, "rendezvous_shards"), (5, "source_mix"), (6, "url_rules"), (7, "embedding_near_dedup"), (8, "toxicity_chain"), (9, "nearest_neighbours"), (10, "pack_windows")])
+    assert sorted(q for q in queries() if q.startswith("op")) == sorted(f"op{n}_{name}" for n, name in [(1, "pii_surrogates"), (2, "simhash_near_dedup"), (3, "secret_scan"), (4, "rendezvous_shards"), (5, "source_mix"), (6, "url_rules"), (7, "embedding_near_dedup"), (8, "toxicity_chain"), (9, "nearest_neighbours"), (10, "pack_windows"), (11, "whitening"), (12, "chat_windows"), (13, "spelling_variants")])
 
 
 def test_stages_run_on_odd_and_empty_documents(spark, docs, nothing):

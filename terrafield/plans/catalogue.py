@@ -747,22 +747,22 @@ def _sites(p: DataFrame) -> DataFrame:
     return p.select("id", F.lit(2.0).alias("sd"), F.lit(10.0).alias("precision"))
 
 
-@query(f"with {PTS}, {NN_BEFORE}, {_MEAN} select id, round(value, 6) as value from x")
+@query(f"with {PTS}, {NN_BEFORE}, {_MEAN} select id, round(value, 6) + 0.0e0 as value from x")
 def posterior_mean_gradients(spark, d):
     """Q^-1 y by conjugate gradients over tables, Q as in posterior_precision."""
     p, v = locs(spark, d), cut(_factor(spark, d, 1))
     level = v.select(F.col("child").alias("id"), F.lit(0).alias("level"))  # products need none
     x = fieldtables.conjugate_gradient(fieldtables.TableFactor(v, level), _sites(p), p.select("id", F.col("y").alias("value")), fieldtables.blocks_of(p), tol=1e-10)
-    return x.select("id", r("value").alias("value"))
+    return x.select("id", (r("value") + 0.0).alias("value"))
 
 
-@query(f"with {PTS}, {NN_BEFORE}, {_MEAN} select x.id, round(x.value, 6) as value, round((select sum(ln(left_own)) from e), 3) as log_det from x")
+@query(f"with {PTS}, {NN_BEFORE}, {_MEAN} select x.id, round(x.value, 6) + 0.0e0 as value, round((select sum(ln(left_own)) from e), 3) as log_det from x")
 def posterior_mean_cholesky(spark, d):
     """The same by a sparse Cholesky factor, with its log determinant."""
     p = locs(spark, d)
     q = linalg.posterior_precision(_entries(spark, d), p.select("id", F.lit(2.0).alias("sd")), p.select("id", F.lit(10.0).alias("value")))
     c = cholesky.Cholesky.of(cut(q), p, p.select("id", F.col("y").alias("value")), leaf=128)
-    return c.solve().select("id", r("value").alias("value"), F.lit(round(c.log_det, 3)).alias("log_det"))
+    return c.solve().select("id", (r("value") + 0.0).alias("value"), F.lit(round(c.log_det, 3)).alias("log_det"))
 
 
 def field_tables(spark, d, **how) -> tuple[fieldtables.FieldTables, DataFrame]:

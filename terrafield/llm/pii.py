@@ -4,18 +4,22 @@ A surrogate is the next entity of its format class in a keyed order: a Feistel p
 and x goes to p((inverse of p)(x) + 1). So equal entities get equal surrogates everywhere (coreference), different ones
 different surrogates, none its own, and nothing has to be gathered or stored. Collisions are checked all the same: entities()
 lists what was replaced by what, as keyed digests, collisions() counts surrogates that stand for two entities, or entities with
-two surrogates, and resolve() moves all but one of the entities that share one further along the order.
+two surrogates, and resolve() lists, as a table, the entities that share one and how far each moves along the order.
+
+What is a name is told by evidence: the cue before it, and for each of its words whether it is an ordinary word, in the corpus
+(ordinary_words) or in the text itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from functools import lru_cache, partial
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafield.llm.common import cut
@@ -34,8 +38,22 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα".split(),
 }
-#: Words before a name that tell no gender, and Han names: family names, and what is said after a whole name, by gender.
-CUES = ["my name is", "name:", "signed,", "dear", "regards,", "sincerely,", "attn:", "contact:", "patient:", "author:"]
+#: Words before a name that tell no gender and how much each says, and Han names: family names, and what is said after a whole name, by gender.
+CUES = {"my name is": 3, "signed,": 3, "regards,": 2, "sincerely,": 2, "name:": 1, "dear": 1, "attn:": 1, "contact:": 1, "patient:": 1, "author:": 1}
+#: Evidence of a title, of one that is a usual word as well, of a given name of the lists, of a word ordinary in the corpus, of one ordinary in the text.
+TITLE, WEAK_TITLE, LISTED, ORDINARY, ORDINARY_HERE = 3, 2, 2, -1, -2
+WEAK_TITLES = frozenset("Sir Miss Sr Don Sra".split())
+#: Words that a name seldom follows: articles and the like, and words of time and place.
+BEFORE_NOUNS = frozenset(
+    "the a an this that these those its every each in since until during der die das den dem des ein eine einen im seit le la les un une du dans depuis el los las una del desde ο η το в с".split()
+)
+#: Kinds of streets: after the name in English, at its end in German, before it in French and Spanish.
+STREETS = {
+    "en": "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Square Terrace".split(),
+    "de": "straße strasse weg platz gasse allee".split(),
+    "fr": "rue avenue boulevard place chemin impasse".split(),
+    "es": "Calle Avenida Plaza Paseo".split(),
+}
 HAN_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘蔡蒋余"
 HAN_TITLES = {"m": ["先生"], "f": ["女士", "小姐", "太太"], "n": ["博士", "教授", "医生", "老师"]}
 HAN_GIVEN = {"m": "伟强磊军勇杰涛明超刚平辉健波斌浩宇峰龙鹏", "f": "芳娜敏静丽艳娟霞秀兰燕玲丹萍雪梅琳莉婷红"}
@@ -62,11 +80,18 @@ _NUMBER = re.compile(
     r"(?P<ipv4>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?:[ .-]?\d{2,4})?(?!\w)|(?<![\w+])\+\d{9,15}(?!\w))"
+    r"|(?P<phone>(?<![\w+])0[1-9](?:[ .-]\d{2}){4}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?:[ .-]?\d{2,4})?(?!\w)|(?<![\w+])\+\d{9,15}(?!\w))"
 )
 _IBAN = re.compile(r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)")
 _NAME = re.compile(rf"\b(?P<title>{_TITLE})\b\.?\s(?P<name>{_CAP}(?:\s{_CAP})?)|\b(?P<full>(?:{_GIVEN})\s{_CAP})")
-_CUED = re.compile(rf"(?i:{'|'.join(map(re.escape, CUES))})\s+(?P<cued>{_CAP}\s{_CAP})")
+_CUED = re.compile(rf"(?P<cue>(?i:{'|'.join(map(re.escape, CUES))}))\s+(?P<cued>{_CAP}\s{_CAP})")
+_PARTICLES = r"(?:(?:de|du|des|del|la|las|los|el|le|les)\s|l['’])*"
+_STREET = re.compile(
+    rf"(?P<address>(?<![\w.,-])[1-9]\d{{0,4}}\s(?:{_CAP}\s){{1,3}}(?:{'|'.join(STREETS['en'])})\b"
+    rf"|\b[A-ZÄÖÜ][a-zäöüß]+(?:{'|'.join(STREETS['de'])})\s[1-9]\d{{0,3}}\b"
+    rf"|(?<![\w.,-])[1-9]\d{{0,3}},?\s(?:{'|'.join(STREETS['fr'])})\s{_PARTICLES}{_CAP}(?:\s{_CAP})?"
+    rf"|\b(?:{'|'.join(STREETS['es'])})\s{_PARTICLES}{_CAP}(?:\s{_CAP})?,?\s[1-9]\d{{0,3}}\b)"
+)
 _HAN = re.compile(rf"(?P<han>[{HAN_FAMILY}][\u4e00-\u9fff]{{1,2}}?)(?P<after>{'|'.join(t for g in HAN_TITLES.values() for t in g)})")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[+(]?\d[\d .()+-]*")
@@ -83,10 +108,31 @@ def _cues() -> ahocorasick.Automaton:
             a.add_word(w, 4)
     for n in {n for g in HAN_TITLES.values() for n in g}:
         a.add_word(n, 5)
+    for n in {n for g in STREETS.values() for n in g}:
+        a.add_word(n, 6)
     a.make_automaton()
     return a
 
 
+def _plausible(kind: str, value: str) -> bool:
+    """Whether a number follows a plan: cards end in their check digit, telephone numbers have a country code, a trunk zero, an area in
+    brackets, or area and exchange of the North American plan."""
+    d = "".join(c for c in value if c in DIGITS)
+    if kind == "card":
+        return d[0] in "23456" and _luhn_ok(d)
+    if kind != "phone":
+        return True
+    if value.startswith("+"):
+        return d[0] != "0" and (len(d) == 11 if d[0] == "1" else 8 <= len(d) <= 15)
+    if d[0] == "0":
+        return 9 <= len(d) <= 12
+    return _north_american(d) if len(d) == 10 else value.startswith("(") and 7 <= len(d) <= 11
+
+
+def _north_american(digits: str) -> bool:
+    return len(digits) == 10 and digits[0] in "23456789" and digits[3] in "23456789"
+
+
 def _found(text: str):
     """Matches of all kinds by place, without overlaps; of two at one place the kind named first. Cheap tests tell which searches a text needs."""
     every = []
@@ -94,12 +140,12 @@ def _found(text: str):
         every += [(m.start(), 0, m) for m in _EMAIL.finditer(text)]
     runs = [m.span() for m in _DIGITS.finditer(text)]  # numbers are searched for where digits are
     for s, e in runs:
-        every += [(m.start(), 1, m) for m in _NUMBER.finditer(text, s, e + 2)]
+        every += [(m.start(), 1, m) for m in _NUMBER.finditer(text, s, e + 2) if _plausible(m.lastgroup, m.group())]
     if runs:
         every += [(m.start(), 2, m) for m in _IBAN.finditer(text)]
     cues = {k for _, k in _cues().iter(text)}
-    for k, search in ((3, _NAME), (4, _CUED), (5, _HAN)):
-        if k in cues:
+    for k, search in ((3, _NAME), (4, _CUED), (5, _HAN), (6, _STREET)):
+        if k in cues and (k != 6 or runs):
             every += [(m.start(m.lastgroup if k == 4 else 0), k, m) for m in search.finditer(text)]
     end = 0
     for s, k, m in sorted(every, key=lambda x: x[:2]):
@@ -108,45 +154,84 @@ def _found(text: str):
             yield m
 
 
-def detect(text: str | None) -> list[tuple[int, int, str, str]]:
+def _gender(kind: str, m: re.Match) -> str:
+    if kind == "han":
+        return next(g for g, t in HAN_TITLES.items() if m.group("after") in t)
+    gender = next((g for g, t in TITLES.items() if m.group("title") in t), "") if kind == "name" else ""
+    if gender in ("", "n"):
+        first = m.group(kind).split()[0]
+        gender = next((g for (_, g), given in GIVEN.items() if first in given), gender) or "n"
+    return gender
+
+
+def _evidence(kind: str, m: re.Match, ordinary: frozenset[str], here: set[str]) -> int:
+    """How much speaks for a name: its cue and a given name of the lists for it, ordinary words against it."""
+    if kind == "name":
+        score = WEAK_TITLE if m.group("title") in WEAK_TITLES else TITLE
+    else:
+        score = CUES[m.group("cue").lower()] if kind == "cued" else LISTED
+    words = _WORD.findall(m.group(kind))
+    if kind != "full" and _lower(words[0]) in _pools():
+        score += LISTED
+    return score + sum(ORDINARY_HERE if w in here else ORDINARY if w.lower() in ordinary else 0 for w in words)
+
+
+def detect(text: str | None, ordinary: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str]]:
     """(start, end, type, gender or '') of the entities of a text, in order, without overlaps.
 
-    Words of a name that was found are names wherever else the text has them, with the gender that they had first.
+    Capitalised words after a cue are a name if the evidence for it isn't below that against it: words of `ordinary`, and words that the
+    text itself has in lower case or after an article, speak against it. Words of a name that was found are names wherever else
+    the text has them, with the gender that they had first, but not after an article or a word of time or place, and ordinary words only
+    beside another word of a name. Two passes over the text, whatever the number of names.
     """
-    out, names = [], {}
-    for m in _found(text or ""):
-        kind = "han" if "han" in m.re.groupindex else m.lastgroup
-        if kind == "card" and not any(c in " -" for c in m.group()) and len(m.group()) != 16 and not _luhn_ok(m.group()):
-            continue
+    found = [("han" if "han" in m.re.groupindex else m.lastgroup, m) for m in _found(text or "")]
+    guesses = {w for kind, m in found if kind in ("name", "full", "cued") for w in _WORD.findall(m.group(kind))}
+    spelt = {w.lower(): w for w in guesses if w.lower() != w}
+    places, here = [], set()
+    if guesses:
+        before, end = "", 0
+        for m in _WORD.finditer(text):
+            w = m.group()
+            if w in guesses:
+                gap = text[end : m.start()]
+                places.append((m, before if gap.isspace() else "", gap))
+                if places[-1][1].lower() in BEFORE_NOUNS:
+                    here.add(w)
+            elif w in spelt:
+                here.add(spelt[w])
+            before, end = w, m.end()
+    out, names, han = [], {}, {}
+    for kind, m in found:
         s, e = m.span(kind)
         if kind not in ("name", "full", "cued", "han"):
             out.append((s, e, kind, ""))
-            continue
-        first = m.group(kind).split()[0]
-        gender = ""
-        if kind == "han":
-            gender = next(g for g, t in HAN_TITLES.items() if m.group("after") in t)
-        elif kind == "name":
-            gender = next((g for g, t in TITLES.items() if m.group("title") in t), "")
-        if gender in ("", "n"):
-            gender = next((g for (_, g), given in GIVEN.items() if first in given), gender) or "n"
-        out.append((s, e, "name", gender))
-        for w in [m.group(kind)] if kind == "han" else _WORD.findall(m.group(kind)):
-            names.setdefault(w, gender)
-    return _mentions(text, out, names) if names else out
-
-
-def _mentions(text: str, found: list[tuple[int, int, str, str]], names: dict[str, str]) -> list[tuple[int, int, str, str]]:
-    """found and the other places of the names' words: in Latin, Cyrillic and Greek whole words, in Han also within a run."""
-    more = [(*m.span(), "name", names[m.group()]) for m in _WORD.finditer(text) if m.group() in names and len(m.group()) > 1]
-    for w in (w for w in names if _script(w) == "han"):
-        at = text.find(w)
-        while at >= 0:
-            more.append((at, at + len(w), "name", names[w]))
-            at = text.find(w, at + len(w))
+        elif kind == "han" or _evidence(kind, m, ordinary, here) >= 0:
+            gender = _gender(kind, m)
+            out.append((s, e, "name", gender))
+            for w in [m.group(kind)] if kind == "han" else _WORD.findall(m.group(kind)):
+                (han if kind == "han" else names).setdefault(w, gender)
+    if not names and not han:
+        return out
+    more = []
+    for m, before, gap in places:
+        w = m.group()
+        if w in names and len(w) > 1 and before.lower() not in BEFORE_NOUNS:
+            if before in names or gap == "-" or not (w in here or w.lower() in ordinary):
+                more.append((*m.span(), "name", names[w]))
+    if han:
+        a = ahocorasick.Automaton()
+        for w in han:
+            a.add_word(w, w)
+        a.make_automaton()
+        more += [(end + 1 - len(w), end + 1, "name", han[w]) for end, w in a.iter(text)]
+    return _merged(out, more)
+
+
+def _merged(found: list[tuple[int, int, str, str]], more: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found, and those of more that overlap none of them nor, of more, an earlier or longer one."""
     out, end = [], 0
     rank = {x: 0 for x in found}
-    for x in sorted({*found, *more}, key=lambda x: (x[0], rank.get(x, 1), x[1])):
+    for x in sorted({*found, *more}, key=lambda x: (x[0], rank.get(x, 1), -x[1])):
         if x in rank:  # what was found goes first
             while out and out[-1][1] > x[0] and out[-1] not in rank:
                 out.pop()
@@ -291,6 +376,33 @@ def _country(digits: str) -> int:
     return 1 if digits[0] in "17" else 2 if digits[:2] in COUNTRY else 3
 
 
+def _subscriber(rest: str, tag: str, american: bool, key: bytes) -> str:
+    """The digits after country and trunk: numbers of the North American plan stay in it, others of their length outside it."""
+    if american and _north_american(rest):
+        x = ((int(rest[:3]) - 200) * 800 + int(rest[3:6]) - 200) * 10**4 + int(rest[6:])
+        x, line = divmod(following(x, 800 * 800 * 10**4, key, tag + "plan"), 10**4)
+        return f"{x // 800 + 200}{x % 800 + 200}{line:04}"
+    low, new = 10 ** (len(rest) - 1), rest
+    while True:
+        new = str(low + following(int(new) - low, 9 * low, key, tag))
+        if not (american and _north_american(new)):
+            return new
+
+
+def _address(value: str, key: bytes) -> str:
+    """The number moves among those of its length, the street's words as words of names do; kinds of streets and particles stay."""
+    out = []
+    for part in re.split(r"([^\W_]+)", value):
+        if part.isdigit():
+            low = 10 ** (len(part) - 1)
+            part = str(low + following(int(part) - low, 9 * low, key, "house"))
+        elif part[:1].isupper() and part not in STREETS["en"] + STREETS["es"]:
+            kind = next((k for k in STREETS["de"] if part.endswith(k) and len(part) > len(k) and part[-len(k) - 1].islower()), "")
+            part = _name(part[: len(part) - len(kind)], key) + kind
+        out.append(part)
+    return "".join(out)
+
+
 def _script(word: str) -> str:
     c = word[0]
     return "han" if "\u4e00" <= c <= "\u9fff" else "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
@@ -379,14 +491,15 @@ def surrogate(kind: str, value: str, gender: str, key: bytes) -> str:
         return _ssn(value, key)
     if kind == "iban":
         return _layout(value, _iban(value.replace(" ", ""), key), DIGITS + UPPER)
+    if kind == "address":
+        return _address(value, key)
     if kind == "phone":
         d = "".join(c for c in value if c in DIGITS)
         head = _country(d) if value.startswith("+") else 0
         zeros = len(d) - head - len(d[head:].lstrip("0"))  # trunk prefixes stay, and no other number gets one
         rest = d[head + zeros :]
         if rest:
-            low = 10 ** (len(rest) - 1)
-            rest = str(low + following(int(rest) - low, 9 * low, key, f"phone{value[:1] == '+'}{d[: head + zeros]}"))
+            rest = _subscriber(rest, f"phone{value[:1] == '+'}{d[: head + zeros]}", d[: head + zeros] in ("", "1"), key)
         return _layout(value, d[: head + zeros] + rest, DIGITS)
     return _name(value, key)
 
@@ -397,7 +510,7 @@ def canonical(kind: str, value: str) -> str:
         return ("+" if value.startswith("+") else "") + "".join(c for c in value if c in DIGITS)
     if kind == "iban":
         return value.replace(" ", "")
-    if kind == "name":
+    if kind in ("name", "address"):
         return _lower(value)
     return value.lower() if kind == "email" else ".".join(str(int(p)) for p in value.split(".")) if kind == "ipv4" else value
 
@@ -410,10 +523,10 @@ def _moved(kind: str, value: str, gender: str, key: bytes, moved: dict[bytes, in
     return new
 
 
-def replace(text: str | None, key: bytes, moved: dict[bytes, int] | None = None) -> tuple[str | None, list[tuple[int, int, str, str]]]:
+def replace(text: str | None, key: bytes, moved: dict[bytes, int] | None = None, ordinary: frozenset[str] = frozenset()) -> tuple[str | None, list[tuple[int, int, str, str]]]:
     """(text with surrogates, [(start, length in the new text, type, gender)])."""
     out, at, size, found = [], 0, 0, []
-    for s, e, kind, gender in detect(text):
+    for s, e, kind, gender in detect(text, ordinary):
         new = _moved(kind, text[s:e], gender, key, moved or {})
         out += [text[at:s], new]
         size += s - at
@@ -423,46 +536,82 @@ def replace(text: str | None, key: bytes, moved: dict[bytes, int] | None = None)
     return ("".join([*out, text[at:]]) if found else text), found
 
 
-def _replaced(batches, key, moved):
+def ordinary_words(docs: DataFrame, text_col: str = "text", most: int = 65_536) -> frozenset[str]:
+    """The `most` commonest ordinary words of all texts, in lower case: those that stand in lower case at half of their places or more.
+
+    Words of up to 64 letters, at 3 places or more, ties by their order; so the set has 16 MB at most. Words are counted
+    over whole texts where they are read, and summed up before the shuffle. Null and empty texts have none; an empty table gives no words.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).where("length(w) <= 64")
+    low = F.lower("w")
+    n = words.groupBy(low.alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("w") == low).cast("long")).alias("plain"))
+    top = n.where("n >= 3 and 2 * plain >= n").orderBy(F.desc("n"), "word").limit(most)
+    return frozenset(r.word for r in top.select("word").collect())
+
+
+def _moves(b: pa.RecordBatch) -> list[dict[bytes, int]]:
+    """The moves of a batch's rows, if the rows have any."""
+    if "moves" not in b.schema.names:
+        return [{}] * b.num_rows
+    return [{x["entity"]: x["steps"] for x in row or ()} for row in b.column("moves").to_pylist()]
+
+
+def _replaced(batches, key, ordinary):
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("gender", pa.string())]))
     for b in batches:
-        got = [replace(t, key, moved) for t in b.column("text").to_pylist()]
+        got = [replace(t, key, m, ordinary) for t, m in zip(b.column("text").to_pylist(), _moves(b))]
         spans = pa.array([[dict(zip(("start", "length", "type", "gender"), f)) for f in fs] for _, fs in got], span)
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([t for t, _ in got], pa.string()), pa.array([len(f) for _, f in got], pa.int32()), spans], ["doc_id", "text", "n_entities", "entities"])
 
 
-def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", moved: dict[bytes, int] | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", moved: DataFrame | None = None, ordinary: frozenset[str] = frozenset()) -> DataFrame:
     """(doc_id, text, n_entities, entities) of every row: the text with surrogates and where they stand in it.
 
-    Types: email, ipv4, ssn, card, iban, phone, name (gender m, f or n from a title or a given name). `moved` is what resolve()
-    found. Null stays null, empty empty; a text without entities comes back as it is. Equal rows give equal rows; rows with a null id are like others; other
-    columns aren't read. Texts are replaced whole and where they are read: no shuffle, and a lost task runs again
-    to the same result.
+    Types: email, ipv4, ssn, card, iban, phone, address, name (gender m, f or n from a title or a given name). `moved` is what resolve()
+    found, `ordinary` what ordinary_words() did. Null stays null, empty empty; a text without entities comes back as it is. Equal rows
+    give equal rows; rows with a null id are like others; other columns aren't read. Texts are replaced whole and where they are
+    read: no shuffle unless entities have to be moved, and a lost task runs again to the same result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_replaced, key=key, moved=moved or {}), "doc_id long, text string, n_entities int, entities array<struct<start:long,length:long,type:string,gender:string>>")
+    rows = _with_moves(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), key, moved, ordinary)
+    return rows.mapInArrow(partial(_replaced, key=key, ordinary=ordinary), "doc_id long, text string, n_entities int, entities array<struct<start:long,length:long,type:string,gender:string>>")
+
+
+def _with_moves(rows: DataFrame, key: bytes, moved: DataFrame | None, ordinary: frozenset[str]) -> DataFrame:
+    """rows with the moves of their text's entities, by the text's digest. Two joins on single-row sides, which AQE splits where a text or an entity is hot."""
+    if moved is None:
+        return rows
+    rows = rows.withColumn("t", F.sha2("text", 256))
+    own = rows.select("t", "text").mapInArrow(partial(_marked, key=key, ordinary=ordinary), "t string, entity binary").distinct()
+    moves = own.join(moved, "entity").groupBy("t").agg(F.collect_list(F.struct("entity", "steps")).alias("moves"))
+    return rows.join(moves, "t", "left").drop("t")
+
+
+def _marked(batches, key, ordinary):
+    for b in batches:
+        rows = [(t, x) for t, text in zip(b.column("t").to_pylist(), b.column("text").to_pylist()) for x in {_digest(key, kind, canonical(kind, text[s:e])) for s, e, kind, _ in detect(text, ordinary)}]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())], ["t", "entity"])
 
 
 def _digest(key: bytes, *parts: str) -> bytes:
     return hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), key=key, digest_size=16).digest()
 
 
-def _listed(batches, key, moved):
+def _listed(batches, key, ordinary):
     for b in batches:
         rows = set()
-        for t in b.column("text").to_pylist():
-            for s, e, kind, gender in detect(t):
+        for t, moved in zip(b.column("text").to_pylist(), _moves(b)):
+            for s, e, kind, gender in detect(t, ordinary):
                 new = _moved(kind, t[s:e], gender, key, moved)
                 rows.add((kind, _digest(key, kind, canonical(kind, t[s:e])), _digest(key, kind, canonical(kind, new))))
         cols = list(zip(*rows)) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["type", "entity", "surrogate"])
 
 
-def entities(docs: DataFrame, key: bytes, text_col: str = "text", moved: dict[bytes, int] | None = None) -> DataFrame:
+def entities(docs: DataFrame, key: bytes, text_col: str = "text", moved: DataFrame | None = None, ordinary: frozenset[str] = frozenset()) -> DataFrame:
     """Distinct (type, entity, surrogate) as keyed digests of 128 bits. Null and empty texts have none, repeated rows count once, an
     empty table gives none; whole texts are searched, where they are read, and only digests are shuffled."""
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(partial(_listed, key=key, moved=moved or {}), "type string, entity binary, surrogate binary")
-    return rows.distinct()
+    rows = _with_moves(docs.select(F.col(text_col).alias("text")), key, moved, ordinary)
+    return rows.mapInArrow(partial(_listed, key=key, ordinary=ordinary), "type string, entity binary, surrogate binary").distinct()
 
 
 def collisions(found: DataFrame) -> DataFrame:
@@ -473,25 +622,25 @@ def collisions(found: DataFrame) -> DataFrame:
     return shared.unionByName(split, allowMissingColumns=True).select("type", "surrogate", "entity", "n")
 
 
-def resolve(docs: DataFrame, key: bytes, text_col: str = "text", most: int = 100_000, rounds: int = 8) -> dict[bytes, int]:
-    """For pseudonymise(): the entities, as digests, whose surrogates have to move along their order, and how far, so that no two share one.
+def resolve(docs: DataFrame, key: bytes, text_col: str = "text", ordinary: frozenset[str] = frozenset(), rounds: int = 32) -> DataFrame | None:
+    """(entity, steps) for pseudonymise(): the entities, as digests, whose surrogates have to move along their order, and how far, so
+    that no two share one; None if none has to.
 
     Of the entities that share a surrogate the one with the smallest digest keeps it. The orders are bijections, so
-    there are none unless a class is wrongly told apart; more than `most`, or an entity with two surrogates, is an error.
+    there are none unless a class is wrongly told apart. However many there are, they stay a table that is joined with the texts. An
+    entity with two surrogates can't be mended by moving: it is logged, and collisions() lists it. Null and empty texts
+    and empty tables have no entities, repeated rows count once. Surrogates that still collide after `rounds` rounds are an error.
     """
-    moved: dict[bytes, int] = {}
+    moved = None
     for _ in range(rounds):
-        found = cut(entities(docs, key, text_col, moved))
-        clash = collisions(found)
-        if not (some := clash.limit(most + 1).collect()):
+        found = cut(entities(docs, key, text_col, moved, ordinary))
+        clash = cut(collisions(found))
+        shared = clash.where("entity is null").select("type", "surrogate")
+        if shared.isEmpty():
+            if not clash.isEmpty():
+                logging.getLogger(__name__).warning("%d entities have more than one surrogate", clash.count())
             return moved
-        if len(some) > most or any(x.entity is not None for x in some):
-            raise RuntimeError(f"{len(some)} collisions of surrogates: {some[0]}")
-        first = found.join(clash.select("type", "surrogate"), ["type", "surrogate"])
-        first = first.withColumn("first", F.min("entity").over(Window.partitionBy("type", "surrogate"))).where("entity <> first")
-        again = first.select("entity").limit(most + 1).collect()
-        if len(again) > most:
-            raise RuntimeError(f"more than {most} entities share surrogates")
-        for x in again:
-            moved[bytes(x.entity)] = moved.get(bytes(x.entity), 0) + 1
+        first = found.join(shared, ["type", "surrogate"]).groupBy("type", "surrogate").agg(F.min("entity").alias("first"))
+        again = found.join(first, ["type", "surrogate"]).where("entity <> first").select("entity").distinct().withColumn("steps", F.lit(1))
+        moved = cut(again if moved is None else moved.unionByName(again).groupBy("entity").agg(F.sum("steps").cast("int").alias("steps")))
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")

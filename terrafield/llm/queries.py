@@ -39,7 +39,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its entities; a check over the whole corpus moves those that collide."""
     docs = _table(spark, sf_dir, "documents")
-    return pii.pseudonymise(docs, DEMO_KEY, moved=pii.resolve(docs, DEMO_KEY))
+    ordinary = pii.ordinary_words(docs)
+    return pii.pseudonymise(docs, DEMO_KEY, moved=pii.resolve(docs, DEMO_KEY, ordinary=ordinary), ordinary=ordinary)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,12 +253,13 @@ def test_surrogates_of_a_table(spark):
 
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     new = {r.doc_id: r for r in queries()["op1_pii_surrogates"](spark, "/root/testdata/sf0.01").collect()}
+    ordinary = pii.ordinary_words(df)
     old = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
     assert set(new) == set(old)
     to, back, n = {}, {}, 0
     for i, text in old.items():
         at = shift = 0
-        for x, (s, e, kind, _) in zip(new[i].entities, pii.detect(text)):
+        for x, (s, e, kind, _) in zip(new[i].entities, pii.detect(text, ordinary)):
             a, b = text[s:e], new[i].text[x.start : x.start + x.length]
             assert kind == x.type and x.start == s + shift and new[i].text[at + shift : x.start] == text[at:s]
             shift += len(b) - len(a)
@@ -280,10 +281,10 @@ def test_entities_that_share_a_surrogate_are_moved_apart(spark, monkeypatch):
     shared = [("ipv4", digest(b"k", str(i)), digest(b"k", "s" if i < 2 else "t")) for i in range(3)]
     first = spark.createDataFrame(shared, "type string, entity binary, surrogate binary")
     real = pii.entities
-    monkeypatch.setattr(pii, "entities", lambda docs, key, text_col="text", moved=None: real(docs, key, text_col, moved) if moved else first)
+    monkeypatch.setattr(pii, "entities", lambda docs, key, text_col="text", moved=None, ordinary=frozenset(): real(docs, key, text_col, moved, ordinary) if moved else first)
     moved = pii.resolve(df, b"k")
-    assert moved == {max(digest(b"k", "0"), digest(b"k", "1")): 1}
-    monkeypatch.setattr(pii, "entities", lambda docs, key, text_col="text", moved=None: first)
+    assert {bytes(r.entity): r.steps for r in moved.collect()} == {max(digest(b"k", "0"), digest(b"k", "1")): 1}
+    monkeypatch.setattr(pii, "entities", lambda docs, key, text_col="text", moved=None, ordinary=frozenset(): first)
     with pytest.raises(RuntimeError):
         pii.resolve(df, b"k", rounds=2)
     own = digest(b"k", "ipv4", "10.0.0.1")
@@ -291,6 +292,46 @@ def test_entities_that_share_a_surrogate_are_moved_apart(spark, monkeypatch):
     assert far == "x " + pii.surrogate("ipv4", plain[2:], "", b"k")
 
 
+def test_moved_entities_are_a_table_of_any_size(spark, monkeypatch):
+    """300,000 entities share 100,000 surrogates: all but the smallest of each move; texts get their own moves, repeated, null and empty ones too."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(300_000).select(F.lit("phone").alias("type"), F.md5(F.col("id").cast("string")).cast("binary").alias("entity"), (F.col("id") % 100_000).cast("string").cast("binary").alias("surrogate"))
+    real = pii.entities
+    monkeypatch.setattr(pii, "entities", lambda docs, key, text_col="text", moved=None, ordinary=frozenset(): many if moved is None else real(docs, key, text_col, moved, ordinary))
+    docs = spark.createDataFrame([(1, "x 10.0.0.1"), (None, "x 10.0.0.1"), (2, "x 10.0.0.1 y 10.0.0.2"), (3, None), (4, "")], "doc_id int, text string")
+    moved = pii.resolve(docs, b"k")
+    assert moved.count() == moved.select("entity").distinct().count() == 200_000
+    moved = moved.unionByName(spark.createDataFrame([(pii._digest(b"k", "ipv4", "10.0.0.1"), 2)], "entity binary, steps int"))
+    step = lambda x, n: x if n == 0 else step(pii.surrogate("ipv4", x, "", b"k"), n - 1)
+    got = sorted((r.doc_id or 0, r.text) for r in pii.pseudonymise(docs, b"k", moved=moved).collect() if r.text)
+    one = step("10.0.0.1", 3)
+    assert got == [(0, f"x {one}"), (1, f"x {one}"), (2, f"x {one} y {step('10.0.0.2', 1)}")]
+    listed = {(bytes(r.entity), bytes(r.surrogate)) for r in real(docs, b"k", moved=moved).collect()}
+    assert listed == {(pii._digest(b"k", "ipv4", a), pii._digest(b"k", "ipv4", b)) for a, b in (("10.0.0.1", one), ("10.0.0.2", step("10.0.0.2", 1)))}
+
+
+def test_ordinary_words_of_a_corpus(spark, docs, nothing):
+    assert pii.ordinary_words(nothing) == frozenset()
+    rows = [(1, "May may may. Dear Customer Service, our customer service and customer service, customer"), (2, "service Smith Smith Smith smith " + "z" * 65 + (" " + "z" * 65) * 3), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert pii.ordinary_words(df) == {"may", "customer", "service"}
+    assert pii.ordinary_words(df, most=2) == {"customer", "service"}
+    new = {r.doc_id: r.text for r in pii.pseudonymise(df, DEMO_KEY, ordinary=pii.ordinary_words(df)).collect()}
+    assert new == {i: t for i, t in rows}
+    # the same counts by a loop over the table of the query
+    import collections
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n, plain = collections.Counter(), collections.Counter()
+    for r in table.select("text").collect():
+        for w in pii._WORD.findall(r.text or ""):
+            if len(w) <= 64:
+                n[w.lower()] += 1
+                plain[w.lower()] += w == w.lower()
+    assert pii.ordinary_words(table) == {w for w in n if n[w] >= 3 and 2 * plain[w] >= n[w]}
+
+
 def test_entities_with_two_surrogates_are_collisions(spark):
     found = spark.createDataFrame([("phone", 1, 10), ("phone", 1, 11), ("phone", 2, 12), ("name", 3, 10), ("name", 4, 13), ("name", 5, 13)], "type string, entity long, surrogate long")
     assert {tuple(r) for r in pii.collisions(found).collect()} == {("phone", None, 1, 2), ("name", 13, None, 2)}

@@ -381,3 +381,58 @@ def test_hostile_texts_are_scanned_in_linear_time():
         secrets.candidates(t)
     assert secrets.candidates("http://host:80/path?x=a@b") == []
     assert time.time() - began < 20
+
+
+def test_ordinary_text_is_no_personal_data():
+    for text in (
+        "Dear Customer Service, hello. Then the Service was down",
+        "name: United States. The United Nations",
+        "pages 100 200 3000",
+        "8601 2020 1015 2030 and 4111111111111112",
+        "rooms 1234 567 8901, +0 12345678, 555-019-0123",
+        "the road was 12 miles long in 1999, Main Road",
+    ):
+        assert pii.detect(text) == [], text
+    found = lambda text, *a: [text[s:e] for s, e, _, _ in pii.detect(text, *a)]
+    assert found("Mr May went in May") == ["May"]
+    assert found("Mr May came. May left.") == ["May", "May"] and found("Mr May came. May left.", frozenset(["may"])) == ["May"]
+    assert found("Miss Ada May came. Ada May left, May be.", frozenset(["may"])) == ["Ada May", "Ada", "May"]
+    ordinary = frozenset("customer service brown".split())
+    assert found("Dear Customer Service, hi", ordinary) == [] and found("Dear John Brown, hi", ordinary) == ["John Brown"]
+    assert found("Mrs Brown, Miss Brown", ordinary) == ["Brown", "Brown"]
+
+
+def test_plans_of_telephone_numbers():
+    for text in ("+1 626 555 0199", "626-555-0199", "(626) 555-0199", "020 7946 0958", "(030) 1234567", "01 23 45 67 89", "+44 20 7946 0958", "+493012345678"):
+        (s, e, kind, _), *rest = pii.detect(f"call {text} now")
+        assert kind == "phone" and not rest and e - s == len(text), text
+        new = pii.surrogate("phone", text, "", DEMO_KEY)
+        assert new != text and [(s, e, kind)] == [x[:3] for x in pii.detect(f"call {new} now")]
+    rng = random.Random(8)
+    numbers = {str(rng.randrange(10**9, 10**10)) for _ in range(3000)}
+    new = {x: pii.surrogate("phone", x, "", DEMO_KEY) for x in numbers}
+    assert len(set(new.values())) == len(numbers) and all(a != b and pii._north_american(a) == pii._north_american(b) for a, b in new.items())
+
+
+def test_addresses():
+    text = "He lives at 221 Baker Street, or Hauptstraße 12, 5 rue de la Paix, Calle de Alcalá 45. Mail to 221 Baker Street."
+    new, spans = pii.replace(text, DEMO_KEY)
+    got = [new[s : s + n] for s, n, kind, _ in spans if kind == "address"]
+    assert len(got) == len(spans) == 5 and got[0] == got[4]
+    assert got[0].endswith(" Street") and "straße " in got[1] and " rue de la " in got[2] and got[3].startswith("Calle de ")
+    for word in ("Baker", "Haupt", "Paix", "Alcalá", "221", " 12,", " 45."):
+        assert word not in new
+    many = [f"{n} {a}{b} Road" for n in range(1, 60) for a in ("Mill", "Hil", "Ban") for b in ("er", "ton", "os")]
+    moved = [pii.surrogate("address", x, "", DEMO_KEY) for x in many]
+    assert len(set(moved)) == len(many) and not any(a == b for a, b in zip(many, moved))
+
+
+def test_detection_takes_linear_time():
+    import time
+
+    han = "".join("王" + chr(0x4E00 + 200 + i // 80) + chr(0x4E00 + 3000 + i % 80) + "先生" for i in range(20_000))
+    texts = ["Mr Aa " * 100_000, "1 " * 300_000, "1" * 600_000, "a@" * 300_000, "1 Aa Bb Cc " * 60_000 + "Street", "12 rue de " + "la " * 300_000, "+1 (2" * 120_000, "AB12" + " ABCD" * 120_000, "a." * 300_000 + "@"]
+    for text in [han, *texts]:
+        start = time.time()
+        pii.detect(text)
+        assert time.time() - start < 5, text[:20]

@@ -161,8 +161,26 @@ def _chat_sql() -> str:
     """
 
 
+def _links_sql(cos: float) -> str:
+    """All pairs of a label by cosine, and what their links reach."""
+    return f"""
+        with recursive v as (
+            select vec_id, label, case when len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                                        and len(list_filter(embedding, lambda x: x <> 0)) > 0 then cast(embedding as double[]) end as e from embeddings),
+        near as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+                 where case when a.e is not null and b.e is not null and len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) end >= {cos}),
+        reach(id, other) as (select a, b from near union select r.id, n.b from reach r join near n on n.a = r.other),
+        least as (select id, min(other) as other from reach group by id),
+        counts as (select a, count(*) as n from near group by a)
+        select v.vec_id, cast(coalesce(c.n, 0) as bigint) as n_links, least(v.vec_id, coalesce(l.other, v.vec_id)) as component_id,
+               v.vec_id <= coalesce(l.other, v.vec_id) as kept
+        from v left join counts c on c.a = v.vec_id left join least l on l.id = v.vec_id
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_embedding_near_dedup": _links_sql(0.98),
         "op12_chat_windows": _chat_sql(),
         "op6_url_rules": f"""
             with rules(rule, rhost, rpath, verdict) as (values {_rules_sql()}),

@@ -736,3 +736,25 @@ def test_the_schedule_runs_on_all_tasks(spark):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = [r["count"] for r in slots.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == tasks and max(sizes) <= 2 * sum(sizes) / tasks
+
+
+def test_the_links_of_vectors_and_their_sql(spark, tmp_path):
+    """The SQL says what the query returns, on the table of the bench and on planted links, copies and vectors that link with nothing."""
+    import duckdb
+    import numpy as np
+
+    from terrafield.llm.queries import oracle_sql
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    near = base[rng.integers(0, 60, 200)] + rng.normal(size=(200, 16)) * 0.14
+    vecs = [*base.tolist(), *near.tolist(), base[0].tolist(), base[0].tolist(), None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15]
+    rows = [(i, v, None if i % 50 == 49 else i % 2) for i, v in enumerate(vecs)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for folder, linked in ((str(tmp_path), True), ("/root/testdata/sf0.001", False)):
+        got = {tuple(r) for r in queries()["op7_embedding_near_dedup"](spark, folder).select("vec_id", "n_links", "component_id", "kept").collect()}
+        con = duckdb.connect()
+        con.sql(f"create view embeddings as select * from read_parquet('{folder}/embeddings.parquet{'/*.parquet' if linked else ''}')")
+        want = set(con.sql(oracle_sql()["op7_embedding_near_dedup"]).fetchall())
+        assert got == want and len(want) > 200
+        assert not linked or sum(r[1] > 0 for r in want) > 50 and max(r[1] for r in want) > 2

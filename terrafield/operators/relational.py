@@ -33,6 +33,29 @@ def match_locations(obs: DataFrame, locs: DataFrame, cols=("x", "y")) -> DataFra
     return o.join(l, list(cols))
 
 
+def printed(c: str, digits: int = 15) -> Column:
+    """A coordinate as text of so many significant digits: what is left of it when it goes through a file of text."""
+    return F.format_string(f"%.{digits - 1}e", zero_safe(c))
+
+
+def match_printed(obs: DataFrame, locs: DataFrame, cols=("x", "y"), digits: int = 15) -> DataFrame:
+    """obs with the loc_id of the first location whose coordinates agree with theirs in `digits` significant digits.
+
+    One equi-join on the printed coordinates; the locations of equal digits are reduced to their smallest loc_id before it. Programs differ in how they
+    print a number halfway between two texts, so a location whose last bit decides is found by both. Rows without
+    such a location, or with a null coordinate, are left out.
+    """
+    keys = [f"_k{k}" for k in range(len(cols))]
+    less = F.lit(1 - 2.0**-52)
+    both = [F.array_distinct(F.array(printed(c, digits), F.format_string(f"%.{digits - 1}e", zero_safe(c) * less))).alias(k) for c, k in zip(cols, keys)]
+    first = locs.select("loc_id", *both)
+    for k in keys:
+        first = first.withColumn(k, F.explode(k))
+    first = first.groupBy(*keys).agg(F.min("loc_id").alias("loc_id"))
+    o = obs.withColumns({k: printed(c, digits) for c, k in zip(cols, keys)}).where(" and ".join(f"`{c}` is not null" for c in cols))
+    return o.join(first, keys).drop(*keys)
+
+
 def groups(obs: DataFrame, key="loc_id", value="obs_id") -> DataFrame:
     """(key, first, n, ids): a key's values in order."""
     return obs.groupBy(key).agg(F.min(value).alias("first"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(value)).alias("ids"))

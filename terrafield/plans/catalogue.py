@@ -239,6 +239,16 @@ def match_locations(spark, d):
     return rel.match_locations(o, l).select("loc_id", "x", "y", "z")
 
 
+@query(f"with {OBS}, l as (select x, y, dense_rank() over (order by x, y) as loc_id from (select distinct x, y from o)) select loc_id, o.x, o.y, z from o join l on o.x = l.x and o.y = l.y")
+def match_printed_locations(spark, d):
+    """Thirds of the coordinates, which went through text, find the locations that didn't."""
+    o = obs(spark, d)
+    u = rel.unique_points(o)
+    l = numbered(u, [F.col("x").asc(), F.col("y").asc()]).select((F.col("rank") + 1).alias("loc_id"), *[(F.col(c) / 3).alias(f"{c}_3") for c in "xy"])
+    read = o.withColumns({f"{c}_3": F.format_string("%.14e", F.col(c) / 3).cast("double") for c in "xy"})
+    return rel.match_printed(read, l, ("x_3", "y_3")).select("loc_id", "x", "y", "z")
+
+
 @query(f"with {OBS} select x, y, min(l_orderkey) as first, count(*) as n from o group by x, y")
 def location_groups(spark, d):
     return rel.groups(obs(spark, d).withColumn("loc_id", F.struct("x", "y")), "loc_id", "l_orderkey").select("loc_id.x", "loc_id.y", "first", "n")

@@ -344,3 +344,38 @@ def test_observations_on_the_cluster_give_the_same_chain(spark):
     a, b = (sampler.run_chain(d, 1, 3, seed=4)[1] for d in (local, far))
     assert [r[:5] for r in a] == [r[:5] for r in b]
     assert np.allclose([r[5] for r in a], [r[5] for r in b], rtol=1e-5, atol=1e-7)
+
+
+def test_a_run_reports_its_diagnostics(spark, index, capsys):
+    m = Model.build(index, covariates=["v1"], n_chains=2).run(12, report=0.5)
+    shown = capsys.readouterr().out
+    assert "12 iterations in" in shown and "psrf" in shown
+    got = {(r.param, r.i, r.j): r for r in m.diagnose(0.5).collect()}
+    values = {}
+    for r in m.records.where("param <> 'field'").collect():
+        values.setdefault((r.param, r.i, r.j), {}).setdefault(r.chain, []).append((r.iteration, r.value))
+    assert set(got) == set(values)
+    for key, chains in values.items():
+        kept = [np.array([v for t, v in sorted(c) if t > 6]) for c in chains.values()]
+        within, between, n, k = np.mean([c.var(ddof=1) for c in kept]), np.var([c.mean() for c in kept], ddof=1), len(kept[0]), len(kept)
+        if within > 0:
+            assert np.isclose(got[key].psrf, (k + 1) / k * between / within * (n - 1) / n + (n + 1) / n)
+        else:
+            assert got[key].psrf is None
+    m.records = m.records.where("chain = 1")
+    assert {r.psrf for r in m.diagnose().collect()} == {None}
+
+
+def test_locations_match_in_the_digits_that_text_keeps(spark):
+    rng = np.random.default_rng(4)
+    xy = np.vstack([rng.normal(size=(200, 2)) * 10.0 ** rng.integers(-8, 9, (200, 1)), [[0.1 + 0.2, 1.0], [0.3, 1.0], [0.0, -0.0]]])
+    locs = spark.createDataFrame([(i + 1, float(a), float(b)) for i, (a, b) in enumerate(xy)], "loc_id long, x double, y double")
+    text = [tuple(float(f"{v:.15g}") for v in row) for row in xy]
+    rows = [(i + 1, a, b) for i, (a, b) in enumerate(text)] + [(900, None, 1.0), (901, 5e300, float("nan")), (902, -0.0, 0.0)]
+    obs = spark.createDataFrame(rows, "obs_id long, x double, y double")
+    got = {r.obs_id: r.loc_id for r in rel.match_printed(obs, locs).collect()}
+    # 0.1 + 0.2 and 0.3 agree in 15 digits: the first one is taken
+    assert got == {i + 1: i + 1 for i in range(len(xy))} | {202: 201, 902: 203}
+    exact = {r.obs_id for r in rel.match_locations(obs, locs).collect()}
+    assert exact < set(got) and len(got) - len(exact) > 100
+    assert rel.match_printed(obs, locs.limit(0)).count() == 0

@@ -540,7 +540,8 @@ def ordinary_words(docs: DataFrame, text_col: str = "text", most: int = 65_536)
     """The `most` commonest ordinary words of all texts, in lower case: those that stand in lower case at half of their places or more.
 
     Words of up to 64 letters, at 3 places or more, ties by their order; so the set has 16 MB at most. Words are counted
-    over whole texts where they are read, and summed up before the shuffle; of the counts the driver gets a histogram. Null and empty texts have none; an empty table gives no words.
+    over whole texts where they are read, and summed up before the shuffle; of the counts the driver gets a histogram.
+    The words of one text are an array while they are counted, about 100 bytes a word. Null and empty texts have none; an empty table gives no words.
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).where("length(w) <= 64")
     low = F.lower("w")

@@ -178,8 +178,25 @@ def _links_sql(cos: float) -> str:
     """
 
 
+def _nearest_sql(every: int, k: int) -> str:
+    """Each query's k nearest of all valid vectors of the most frequent length. The components are summed one by one, as the operator's are:
+    the engine's own list_distance takes them in another order, so that last digits differ."""
+    return f"""
+        with fine as (
+            select vec_id, cast(embedding as double[]) as e, row_number() over (order by vec_id) as key from embeddings
+            where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        usual as (select len(e) as dim from fine group by dim order by count(*) desc, dim limit 1),
+        v as (select vec_id, e, key from fine join usual on len(e) = dim),
+        far as (select q.key, q.vec_id as query_id, v.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda x, y: x + y)) as score
+                from v q join v on q.key <> v.key where q.vec_id % {every} = 0),
+        near as (select *, cast(row_number() over (partition by key order by score, vec_id) as integer) as rank from far)
+        select query_id, rank, vec_id, score from near where rank <= {k}
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_nearest_neighbours": _nearest_sql(100, 10),
         "op7_embedding_near_dedup": _links_sql(0.98),
         "op12_chat_windows": _chat_sql(),
         "op6_url_rules": f"""

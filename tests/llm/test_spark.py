@@ -758,3 +758,21 @@ def test_the_links_of_vectors_and_their_sql(spark, tmp_path):
         want = set(con.sql(oracle_sql()["op7_embedding_near_dedup"]).fetchall())
         assert got == want and len(want) > 200
         assert not linked or sum(r[1] > 0 for r in want) > 50 and max(r[1] for r in want) > 2
+
+
+def test_neighbours_and_their_sql_agree_to_the_last_bit(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    vecs = [*rng.normal(size=(300, 37)).tolist(), *[[float(x) for x in rng.integers(-2, 3, 37)] for _ in range(100)]]
+    vecs += [vecs[0], vecs[0], vecs[100], None, [0.0] * 37, [float("nan")] * 37, [None] * 37, [1.0] * 9, [float("inf")] + [1.0] * 36]
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(100, vecs[7]), (None, vecs[8])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for folder, n in ((str(tmp_path), 50), ("/root/testdata/sf0.01", 50)):
+        con = duckdb.connect()
+        path = f"{folder}/embeddings.parquet" + ("/*.parquet" if folder == str(tmp_path) else "")
+        con.sql(f"create view embeddings as from read_parquet('{path}')")
+        key = lambda r: (r[0], r[1], r[2], r[3])
+        want = sorted(con.sql(oracle_sql()["op9_nearest_neighbours"]).fetchall(), key=key)
+        got = sorted((tuple(r) for r in queries()["op9_nearest_neighbours"](spark, folder).collect()), key=key)
+        assert got == want and len(got) >= n

@@ -267,18 +267,19 @@ def _compared(table: pa.Table, index, dim: int, cos: float) -> pa.Table:
     keys, own, weight, member, visitor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "own", "weight", "member", "visitor"))
     x = _unit(_matrix(table.column("vec")))
     y = _padded(table.column("vec"), dim)
-    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(keys), -1)
+    members = np.nonzero(member)[0]
+    codes = np.zeros((len(keys), len(ix.cuts)), np.uint8)  # those of visitors stay at home
+    codes[members] = np.frombuffer(b"".join(table.column("codes").take(pa.array(members)).to_pylist()), np.uint8).reshape(len(members), -1)
     err = table.column("err").to_numpy()
     offsets = ix.offsets(codes, own)
     probes = table.column("probes").combine_chunks()
     flat = probes.flatten().to_numpy().astype(np.int64)
     prober = np.repeat(np.arange(len(keys)), np.diff(probes.offsets.to_numpy()))
     lists = len(ix.centroids)
-    pairs = np.sort(prober * lists + flat)  # (row, list that it searches)
+    pairs = np.sort(prober * lists + flat)  # (row, list that it searches); a visitor brings only this bin's lists, a member all
     radius = _radius(cos)
     links = np.zeros(len(keys), np.int64)
     sets = LocalUnion(len(keys))
-    members = np.nonzero(member)[0]
     by_list = {int(o): members[own[members] == o] for o in np.unique(own[members])}
     use = visitor[prober] & np.isin(flat, own[members])
     prober, flat = prober[use], flat[use]
@@ -346,7 +347,9 @@ def near_duplicates(table: DataFrame, cos: float = 0.98, id_col: str = "vec_id",
     per = listed.groupBy("label", "size").agg(F.greatest(F.lit(1.0), F.floor(F.lit(float(bin_rows * lists)) / F.count(F.lit(1)))).cast("int").alias("run"))
     run = F.col("run")
     sent = listed.join(per, ["label", "size"]).withColumns({"own_bin": F.expr("own div run"), "bin": F.explode(F.array_distinct(F.transform("probes", lambda p: F.floor(p / run))))})
-    sent = sent.withColumns({"home": F.col("bin") == F.col("own_bin"), "visit": F.lit(True)}).drop("own_bin", "run")
+    home = F.col("bin") == F.col("own_bin")
+    here = F.filter("probes", lambda p: F.floor(p / run) == F.col("bin"))  # a visitor needs neither its code nor its other lists
+    sent = sent.withColumns({"home": home, "visit": F.lit(True), "probes": F.when(home, F.col("probes")).otherwise(here), "codes": F.when(home, F.col("codes"))}).drop("own_bin", "run")
     stars = _blocks(sent, ["label", "size", "bin"], bin_rows, visitors)
     stars = cut(stars.groupBy("label", "size", "bin", "i", "j").applyInArrow(_compared_fn(index, dim, cos), "key long, n long, root long"))
     parts = components(stars.select(F.col("key").alias("a"), F.col("root").alias("b")))

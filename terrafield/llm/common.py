@@ -28,6 +28,17 @@ def map_whole(df: DataFrame, fn) -> DataFrame:
     return plain.mapInArrow(fn, plain.schema).toDF(*df.columns)
 
 
+def hinted(table: DataFrame, rows: int = 100_000, most: int = 16 << 20) -> DataFrame:
+    """table, written, and with a broadcast hint if it has that many rows and bytes of text at most, which is checked: so that a join
+    with it needn't exchange the other side before its size is known. Tables with nested columns have no hint."""
+    table = cut(table)
+    if any("<" in kind for _, kind in table.dtypes):
+        return table
+    wide = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in table.dtypes if kind in ("string", "binary")), F.lit(0).cast("long"))
+    size = table.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(wide), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(table) if size.n <= rows and size.bytes <= most else table
+
+
 def n_words(col) -> F.Column:
     """Number of words of a text column, JVM-side; null counts as 0."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")

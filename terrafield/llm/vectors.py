@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafield.llm.common import LocalUnion, components, cut
+from terrafield.llm.common import LocalUnion, components, cut, hinted
 
 #: Vectors that the index is fitted on, at most: of all valid rows those of the smallest hashes. From a sixteenth of the rows beyond 262,144.
 SAMPLE = (16_384, 65_536)
@@ -205,7 +205,7 @@ def _blocks(df: DataFrame, bin_cols: list[str], rows_per: int, visitors_per: int
     count = lambda c: F.sum(F.col(c).cast("long"))
     sizes = df.groupBy(*bin_cols).agg(count("home").alias("_n"), count("visit").alias("_p")).where("_n > 0 and _p > 0")
     sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in bin_cols], F.ceil(F.col("_n") / rows_per).alias("_k"), F.ceil(F.col("_p") / visitors_per).alias("_m"))
-    rows = df.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in bin_cols]).drop(*[f"_{c}" for c in bin_cols])
+    rows = df.join(hinted(sizes), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in bin_cols]).drop(*[f"_{c}" for c in bin_cols])
     rows = rows.withColumns({"_i": F.pmod(F.xxhash64("key", F.lit("i")), F.col("_k")), "_j": F.pmod(F.xxhash64("key", F.lit("j")), F.col("_m"))})
     visits = F.expr("if(visit, transform(sequence(0L, _k - 1), x -> struct(x as i, _j as j)), array())")
     stays = F.expr("if(home, transform(sequence(0L, _m - 1), x -> struct(_i as i, x as j)), array())")
@@ -346,7 +346,7 @@ def near_duplicates(table: DataFrame, cos: float = 0.98, id_col: str = "vec_id",
     # a bin is a run of lists that holds about bin_rows rows of a label
     per = listed.groupBy("label", "size").agg(F.greatest(F.lit(1.0), F.floor(F.lit(float(bin_rows * lists)) / F.count(F.lit(1)))).cast("int").alias("run"))
     run = F.col("run")
-    sent = listed.join(per, ["label", "size"]).withColumns({"own_bin": F.expr("own div run"), "bin": F.explode(F.array_distinct(F.transform("probes", lambda p: F.floor(p / run))))})
+    sent = listed.join(hinted(per), ["label", "size"]).withColumns({"own_bin": F.expr("own div run"), "bin": F.explode(F.array_distinct(F.transform("probes", lambda p: F.floor(p / run))))})
     home = F.col("bin") == F.col("own_bin")
     here = F.filter("probes", lambda p: F.floor(p / run) == F.col("bin"))  # a visitor needs neither its code nor its other lists
     sent = sent.withColumns({"home": home, "visit": F.lit(True), "probes": F.when(home, F.col("probes")).otherwise(here), "codes": F.when(home, F.col("codes"))}).drop("own_bin", "run")
@@ -458,6 +458,9 @@ def _searched(table: pa.Table, index, k: int) -> pa.Table:
             near = (low <= np.minimum(most, kth * (1 + 1e-9))[:, None]) & np.isfinite(low)
             for r in range(len(q)):
                 cand = np.nonzero(near[r])[0]
+                if len(cand) > k:  # numpy's own sums come first: they differ in the last digits only
+                    quick = ((x[cand] - q[r]) ** 2).sum(1)
+                    cand = cand[quick <= np.partition(quick, k - 1)[k - 1] * (1 + 1e-9)]
                 d = _distance(x[cand], q[r])
                 best = np.argsort(d, kind="stable")[:k]  # members come by id
                 for out, got in zip(found, (np.full(len(best), qkeys[r]), np.full(len(best), part.column("id")[r].as_py()), ids[cand[best]], d[best])):

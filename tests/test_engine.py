@@ -261,6 +261,8 @@ def test_neighbours_on_a_grid_do_not_mind_far_points(spark):
     for ordered in (True, False):
         want = sorted(map(tuple, spatial.nearest_neighbours(df, 6, ordered).select("child", "k", "parent").collect()))
         got = sorted(map(tuple, spatial.grid_neighbours(df, 6, ordered, cell_rows=20).select("child", "k", "parent").collect()))
+        joined = spatial.grid_neighbours(df, 6, ordered, cell_rows=20, depth=8, directory=10)  # more cells than that are searched by joins
+        assert sorted(map(tuple, joined.select("child", "k", "parent").collect())) == got
         assert got == want
     few = spatial.grid_neighbours(df, 6, children="id >= 1490")
     assert sorted(map(tuple, few.select("child", "k", "parent").collect())) == [w for w in sorted(map(tuple, spatial.nearest_neighbours(df, 6).select("child", "k", "parent").collect())) if w[0] >= 1490]

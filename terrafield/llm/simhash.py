@@ -8,6 +8,9 @@ a local tree prunes the same way down to small blocks, which are compared exactl
 each local group, not its pairs; connected components joins them.
 
 Every row takes part. Only the tree is fitted on a bounded sample (see links), and the tree decides where pairs meet, never whether.
+
+duplicate_ids, the pipeline's stage, takes the links of these trees and, as no tree prunes at the radius that a Jaccard similarity of 0.8 asks for,
+pairs of MinHash bands as well; an exact check of the shingle sets follows on both.
 """
 
 from __future__ import annotations
@@ -54,8 +57,13 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, k: int = 3) -> int:
     """64-bit SimHash over k-word shingles, repeats included: a bit is set if it is in over half of the hashes."""
+    return _sketch(_shingle_hashes(words_of(text), k))
+
+
+def _sketch(blocks) -> int:
+    """64-bit SimHash of hashes that come in blocks."""
     n, counts = 0, np.zeros(64, np.int64)
-    for h in _shingle_hashes(words_of(text), k):
+    for h in blocks:
         n += len(h)
         counts += _bit_counts(h)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0]) if n else 0
@@ -271,7 +279,8 @@ def _banded(batches, k, bands, band_rows):
         lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * bands, pa.int32()), flat)
         digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
         signs = pa.array([m.astype(np.uint8).tobytes() for m in mins], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("id"), digests, lists, signs], ["id", "digest", "keys", "sign"])
+        points = pa.array(np.fromiter((_sketch(h[i : i + (1 << 16)] for i in range(0, len(h), 1 << 16)) for h in sets), np.uint64, len(sets)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("id"), digests, lists, signs, points], ["id", "digest", "keys", "sign", "point"])
 
 
 def _sets(batches, k):
@@ -345,11 +354,19 @@ def _linked_fn(similarity: float):
     return run
 
 
-def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, task_rows: int = 4096, task_bytes: int = 64 << 20) -> DataFrame:
+def tree_links(whole: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of sets whose fingerprints lie within `radius` bits, by the vantage-point trees; whole(num, point). Equal fingerprints are one point."""
+    points = cut(whole.groupBy("point").agg(F.min("num").alias("id")))
+    same = whole.select("point", F.col("num").alias("a")).join(points.select("point", F.col("id").alias("b")), "point").where("a <> b").select("a", "b")
+    return links(points.select(F.lit(0).alias("view"), "id", "point"), radius).unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 2, task_rows: int = 4096, task_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, component_id) of the rows that another row of smaller id makes superfluous, once per id.
 
     Linked are texts whose sets of k-word shingles have the given Jaccard similarity or more, verified on the sets. Equal sets
-    are one point, whatever their number. Candidates are pairs that share one of BANDS MinHash bands. First every member of a
+    are one point, whatever their number. Candidates are the links of the vantage-point trees, between SimHash fingerprints of the sets at `radius`
+    bits or fewer, and pairs that share one of BANDS MinHash bands. First the trees' links are checked, and every member of a
     bucket is compared with the bucket's first; then, in buckets that these links leave in several components,
     members of different components whose MinHashes agree often enough, each pair in one bucket only. Buckets of more than task_rows rows or
     task_bytes of sets meet in pairs of hashed blocks. Pairs that are connected already need no link. Texts without words are never
@@ -357,19 +374,21 @@ def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     texts = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    rows = cut(texts.mapInArrow(partial(_banded, k=k, bands=BANDS, band_rows=BAND_ROWS), "id long, digest binary, keys array<long>, sign binary"))
+    rows = cut(texts.mapInArrow(partial(_banded, k=k, bands=BANDS, band_rows=BAND_ROWS), "id long, digest binary, keys array<long>, sign binary, point long"))
     # equal sets have equal keys, so any row's will do; whole is written, so its numbers stay
-    whole = cut(rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sign").alias("sign"))).withColumn("num", F.monotonically_increasing_id())
+    whole = cut(rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sign").alias("sign"), F.first("point").alias("point"))).withColumn("num", F.monotonically_increasing_id())
     points = whole.select("num", F.explode("keys").alias("key"))
     buckets = points.groupBy("key").agg(F.min("num").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(points.join(buckets, "key"))
+    trees = cut(tree_links(whole, radius))
     # of the texts only those that have a candidate are read again
-    asked = members.select("num").distinct().join(whole.select("num", F.col("first").alias("id"), "digest"), "num")
+    told = members.select("num").unionByName(trees.select(F.explode(F.array("a", "b")).alias("num")))
+    asked = told.distinct().join(whole.select("num", F.col("first").alias("id"), "digest"), "num")
     sets = cut(texts.join(asked, "id").mapInArrow(partial(_sets, k=k), "num long, set binary"))
     if sets.count() > asked.count():  # rows that repeat an id and its text
         sets = cut(sets.dropDuplicates(["num"]))
 
-    pairs = members.where("num <> rep").select(F.col("rep").alias("a"), F.col("num").alias("b")).distinct()
+    pairs = members.where("num <> rep").select(F.col("rep").alias("a"), F.col("num").alias("b")).unionByName(trees).distinct()
     both = pairs.join(sets.select(F.col("num").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("num").alias("b"), F.col("set").alias("y")), "b")
     found = cut(both.select("a", "b", "x", "y").mapInArrow(partial(_verified, similarity=similarity), "a long, b long"))
     parts = components(found)

@@ -51,7 +51,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smallest node reachable. Each round hooks every node to its smallest neighbour, which makes trees, shortens
     the hooks to the trees' roots by pointer jumping and contracts each tree: at least half of the nodes go in a
     round, and paths need as many jumps as their length has binary digits. Links and hooks stay distributed;
-    every table is checkpointed, so joins exchange both sides and AQE can split a hot hub. Self links and
+    every table is checkpointed and every join merges sorted sides, so that AQE can split a hot hub and no table of hooks, which
+    grows with the links, is built as a hash table on the driver to be broadcast, however well it compresses. Self links and
     nulls are ignored; no links give an empty table.
     """
     e = (
@@ -73,11 +74,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = hooks
         else:
             up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            labels = labels.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
+            labels = labels.join(up.hint("merge"), "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
             labels = cut(labels)
         left = hooks.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         right = hooks.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        e = e.join(left, "u").join(right, "v").where("pu <> pv")
+        e = e.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where("pu <> pv")
         e = cut(e.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct())
     if labels is None:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -87,7 +88,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _jump(hooks: DataFrame) -> DataFrame:
     """(node, parent, above): the parent's own parent beside it."""
     up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-    return hooks.join(up, "parent").select("node", "parent", "above")
+    return hooks.join(up.hint("merge"), "parent").select("node", "parent", "above")
 
 
 class LocalUnion:

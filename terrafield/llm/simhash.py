@@ -357,7 +357,7 @@ def _linked_fn(similarity: float):
 def tree_links(whole: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) of sets whose fingerprints lie within `radius` bits, by the vantage-point trees; whole(num, point). Equal fingerprints are one point."""
     points = cut(whole.groupBy("point").agg(F.min("num").alias("id")))
-    same = whole.select("point", F.col("num").alias("a")).join(points.select("point", F.col("id").alias("b")), "point").where("a <> b").select("a", "b")
+    same = whole.select("point", F.col("num").alias("a")).join(points.select("point", F.col("id").alias("b")).hint("merge"), "point").where("a <> b").select("a", "b")
     return links(points.select(F.lit(0).alias("view"), "id", "point"), radius).unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -379,35 +379,35 @@ def duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = cut(rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sign").alias("sign"), F.first("point").alias("point"))).withColumn("num", F.monotonically_increasing_id())
     points = whole.select("num", F.explode("keys").alias("key"))
     buckets = points.groupBy("key").agg(F.min("num").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(points.join(buckets, "key"))
+    members = cut(points.join(buckets.hint("merge"), "key"))
     trees = cut(tree_links(whole, radius))
     # of the texts only those that have a candidate are read again
     told = members.select("num").unionByName(trees.select(F.explode(F.array("a", "b")).alias("num")))
-    asked = told.distinct().join(whole.select("num", F.col("first").alias("id"), "digest"), "num")
-    sets = cut(texts.join(asked, "id").mapInArrow(partial(_sets, k=k), "num long, set binary"))
+    asked = told.distinct().hint("merge").join(whole.select("num", F.col("first").alias("id"), "digest"), "num")
+    sets = cut(texts.join(asked.hint("merge"), "id").mapInArrow(partial(_sets, k=k), "num long, set binary"))
     if sets.count() > asked.count():  # rows that repeat an id and its text
         sets = cut(sets.dropDuplicates(["num"]))
 
     pairs = members.where("num <> rep").select(F.col("rep").alias("a"), F.col("num").alias("b")).unionByName(trees).distinct()
-    both = pairs.join(sets.select(F.col("num").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("num").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.hint("merge").join(sets.select(F.col("num").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("num").alias("b"), F.col("set").alias("y")), "b")
     found = cut(both.select("a", "b", "x", "y").mapInArrow(partial(_verified, similarity=similarity), "a long, b long"))
     parts = components(found)
-    left = members.where("n > 2").join(parts.withColumnRenamed("node", "num"), "num", "left").withColumn("part", F.coalesce("component", "num")).drop("component")
-    left = left.join(sets.select("num", F.length("set").alias("bytes")), "num")
+    left = members.where("n > 2").join(parts.withColumnRenamed("node", "num").hint("merge"), "num", "left").withColumn("part", F.coalesce("component", "num")).drop("component")
+    left = left.join(sets.select("num", F.length("set").alias("bytes")).hint("merge"), "num")
     split = left.where("num <> rep").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("bytes").alias("all_bytes")).where("low < high")
     # as many blocks as half a task's rows, or bytes, ask for
     blocks = F.greatest(F.when(F.col("n") > task_rows, F.ceil(2 * F.col("n") / task_rows)).otherwise(1), F.when(F.col("all_bytes") > task_bytes, F.ceil(2 * F.col("all_bytes") / task_bytes)).otherwise(1))
-    left = left.join(split.select("key", "all_bytes"), "key").withColumn("k", blocks.cast("int"))
-    left = left.select("key", "num", "rep", "part", "k").join(whole.select("num", "sign", "keys"), "num").join(sets, "num")
+    left = left.join(split.select("key", "all_bytes").hint("merge"), "key").withColumn("k", blocks.cast("int"))
+    left = left.select("key", "num", "rep", "part", "k").hint("merge").join(whole.select("num", "sign", "keys"), "num").join(sets.hint("merge"), "num")
     left = left.withColumn("own", F.pmod(F.xxhash64("num"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "num", "rep", "part", "sign", "keys", "set")
     more = cut(left.groupBy("key", "i", "j").applyInArrow(_linked_fn(similarity), "a long, b long"))
     if not more.isEmpty():
         parts = components(found.unionByName(more))
-    low = parts.join(whole.select(F.col("num").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("low"))
-    low = parts.join(low, "component").select(F.col("node").alias("num"), "low")
-    same = rows.select("id", "digest").join(whole.select("digest", "num", "first"), "digest").select("id", "num", "first")
-    of = same.join(low, "num", "left").select("id", F.coalesce("low", "first").alias("component_id"))
+    low = parts.hint("merge").join(whole.select(F.col("num").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("low"))
+    low = parts.join(low.hint("merge"), "component").select(F.col("node").alias("num"), "low")
+    same = rows.select("id", "digest").join(whole.select("digest", "num", "first").hint("merge"), "digest").select("id", "num", "first")
+    of = same.join(low.hint("merge"), "num", "left").select("id", F.coalesce("low", "first").alias("component_id"))
     return of.where("id <> component_id").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", "doc_id")
 
 
@@ -415,4 +415,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the near duplicates: the smallest id of each group stays. Rows that share an id share its fate;
     rows with a null id or no words stay."""
     gone = duplicate_ids(docs, id_col, text_col, **how).select(F.col("doc_id").alias("id"))
-    return pack_rows(docs, id_col).join(gone, "id", "left_anti").select("row.*")
+    return pack_rows(docs, id_col).join(gone.hint("merge"), "id", "left_anti").select("row.*")

@@ -177,6 +177,21 @@ def test_orders_are_those_of_loops(spark):
         assert far[0] == pytest.approx(far.max())
 
 
+def test_maxmin_order_covers_all_points(spark):
+    """Beyond a fixed number, too: rounds of few candidates give the order of the plain loop, with places that coincide and an outlier."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.normal(size=(700, 2)), rng.normal(size=(300, 2)) * 0.01, [[90.0, 3.0]]])
+    xy = np.concatenate([xy, xy[:40]])
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "rank long, x double, y double")
+    want = spatial.maxmin_order(xy)
+    for batch in (60, 5000):
+        got = spatial.maxmin_places(p, batch).toPandas().sort_values("new")
+        assert got["rank"].tolist() == want.tolist() and got["new"].tolist() == list(range(1, len(xy) + 1))
+    every = spatial.ordered_locations(p.withColumnRenamed("rank", "id"), "id", most=None).toPandas().sort_values("rank")
+    far = [((v - every[["x", "y"]].to_numpy()[:k]) ** 2).sum(1).min() for k, v in enumerate(every[["x", "y"]].to_numpy()) if k > 1]
+    assert all(a >= b - 1e-12 for a, b in zip(far, far[1:]))
+
+
 class _SameNoise(sampler.Data):
     """Arrays whose field is drawn from the noise that the tables use."""
 

@@ -3,10 +3,11 @@
 from copy import deepcopy
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from terrafield.functions.kernels import canonical_range, covariance
-from terrafield.operators import diagnostics, sampler, spatial
+from terrafield.operators import basis, diagnostics, sampler, spatial
 from terrafield.operators.noise import _xxhash, normals
 from terrafield.plans import catalogue
 
@@ -192,6 +193,18 @@ def test_maxmin_order_covers_all_points(spark):
     assert all(a >= b - 1e-12 for a, b in zip(far, far[1:]))
 
 
+def test_greatest_distance_is_that_of_all_points(spark):
+    """The farthest pair lies beyond the first 10,000 rows; circles, lines and single places, too."""
+    rng = np.random.default_rng(7)
+    turn = rng.random(400) * 2 * np.pi
+    x = rng.normal(size=12_000)
+    sets = [np.concatenate([rng.normal(size=(11_000, 2)), [[60.0, 1.0], [-70.0, 4.0]]]), np.column_stack([np.cos(turn), np.sin(turn)]), np.column_stack([x, 2 * x]), np.ones((200, 2)), rng.normal(size=(1, 2))]
+    for xy in sets:
+        p = spark.createDataFrame(pd.DataFrame(xy, columns=["x", "y"]))
+        for corners in (10_000, 0):
+            assert basis.diameter(p, corners) == pytest.approx(basis.max_distance(xy), rel=1e-12, abs=0)
+
+
 class _SameNoise(sampler.Data):
     """Arrays whose field is drawn from the noise that the tables use."""
 

@@ -171,6 +171,19 @@ def test_table_products_and_draws_equal_dense_algebra(spark, model):
     assert np.allclose(_values(got), np.linalg.solve(q, b), rtol=1e-5, atol=1e-6)
 
 
+def test_gradients_start_at_the_sparse_factors_solution(spark, model):
+    """So no step is needed, however dense the places; with fronts too large, steps lead there."""
+    d, t, s = model
+    f = _as_table(spark, t, s)
+    n, sd, l = len(d.xy), s.sd(d), s.factor.dense()
+    q, b = l.T @ l / np.outer(sd, sd) + np.diag(np.full(n, 2.0)), np.cos(np.arange(n))
+    at = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "sd": sd, "precision": 2.0}))
+    right = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "value": b}))
+    for how in ({"most": 0}, {"front": 1}):
+        got = fieldtables.conjugate_gradient(f.factor, at, right, fieldtables.blocks_of(t.sites, 20), locs=t.sites, **how)
+        assert np.allclose(_values(got), np.linalg.solve(q, b), rtol=1e-5, atol=1e-6)
+
+
 @pytest.mark.parametrize("ancillary", [True, False])
 def test_table_potentials_equal_those_of_arrays(spark, model, ancillary):
     d, t, s = model

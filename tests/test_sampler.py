@@ -101,6 +101,28 @@ def test_field_draws_have_the_posterior_moments():
     assert np.allclose(np.cov(draws.T), cov, atol=0.1 * np.diag(cov).max())
 
 
+@pytest.mark.parametrize("coarse", [linalg.COARSE, 40, 0])
+def test_draws_of_dense_fields_are_solved(coarse, monkeypatch):
+    """Many locations within a range: scaled by the diagonal, gradients stopped at 2,000 steps and left more than they may."""
+    rng, n = np.random.default_rng(4), 1500
+    xy = rng.normal(size=(n, 2)) * 0.01
+    near = np.full((n, 6), -1, np.int64)
+    near[:, 0] = np.arange(n)
+    for i in range(1, n):
+        got = np.argsort(((xy[:i] - xy[i]) ** 2).sum(1), kind="stable")[:5]
+        near[i, 1 : 1 + len(got)] = got
+    one = np.ones((n, 1))
+    d = sampler.Data(xy, near, np.arange(n), rng.normal(size=n), one, one, [0], one, one, one)
+    f, steps, plain = sampler.build_factor(d, np.array([[-1.0]])), [], linalg.conjugate_gradient
+    sd, precision, rhs = np.full(n, 0.5), np.full(n, 148.0) * (np.arange(n) % 3 > 0), rng.normal(size=n)
+    monkeypatch.setattr(linalg, "conjugate_gradient", lambda times, *a: plain(lambda v: steps.append(1) or times(v), *a))
+    got = linalg.draw_field(f, sd, precision, rhs, np.random.default_rng(1), coarse)
+    l, noise = f.dense() / sd, np.random.default_rng(1)
+    b = rhs + l.T @ noise.standard_normal(n) + np.sqrt(precision) * noise.standard_normal(n)
+    q = l.T @ l + np.diag(precision)
+    assert np.linalg.norm(q @ got - b) < 1e-9 * np.linalg.norm(b) and len(steps) < 300
+
+
 def test_chains_recover_the_regression_and_resume():
     d = _data(80, 5)
     s, rows = sampler.run_chain(d, 1, 150, seed=2)

@@ -301,3 +301,14 @@ def test_transfers_end_below_lloyds_rounds(spark, most):
                 other = got.copy()
                 other[i] = j
                 assert within(other) >= best * (1 - 1e-8)
+
+
+def test_transfers_take_few_passes(spark, monkeypatch):
+    """A pass moves its points until none of them gains; with a move each at most, these took 34 passes."""
+    rng = np.random.default_rng(3)
+    xy = rng.normal(size=(3000, 2))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "x": xy[:, 0], "y": xy[:, 1], "own": ((xy[:, None] - xy[None, :6]) ** 2).sum(-1).argmin(1)}))
+    cuts, plain = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda d: cuts.append(1) or plain(d))
+    got = spatial.transfers(df, 6).toPandas()["own"]
+    assert len(cuts) <= 8 and set(got) == set(range(6))

@@ -381,3 +381,15 @@ def test_locations_match_in_the_digits_that_text_keeps(spark):
     exact = {r.obs_id for r in rel.match_locations(obs, locs).collect()}
     assert exact < set(got) and len(got) - len(exact) > 100
     assert rel.match_printed(obs, locs.limit(0)).count() == 0
+
+
+def test_a_model_joins_no_observations_with_themselves(spark, index, monkeypatch):
+    """Both designs are columns of one table: it was joined with itself by obs_id, all rows shuffled twice for each aggregation."""
+    from terrafield import model as of
+
+    tables, plain = [], of._cells
+    monkeypatch.setattr(of, "_cells", lambda table, *a: tables.append(table) or plain(table, *a))
+    m = of.Model.build(index, covariates=["v1"], noise_x=["v1"])
+    assert m.data.x_noise.shape[1] == 2
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(tables[0]) == joins(index.obs)

@@ -126,6 +126,30 @@ def test_levels_of_few_rows_share_bands_and_large_ones_are_joined(spark):
     assert triangular.levels(spark.createDataFrame([], "row long, col long"), spark.range(0)).count() == 0
 
 
+def _counted(monkeypatch, *modules):
+    """A list that grows with every table that the modules write."""
+    seen = []
+    for m in modules:
+        monkeypatch.setattr(m, "cut", lambda df, cut=m.cut: seen.append(1) or cut(df))
+    return seen
+
+
+def test_levels_of_deep_graphs_take_few_rounds(spark, monkeypatch):
+    n, rng = 300, np.random.default_rng(5)
+    every = [(i, int(j)) for i in range(1, n) for j in {i - 1 if i % 3 else 0, *rng.integers(0, i, 2)}]
+    want = [0] * n
+    for i, j in every:
+        want[i] = max(want[i], want[j] + 1)
+    seen = _counted(monkeypatch, triangular)
+    got = triangular.levels(spark.createDataFrame([(7 * i, 7 * j) for i, j in every], "row long, col long"), spark.range(n).select((F.col("id") * 7).alias("id")), 50)
+    assert [r.level for r in got.orderBy("id").collect()] == want
+    chain = triangular.levels(spark.range(1, n).select(F.col("id").alias("row"), (F.col("id") - 1).alias("col")), spark.range(n), 50)
+    assert [r.level for r in chain.orderBy("id").collect()] == list(range(n))
+    assert len(seen) <= 2 * (3 + 2 * n // 50)
+    turned = triangular.levels(spark.range(1, 40).select((F.col("id") - 1).alias("row"), F.col("id").alias("col")), spark.range(40), 30)  # parents have greater ids
+    assert [r.level for r in turned.orderBy("id").collect()] == list(range(39, -1, -1))
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     """One model as arrays and as tables, with a state of each that say the same."""

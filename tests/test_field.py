@@ -336,3 +336,39 @@ def test_transfers_take_few_passes(spark, monkeypatch):
     monkeypatch.setattr(spatial, "cut", lambda d: cuts.append(1) or plain(d))
     got = spatial.transfers(df, 6).toPandas()["own"]
     assert len(cuts) <= 8 and set(got) == set(range(6))
+
+
+def test_colours_of_dense_graphs_take_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    every = sorted({(min(i, j), max(i, j)) for i in range(120) for j in map(int, rng.integers(0, 120, 20)) if i != j})  # a fourth of all pairs
+    seen = _counted(monkeypatch, chromatic)
+    got = chromatic.colouring(spark.createDataFrame(every, "a long, b long"), spark.range(120), 40)
+    hashes, near, want = noise._xxhash(np.arange(120).view(np.uint64), np.array([42], np.uint64)).view(np.int64), [[] for _ in range(120)], {}
+    for a, b in every:
+        near[a].append(b)
+        near[b].append(a)
+    for i in np.argsort(hashes).tolist():
+        want[i] = next(c for c in range(1, 121) if c not in {want.get(j) for j in near[i]})
+    assert {r.id: r.colour for r in got.collect()} == want
+    assert len(seen) <= 2 + 2 * 3  # rounds by the degree took more
+
+
+@pytest.mark.parametrize("most", [100_000, 25])
+def test_colours_of_few_rows_are_drawn_in_one_step(spark, monkeypatch, most):
+    d = _data(90, m=3, seed=7)
+    q, rhs = _precision(d)
+    precision, locs, right = _tables(spark, d, q, rhs)
+    colours = chromatic.colouring(precision.where("a < b").select("a", "b"), locs.select("id")).toPandas().sort_values("id")["colour"].to_numpy()
+    w = np.random.default_rng(1).normal(size=90)
+    field = spark.createDataFrame(pd.DataFrame({"id": np.arange(90), "value": w}))
+    table = spark.createDataFrame(pd.DataFrame({"id": np.arange(90), "colour": colours.astype(np.int32)}))
+    update = chromatic.ColourUpdate(precision, table) if most > 90 else chromatic.ColourUpdate(precision, table, most)
+    seen = _counted(monkeypatch, chromatic, triangular)
+    got = _values(update.sweep(field, right.where("id % 9 > 0"), 6))
+    update.close()
+    z, rhs = noise.normals(np.arange(90), 6), np.where(np.arange(90) % 9 > 0, rhs, 0.0)
+    for k in range(1, colours.max() + 1):
+        rows = np.nonzero(colours == k)[0]
+        w[rows] += (rhs[rows] - q[rows] @ w) / np.diag(q)[rows] + z[rows] / np.sqrt(np.diag(q)[rows])
+    assert np.allclose(got, w, rtol=1e-9, atol=1e-10)
+    assert colours.max() > 4 and len(seen) <= (2 if most > 90 else colours.max() + 1)

@@ -108,6 +108,22 @@ def test_gibbs_field(spark):
     assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-6)
 
 
+def test_gibbs_field_leaves_locations_on_the_cluster(spark, monkeypatch):
+    """No array of the locations' size passes the driver: nothing is collected to pandas or sent from lists."""
+
+    def refused(*args, **how):
+        raise AssertionError("the locations came to the driver")
+
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", refused)
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    got = _run(spark, "gibbs_field")
+    assert got.count() == 2 * 10 * 5
+    monkeypatch.undo()
+    table = catalogue._places(spark, SF)
+    mine, whole = catalogue._arrays(table.orderBy("id").toArrow()), catalogue._data(spark, SF)
+    assert np.array_equal(mine.parents, whole.parents) and np.array_equal(mine.xy, whole.xy) and np.array_equal(mine.x, whole.x) and np.array_equal(mine.z, whole.z)
+
+
 def test_predict_field(spark):
     got = {r.id: r.value for r in _run(spark, "predict_field").collect()}
     d = catalogue._data(spark, SF)
